@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revkit.functions.paths import language
 from revkit.operators import aspects as D
-from revkit.operators.findings import Rule, context, explode_findings, rule_array
+from revkit.operators.findings import Rule, explode_findings, prepare, rule_array
 from revkit.functions.scoring import DEFAULT_ASPECTS
 
 LANGS = ("go", "php", "python", "java")
@@ -53,7 +53,8 @@ def analyze(files: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, langs: S
     """
     files = with_language(files)
     rules = (D.bundle(aspects) if with_aspects else []) + language_rules(langs)
-    found = explode_findings(files, rule_array(context(files), rules))
+    prepped, ctx = prepare(files, rules)
+    found = explode_findings(prepped, rule_array(ctx, rules))
     if with_aspects and any(r.rule_id == "D3" for r in rules):
         found = resolve_test_siblings(found, files)
     return found

@@ -119,10 +119,11 @@ def thoroughness_rules() -> list[Rule]:
         Rule(
             "D4",
             lambda c: one_if(
-                F.size(complex_functions(c)) > 0,
+                F.size(c.extra["d_cx"]) > 0,
                 0,
-                _msg("Consider breaking down complex functions in ", c.path, ": ", F.array_join(complex_functions(c), ", ")),
+                _msg("Consider breaking down complex functions in ", c.path, ": ", F.array_join(c.extra["d_cx"], ", ")),
             ),
+            prep=(("d_cx", complex_functions),),
         ),
     ]
 
@@ -133,8 +134,9 @@ def clarity_rules() -> list[Rule]:
         Rule(
             "D5",
             lambda c: one_if(
-                F.size(poor_names(c)) > 0, 0, _msg("Improve naming clarity in ", c.path, " for: ", F.array_join(poor_names(c), ", "))
+                F.size(c.extra["d_poor"]) > 0, 0, _msg("Improve naming clarity in ", c.path, " for: ", F.array_join(c.extra["d_poor"], ", "))
             ),
+            prep=(("d_poor", poor_names),),
         ),
         Rule("D6", lambda c: one_if(~good_structure(c), 0, _msg("Improve code structure and organization in ", c.path))),
         Rule("D7", lambda c: one_if(complex_expression(c), 0, _msg("Simplify complex expressions in ", c.path))),
@@ -147,7 +149,8 @@ def actionability_rules() -> list[Rule]:
         Rule("D8", lambda c: one_if(T.rlike(c.content, TODO_COMMENT), 0, _msg("Address TODO comments in ", c.path))),
         Rule(
             "D9",
-            lambda c: one_if(deprecated(c).isNotNull(), 0, _msg("Update deprecated features in ", c.path, ": ", deprecated(c))),
+            lambda c: one_if(c.extra["d_depr"].isNotNull(), 0, _msg("Update deprecated features in ", c.path, ": ", c.extra["d_depr"])),
+            prep=(("d_depr", deprecated),),
         ),
         Rule("D10", improvements),
     ]

@@ -54,6 +54,9 @@ class Rule:
     rule_id: str
     build: Callable[[Ctx], Column]
     langs: tuple[str, ...] = ()  # empty = every language
+    # per-file columns computed once in a projection before the rules run
+    # (an expensive array used by several expressions is not re-evaluated)
+    prep: tuple[tuple[str, Callable[[Ctx], Column]], ...] = ()
 
 
 def empty() -> Column:
@@ -137,10 +140,30 @@ def context(files: DataFrame, path_col: str = "path") -> Ctx:
     return Ctx(path=F.col(path_col), content=F.col("content"), lang=F.col("lang"), lines=T.lines(F.col("content")))
 
 
+def prepare(files: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Ctx]:
+    """Add each rule's prep columns (guarded by language) and return the context."""
+    ctx = context(files)
+    cols = {}
+    for r in rules:
+        for name, fn in r.prep:
+            if name in cols:
+                continue
+            expr = fn(ctx)
+            if r.langs:
+                expr = F.when(ctx.lang.isin(*r.langs), expr)
+            cols[name] = expr.alias(name)
+    files = files.select("*", T.lines(F.col("content")).alias("_lines"), *cols.values())
+    ctx = context(files)
+    ctx.lines = F.col("_lines")
+    ctx.extra.update({n: F.col(n) for n in cols})
+    return files, ctx
+
+
 def explode_findings(files: DataFrame, arr: Column, keep: Sequence[str] = ("repo", "path", "lang")) -> DataFrame:
     """One explode: (keep..., rule_id, rule_seq, occ, line, col, msg, key)."""
     return files.select(*keep, F.explode(arr).alias("f")).select(*keep, "f.*")
 
 
 def run_rules(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("repo", "path", "lang")) -> DataFrame:
-    return explode_findings(files, rule_array(context(files), rules), keep)
+    files, ctx = prepare(files, rules)
+    return explode_findings(files, rule_array(ctx, rules), keep)

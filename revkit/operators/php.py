@@ -1,5 +1,191 @@
-"""placeholder"""
+"""G: PHP rules. Every pattern is matched per line (all matches, byte
+column + 1); issues are rendered grouped by severity and type (G25)."""
 
+from __future__ import annotations
 
-def rules():
-    return []
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from revkit.functions import text as T
+from revkit.operators.findings import Ctx, Rule, finding
+
+# PHP checks as (type, pattern in RE2 syntax, description, severity), in check order.
+CHECKS = [
+    ("SQL_INJECTION", r"(?i)(mysqli_query|->query|->exec|PDO::query)\s*\(\s*.*\$", "Potential SQL injection vulnerability. Use prepared statements with parameters", "Critical"),
+    ("XSS", r"(?i)echo\s+\$_(GET|POST|REQUEST|COOKIE)", "Potential XSS vulnerability. Sanitize user input before output", "Critical"),
+    ("COMMAND_INJECTION", r"(?i)(system|exec|shell_exec|passthru|proc_open)\s*\(\s*.*\$", "Potential command injection vulnerability. Validate and sanitize inputs", "Critical"),
+    ("EVAL_USAGE", r"\b(eval|assert)\s*\(", "Use of eval() or assert() with dynamic content is dangerous and should be avoided", "Critical"),
+    ("FILE_INCLUSION", r"(?i)(include|require|include_once|require_once)\s*\(\s*.*\$", "Potential file inclusion vulnerability. Validate file paths", "High"),
+    ("CSRF_MISSING", r"""(?i)<form[^>]*method\s*=\s*["']post["'][^>]*>""", "Form without CSRF protection. Implement CSRF tokens", "High"),
+    ("PASSWORD_HASH", r"(?i)(md5|sha1)\s*\(", "Weak hashing algorithm. Use password_hash() for passwords", "High"),
+    ("OPEN_REDIRECT", r"""(?i)header\s*\(\s*["']Location:\s*\$""", "Potential open redirect vulnerability. Validate redirect URLs", "Medium"),
+    ("DEPRECATED_FUNCTION", r"\b(mysql_|ereg_|split|create_function|mcrypt_|session_unregister|define_syslog_variables)\b", "Deprecated PHP function found. Update to modern alternatives", "Medium"),
+    ("ERROR_SUPPRESSION", r"@[a-zA-Z0-9_]+\(", "Error suppression operator (@) used. Handle errors properly instead", "Medium"),
+    ("HARDCODED_CREDENTIALS", r"""(?i)["'](password|passwd|pwd|secret|key)["']\s*=>\s*["'][^"']{4,}["']""", "Potential hardcoded credentials. Use environment variables or secure configuration", "High"),
+    ("FILE_UPLOAD", r"(?i)\$_FILES\s*\[", "File upload detected. Ensure proper validation of file types and content", "Medium"),
+    ("SESSION_SECURITY", r"(?i)session_start\s*\(", "Session management detected. Ensure proper session security", "Info"),
+    ("MISSING_NAMESPACE", r"^<\?php", "No namespace defined. Modern PHP code should use namespaces", "Low"),
+    ("LOWERCASE_CONSTANTS", r"const\s+([a-z][a-zA-Z0-9_]*)\s*=", "Constants should use uppercase names (CONST_NAME)", "Low"),
+    ("MIXED_HTML_PHP", r"\?>.*<\?php", "Mixed PHP and HTML detected. Consider using a template engine", "Low"),
+    ("VAR_DUMP_PRINT_R", r"\b(var_dump|print_r)\s*\(", "Debugging functions found. Remove before production", "Medium"),
+    ("ISSET_EMPTY_COMPARISON", r"(?:==\s*null|!=\s*null|===\s*null|!==\s*null)", "Use isset() or empty() for null checks instead of comparison", "Low"),
+    ("UNUSED_USE_STATEMENT", r"use\s+([^;]+);", "Potentially unused use statement. Verify usage", "Info"),
+    ("GLOBAL_USAGE", r"global\s+\$", "Use of global variables. Consider dependency injection instead", "Medium"),
+    ("EXIT_DIE_USAGE", r"\b(exit|die)\s*\(", "Use of exit() or die(). Consider structured exception handling instead", "Low"),
+    ("INCONSISTENT_LINE_ENDINGS", r"\r\n.*\n", "Inconsistent line endings (mixed CRLF and LF)", "Info"),
+]
+HEADERS_TYPE = "MISSING_SECURITY_HEADERS"
+HEADERS_DESC = "Missing security headers. Consider setting X-Frame-Options, X-XSS-Protection, etc."
+EXTERNAL_TYPE = "PHPSTAN"
+SEVERITIES = ["Critical", "High", "Medium", "Low", "Info"]
+
+ISSUE = StructType(
+    [
+        StructField("type", StringType()),
+        StructField("type_seq", IntegerType()),
+        StructField("severity", StringType()),
+        StructField("line", IntegerType()),
+        StructField("col", IntegerType()),
+        StructField("description", StringType()),
+        StructField("snippet", StringType()),
+    ]
+)
+
+
+def type_order() -> list[tuple[str, str]]:
+    """(type, severity) in rule order; the header check and external report last."""
+    return [(t, s) for t, _p, _d, s in CHECKS] + [(HEADERS_TYPE, "Medium")]
+
+
+def _issue(type_: str, seq: int, sev: str, line: Column, col: Column, desc: Column | str, snip: Column) -> Column:
+    return F.struct(
+        F.lit(type_).alias("type"),
+        F.lit(seq).alias("type_seq"),
+        F.lit(sev).alias("severity"),
+        line.cast("int").alias("line"),
+        col.cast("int").alias("col"),
+        (desc if isinstance(desc, Column) else F.lit(desc)).alias("description"),
+        snip.alias("snippet"),
+    )
+
+
+def _line_issues(ctx: Ctx, type_: str, pattern: str, desc: str, sev: str, seq: int) -> Column:
+    def on_line(l: Column, i: Column) -> Column:
+        return F.transform(
+            T.match_byte_offsets(l, pattern),
+            lambda o: _issue(type_, seq, sev, i + 1, o + 1, desc, T.snippet(ctx.lines, i + 1)),
+        )
+
+    return F.transform(ctx.lines, on_line)
+
+
+def issues(ctx: Ctx) -> Column:
+    """Array of issues for one file, in check order, line, column."""
+    parts = []
+    for seq, (type_, pattern, desc, sev) in enumerate(CHECKS, start=1):
+        per_line = _line_issues(ctx, type_, pattern, desc, sev, seq)
+        # cheap guard: skip files where the pattern never matches
+        parts.append(F.when(T.rlike(ctx.content, pattern), F.flatten(per_line)).otherwise(F.array().cast(ArrayType(ISSUE))))
+    controller = F.contains(ctx.path, F.lit("controller")) | F.contains(ctx.path, F.lit("Controller"))
+    no_headers = ~F.contains(ctx.content, F.lit("X-Frame-Options")) & ~F.contains(ctx.content, F.lit("X-XSS-Protection"))
+    parts.append(
+        F.when(
+            controller & no_headers,
+            F.array(_issue(HEADERS_TYPE, len(CHECKS) + 1, "Medium", F.lit(1), F.lit(0), HEADERS_DESC, F.lit(""))),
+        ).otherwise(F.array().cast(ArrayType(ISSUE)))
+    )
+    return F.concat(*parts)
+
+
+def render(iss: Column, types: list[tuple[str, str]] | None = None) -> Column:
+    """Recommendation strings for one file's issues.
+
+    Per severity (Critical..Info): a count header, then per type in rule
+    order either one summary line (more than 3 issues) or one line each."""
+    types = types or type_order() + [(EXTERNAL_TYPE, s) for s in SEVERITIES]
+    out = []
+    for sev in SEVERITIES:
+        of_sev = F.filter(iss, _eq("severity", sev))
+        out.append(
+            F.when(
+                F.size(of_sev) > 0,
+                F.array(finding(0, F.concat(F.lit(f"--- {sev.upper()} Issues ("), F.size(of_sev).cast("string"), F.lit(") ---")))),
+            )
+        )
+        for t, s in types:
+            if s != sev:
+                continue
+            ti = F.filter(of_sev, _eq("type", t))
+            first3 = F.array_join(F.transform(F.slice(ti, 1, 3), lambda x: F.concat(F.lit("line "), x["line"].cast("string"))), ", ")
+            summary = F.array(
+                finding(
+                    0,
+                    F.concat(
+                        F.lit(t + ": "), F.get(ti, 0)["description"], F.lit(" (Found at "), first3, F.lit(" and "),
+                        (F.size(ti) - 3).cast("string"), F.lit(" more locations)"),
+                    ),
+                )
+            )
+            each = F.transform(
+                ti,
+                _each_line(t),
+            )
+            out.append(F.when(F.size(ti) > 3, summary).otherwise(each))
+    return F.flatten(F.filter(F.array(*out), lambda a: a.isNotNull()))
+
+
+def _eq(field: str, value: str):
+    return lambda x: x[field] == value
+
+
+def _each_line(t: str):
+    return lambda x: finding(
+                    x["line"],
+                    F.concat(
+                        F.lit(t + " [L"), x["line"].cast("string"), F.lit(":C"), x["col"].cast("string"), F.lit("]: "),
+                        x["description"],
+                        F.when(x["snippet"] != "", F.concat(F.lit("\nCode context:\n"), x["snippet"])).otherwise(F.lit("")),
+                    ),
+                    x["col"],
+                )
+
+
+def rules() -> list[Rule]:
+    return [Rule("G25", lambda c: render(c.extra["php_issues"]), ("php",), prep=(("php_issues", issues),))]
+
+
+def issue_rows(files: DataFrame) -> DataFrame:
+    """G1-G23 as rows: (repo, path, type, severity, line, col, description, snippet)."""
+    from revkit.operators.findings import context
+
+    ctx = context(files)
+    return files.select("repo", "path", F.explode(issues(ctx)).alias("i")).select("repo", "path", "i.*")
+
+
+def external_report_issues(report_json: DataFrame, files: DataFrame) -> DataFrame:
+    """A5 + G24: an external analyzer's JSON report per file -> issues.
+
+    ``report_json`` has (repo, path, report STRING) with the report in the
+    PHPStan JSON shape. Snippets come from the file's lines by an equi join
+    on (repo, path) that carries only the lines array, not raw content."""
+    schema = "files MAP<STRING, STRUCT<messages: ARRAY<STRUCT<message: STRING, line: INT, `column`: INT>>>>"
+    parsed = report_json.select("repo", "path", F.from_json("report", schema).alias("r"))
+    msgs = (
+        parsed.select("repo", "path", F.explode(F.map_values(F.col("r.files"))).alias("f"))
+        .select("repo", "path", F.explode("f.messages").alias("m"))
+        .select("repo", "path", F.col("m.message").alias("description"), F.col("m.line").alias("line"), F.col("m.column").alias("col"))
+    )
+    d = F.col("description")
+    sev = (
+        F.when(F.contains(d, F.lit("security")) | F.contains(d, F.lit("injection")) | F.contains(d, F.lit("XSS")), F.lit("Critical"))
+        .when(F.contains(d, F.lit("deprecated")), F.lit("Medium"))
+        .when(F.contains(d, F.lit("unused")), F.lit("Low"))
+        .otherwise(F.lit("Medium"))
+    )
+    lines = files.select("repo", "path", T.lines(F.col("content")).alias("all_lines"), F.col("content"))
+    joined = msgs.join(lines, ["repo", "path"], "left")
+    return joined.select(
+        "repo", "path", F.lit(EXTERNAL_TYPE).alias("type"), sev.alias("severity"), "line", "col", "description",
+        F.when(F.coalesce(F.col("content"), F.lit("")) != "", T.snippet(F.col("all_lines"), F.col("line"))).otherwise(F.lit("")).alias("snippet"),
+    )

@@ -123,3 +123,80 @@ def q_common_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E7 (CommonChecks) on every Java file."""
     files = derived_files(spark, sf_dir).where(F.col("lang") == "java")
     return shape(run_rules(files, E.rules()))
+
+
+# ------------------------------------------------------------------ G PHP
+
+def _snippet_sql(lines: str, n: str) -> str:
+    return (
+        f"array_to_string(list_transform(generate_series(greatest(0, {n} - 2), least(len({lines}), {n} + 1) - 1), "
+        f"lambda i: CASE WHEN i = {n} - 1 THEN '--> ' ELSE '    ' END || CAST(i + 1 AS VARCHAR) || ': ' || {lines}[i + 1] || chr(10)), '')"
+    )
+
+
+def _offsets_sql(s: str, pattern: str) -> str:
+    p = q(pattern)
+    parts = f"regexp_split_to_array({s}, {p})"
+    ms = f"regexp_extract_all({s}, {p})"
+    return f"list_transform({ms}, lambda x, k: strlen(array_to_string({parts}[1:k], '') || array_to_string({ms}[1:k-1], '')))"
+
+
+def _php_issues_sql() -> str:
+    from revkit.operators import php as G
+
+    sel = []
+    for seq, (t, p, d, s) in enumerate(G.CHECKS, start=1):
+        sel.append(
+            f"""SELECT repo, path, {q(t)} AS type, {seq} AS type_seq, {q(s)} AS severity, n AS line, o + 1 AS col, {q(d)} AS description, {_snippet_sql('all_lines', 'n')} AS snippet
+  FROM (SELECT repo, path, all_lines, n, unnest({_offsets_sql('line_text', p)}) AS o FROM ln)"""
+        )
+    sel.append(
+        f"""SELECT repo, path, {q(G.HEADERS_TYPE)}, {len(G.CHECKS) + 1}, 'Medium', 1, 0, {q(G.HEADERS_DESC)}, '' FROM p
+  WHERE (contains(path, 'controller') OR contains(path, 'Controller')) AND NOT contains(content, 'X-Frame-Options') AND NOT contains(content, 'X-XSS-Protection')"""
+    )
+    return f"""WITH {FILES_CTE},
+p AS (SELECT repo, path, content, string_split(content, chr(10)) AS all_lines FROM files WHERE lang = 'php'),
+ln AS (SELECT repo, path, all_lines, unnest(all_lines) AS line_text, generate_subscripts(all_lines, 1) AS n FROM p),
+iss AS (
+{chr(10).join(('  ' if i == 0 else '  UNION ALL ') + s for i, s in enumerate(sel))}
+)"""
+
+
+PHP_ISSUES_SQL = _php_issues_sql() + """
+SELECT repo, path, type, severity, CAST(line AS INT) AS line, CAST(col AS INT) AS col, description, snippet FROM iss"""
+
+
+@register("php_issues", PHP_ISSUES_SQL)
+def q_php_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every PHP issue with line, byte column and context snippet."""
+    from revkit.operators import php as G
+
+    files = derived_files(spark, sf_dir).where(F.col("lang") == "php")
+    return G.issue_rows(files).select("repo", "path", "type", "severity", "line", "col", "description", "snippet")
+
+
+PHP_RECS_SQL = _php_issues_sql() + """,
+r AS (SELECT *, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 4 ELSE 5 END AS sr,
+        count(*) OVER (PARTITION BY repo, path, type) AS tc,
+        row_number() OVER (PARTITION BY repo, path, type ORDER BY line, col) AS tn FROM iss),
+rows AS (
+  SELECT repo, path, sr, 0 AS ts, 0 AS l, 0 AS c, '--- ' || upper(severity) || ' Issues (' || CAST(count(*) AS VARCHAR) || ') ---' AS rec
+    FROM r GROUP BY repo, path, sr, severity
+  UNION ALL
+  SELECT repo, path, sr, type_seq, 0, 0, type || ': ' || first(description) || ' (Found at '
+      || string_agg(CASE WHEN tn <= 3 THEN 'line ' || CAST(line AS VARCHAR) END, ', ' ORDER BY line, col) || ' and ' || CAST(count(*) - 3 AS VARCHAR) || ' more locations)'
+    FROM r WHERE tc > 3 GROUP BY repo, path, sr, type_seq, type
+  UNION ALL
+  SELECT repo, path, sr, type_seq, line, col, type || ' [L' || CAST(line AS VARCHAR) || ':C' || CAST(col AS VARCHAR) || ']: ' || description
+      || CASE WHEN snippet <> '' THEN chr(10) || 'Code context:' || chr(10) || snippet ELSE '' END
+    FROM r WHERE tc <= 3
+)
+SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY sr, ts, l, c)::BIGINT AS occ, rec AS recommendation FROM rows"""
+
+
+@register("php_recommendations", PHP_RECS_SQL)
+def q_php_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G25 over G1-G23: severity-grouped recommendation lines per PHP file."""
+    files = derived_files(spark, sf_dir).where(F.col("lang") == "php")
+    found = analyze(files, langs=("php",), with_aspects=False)
+    return found.select("repo", "path", F.col("occ").cast("bigint").alias("occ"), F.col("msg").alias("recommendation"))
