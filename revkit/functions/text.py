@@ -108,3 +108,13 @@ def snippet(all_lines: Column, line_no: Column) -> Column:
 def byte_prefix(s: Column, nbytes: int) -> Column:
     """First n bytes of a string, invalid UTF-8 tail shown as U+FFFD (Go's s[:n])."""
     return F.make_valid_utf8(F.substr(s.cast("binary"), F.lit(1), F.lit(nbytes)).cast("string"))
+
+
+def match_char_offsets(s: Column, go_pattern: str) -> Column:
+    """0-based character offset of every match (for ordering matches of
+    different patterns within one text)."""
+    parts = F.split(_marked(s, go_pattern), MARK, -1)
+    return F.transform(
+        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda _p, k: F.length(F.array_join(F.slice(parts, 1, k + 1), "")),
+    )

@@ -200,3 +200,115 @@ def q_php_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = derived_files(spark, sf_dir).where(F.col("lang") == "php")
     found = analyze(files, langs=("php",), with_aspects=False)
     return found.select("repo", "path", F.col("occ").cast("bigint").alias("occ"), F.col("msg").alias("recommendation"))
+
+
+# ------------------------------------------------------------------ F Java
+
+def _occ_groups(rule_id: str, pattern: str, groups=(), table: str = "j") -> str:
+    """Rows per match: repo, path, rule_id, k, line, m0, g<n>..."""
+    p = q(pattern)
+    extra = "".join(f", unnest(regexp_extract_all(content, {p}, {g})) AS g{g}" for g in groups)
+    return f"""SELECT repo, path, {q(rule_id)} AS rule_id, generate_subscripts(regexp_extract_all(content, {p}), 1) AS k,
+      unnest({match_lines_sql('content', pattern)}) AS line, unnest(regexp_extract_all(content, {p})) AS m0{extra} FROM {table}"""
+
+
+def _char_offsets_sql(s: str, pattern: str) -> str:
+    p = q(pattern)
+    parts = f"regexp_split_to_array({s}, {p})"
+    ms = f"regexp_extract_all({s}, {p})"
+    return f"list_transform({ms}, lambda x, k: length(array_to_string({parts}[1:k], '') || array_to_string({ms}[1:k-1], '')))"
+
+
+def _loc(msg: str, line: str = "line") -> str:
+    return f"path || ':' || CAST({line} AS VARCHAR) || ': ' || {msg}"
+
+
+def _java_sql() -> str:
+    from revkit.operators import java as J
+
+    lit = lambda s: q(s)
+    first_line = lambda p: f"({match_lines_sql('content', p)})[1]"
+    byte_cut = (
+        "substr(g1, 1, list_max(list_filter(generate_series(0, 17), lambda i: strlen(substr(g1, 1, i)) <= 17))) || "
+        "CASE WHEN strlen(substr(g1, 1, list_max(list_filter(generate_series(0, 17), lambda i: strlen(substr(g1, 1, i)) <= 17)))) < 17 "
+        "THEN chr(65533) ELSE '' END"
+    )
+    name_sql = f"CASE WHEN {rl('m0', J.METHOD_NAME)} THEN regexp_extract(m0, {q(J.METHOD_NAME)}, 1) ELSE 'unknown' END"
+    ops = f"({count_sub('m0', '&&')} + {count_sub('m0', '||')})"
+    close_prefix = "substr(content, 1, strpos(content, '.close()') - 1)"
+    return f"""WITH {FILES_CTE},
+j AS (SELECT repo, path, content FROM files WHERE lang = 'java'),
+f1 AS ({_occ_groups('F1', J.CATCH_THROWABLE, (1,))}),
+f2 AS ({_occ_groups('F2', J.EMPTY_BLOCK, (1,))}),
+f4 AS ({_occ_groups('F4', J.PUBLIC_FIELD, (1, 2))}),
+tr AS (
+  SELECT repo, path, content, unnest({_char_offsets_sql('content', J.TRY)}) AS o, unnest({match_lines_sql('content', J.TRY)}) AS line,
+    generate_subscripts(regexp_extract_all(content, {q(J.TRY)}), 1) AS k,
+    greatest(coalesce(list_max({_char_offsets_sql('content', J.CATCH)}), -1), coalesce(list_max({_char_offsets_sql('content', J.FINALLY)}), -1)) AS lh,
+    {_char_offsets_sql('content', J.EMPTY_CATCH)} AS eco, {match_lines_sql('content', J.EMPTY_CATCH)} AS ecl
+  FROM j
+),
+tr2 AS (SELECT *, list_position(list_transform(eco, lambda x: x >= o), true) AS fe FROM tr),
+f5 AS (
+  SELECT repo, path, k, 0 AS sub, line, {_loc(lit('Try block without catch or finally. Ensure proper exception handling'))} AS rec FROM tr2
+    WHERE NOT (strlen(content) > strlen(substr(content, 1, o)) + 4 AND lh >= o)
+  UNION ALL
+  SELECT repo, path, k, 1, ecl[fe], {_loc(lit('Empty catch block suppresses exceptions. At minimum, add a comment or log'), 'ecl[fe]')} FROM tr2 WHERE fe IS NOT NULL
+),
+f7 AS ({_occ_groups('F7', J.GENERIC_CATCH, (1,))}),
+f8 AS ({_occ_groups('F8', J.STRING_LITERAL, (1,))}),
+f8n AS (SELECT repo, path, count(*) AS n FROM f8 GROUP BY repo, path),
+f10 AS (SELECT repo, path, content, regexp_extract_all(content, {q(J.IMPORT)}, 1) AS names FROM j),
+f13 AS ({_occ_groups('F13', J.METHOD, (3,))}),
+f14 AS ({_occ_groups('F14', J.COMPLEX_CONDITION, ())}),
+res AS (
+  SELECT repo, path, 'F1' AS rule_id, k AS occ, line, {_loc("'Catching Throwable ''' || g1 || ''' is too broad. Catch more specific exceptions'")} AS rec FROM f1
+  UNION ALL SELECT repo, path, 'F2', k, line, {_loc("'Empty ' || g1 || ' block. Add comments explaining why or implement properly'")} FROM f2
+  UNION ALL SELECT repo, path, 'F3', 1, {first_line(J.NULL_CHECK)},
+      {_loc("'Found ' || CAST(len(regexp_extract_all(content, " + q(J.NULL_CHECK) + ")) AS VARCHAR) || ' null checks (e.g., ''' || CASE WHEN regexp_extract(content, " + q(J.NULL_CHECK) + ", 1) <> '' THEN regexp_extract(content, " + q(J.NULL_CHECK) + ", 1) ELSE regexp_extract(content, " + q(J.NULL_CHECK) + ", 2) END || '''). Consider using Objects.isNull() and Objects.nonNull()'", first_line(J.NULL_CHECK))}
+    FROM j WHERE len(regexp_extract_all(content, {q(J.NULL_CHECK)})) > 5
+  UNION ALL SELECT repo, path, 'F4', row_number() OVER (PARTITION BY repo, path ORDER BY k), line,
+      {_loc("'Public field ''' || g1 || ' ' || g2 || '''. Consider using private fields with getter/setter methods'")}
+    FROM f4 WHERE NOT {rl("split_part(m0, chr(10), 1)", J.NON_FIELD)}
+  UNION ALL SELECT repo, path, 'F5', row_number() OVER (PARTITION BY repo, path ORDER BY k, sub), line, rec FROM f5
+  UNION ALL SELECT repo, path, 'F7', k, line, {_loc("'Catching generic Exception ''' || g1 || '''. Catch more specific exceptions'")} FROM f7
+  UNION ALL SELECT f8.repo, f8.path, 'F8', k, line,
+      {_loc("'Long string literal \"' || CASE WHEN strlen(g1) > 20 THEN " + byte_cut + " || '...' ELSE g1 END || '\". Consider using string constants or resource bundles'")}
+    FROM f8 JOIN f8n USING (repo, path) WHERE n > 3 AND k <= 3
+  UNION ALL SELECT repo, path, 'F8', 4, 0, path || ': Found ' || CAST(n - 3 AS VARCHAR) || ' more long string literals. Consider using string constants or resource bundles' FROM f8n WHERE n > 3
+  UNION ALL SELECT repo, path, 'F10', 1, {first_line(J.IMPORT)},
+      {_loc("'Found ' || CAST(len(names) AS VARCHAR) || ' imports (e.g., ' || array_to_string(names[1:3], ', ') || '). Consider refactoring to reduce dependencies'", first_line(J.IMPORT))}
+    FROM f10 WHERE len(names) > 30
+  UNION ALL SELECT repo, path, 'F10', 1 + (len(names) > 30)::INT, {first_line(J.WILDCARD_IMPORT)},
+      {_loc("'Wildcard import ''' || trim(regexp_extract(content, " + q(J.WILDCARD_IMPORT) + ", 0)) || '''. Import specific classes instead'", first_line(J.WILDCARD_IMPORT))}
+    FROM f10 WHERE {rl('content', J.WILDCARD_IMPORT)}
+  UNION ALL SELECT repo, path, 'F12', 1, {first_line(J.SERIALIZABLE_CLASS)},
+      {_loc("'Class ''' || regexp_extract(content, " + q(J.SERIALIZABLE_CLASS) + ", 1) || ''' implements Serializable but doesn''t define serialVersionUID'", first_line(J.SERIALIZABLE_CLASS))}
+    FROM j WHERE (contains(content, 'implements Serializable') OR contains(content, 'extends.*Serializable'))
+      AND {rl('content', J.SERIALIZABLE_CLASS)} AND NOT contains(content, 'serialVersionUID')
+  UNION ALL SELECT repo, path, 'F13', row_number() OVER (PARTITION BY repo, path ORDER BY k), line,
+      {_loc("'Method ''' || " + name_sql + " || ''' is too long (' || CAST(" + count_sub('g3', chr(10)) + " AS VARCHAR) || ' lines). Consider refactoring'")}
+    FROM f13 WHERE {count_sub('g3', chr(10))} > 50
+  UNION ALL SELECT repo, path, 'F14', row_number() OVER (PARTITION BY repo, path ORDER BY k), line,
+      {_loc("'Complex condition with ' || CAST(" + ops + " AS VARCHAR) || ' logical operators. Consider extracting into a separate method'")}
+    FROM f14 WHERE {ops} >= 3
+  UNION ALL SELECT repo, path, 'F15', 1, {first_line(J.RESOURCE)},
+      {_loc("'Using ''' || regexp_extract(content, " + q(J.RESOURCE) + ", 1) || ''' without try-with-resources. Use ''try (Resource res = new Resource())'' for automatic resource management'", first_line(J.RESOURCE))}
+    FROM j WHERE {rl('content', J.RESOURCE)} AND NOT {rl('content', J.TRY_WITH_RESOURCES)}
+  UNION ALL SELECT repo, path, 'F15', 1 + ({rl('content', J.RESOURCE)} AND NOT {rl('content', J.TRY_WITH_RESOURCES)})::INT, {nl_count(close_prefix)} + 1,
+      {_loc("'Manual closing of ' || CASE WHEN regexp_extract(" + close_prefix + ", '(\\w+)$', 1) <> '' THEN regexp_extract(" + close_prefix + ", '(\\w+)$', 1) ELSE 'resource' END || ' without finally block. Use try-with-resources or ensure close() in finally'", nl_count(close_prefix) + " + 1")}
+    FROM j WHERE strpos(content, '.close()') > 0 AND NOT contains(content, 'finally')
+)
+SELECT repo, path, rule_id, CAST(occ AS BIGINT) AS occ, CAST(line AS BIGINT) AS line, rec AS recommendation FROM res"""
+
+
+JAVA_SQL = _java_sql()
+
+
+@register("java_findings", JAVA_SQL)
+def q_java_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F16 on every Java file (language rules after E1-E7)."""
+    from revkit.operators import java as J
+
+    files = derived_files(spark, sf_dir).where(F.col("lang") == "java")
+    return shape(run_rules(files, J.rules()))
