@@ -312,3 +312,113 @@ def q_java_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = derived_files(spark, sf_dir).where(F.col("lang") == "java")
     return shape(run_rules(files, J.rules()))
+
+
+# ------------------------------------------------------------------ H Python
+
+PY_FSM_CODES = ("PYL001", "PYL003", "PYL302", "PYL502")
+_GOSP = "[\\t\\n\\x{0B}\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + _GOSP + '+|' + _GOSP + '+$')}, '', 'g')"
+
+
+def _bidx(s: str, sub: str) -> str:
+    return f"(CASE WHEN strpos({s}, {sub}) > 0 THEN strlen(substr({s}, 1, strpos({s}, {sub}) - 1)) ELSE -1 END)"
+
+
+def _py_out(line: str, col: str, sev: str, code: str, msg: str) -> str:
+    return (
+        f"SELECT repo, path, {q(code)} AS code, CAST({line} AS BIGINT) AS line, base || ':' || CAST({line} AS VARCHAR) || "
+        f"CASE WHEN ({col}) > 0 THEN ':' || CAST({col} AS VARCHAR) ELSE '' END || ' [{sev}] {code}: ' || {msg} AS recommendation"
+    )
+
+
+def _python_sql() -> str:
+    from revkit.operators import python as H
+
+    has_doc = (
+        "((n < total AND (starts_with(t1, '\"\"\"') OR starts_with(t1, ''''''''))) OR "
+        "(n < total AND NOT (t1 <> '' AND NOT starts_with(t1, '#') AND t1 <> 'pass') AND n + 1 < total AND (starts_with(t2, '\"\"\"') OR starts_with(t2, ''''''''))))"
+    )
+    fields = f"list_filter(regexp_split_to_array(l, {q(_GOSP + '+')}), lambda x: x <> '')"
+    mut2 = f"regexp_extract(l, {q(H.MUTABLE_DEFAULT)}, 2)"
+    name = f"regexp_extract(l, {q(H.ASSIGN)}, 1)"
+    kind = f"regexp_extract(l, {q(H.DEF_OR_CLASS)}, 1)"
+    dname = f"regexp_extract(l, {q(H.DEF_OR_CLASS)}, 2)"
+    return f"""WITH {FILES_CTE},
+p AS (SELECT repo, path, regexp_extract(path, '[^/]*$') AS base, string_split(content, chr(10)) AS ls FROM files WHERE lang = 'python'),
+ln AS (SELECT repo, path, base, ls, len(ls) AS total, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM p),
+t AS (SELECT *, {_trim('l')} AS tr, {_trim('ls[n + 1]')} AS t1, {_trim('ls[n + 2]')} AS t2 FROM ln),
+imp AS (
+  SELECT repo, path, base, n,
+    CASE WHEN contains(tr, 'my_local_module') THEN 'local' WHEN contains(tr, 'requests') OR contains(tr, 'numpy') THEN 'third-party' ELSE 'standard' END AS grp,
+    CASE WHEN len({fields}) > 1 AND {fields}[1] IN ('import', 'from') THEN {fields}[2] ELSE l END AS nm
+  FROM t WHERE starts_with(tr, 'import ') OR starts_with(tr, 'from ')
+),
+imp2 AS (SELECT *, lag(nm) OVER (PARTITION BY repo, path, grp ORDER BY n) AS prev FROM imp),
+grp AS (
+  SELECT repo, path, base,
+    max(n) FILTER (WHERE grp = 'standard') AS s_max, min(n) FILTER (WHERE grp = 'third-party') AS tp_min,
+    max(n) FILTER (WHERE grp = 'third-party') AS tp_max, min(n) FILTER (WHERE grp = 'local') AS l_min
+  FROM imp GROUP BY repo, path, base
+),
+res AS (
+  {_py_out('n', '1', 'error', 'PYL002', q('Mixed tab and space indentation'))} FROM t WHERE NOT (tr = '' OR starts_with(tr, '#')) AND contains(l, chr(9)) AND contains(l, '    ')
+  UNION ALL {_py_out('n', _bidx('l', "'except'") + ' + 1', 'warning', 'PYL101', q("Bare 'except:' clause used. Always catch specific exceptions"))} FROM t WHERE {rl('l', H.EXCEPT_BARE)}
+  UNION ALL {_py_out('n', _bidx('l', "'except'") + ' + 1', 'warning', 'PYL102', q("'except Exception:' used. Catch specific exceptions instead"))} FROM t WHERE {rl('l', H.EXCEPT_EXCEPTION)}
+  UNION ALL {_py_out('n + 1', '1', 'warning', 'PYL103', q("Empty except block with 'pass'. Either handle the exception or add a comment explaining why it is ignored"))}
+    FROM t WHERE contains(l, 'except') AND n < total AND t1 = 'pass'
+  UNION ALL {_py_out('n', _bidx('l', "'import *'") + ' + 1', 'warning', 'PYL201', "'Wildcard import from ''' || regexp_extract(l, " + q(H.IMPORT_STAR) + ", 1) || '''. Explicitly import only what you need'")}
+    FROM t WHERE {rl('l', H.IMPORT_STAR)}
+  UNION ALL {_py_out('n', '1', 'info', 'PYL202', "'Imports in group ''' || grp || ''' are not in alphabetical order'")} FROM imp2 WHERE prev > nm
+  UNION ALL {_py_out('tp_min', '1', 'info', 'PYL203', q('Imports are not grouped in the correct order (standard, third-party, local)'))} FROM grp WHERE s_max > tp_min
+  UNION ALL {_py_out('l_min', '1', 'info', 'PYL203', q('Imports are not grouped in the correct order (standard, third-party, local)'))} FROM grp
+    WHERE (s_max IS NOT NULL AND tp_min IS NULL AND s_max > l_min) OR (s_max IS NOT NULL AND tp_max > l_min)
+  UNION ALL {_py_out('n', _bidx('l', mut2) + ' + 1', 'warning', 'PYL301', "'Mutable default argument ''' || regexp_extract(l, " + q(H.MUTABLE_DEFAULT) + ", 1) || '=' || " + mut2 + " || ''' can cause unexpected behavior'")}
+    FROM t WHERE NOT (tr = '' OR starts_with(tr, '#')) AND {rl('l', H.MUTABLE_DEFAULT)}
+  UNION ALL {_py_out('n', _bidx('l', name) + ' + 1', 'info', 'PYL401', "'Variable ''' || " + name + " || ''' appears to be a constant but doesn''t follow UPPER_CASE naming'")}
+    FROM t WHERE {rl('l', H.ASSIGN)} AND NOT (starts_with({name}, '__') AND ends_with({name}, '__')) AND upper({name}) = {name} AND NOT {rl(name, H.CONSTANT)}
+  UNION ALL {_py_out('n', _bidx('l', name) + ' + 1', 'info', 'PYL402', "'Variable ''' || " + name + " || ''' uses camelCase but Python convention is snake_case'")}
+    FROM t WHERE {rl('l', H.ASSIGN)} AND NOT (starts_with({name}, '__') AND ends_with({name}, '__')) AND NOT {rl(name, H.CONSTANT)} AND NOT {rl(name, H.SNAKE)} AND {rl(name, H.CAMEL)}
+  UNION ALL {_py_out('n', '100', 'info', 'PYL501', "'Line too long (' || CAST(strlen(l) AS VARCHAR) || ' characters, max suggested 100)'")} FROM t WHERE strlen(l) > 100
+  UNION ALL {_py_out('n', '1', 'error', 'PYL601', q('Potential SQL injection vulnerability. Use parameterized queries instead'))} FROM t WHERE {rl('l', H.SQL_INJECTION)}
+  UNION ALL {_py_out('n', '1', 'error', 'PYL602', q('Potential shell injection vulnerability. Sanitize user input before using in shell commands'))} FROM t WHERE {rl('l', H.SHELL_INJECTION)}
+  UNION ALL {_py_out('n', _bidx('lower(l)', "'password'"), 'error', 'PYL603', q('Hard-coded password detected. Use environment variables or a secure configuration system'))}
+    FROM t WHERE contains(l, 'password') AND (contains(l, '=') OR contains(l, ':')) AND {rl('l', H.PASSWORD)}
+  UNION ALL {_py_out('n + 1', '1', 'warning', 'PYL701', q('List concatenation in loop is inefficient. Consider using list.append() or a list comprehension'))}
+    FROM t WHERE contains(tr, 'for ') AND n < total AND contains(ls[n + 1], ' += [')
+  UNION ALL {_py_out('n', '1', 'warning', 'PYL702', q("String concatenation in loop is inefficient. Use ''.join() or string formatting instead"))}
+    FROM t WHERE contains(tr, 'for ') AND n + 1 < total AND (contains(ls[n + 1] || ls[n + 2], ' += "') OR contains(ls[n + 1] || ls[n + 2], ' += ' || chr(39)))
+  UNION ALL {_py_out('n', _bidx('l', kind), 'info', 'PYL801', "'Missing docstring for ' || " + kind + " || ' ''' || " + dname + " || ''''")}
+    FROM t WHERE {rl('l', H.DEF_OR_CLASS)} AND NOT (starts_with({dname}, '_') AND NOT starts_with({dname}, '__') AND NOT ends_with({dname}, '__')) AND NOT {has_doc}
+)
+SELECT * FROM res"""
+
+
+PYTHON_SQL = _python_sql()
+
+
+def _python_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revkit.operators import python as H
+
+    files = derived_files(spark, sf_dir).where(F.col("lang") == "python")
+    found = run_rules(files, H.rules())
+    return found.select(
+        "repo", "path", F.regexp_extract("msg", r" (PYL\d+): ", 1).alias("code"), F.col("line").cast("bigint").alias("line"),
+        F.col("msg").alias("recommendation"),
+    )
+
+
+@register("python_findings", PYTHON_SQL)
+def q_python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2, H4-H11, H13, H15-H17, H19-H24 on every Python file."""
+    return _python_rows(spark, sf_dir).where(~F.col("code").isin(*PY_FSM_CODES))
+
+
+@register("python_stateful_findings")
+def q_python_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 (delimiter stack), H3 (indent stack), H14 (function length), H18
+    (quote balance): order-dependent folds; checked against hand fixtures."""
+    return _python_rows(spark, sf_dir).where(F.col("code").isin(*PY_FSM_CODES))
