@@ -1,5 +1,209 @@
-"""placeholder"""
+"""I: Go rules, re-aimed from a syntax tree to line and segment rules over
+gofmt-style text (see README: results are heuristics).
 
+Structure comes from the in-row lines array: string literals and line
+comments are blanked first; a function runs from a ``func`` line to the
+first later line that is exactly ``}``; a block runs from a line ending in
+``{`` to the next line at the same indent starting with ``}``.
+"""
 
-def rules():
-    return []
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from revkit import rx
+from revkit.functions import text as T
+from revkit.operators.common import loc
+from revkit.operators.findings import Ctx, Rule, empty, finding
+
+# Go rule patterns (RE2 syntax).
+PACKAGE = r"^package\s+\w+"
+FUNC = r"^func\s+(\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)(.*)$"
+BLANK_IMPORT = r"^\s*(import\s+)?_\s+\x60?\"[^\"]*\""
+ERR_VAR = r"(err|\w*Err|\w*Error)"
+ERR_CHECK = r"^\s*if\s+(.*;\s*)?" + ERR_VAR + r"\s*!=\s*nil\s*\{\s*$"
+ASSIGN_CHECK = r"^\s*if\s+[^;]*?:?=\s*([^;]*);\s*" + ERR_VAR + r"\s*!=\s*nil\s*\{\s*$"
+RETURN = r"^\s*return\b(.*)$"
+CONTEXT_IMPORT = r"^\s*(import\s+)?\"context\"\s*$"
+
+
+STRING_LITERAL = r'"([^"\\]|\\.)*"|`[^`]*`'
+LINE_COMMENT = r"//.*$"
+
+
+def _code(line: Column) -> Column:
+    """Line with string literals and // comments blanked."""
+    no_str = F.regexp_replace(line, rx.java(STRING_LITERAL), '""')
+    return F.regexp_replace(no_str, rx.java(LINE_COMMENT), "")
+
+
+def _comment_line(line: Column) -> Column:
+    t = F.trim(line)
+    return t.startswith("//") | t.endswith("*/")
+
+
+def _is_err_ident(x: Column) -> Column:
+    return x.rlike(r"^(err|\w*Err|\w*Error)$")
+
+
+def _prep(c: Ctx) -> Column:
+    """Per line: code text, indent, function id, function flags."""
+    code = F.transform(c.lines, _code)
+    return code
+
+
+def _func_headers(c: Ctx) -> Column:
+    """Array of struct(i, name, params, results) for every ``func`` line."""
+    return F.filter(
+        F.transform(
+            c.lines,
+            lambda l, i: F.when(
+                T.rlike(l, FUNC),
+                F.struct(
+                    i.alias("i"),
+                    T.extract(l, FUNC, 2).alias("name"),
+                    T.extract(l, FUNC, 3).alias("params"),
+                    T.extract(l, FUNC, 4).alias("rest"),
+                ),
+            ),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+
+def _func_end(code: Column, start: Column) -> Column:
+    """0-based index of the first line after start that is exactly '}' (or last line)."""
+    n = F.size(code)
+    ends = F.filter(F.sequence(start + 1, F.greatest(n - 1, start + 1)), lambda j: (j < n) & (F.rtrim(F.get(code, j)) == "}"))
+    return F.coalesce(F.get(ends, 0), n - 1)
+
+
+def _named_results(rest: Column) -> Column:
+    """Results list '( a T, b U )' where an entry has a name and a type."""
+    res = F.regexp_extract(rest, r"^\s*\(([^)]*)\)", 1)
+    return F.exists(F.split(res, ",", -1), lambda e: F.trim(e).rlike(r"^\w+\s+\S"))
+
+
+def package_doc(c: Ctx) -> Column:
+    """I1."""
+    pos = F.array_position(F.transform(c.lines, lambda l: T.rlike(l, PACKAGE)), F.lit(True))
+    prev = F.when(pos > 1, F.get(c.lines, pos - 2))
+    documented = F.coalesce(_comment_line(prev), F.lit(False))
+    return F.when((pos > 0) & ~documented, F.array(finding(1, F.concat(c.path, F.lit(":1: Package lacks documentation comment"))))).otherwise(empty())
+
+
+def blank_imports(c: Ctx) -> Column:
+    """Blank imports in an import block or single import line."""
+    def on_line(l: Column, i: Column) -> Column:
+        return F.when(T.rlike(l, BLANK_IMPORT), finding(i + 1, loc(c, i + 1, "Blank import found - ensure it's necessary")))
+
+    return F.filter(F.transform(c.lines, on_line), lambda x: x.isNotNull())
+
+
+def functions(c: Ctx) -> Column:
+    """I3 length, I4 exported without doc, I5 naked returns, per function in order."""
+    code = c.extra["go_code"]
+    heads = _func_headers(c)
+
+    def per_func(h: Column) -> Column:
+        start = h["i"]
+        end = _func_end(code, start)
+        body = F.slice(code, start + 2, F.greatest(end - start - 1, F.lit(0)))
+        stmts = F.size(F.filter(body, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("}"))) + F.size(
+            F.filter(body, lambda x: F.rtrim(x).endswith("{"))
+        )
+        line = start + 1
+        prev = F.when(start > 0, F.get(c.lines, start - 1))
+        exported = h["name"].rlike("^[A-Z]")
+        naked = F.filter(
+            F.transform(body, lambda x, k: F.when(F.trim(x) == "return", start + 2 + k)),
+            lambda x: x.isNotNull(),
+        )
+        return F.concat(
+            F.when(stmts > 50, F.array(finding(line, loc(c, line, F.concat(
+                F.lit("Function '"), h["name"], F.lit("' is too long ("), stmts.cast("string"),
+                F.lit(" statements, consider refactoring)")))))).otherwise(empty()),
+            F.when(exported & ~F.coalesce(_comment_line(prev), F.lit(False)), F.array(finding(line, loc(c, line, F.concat(
+                F.lit("Exported function '"), h["name"], F.lit("' lacks documentation comment")))))).otherwise(empty()),
+            F.when(_named_results(h["rest"]), F.transform(naked, lambda n: finding(n, loc(c, n, F.concat(
+                F.lit("Naked return in function '"), h["name"], F.lit("' reduces code readability")))))).otherwise(empty()),
+        )
+
+    return F.flatten(F.transform(heads, per_func))
+
+
+def _checks(c: Ctx) -> Column:
+    """Error checks: struct(i, assign_single, handled) per ``if ... err != nil {`` line."""
+    code = c.extra["go_code"]
+    n = F.size(code)
+
+    def per_line(x: Column, i: Column) -> Column:
+        ind = T.indent_width(x)
+        closes = F.filter(
+            F.sequence(i + 1, F.greatest(n - 1, i + 1)),
+            lambda j: (j < n) & (T.indent_width(F.get(code, j)) == ind) & F.trim(F.get(code, j)).startswith("}"),
+        )
+        end = F.coalesce(F.get(closes, 0), n)
+        body = F.slice(code, i + 2, F.greatest(end - i - 1, F.lit(0)))
+        handled = F.exists(
+            body,
+            lambda b: T.rlike(b, RETURN) & F.exists(F.split(T.extract(b, RETURN, 1), ",", -1), lambda r: _is_err_ident(F.trim(r))),
+        )
+        rhs = T.extract(x, ASSIGN_CHECK, 1)
+        single = T.rlike(x, ASSIGN_CHECK) & ~F.contains(F.regexp_replace(rhs, r"\([^()]*\)", ""), F.lit(","))
+        return F.when(T.rlike(x, ERR_CHECK), F.struct(i.alias("i"), single.alias("single"), handled.alias("handled")))
+
+    return F.filter(F.transform(code, per_line), lambda x: x.isNotNull())
+
+
+def error_handling(c: Ctx) -> Column:
+    """I6 + I7 per check in order, then I8 for the file."""
+    checks = c.extra["go_checks"]
+    per = F.flatten(
+        F.transform(
+            checks,
+            lambda k: F.concat(
+                F.when(k["single"], F.array(finding(k["i"] + 1, loc(c, k["i"] + 1,
+                    "Consider separating error assignment and checking for better readability")))).otherwise(empty()),
+                F.when(~k["handled"], F.array(finding(k["i"] + 1, loc(c, k["i"] + 1,
+                    "Error check doesn't properly return or handle the error")))).otherwise(empty()),
+            ),
+        )
+    )
+    total = F.size(checks)
+    ok = F.size(F.filter(checks, lambda k: k["handled"]))
+    many = F.when((total > 0) & (ok < F.floor(total / 2)), F.array(finding(1, F.concat(
+        c.path, F.lit(":1: Many error checks don't properly return or handle the error"))))).otherwise(empty())
+    return F.concat(per, many)
+
+
+def context_usage(c: Ctx) -> Column:
+    """I10."""
+    imported = F.exists(c.lines, lambda l: T.rlike(l, CONTEXT_IMPORT))
+    passed = F.exists(_func_headers(c), lambda h: F.contains(h["params"], F.lit("context.Context")))
+    return F.when(imported & ~passed, F.array(finding(1, F.concat(
+        c.path, F.lit(":1: Using context package but not passing context through functions"))))).otherwise(empty())
+
+
+def _parses(c: Ctx) -> Column:
+    """Stand-in for a successful parse: a package clause exists."""
+    return F.exists(c.lines, lambda l: T.rlike(l, PACKAGE))
+
+
+PREP = (("go_code", _prep), ("go_checks", lambda c: _checks(Ctx(c.path, c.content, c.lang, c.lines, {"go_code": F.transform(c.lines, _code)}))))
+
+
+def _guard(fn):
+    return lambda c: F.when(_parses(c), fn(c)).otherwise(empty())
+
+
+def rules() -> list[Rule]:
+    g = ("go",)
+    return [
+        Rule("I1", _guard(package_doc), g, PREP),
+        Rule("I2", _guard(blank_imports), g, PREP),
+        Rule("I3", _guard(functions), g, PREP),
+        Rule("I6", _guard(error_handling), g, PREP),
+        Rule("I10", _guard(context_usage), g, PREP),
+    ]

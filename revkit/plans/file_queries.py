@@ -422,3 +422,66 @@ def q_python_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 (delimiter stack), H3 (indent stack), H14 (function length), H18
     (quote balance): order-dependent folds; checked against hand fixtures."""
     return _python_rows(spark, sf_dir).where(F.col("code").isin(*PY_FSM_CODES))
+
+
+# ------------------------------------------------------------------ I Go
+
+GO_KIND = [
+    ("Package lacks documentation comment", "I1"), ("Blank import found", "I2"), ("statements, consider refactoring", "I3"),
+    ("Exported function '", "I4"), ("Naked return in function", "I5"), ("Consider separating error assignment", "I6"),
+    ("Error check doesn't properly", "I7"), ("Many error checks don't", "I8"), ("Using context package but", "I10"),
+]
+GO_BLOCK_CODES = ("I3", "I5", "I7", "I8")
+
+
+def _go_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revkit.operators import golang as G
+
+    files = derived_files(spark, sf_dir).where(F.col("lang") == "go")
+    found = run_rules(files, G.rules())
+    kind = F.lit(None).cast("string")
+    for text, code in reversed(GO_KIND):
+        kind = F.when(F.contains("msg", F.lit(text)), F.lit(code)).otherwise(kind)
+    return found.select("repo", "path", kind.alias("code"), F.col("line").cast("bigint").alias("line"), F.col("msg").alias("recommendation"))
+
+
+def _go_sql() -> str:
+    from revkit.operators import golang as G
+
+    code = f"regexp_replace(regexp_replace(l, {q(G.STRING_LITERAL)}, '\"\"', 'g'), {q(G.LINE_COMMENT)}, '')"
+    is_comment = lambda x: f"(starts_with(trim({x}), '//') OR ends_with(trim({x}), '*/'))"
+    rhs = f"regexp_extract(code, {q(G.ASSIGN_CHECK)}, 1)"
+    return f"""WITH {FILES_CTE},
+g AS (SELECT repo, path, string_split(content, chr(10)) AS ls FROM files WHERE lang = 'go'),
+gl AS (SELECT repo, path, ls, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM g),
+gc AS (SELECT *, {code} AS code FROM gl),
+pk AS (SELECT repo, path, min(n) AS pn FROM gl WHERE {rl('l', G.PACKAGE)} GROUP BY repo, path),
+gp AS (SELECT gc.* FROM gc JOIN pk USING (repo, path)),
+res AS (
+  SELECT g.repo, g.path, 'I1' AS code, 1 AS line, g.path || ':1: Package lacks documentation comment' AS recommendation
+    FROM g JOIN pk USING (repo, path) WHERE NOT (pn > 1 AND {is_comment('ls[pn - 1]')})
+  UNION ALL SELECT repo, path, 'I2', n, path || ':' || CAST(n AS VARCHAR) || ': Blank import found - ensure it''s necessary' FROM gp WHERE {rl('l', G.BLANK_IMPORT)}
+  UNION ALL SELECT repo, path, 'I4', n, path || ':' || CAST(n AS VARCHAR) || ': Exported function ''' || regexp_extract(l, {q(G.FUNC)}, 2) || ''' lacks documentation comment'
+    FROM gp WHERE {rl('l', G.FUNC)} AND regexp_matches(regexp_extract(l, {q(G.FUNC)}, 2), '^[A-Z]') AND NOT coalesce(n > 1 AND {is_comment('ls[n - 1]')}, false)
+  UNION ALL SELECT repo, path, 'I6', n, path || ':' || CAST(n AS VARCHAR) || ': Consider separating error assignment and checking for better readability'
+    FROM gp WHERE {rl('code', G.ERR_CHECK)} AND {rl('code', G.ASSIGN_CHECK)} AND NOT contains(regexp_replace({rhs}, '\\([^()]*\\)', '', 'g'), ',')
+  UNION ALL SELECT repo, path, 'I10', 1, path || ':1: Using context package but not passing context through functions' FROM gp
+    GROUP BY repo, path
+    HAVING bool_or({rl('l', G.CONTEXT_IMPORT)}) AND NOT bool_or(coalesce({rl('l', G.FUNC)} AND contains(regexp_extract(l, {q(G.FUNC)}, 3), 'context.Context'), false))
+)
+SELECT repo, path, code, CAST(line AS BIGINT) AS line, recommendation FROM res"""
+
+
+GO_SQL = _go_sql()
+
+
+@register("go_findings", GO_SQL)
+def q_go_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1, I2, I4, I6, I9, I10 (line and file rules) on every Go file."""
+    return _go_rows(spark, sf_dir).where(~F.col("code").isin(*GO_BLOCK_CODES))
+
+
+@register("go_block_findings")
+def q_go_block_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I3, I5, I7, I8 (function and block segments); checked against hand fixtures."""
+    return _go_rows(spark, sf_dir).where(F.col("code").isin(*GO_BLOCK_CODES))
