@@ -1,7 +1,8 @@
 """All registered queries (importing each module registers its queries)."""
 
 from revkit.plans import queries  # noqa: F401  (comments)
-from revkit.plans import file_queries  # noqa: F401  (D, E)
+from revkit.plans import file_queries  # noqa: F401  (D-I)
+from revkit.plans import agg_queries  # noqa: F401  (K, L)
 from revkit.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
