@@ -4,6 +4,7 @@ from revkit.plans import queries  # noqa: F401  (comments)
 from revkit.plans import file_queries  # noqa: F401  (D-I)
 from revkit.plans import agg_queries  # noqa: F401  (K, L)
 from revkit.plans import context_queries  # noqa: F401  (J14, M)
+from revkit.plans import request_queries  # noqa: F401  (A4, B)
 from revkit.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
