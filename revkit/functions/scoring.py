@@ -138,6 +138,20 @@ def score_columns(m: Column, aspects: Column | None = None) -> dict[str, Column]
     return {"thoroughness": t, "clarity": c, "actionability": a, "overall": overall, "recommendations": recs}
 
 
+def overall(m: Column, t: Column, c: Column, a: Column) -> Column:
+    """J12 from the three aspect scores (mean of the positive ones, floor 30
+    for comments of more than ten space-separated pieces)."""
+    n = sum((F.when(x > 0, 1).otherwise(0) for x in (t, c, a)), F.lit(0))
+    total = F.when(t > 0, t).otherwise(F.lit(0.0)) + F.when(c > 0, c).otherwise(F.lit(0.0)) + F.when(a > 0, a).otherwise(F.lit(0.0))
+    mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
+    pieces = count_sub(m, " ") + 1
+    return F.when(m == "", F.lit(0.0)).when((pieces > 10) & (mean < 30), F.lit(30.0)).otherwise(mean)
+
+
+def recommendations(m: Column) -> Column:
+    return F.when(m == "", F.array(F.lit(EMPTY_RECOMMENDATION))).otherwise(F.array().cast("array<string>"))
+
+
 def quality_band(score: Column) -> Column:
     """B11."""
     return F.when(score >= 85, F.lit("🟢")).when(score >= 70, F.lit("🟡")).otherwise(F.lit("🔴"))

@@ -19,16 +19,34 @@ def comment_features(comments: DataFrame, message: str = "message") -> DataFrame
 
 
 def score_comments(comments: DataFrame, aspects: Column | None = None, message: str = "message") -> DataFrame:
-    """Thoroughness, clarity, actionability, overall, comment_length."""
-    cols = scoring.score_columns(F.col(message), aspects)
-    return comments.select(
+    """Thoroughness, clarity, actionability, overall, comment_length.
+
+    Three projections: raw counts, aspect scores, overall. Each expensive
+    expression is computed once per row; the optimizer does not inline a
+    costly column that a later projection reads several times."""
+    m = F.col(message)
+    feats = scoring.features(m)
+    staged = comments.select("*", *[v.alias(f"_f_{k}") for k, v in feats.items()])
+    f = {k: F.col(f"_f_{k}") for k in feats}
+    empty = m == ""
+
+    def pick(name: str, value: Column) -> Column:
+        v = value if aspects is None else F.when(scoring.aspect_selected(aspects, name), value).otherwise(F.lit(0.0))
+        return F.when(empty, F.lit(0.0)).otherwise(v)
+
+    staged = staged.select(
         "*",
-        cols["thoroughness"].alias("thoroughness"),
-        cols["clarity"].alias("clarity"),
-        cols["actionability"].alias("actionability"),
-        cols["overall"].alias("overall"),
-        F.octet_length(F.col(message)).cast("bigint").alias("comment_length"),
-        cols["recommendations"].alias("recommendations"),
+        pick("thoroughness", scoring.thoroughness(m, f)).alias("thoroughness"),
+        pick("clarity", scoring.clarity(m, f)).alias("clarity"),
+        pick("actionability", scoring.actionability(m, f)).alias("actionability"),
+    )
+    overall = scoring.overall(m, F.col("thoroughness"), F.col("clarity"), F.col("actionability"))
+    return staged.select(
+        *comments.columns,
+        "thoroughness", "clarity", "actionability",
+        overall.alias("overall"),
+        F.octet_length(m).cast("bigint").alias("comment_length"),
+        scoring.recommendations(m).alias("recommendations"),
     )
 
 
