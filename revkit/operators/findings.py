@@ -141,21 +141,25 @@ def context(files: DataFrame, path_col: str = "path") -> Ctx:
 
 
 def prepare(files: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Ctx]:
-    """Add each rule's prep columns (guarded by language) and return the context."""
+    """Add the lines array and each rule's prep columns, in declaration order.
+
+    Every prep column gets its own projection, so a later prep (or a rule)
+    reads an earlier one as a plain column: the optimizer keeps an expensive
+    column that is read several times as one computed value per row."""
+    files = files.select("*", T.lines(F.col("content")).alias("_lines"))
     ctx = context(files)
-    cols = {}
+    ctx.lines = F.col("_lines")
+    done: set[str] = set()
     for r in rules:
         for name, fn in r.prep:
-            if name in cols:
+            if name in done:
                 continue
             expr = fn(ctx)
             if r.langs:
                 expr = F.when(ctx.lang.isin(*r.langs), expr)
-            cols[name] = expr.alias(name)
-    files = files.select("*", T.lines(F.col("content")).alias("_lines"), *cols.values())
-    ctx = context(files)
-    ctx.lines = F.col("_lines")
-    ctx.extra.update({n: F.col(n) for n in cols})
+            files = files.select("*", expr.alias(name))
+            ctx.extra[name] = F.col(name)
+            done.add(name)
     return files, ctx
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from revkit.functions import text as T
-from revkit.operators.findings import Ctx, Rule, finding
+from revkit.operators.findings import Ctx, Rule, empty, finding
 
 # PHP checks as (type, pattern in RE2 syntax, description, severity), in check order.
 CHECKS = [
@@ -40,17 +40,10 @@ HEADERS_DESC = "Missing security headers. Consider setting X-Frame-Options, X-XS
 EXTERNAL_TYPE = "PHPSTAN"
 SEVERITIES = ["Critical", "High", "Medium", "Low", "Info"]
 
-ISSUE = StructType(
-    [
-        StructField("type", StringType()),
-        StructField("type_seq", IntegerType()),
-        StructField("severity", StringType()),
-        StructField("line", IntegerType()),
-        StructField("col", IntegerType()),
-        StructField("description", StringType()),
-        StructField("snippet", StringType()),
-    ]
-)
+SEV_RANK = {s: k for k, s in enumerate(SEVERITIES, start=1)}
+TYPES = [t for t, _p, _d, _s in CHECKS] + [HEADERS_TYPE, EXTERNAL_TYPE]
+EXTERNAL_SEQ = len(TYPES)
+N_SLOTS = len(TYPES) * len(SEVERITIES)
 
 
 def type_order() -> list[tuple[str, str]]:
@@ -58,123 +51,141 @@ def type_order() -> list[tuple[str, str]]:
     return [(t, s) for t, _p, _d, s in CHECKS] + [(HEADERS_TYPE, "Medium")]
 
 
-def _issue(type_: str, seq: int, sev: str, line: Column, col: Column, desc: Column | str, snip: Column) -> Column:
-    return F.struct(
-        F.lit(type_).alias("type"),
-        F.lit(seq).alias("type_seq"),
-        F.lit(sev).alias("severity"),
-        line.cast("int").alias("line"),
-        col.cast("int").alias("col"),
-        (desc if isinstance(desc, Column) else F.lit(desc)).alias("description"),
-        snip.alias("snippet"),
-    )
+def _hit(seq: int, line: Column, col: Column) -> Column:
+    return F.struct(F.lit(seq).alias("type_seq"), line.cast("int").alias("line"), col.cast("int").alias("col"))
 
 
-def _line_issues(ctx: Ctx, type_: str, pattern: str, desc: str, sev: str, seq: int) -> Column:
+def _line_hits(ctx: Ctx, pattern: str, seq: int) -> Column:
     def on_line(l: Column, i: Column) -> Column:
-        return F.transform(
-            T.match_byte_offsets(l, pattern),
-            lambda o: _issue(type_, seq, sev, i + 1, o + 1, desc, T.snippet(ctx.lines, i + 1)),
-        )
+        return F.transform(T.match_byte_offsets(l, pattern), lambda o: _hit(seq, i + 1, o + 1))
 
-    return F.transform(ctx.lines, on_line)
+    return F.flatten(F.transform(ctx.lines, on_line))
 
 
-def issues(ctx: Ctx) -> Column:
-    """Array of issues for one file, in check order, line, column."""
+HIT = "array<struct<type_seq:int,line:int,col:int>>"
+
+
+def hits(ctx: Ctx) -> Column:
+    """(type_seq, line, byte col) of every issue, in check, line, column order."""
     parts = []
-    for seq, (type_, pattern, desc, sev) in enumerate(CHECKS, start=1):
-        per_line = _line_issues(ctx, type_, pattern, desc, sev, seq)
-        # cheap guard: skip files where the pattern never matches
-        parts.append(F.when(T.rlike(ctx.content, pattern), F.flatten(per_line)).otherwise(F.array().cast(ArrayType(ISSUE))))
+    for seq, (_type, pattern, _desc, _sev) in enumerate(CHECKS, start=1):
+        # cheap guard: skip the per-line pass when the pattern never matches the file
+        parts.append(F.when(T.rlike(ctx.content, pattern), _line_hits(ctx, pattern, seq)).otherwise(F.array().cast(HIT)))
     controller = F.contains(ctx.path, F.lit("controller")) | F.contains(ctx.path, F.lit("Controller"))
     no_headers = ~F.contains(ctx.content, F.lit("X-Frame-Options")) & ~F.contains(ctx.content, F.lit("X-XSS-Protection"))
-    parts.append(
-        F.when(
-            controller & no_headers,
-            F.array(_issue(HEADERS_TYPE, len(CHECKS) + 1, "Medium", F.lit(1), F.lit(0), HEADERS_DESC, F.lit(""))),
-        ).otherwise(F.array().cast(ArrayType(ISSUE)))
-    )
+    parts.append(F.when(controller & no_headers, F.array(_hit(len(CHECKS) + 1, F.lit(1), F.lit(0)))).otherwise(F.array().cast(HIT)))
     return F.concat(*parts)
 
 
-def render(iss: Column, types: list[tuple[str, str]] | None = None) -> Column:
-    """Recommendation strings for one file's issues.
-
-    Per severity (Critical..Info): a count header, then per type in rule
-    order either one summary line (more than 3 issues) or one line each."""
-    types = types or type_order() + [(EXTERNAL_TYPE, s) for s in SEVERITIES]
-    out = []
-    for sev in SEVERITIES:
-        of_sev = F.filter(iss, _eq("severity", sev))
-        out.append(
-            F.when(
-                F.size(of_sev) > 0,
-                F.array(finding(0, F.concat(F.lit(f"--- {sev.upper()} Issues ("), F.size(of_sev).cast("string"), F.lit(") ---")))),
-            )
-        )
-        for t, s in types:
-            if s != sev:
-                continue
-            ti = F.filter(of_sev, _eq("type", t))
-            first3 = F.array_join(F.transform(F.slice(ti, 1, 3), lambda x: F.concat(F.lit("line "), x["line"].cast("string"))), ", ")
-            summary = F.array(
-                finding(
-                    0,
-                    F.concat(
-                        F.lit(t + ": "), F.get(ti, 0)["description"], F.lit(" (Found at "), first3, F.lit(" and "),
-                        (F.size(ti) - 3).cast("string"), F.lit(" more locations)"),
-                    ),
-                )
-            )
-            each = F.transform(
-                ti,
-                _each_line(t),
-            )
-            out.append(F.when(F.size(ti) > 3, summary).otherwise(each))
-    return F.flatten(F.filter(F.array(*out), lambda a: a.isNotNull()))
-
-
-def _eq(field: str, value: str):
-    return lambda x: x[field] == value
-
-
-def _each_line(t: str):
-    return lambda x: finding(
-                    x["line"],
-                    F.concat(
-                        F.lit(t + " [L"), x["line"].cast("string"), F.lit(":C"), x["col"].cast("string"), F.lit("]: "),
-                        x["description"],
-                        F.when(x["snippet"] != "", F.concat(F.lit("\nCode context:\n"), x["snippet"])).otherwise(F.lit("")),
-                    ),
-                    x["col"],
-                )
+def _lookup(values: list, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), idx)
+
+
+def decorate(h: Column, lines: Column) -> Column:
+    """Issue structs with type, severity, description and snippet."""
+    descs = [d for _t, _p, d, _s in CHECKS] + [HEADERS_DESC, ""]
+    sevs = [s for _t, _p, _d, s in CHECKS] + ["Medium", "Medium"]
+    return F.transform(
+        h,
+        lambda x, k: F.struct(
+            _lookup(TYPES, x["type_seq"]).alias("type"),
+            x["type_seq"].alias("type_seq"),
+            _lookup(sevs, x["type_seq"]).alias("severity"),
+            x["line"].alias("line"),
+            x["col"].alias("col"),
+            _lookup(descs, x["type_seq"]).alias("description"),
+            F.when(x["type_seq"] <= len(CHECKS), T.snippet(lines, x["line"])).otherwise(F.lit("")).alias("snippet"),
+            k.alias("ord"),
+        ),
+    )
+
+
+def issues(ctx: Ctx) -> Column:
+    return decorate(hits(ctx), ctx.lines)
+
+
+def _rank(sev: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), sev).cast("int")
+
+
+def sort_issues(iss: Column) -> Column:
+    """Issues as struct(r = severity rank, v = issue), ordered by (rank, type order, arrival)."""
+    keyed = F.transform(iss, lambda x: F.struct(_rank(x["severity"]).alias("r"), x["type_seq"].alias("t"), x["ord"].alias("o"), x.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda y: F.struct(y["r"].alias("r"), y["v"].alias("v")))
+
+
+def _slot(y: Column) -> Column:
+    return (y["v"]["type_seq"] - 1) * len(SEVERITIES) + y["r"]
+
+
+def issue_counts(srt: Column) -> Column:
+    """struct(per (type, severity) slot counts, per severity counts)."""
+    return F.struct(
+        F.transform(F.sequence(F.lit(1), F.lit(N_SLOTS)), lambda k: F.size(F.filter(srt, lambda y: _slot(y) == k))).alias("types"),
+        F.transform(F.sequence(F.lit(1), F.lit(len(SEVERITIES))), lambda k: F.size(F.filter(srt, lambda y: y["r"] == k))).alias("sevs"),
+    )
+
+
+def render(srt: Column, counts: Column) -> Column:
+    """Recommendation strings for one file's sorted issues.
+
+    One pass over issues ordered by (severity rank, type order, arrival)
+    emits a count header at each new severity and, per type, one summary
+    line (more than 3 issues, first 3 line numbers) or one line per issue.
+    ``srt`` and ``counts`` must be materialized columns (see ``rules``)."""
+    slot = _slot
+    return F.flatten(F.transform(srt, lambda y, i: _render_one(y, i, srt, counts["types"], counts["sevs"], slot)))
+
+
+def _render_one(y: Column, i: Column, srt: Column, type_counts: Column, sev_counts: Column, slot) -> Column:
+    x = y["v"]
+    prev = F.get(srt, i - 1)
+    first_sev = (i == 0) | (prev["r"] != y["r"])
+    first_type = first_sev | (prev["v"]["type_seq"] != x["type_seq"])
+    n_type = F.element_at(type_counts, slot(y))
+    n_sev = F.element_at(sev_counts, y["r"])
+    header = F.when(first_sev, F.array(finding(0, F.concat(F.lit("--- "), F.upper(x["severity"]), F.lit(" Issues ("),
+                                                           n_sev.cast("string"), F.lit(") ---")))))
+    first3 = F.array_join(F.transform(F.slice(srt, i + 1, 3), lambda z: F.concat(F.lit("line "), z["v"]["line"].cast("string"))), ", ")
+    summary = F.when(first_type & (n_type > 3), F.array(finding(0, F.concat(
+        x["type"], F.lit(": "), x["description"], F.lit(" (Found at "), first3, F.lit(" and "), (n_type - 3).cast("string"),
+        F.lit(" more locations)")))))
+    one = F.when(n_type <= 3, F.array(finding(x["line"], F.concat(
+        x["type"], F.lit(" [L"), x["line"].cast("string"), F.lit(":C"), x["col"].cast("string"), F.lit("]: "), x["description"],
+        F.when(x["snippet"] != "", F.concat(F.lit("\nCode context:\n"), x["snippet"])).otherwise(F.lit(""))), x["col"])))
+    return F.concat(F.coalesce(header, empty()), F.coalesce(summary, empty()), F.coalesce(one, empty()))
+
+
+PREP = (
+    ("php_issues", issues),
+    ("php_sorted", lambda c: sort_issues(c.extra["php_issues"])),
+    ("php_counts", lambda c: issue_counts(c.extra["php_sorted"])),
+)
 
 
 def rules() -> list[Rule]:
-    return [Rule("G25", lambda c: render(c.extra["php_issues"]), ("php",), prep=(("php_issues", issues),))]
+    return [Rule("G25", lambda c: render(c.extra["php_sorted"], c.extra["php_counts"]), ("php",), prep=PREP)]
 
 
 def issue_rows(files: DataFrame) -> DataFrame:
     """G1-G23 as rows: (repo, path, type, severity, line, col, description, snippet)."""
-    from revkit.operators.findings import context
+    from revkit.operators.findings import prepare
 
-    ctx = context(files)
-    return files.select("repo", "path", F.explode(issues(ctx)).alias("i")).select("repo", "path", "i.*")
+    prepped, ctx = prepare(files, rules())
+    return prepped.select("repo", "path", F.explode("php_issues").alias("i")).select("repo", "path", "i.*")
 
 
 def external_report_issues(report_json: DataFrame, files: DataFrame) -> DataFrame:
-    """A5 + G24: an external analyzer's JSON report per file -> issues.
+    """A5 + G24: an external analyzer's JSON report per file -> issue rows.
 
-    ``report_json`` has (repo, path, report STRING) with the report in the
-    PHPStan JSON shape. Snippets come from the file's lines by an equi join
-    on (repo, path) that carries only the lines array, not raw content."""
+    ``report_json`` has (repo, path, report STRING) in the PHPStan JSON
+    shape (files -> messages). Severity comes from the message text.
+    Snippets come from the file's lines by an equi join on (repo, path)."""
     schema = "files MAP<STRING, STRUCT<messages: ARRAY<STRUCT<message: STRING, line: INT, `column`: INT>>>>"
     parsed = report_json.select("repo", "path", F.from_json("report", schema).alias("r"))
-    msgs = (
-        parsed.select("repo", "path", F.explode(F.map_values(F.col("r.files"))).alias("f"))
-        .select("repo", "path", F.explode("f.messages").alias("m"))
-        .select("repo", "path", F.col("m.message").alias("description"), F.col("m.line").alias("line"), F.col("m.column").alias("col"))
+    msgs = F.flatten(F.transform(F.map_values(F.col("r.files")), lambda f: f["messages"]))
+    rows = parsed.select("repo", "path", F.posexplode(msgs).alias("ord", "m")).select(
+        "repo", "path", "ord", F.col("m.message").alias("description"), F.col("m.line").alias("line"), F.col("m.column").alias("col")
     )
     d = F.col("description")
     sev = (
@@ -184,8 +195,32 @@ def external_report_issues(report_json: DataFrame, files: DataFrame) -> DataFram
         .otherwise(F.lit("Medium"))
     )
     lines = files.select("repo", "path", T.lines(F.col("content")).alias("all_lines"), F.col("content"))
-    joined = msgs.join(lines, ["repo", "path"], "left")
+    joined = rows.join(lines, ["repo", "path"], "left")
+    snip = F.when(F.coalesce(F.col("content"), F.lit("")) != "", T.snippet(F.col("all_lines"), F.col("line"))).otherwise(F.lit(""))
     return joined.select(
-        "repo", "path", F.lit(EXTERNAL_TYPE).alias("type"), sev.alias("severity"), "line", "col", "description",
-        F.when(F.coalesce(F.col("content"), F.lit("")) != "", T.snippet(F.col("all_lines"), F.col("line"))).otherwise(F.lit("")).alias("snippet"),
+        "repo", "path", F.lit(EXTERNAL_TYPE).alias("type"), F.lit(EXTERNAL_SEQ).alias("type_seq"), sev.alias("severity"),
+        F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), "description", snip.alias("snippet"),
+        F.col("ord").cast("int").alias("ord"),
+    )
+
+
+def recommendations_with_report(files: DataFrame, external: DataFrame) -> DataFrame:
+    """G25 over static issues plus external-report issues, per PHP file.
+
+    External issues are grouped per file (bounded by one report) and joined
+    to the file rows on (repo, path); they follow the static ones."""
+    from revkit.operators.findings import prepare
+
+    prepped, ctx = prepare(files, rules())
+    ext = external.groupBy("repo", "path").agg(
+        F.array_sort(F.collect_list(F.struct("ord", F.struct("type", "type_seq", "severity", "line", "col", "description",
+                                                                 "snippet", "ord").alias("i")))).alias("ext")
+    )
+    both = prepped.join(ext, ["repo", "path"], "left")
+    static = F.col("php_issues")
+    extra = F.transform(F.coalesce(F.col("ext"), F.array()), lambda e: e["i"].withField("ord", e["i"]["ord"] + F.size(static)))
+    staged = both.select("repo", "path", sort_issues(F.concat(static, extra)).alias("srt"))
+    staged = staged.select("repo", "path", "srt", issue_counts(F.col("srt")).alias("cnt"))
+    return staged.select("repo", "path", F.posexplode(render(F.col("srt"), F.col("cnt"))).alias("occ", "f")).select(
+        "repo", "path", (F.col("occ") + 1).alias("occ"), F.col("f.msg").alias("recommendation")
     )

@@ -179,19 +179,8 @@ def imports(c: Ctx) -> Column:
             )
         ),
     )
-    entries = F.filter(
-        F.transform(
-            c.lines,
-            lambda l, i: F.struct(
-                (i + 1).alias("n"),
-                import_group(trim_space(l)).alias("g"),
-                import_name(l).alias("name"),
-                (trim_space(l).startswith("import ") | trim_space(l).startswith("from ")).alias("is_imp"),
-            ),
-        ),
-        lambda e: e["is_imp"],
-    )
-    per_group = {g: F.filter(entries, _group_is(g)) for g in GROUPS}
+    groups = c.extra["py_imports"]
+    per_group = {g: groups[_field(g)] for g in GROUPS}
     order = []
     for g in GROUPS:
         es = per_group[g]
@@ -220,6 +209,23 @@ def imports(c: Ctx) -> Column:
     return F.concat(wildcard, *order, _nn(*group_checks))
 
 
+def _field(g: str) -> str:
+    return g.replace("-", "_")
+
+
+def import_groups(c: Ctx) -> Column:
+    """H7-H9: import lines (n, group, name) split by group, one struct per file."""
+    def entry(l: Column, i: Column) -> Column:
+        t = trim_space(l)
+        return F.when(
+            t.startswith("import ") | t.startswith("from "),
+            F.struct((i + 1).alias("n"), import_group(t).alias("g"), import_name(l).alias("name")),
+        )
+
+    entries = F.filter(F.transform(c.lines, entry), lambda e: e.isNotNull())
+    return F.struct(*[F.filter(entries, _group_is(g)).alias(_field(g)) for g in GROUPS])
+
+
 def _group_is(g: str):
     return lambda e: e["g"] == g
 
@@ -397,7 +403,7 @@ def docstrings(c: Ctx) -> Column:
     return _per_line(c, on_line)
 
 
-PREP = (("py_base", lambda c: basename(c.path)),)
+PREP = (("py_base", lambda c: basename(c.path)), ("py_imports", import_groups))
 
 
 def rules() -> list[Rule]:
