@@ -6,6 +6,7 @@ from revkit.plans import agg_queries  # noqa: F401  (K, L)
 from revkit.plans import context_queries  # noqa: F401  (J14, M)
 from revkit.plans import request_queries  # noqa: F401  (A4, B)
 from revkit.plans import stream_queries  # noqa: F401  (P)
+from revkit.plans import report_queries  # noqa: F401  (A6, K7, L6)
 from revkit.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
