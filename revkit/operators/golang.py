@@ -38,8 +38,15 @@ def _code(line: Column) -> Column:
     return F.regexp_replace(no_str, rx.java(LINE_COMMENT), "")
 
 
+def _strip(x: Column) -> Column:
+    """Go's strings.TrimSpace (tabs included: gofmt indents with tabs)."""
+    from revkit.operators.python import trim_space
+
+    return trim_space(x)
+
+
 def _comment_line(line: Column) -> Column:
-    t = F.trim(line)
+    t = _strip(line)
     return t.startswith("//") | t.endswith("*/")
 
 
@@ -75,14 +82,17 @@ def _func_headers(c: Ctx) -> Column:
 def _func_end(code: Column, start: Column) -> Column:
     """0-based index of the first line after start that is exactly '}' (or last line)."""
     n = F.size(code)
-    ends = F.filter(F.sequence(start + 1, F.greatest(n - 1, start + 1)), lambda j: (j < n) & (F.rtrim(F.get(code, j)) == "}"))
+    ends = F.filter(
+        F.sequence(start + 1, F.greatest(n - 1, start + 1)),
+        lambda j: (j < n) & (F.regexp_replace(F.get(code, j), "[ \t\r]+\\z", "") == "}"),
+    )
     return F.coalesce(F.get(ends, 0), n - 1)
 
 
 def _named_results(rest: Column) -> Column:
     """Results list '( a T, b U )' where an entry has a name and a type."""
     res = F.regexp_extract(rest, r"^\s*\(([^)]*)\)", 1)
-    return F.exists(F.split(res, ",", -1), lambda e: F.trim(e).rlike(r"^\w+\s+\S"))
+    return F.exists(F.split(res, ",", -1), lambda e: _strip(e).rlike(r"^\w+\s+\S"))
 
 
 def package_doc(c: Ctx) -> Column:
@@ -110,14 +120,14 @@ def functions(c: Ctx) -> Column:
         start = h["i"]
         end = _func_end(code, start)
         body = F.slice(code, start + 2, F.greatest(end - start - 1, F.lit(0)))
-        stmts = F.size(F.filter(body, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("}"))) + F.size(
-            F.filter(body, lambda x: F.rtrim(x).endswith("{"))
+        stmts = F.size(F.filter(body, lambda x: (_strip(x) != "") & ~_strip(x).startswith("}"))) + F.size(
+            F.filter(body, lambda x: _strip(x).endswith("{"))
         )
         line = start + 1
         prev = F.when(start > 0, F.get(c.lines, start - 1))
         exported = h["name"].rlike("^[A-Z]")
         naked = F.filter(
-            F.transform(body, lambda x, k: F.when(F.trim(x) == "return", start + 2 + k)),
+            F.transform(body, lambda x, k: F.when(_strip(x) == "return", start + 2 + k)),
             lambda x: x.isNotNull(),
         )
         return F.concat(
@@ -142,13 +152,13 @@ def _checks(c: Ctx) -> Column:
         ind = T.indent_width(x)
         closes = F.filter(
             F.sequence(i + 1, F.greatest(n - 1, i + 1)),
-            lambda j: (j < n) & (T.indent_width(F.get(code, j)) == ind) & F.trim(F.get(code, j)).startswith("}"),
+            lambda j: (j < n) & (T.indent_width(F.get(code, j)) == ind) & _strip(F.get(code, j)).startswith("}"),
         )
         end = F.coalesce(F.get(closes, 0), n)
         body = F.slice(code, i + 2, F.greatest(end - i - 1, F.lit(0)))
         handled = F.exists(
             body,
-            lambda b: T.rlike(b, RETURN) & F.exists(F.split(T.extract(b, RETURN, 1), ",", -1), lambda r: _is_err_ident(F.trim(r))),
+            lambda b: T.rlike(b, RETURN) & F.exists(F.split(T.extract(b, RETURN, 1), ",", -1), lambda r: _is_err_ident(_strip(r))),
         )
         rhs = T.extract(x, ASSIGN_CHECK, 1)
         single = T.rlike(x, ASSIGN_CHECK) & ~F.contains(F.regexp_replace(rhs, r"\([^()]*\)", ""), F.lit(","))

@@ -449,7 +449,7 @@ def _go_sql() -> str:
     from revkit.operators import golang as G
 
     code = f"regexp_replace(regexp_replace(l, {q(G.STRING_LITERAL)}, '\"\"', 'g'), {q(G.LINE_COMMENT)}, '')"
-    is_comment = lambda x: f"(starts_with(trim({x}), '//') OR ends_with(trim({x}), '*/'))"
+    is_comment = lambda x: f"(starts_with({_trim(x)}, '//') OR ends_with({_trim(x)}, '*/'))"
     rhs = f"regexp_extract(code, {q(G.ASSIGN_CHECK)}, 1)"
     return f"""WITH {FILES_CTE},
 g AS (SELECT repo, path, string_split(content, chr(10)) AS ls FROM files WHERE lang = 'go'),

@@ -13,8 +13,8 @@ def codes(spark, content, path="src/m.py"):
 def test_unbalanced_delimiters_per_line(spark):
     _c, msgs = codes(spark, "x = (a]\ny = 'é)'\nz = [1, 2]\n")
     assert "m.py:1:7 [error] PYL001: Unbalanced delimiter: ']'" in msgs
-    # byte column: 'é' is two bytes, so ')' sits at byte 8 -> column 9
-    assert "m.py:2:9 [error] PYL001: Unbalanced delimiter: ')'" in msgs
+    # byte column: 'é' is two bytes, so ')' sits at byte index 7 -> column 8
+    assert "m.py:2:8 [error] PYL001: Unbalanced delimiter: ')'" in msgs
     assert not any(":3:" in m and "PYL001" in m for m in msgs)
 
 

@@ -80,7 +80,9 @@ def test_missing_and_case_insensitive_file(spark):
     refs = spark.createDataFrame([(1, "svc", 1, "AUTH.JS", 16, 17), (1, "svc", 2, " nope.py", 1, 1)],
                                  "review_id long, repo string, ref_seq int, filename string, line_start int, line_end int")
     got = {r.ref_seq: r.block for r in M.context_blocks(refs, files(spark).select("repo", "path", "content")).collect()}
-    assert got[1].startswith("Context for AUTH.JS (lines 16-17):\n```\n    13: const c11 = 11;\n")
+    # shown from 0-based start-3 (line 14) to end+3 (line 20)
+    assert got[1].startswith("Context for AUTH.JS (lines 16-17):\n```\n    14: const c12 = 12;\n")
+    assert got[1].endswith("    20:   step2();\n```\n\n")
     assert ">   16: function login(user) {\n" in got[1]
     assert got[2] == "Error retrieving  nope.py: file not found: nope.py\n\n"
 

@@ -25,9 +25,10 @@ def test_match_lines_linear_equals_prefix_count(spark):
 
 
 def test_match_spanning_newlines_keeps_later_lines(spark):
-    # (?m)^\s*//.* may start on a preceding blank line (reported there)
-    text = "int a;\n\n   // c\nx // d"
-    assert _one(spark, lambda s: T.match_lines(s, r"(?m)^\s*//.*"), text) == [1, 3]
+    # (?m)^\s*//.* may start on a preceding blank line (reported there);
+    # '// d' is not at a line start
+    text = "int a;\n\n   // c\nx // d\n// e"
+    assert _one(spark, lambda s: T.match_lines(s, r"(?m)^\s*//.*"), text) == [2, 5]
 
 
 def test_marker_character_in_text_is_harmless(spark):
