@@ -102,8 +102,8 @@ def indentation(c: Ctx) -> Column:
 
     def step(acc, x):
         l, i = x["l"], x["i"]
-        trimmed = trim_space(l)
-        cur = T.indent_width(l)
+        trimmed = x["t"]
+        cur = x["ind"]
         stack = acc["stack"]
         top = F.element_at(stack, -1)
         last_le = F.size(stack) - F.array_position(F.reverse(F.transform(stack, lambda v: v <= cur)), F.lit(True)) + 1
@@ -126,8 +126,7 @@ def indentation(c: Ctx) -> Column:
             F.struct(new_stack.alias("stack"), F.when(F.size(found) > 0, F.concat(acc["hits"], found)).otherwise(acc["hits"]).alias("hits"))
         )
 
-    indexed = F.transform(c.lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
-    return F.aggregate(indexed, init, step)["hits"]
+    return F.aggregate(_indexed(c), init, step)["hits"]
 
 
 # ------------------------------------------------------------ H4-H6 except
@@ -142,7 +141,7 @@ def exceptions(c: Ctx) -> Column:
             F.when(T.rlike(l, EXCEPT_BARE), issue(c, i + 1, col, "warning", "PYL101", "Bare 'except:' clause used. Always catch specific exceptions")),
             F.when(T.rlike(l, EXCEPT_EXCEPTION), issue(c, i + 1, col, "warning", "PYL102", "'except Exception:' used. Catch specific exceptions instead")),
             F.when(
-                F.contains(l, F.lit("except")) & (i + 1 < n) & (trim_space(nxt) == "pass"),
+                F.contains(l, F.lit("except")) & (i + 1 < n) & (F.get(c.extra["py_trim"], i + 1) == "pass"),
                 issue(c, i + 2, 1, "warning", "PYL103",
                       "Empty except block with 'pass'. Either handle the exception or add a comment explaining why it is ignored"),
             ),
@@ -216,7 +215,7 @@ def _field(g: str) -> str:
 def import_groups(c: Ctx) -> Column:
     """H7-H9: import lines (n, group, name) split by group, one struct per file."""
     def entry(l: Column, i: Column) -> Column:
-        t = trim_space(l)
+        t = F.get(c.extra["py_trim"], i)
         return F.when(
             t.startswith("import ") | t.startswith("from "),
             F.struct((i + 1).alias("n"), import_group(t).alias("g"), import_name(l).alias("name")),
@@ -255,8 +254,8 @@ def functions(c: Ctx) -> Column:
 
     def step(acc, x):
         l, i = x["l"], x["i"]
-        trimmed = trim_space(l)
-        ind = T.indent_width(l)
+        trimmed = x["t"]
+        ind = x["ind"]
         mutable = F.when(
             T.rlike(l, MUTABLE_DEFAULT),
             issue(c, i + 1, byte_index(l, T.extract(l, MUTABLE_DEFAULT, 2)) + 1, "warning", "PYL301",
@@ -279,9 +278,8 @@ def functions(c: Ctx) -> Column:
         )
         return F.when(skip(trimmed), acc).otherwise(new)
 
-    indexed = F.transform(c.lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
     return F.aggregate(
-        indexed, init, step,
+        _indexed(c), init, step,
         lambda acc: F.when(acc["inf"] & (acc["cnt"] > 50), F.concat(acc["hits"], F.array(too_long(acc)))).otherwise(acc["hits"]),
     )
 
@@ -352,7 +350,8 @@ def security(c: Ctx) -> Column:
         pw = F.contains(l, F.lit("password")) & (F.contains(l, F.lit("=")) | F.contains(l, F.lit(":"))) & T.rlike(l, PASSWORD)
         return _nn(
             F.when(T.rlike(l, SQL_INJECTION), issue(c, i + 1, 1, "error", "PYL601", "Potential SQL injection vulnerability. Use parameterized queries instead")),
-            F.when(T.rlike(l, SHELL_INJECTION), issue(c, i + 1, 1, "error", "PYL602",
+            # the pattern's second alternative '.*?\+' matches exactly the lines holding '+'
+            F.when(F.contains(l, F.lit("+")) | T.rlike(l, SHELL_INJECTION), issue(c, i + 1, 1, "error", "PYL602",
                                                       "Potential shell injection vulnerability. Sanitize user input before using in shell commands")),
             F.when(pw, issue(c, i + 1, byte_index(low, "password"), "error", "PYL603",
                              "Hard-coded password detected. Use environment variables or a secure configuration system")),
@@ -367,7 +366,7 @@ def performance(c: Ctx) -> Column:
     n = F.size(c.lines)
 
     def on_line(l: Column, i: Column) -> Column:
-        loop = F.contains(trim_space(l), F.lit("for "))
+        loop = F.contains(F.get(c.extra["py_trim"], i), F.lit("for "))
         n1, n2 = F.get(c.lines, i + 1), F.get(c.lines, i + 2)
         both = F.concat(n1, n2)
         return _nn(
@@ -390,8 +389,8 @@ def docstrings(c: Ctx) -> Column:
         kind = T.extract(l, DEF_OR_CLASS, 1)
         name = T.extract(l, DEF_OR_CLASS, 2)
         private = name.startswith("_") & ~name.startswith("__") & ~name.endswith("__")
-        t1 = trim_space(F.get(c.lines, i + 1))
-        t2 = trim_space(F.get(c.lines, i + 2))
+        t1 = F.get(c.extra["py_trim"], i + 1)
+        t2 = F.get(c.extra["py_trim"], i + 2)
         doc1 = (i + 1 < n) & (t1.startswith('"""') | t1.startswith("'''"))
         stop1 = (t1 != "") & ~t1.startswith("#") & (t1 != "pass")
         doc2 = (i + 2 < n) & (t2.startswith('"""') | t2.startswith("'''"))
@@ -403,7 +402,20 @@ def docstrings(c: Ctx) -> Column:
     return _per_line(c, on_line)
 
 
-PREP = (("py_base", lambda c: basename(c.path)), ("py_imports", import_groups))
+PREP = (
+    ("py_base", lambda c: basename(c.path)),
+    ("py_trim", lambda c: F.transform(c.lines, trim_space)),
+    ("py_indent", lambda c: F.transform(c.lines, T.indent_width)),
+    ("py_imports", import_groups),
+)
+
+
+def _indexed(c: Ctx) -> Column:
+    """Per line: text, 0-based index, trimmed text, indent width."""
+    return F.transform(
+        c.lines,
+        lambda l, i: F.struct(l.alias("l"), i.alias("i"), F.get(c.extra["py_trim"], i).alias("t"), F.get(c.extra["py_indent"], i).alias("ind")),
+    )
 
 
 def rules() -> list[Rule]:
