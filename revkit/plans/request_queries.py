@@ -133,3 +133,29 @@ def q_request_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ = q
+
+
+# --------------------------------------------------------------- M7 repo join
+
+def _repo_reports_sql() -> str:
+    from revkit.plans.agg_queries import REPO_QUALITY_SQL
+
+    return f"""WITH s AS ({SETTINGS_SQL}), rq AS ({REPO_QUALITY_SQL})
+SELECT s.review_id, s.repo_name, rq.files_analyzed, rq.mean_quality
+FROM s JOIN rq ON rq.repo = s.repo_name
+WHERE s.code_source <> 'direct' AND s.route_error IS NULL"""
+
+
+def _register_repo_reports():
+    @register("request_repo_reports", _repo_reports_sql())
+    def q_request_repo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Each routed (non-direct) request joined to its repository's
+        file-quality summary; every repository is analysed once, then joined."""
+        from revkit.plans.agg_queries import q_repo_quality
+
+        routed = q_request_settings(spark, sf_dir).where((F.col("code_source") != "direct") & F.col("route_error").isNull())
+        quality = q_repo_quality(spark, sf_dir)
+        return routed.join(quality, routed.repo_name == quality.repo).select("review_id", "repo_name", "files_analyzed", "mean_quality")
+
+
+_register_repo_reports()

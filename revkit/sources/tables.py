@@ -39,13 +39,24 @@ def register(spark: SparkSession, sf_dir: str, names=("documents", "conversation
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+# Analysed plans of the derived corpora, per session and folder: the SQL is
+# parsed and analysed once per process (no data is cached).
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _derived(spark: SparkSession, sf_dir: str, table_name: str, sql: str) -> DataFrame:
+    key = (id(spark), os.path.abspath(sf_dir), table_name)
+    if key not in _PLANS:
+        spark.read.parquet(os.path.join(sf_dir, f"{table_name}.parquet")).createOrReplaceTempView(table_name)
+        _PLANS[key] = spark.sql(sql)
+    return _PLANS[key]
+
+
 def source_files_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, content) derived from ``documents``."""
-    register(spark, sf_dir, ("documents",))
-    return spark.sql(SOURCE_FILES_SQL)
+    return _derived(spark, sf_dir, "documents", SOURCE_FILES_SQL)
 
 
 def review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, channel_id, ts, message) derived from ``conversations``."""
-    register(spark, sf_dir, ("conversations",))
-    return spark.sql(REVIEW_COMMENTS_SQL)
+    return _derived(spark, sf_dir, "conversations", REVIEW_COMMENTS_SQL)
