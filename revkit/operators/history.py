@@ -80,3 +80,51 @@ def history_records(scored: DataFrame) -> DataFrame:
         F.coalesce(F.col("hist_avg"), F.lit(0.0)).alias("average") if "hist_avg" in scored.columns else F.lit(0.0).alias("average"),
         F.coalesce(F.col("trend"), F.lit(0.0)).alias("trend") if "trend" in scored.columns else F.lit(0.0).alias("trend"),
     )
+
+
+def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str = "1970-01-01 00:00:00") -> DataFrame:
+    """L1-L3 for hot channels: the same columns as ``with_history`` without
+    putting a whole (channel, period) into one task.
+
+    Rows are cut into time buckets inside their (channel, period). Per bucket
+    a partial aggregate keeps count, sum and the last ten scores; a small
+    window over buckets turns these into prefixes (rows before the bucket,
+    and the last ten scores of the ten preceding non-empty buckets); rows are
+    joined to their bucket's prefix and finish with a window inside the
+    bucket. Sums are associated per bucket, so ``hist_avg`` may differ from
+    the sequential running mean in the last bits; counts and trends are exact."""
+    key = ["channel_id", "period", "bucket"]
+    df = scored.withColumn("period", epoch(F.col("ts"), origin)).withColumn(
+        "bucket", F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(origin).cast("timestamp"))) / F.lit(bucket_seconds)).cast("bigint")
+    )
+    wb = Window.partitionBy(*key).orderBy("ts", "review_id")
+    inb = df.select(
+        "*",
+        F.count("overall").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("in_cnt"),
+        F.coalesce(F.sum("overall").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("in_sum"),
+        F.collect_list("overall").over(wb.rowsBetween(-RECENT, -1)).alias("in_tail"),
+        F.row_number().over(wb.orderBy(F.col("ts").desc(), F.col("review_id").desc())).alias("rev_rank"),
+    )
+    per_bucket = inb.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("b_cnt"),
+        F.sum("overall").alias("b_sum"),
+        F.array_sort(F.collect_list(F.when(F.col("rev_rank") <= RECENT, F.struct("ts", "review_id", "overall")))).alias("b_last"),
+    )
+    wp = Window.partitionBy("channel_id", "period").orderBy("bucket")
+    prefix = per_bucket.select(
+        *key,
+        F.coalesce(F.sum("b_cnt").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p_cnt"),
+        F.coalesce(F.sum("b_sum").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("p_sum"),
+        F.flatten(F.collect_list(F.transform("b_last", lambda s: s["overall"])).over(wp.rowsBetween(-RECENT, -1))).alias("p_tail"),
+    )
+    joined = inb.join(prefix, key)
+    cnt = F.col("p_cnt") + F.col("in_cnt")
+    tail = F.concat(F.col("p_tail"), F.col("in_tail"))
+    last10 = F.slice(tail, F.greatest(F.size(tail) - RECENT + 1, F.lit(1)), RECENT)
+    trend = F.when(F.size(last10) >= 2, F.element_at(last10, -1) - F.element_at(last10, 1)).otherwise(F.lit(0.0))
+    return joined.select(
+        *scored.columns, "period",
+        cnt.cast("bigint").alias("hist_count"),
+        F.when(cnt > 0, (F.col("p_sum") + F.col("in_sum")) / cnt).alias("hist_avg"),
+        trend.alias("trend"),
+    )

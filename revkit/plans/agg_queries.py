@@ -151,3 +151,14 @@ def q_history_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("hist_count") > 0, L.trend_label(F.col("trend"))).alias("trend_label"),
         F.when(F.col("hist_count") > 0, L.comparison_label(F.col("overall"), F.col("hist_avg"))).alias("comparison_label"),
     )
+
+
+HISTORY_SPLIT_SQL = f"""WITH h AS ({HISTORY_SQL}) SELECT review_id, channel_id, period, hist_count, hist_avg, trend FROM h"""
+
+
+@register("history_trends_split", HISTORY_SPLIT_SQL)
+def q_history_trends_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1-L3 with hot channels split into 5-minute buckets (prefix sums over
+    buckets), same numbers as the single-window plan."""
+    h = L.with_history_split(_scores(spark, sf_dir), bucket_seconds=300)
+    return h.select("review_id", "channel_id", "period", "hist_count", F.round("hist_avg", 6).alias("hist_avg"), F.round("trend", 6).alias("trend"))
