@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from revkit.functions import text as T
-from revkit.operators.findings import Ctx, Rule, empty, finding, one_if
+from revkit.operators.findings import Ctx, Rule, finding, one_if
 
 # Aspect check patterns (RE2 syntax).
 PY_DOCSTRING = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
@@ -170,5 +170,3 @@ def bundle(aspects) -> list[Rule]:
             out += actionability_rules()
     return out
 
-
-_ = empty  # re-exported for rule authors

@@ -55,9 +55,8 @@ def _is_err_ident(x: Column) -> Column:
 
 
 def _prep(c: Ctx) -> Column:
-    """Per line: code text, indent, function id, function flags."""
-    code = F.transform(c.lines, _code)
-    return code
+    """Per line: the code text (strings and line comments blanked)."""
+    return F.transform(c.lines, _code)
 
 
 def _func_headers(c: Ctx) -> Column:

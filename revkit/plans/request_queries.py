@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from revkit.operators import requests as R
 from revkit.plans.queries import register
-from revkit.plans.sqlkit import q
 from revkit.sources import tables
 
 # Request fields derived from each review comment (same SQL in both engines).
@@ -132,8 +131,6 @@ def q_request_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ = q
-
 
 # --------------------------------------------------------------- M7 repo join
 
