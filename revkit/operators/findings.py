@@ -108,6 +108,20 @@ def per_match(content: Column, go_pattern: str, msg: Callable[[Column, list[Colu
     return F.filter(out, lambda x: x.isNotNull()) if keep else out
 
 
+def regex_rule(rule_id: str, go_pattern: str, message: str, langs: tuple[str, ...] = (), scope: str = "content") -> Rule:
+    """Q1: a user rule from one RE2 pattern; every match becomes
+    '{path}:{line}: {message}'. ``scope='line'`` matches line by line (one
+    finding per matching line), ``'content'`` the whole text (every match)."""
+    from revkit.functions.text import rlike
+
+    def loc(ctx: Ctx, line: Column) -> Column:
+        return F.concat(ctx.path, F.lit(":"), line.cast("string"), F.lit(": " + message))
+
+    if scope == "line":
+        return Rule(rule_id, lambda c: per_line(c, lambda l, i: rlike(l, go_pattern), lambda l, n: loc(c, n)), langs)
+    return Rule(rule_id, lambda c: per_match(c.content, go_pattern, lambda ln, g: loc(c, ln)), langs)
+
+
 def _tag(rule: Rule, seq: int, arr: Column) -> Column:
     return F.transform(
         arr,
@@ -133,7 +147,7 @@ def _built(kind: str, key: str, langs: tuple[str, ...], make: Callable[[], Colum
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    k = (id(sc), kind, key, langs)
+    k = (sc, kind, key, langs)
     if k not in _BUILT:
         _BUILT[k] = make()
     return _BUILT[k]

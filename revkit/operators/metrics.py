@@ -23,21 +23,24 @@ ASPECT_KEYWORDS = {
 }
 
 
-def keyword_score(rec: Column, aspect: str) -> Column:
+def keyword_score(rec: Column, aspect: str, keywords: dict[str, list[str]] | None = None) -> Column:
     """K1 for one recommendation: +1 per keyword contained (lower-cased)."""
     low = F.lower(rec)
-    return sum((F.contains(low, F.lit(k)).cast("int") for k in ASPECT_KEYWORDS[aspect]), F.lit(0))
+    return sum((F.contains(low, F.lit(k)).cast("int") for k in (keywords or ASPECT_KEYWORDS)[aspect]), F.lit(0))
 
 
-def file_metrics(findings: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, rec_col: str = "msg") -> DataFrame:
+def file_metrics(findings: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, rec_col: str = "msg",
+                 keywords: dict[str, list[str]] | None = None) -> DataFrame:
     """K1/K2: per file (with at least one recommendation) the aspect scores and overall.
 
+    ``keywords`` (Q3) replaces the keyword list of any aspect.
+
     Per-row keyword scores are summed with a partial (map-side) aggregate,
     so only small partial sums are shuffled by (repo, path)."""
     rec = F.col(rec_col)
     scored = findings.select(
         "repo", "path",
-        *[keyword_score(rec, a).alias(a) for a in ASPECT_KEYWORDS],
+        *[keyword_score(rec, a, keywords).alias(a) for a in ASPECT_KEYWORDS],
     )
     per_file = scored.groupBy("repo", "path").agg(
         F.count(F.lit(1)).alias("n_recs"), *[F.sum(a).cast("double").alias(a) for a in ASPECT_KEYWORDS]
@@ -78,9 +81,10 @@ def file_recommendations(findings: DataFrame) -> DataFrame:
 def report_sections(file_recs: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """K7/K9: the code-analysis report as ordered rows (repo, seq, path, text).
 
-    seq 0 is the header and analysed-file list entry per file, seq 1 the
-    file's recommendation block; a writer emits them sorted by
-    (repo, seq, path), so no repository is ever gathered into one value."""
+    seq 0: report header; 1: one analysed-file entry per file; 2: the
+    recommendations header; 3: one block per file (or its error, K9). A
+    writer emits them sorted by (repo, seq, path), so no repository is ever
+    gathered into one value."""
     analysed = file_recs.select("repo", "path", F.concat(F.lit("- "), F.col("path"), F.lit("\n")).alias("text"), F.lit(1).alias("seq"))
     blocks = file_recs.select(
         "repo", "path",

@@ -45,7 +45,7 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def _derived(spark: SparkSession, sf_dir: str, table_name: str, sql: str) -> DataFrame:
-    key = (id(spark), os.path.abspath(sf_dir), table_name)
+    key = (spark, os.path.abspath(sf_dir), table_name)
     if key not in _PLANS:
         spark.read.parquet(os.path.join(sf_dir, f"{table_name}.parquet")).createOrReplaceTempView(table_name)
         _PLANS[key] = spark.sql(sql)

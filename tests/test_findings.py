@@ -39,3 +39,16 @@ def test_external_report_severity_and_merge(spark):
     assert recs[0] == "--- CRITICAL Issues (1) ---"
     assert recs[1].startswith("PHPSTAN [L2:C1]: Possible SQL injection here\nCode context:\n    1: <?php\n--> 2: $x = 1;\n")
     assert "--- LOW Issues (2) ---" in recs
+
+
+def test_user_regex_rule_and_keywords(spark):
+    from revkit.operators.findings import regex_rule, run_rules
+    from revkit.operators.metrics import ASPECT_KEYWORDS, file_metrics
+
+    files = files_df(spark, [("a.go", "package a\n// HACK here\nx := 1 // HACK again\n")])
+    found = run_rules(files, [regex_rule("U1", r"HACK", "Remove hack"), regex_rule("U2", r"^//", "Comment line", scope="line")])
+    got = sorted((r.rule_id, r.msg) for r in found.collect())
+    assert got == [("U1", "a.go:2: Remove hack"), ("U1", "a.go:3: Remove hack"), ("U2", "a.go:2: Comment line")]
+    kw = dict(ASPECT_KEYWORDS, clarity=["hack"])
+    m = file_metrics(found, keywords=kw).first()
+    assert m.clarity == 2.0 and m.n_recs == 3
