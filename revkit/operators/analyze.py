@@ -37,14 +37,36 @@ def language_rules(langs: Sequence[str] = LANGS) -> list[Rule]:
 
 
 def resolve_test_siblings(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """M1: drop D3 candidates whose sibling test file exists in the same repo.
-
-    Only (repo, path) keys take part, never file content; the join is on
-    small rows and AQE may broadcast the key side once its size is known."""
+    """M1 on finding rows that carry a candidate key (kept for callers that
+    build their own D3 candidates): drop rows whose key names an existing
+    file of the same repository."""
     keys = files.select("repo", F.col("path").alias("key")).withColumn("_has", F.lit(True))
     return findings.join(keys, on=["repo", "key"], how="left").where(F.col("_has").isNull()).drop("_has")
 
 
+def sibling_test_findings(files: DataFrame, seqs: Sequence[int], known: DataFrame | None = None) -> DataFrame:
+    """D3 + M1: 'Create unit tests for {f}' for files whose lower-cased path
+    lacks 'test' and whose sibling test file is not in the same repository.
+
+    Reads (repo, path, lang) only; the left anti join runs on small key rows,
+    never on file content or on the other findings. ``known`` is the key set
+    to look siblings up in (default: ``files`` itself; a static snapshot for
+    a stream)."""
+    known = (known if known is not None else files).select("repo", F.col("path").alias("sib"))
+    cand = (
+        files.select("repo", "path", "lang")
+        .where(~F.contains(F.lower(F.col("path")), F.lit("test")))
+        .withColumn("tp", D.test_path(F.col("path")))
+    )
+    cond = (cand["repo"] == known["repo"]) & (cand["tp"] == known["sib"]) & (cand["tp"] != cand["path"])
+    kept = cand.join(known, cond, "left_anti")
+    return kept.select(
+        "repo", "path", "lang", F.lit("D3").alias("rule_id"), F.explode(F.array(*[F.lit(s) for s in seqs])).alias("rule_seq"),
+        F.lit(1).alias("occ"), F.lit(0).alias("line"), F.lit(0).alias("col"),
+        F.concat(F.lit("Create unit tests for "), F.col("path")).alias("msg"), F.lit(None).cast("string").alias("key"),
+    )
+
+
 def analyze(files: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, langs: Sequence[str] = LANGS,
             with_aspects: bool = True) -> DataFrame:
     """Findings for every file: aspect bundles first, then language rules.
@@ -55,6 +77,7 @@ def analyze(files: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, langs: S
     rules = (D.bundle(aspects) if with_aspects else []) + language_rules(langs)
     prepped, ctx = prepare(files, rules)
     found = explode_findings(prepped, rule_array(ctx, rules))
-    if with_aspects and any(r.rule_id == "D3" for r in rules):
-        found = resolve_test_siblings(found, files)
+    d3 = [k + 1 for k, r in enumerate(rules) if r.rule_id == "D3"]
+    if d3:
+        found = found.unionByName(sibling_test_findings(files, d3))
     return found

@@ -101,8 +101,14 @@ def _with_lines(refs: DataFrame, files: DataFrame, broadcast_max_rows: int | Non
         .agg(F.collect_list(F.struct(*[c for c in refs.columns if c not in ("repo", "path")])).alias("refs"))
     )
     side = grouped
-    if broadcast_max_rows is not None and grouped.count() <= broadcast_max_rows:
-        side = F.broadcast(grouped)
+    if broadcast_max_rows is not None:
+        # the grouped references are used twice (size check, join): write them
+        # once to the shared checkpoint folder, which also cuts their lineage
+        from revkit.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(refs.sparkSession)
+        grouped = grouped.checkpoint(eager=True)
+        side = F.broadcast(grouped) if grouped.count() <= broadcast_max_rows else grouped
     lines = files.select("repo", "path", T.lines(F.col("content")).alias("lines"))
     joined = lines.join(side, ["repo", "path"])
     return joined.select("repo", "path", "lines", F.explode("refs").alias("r")).select("repo", "path", "lines", "r.*")

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from revkit.functions.scoring import DEFAULT_ASPECTS
 from revkit.operators import aspects as D
-from revkit.operators.analyze import LANGS, language_rules, resolve_test_siblings, with_language
+from revkit.operators.analyze import LANGS, language_rules, sibling_test_findings, with_language
 from revkit.operators.findings import explode_findings, prepare, rule_array
 
 FILE_SCHEMA = StructType(
@@ -35,10 +35,10 @@ def findings_stream(files: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS,
     """Stateless findings per arriving file (append mode)."""
     files = with_language(files)
     rules = D.bundle(aspects) + language_rules(langs)
-    if known_files is None:
-        rules = [r for r in rules if r.rule_id != "D3"]
     prepped, ctx = prepare(files, rules)
     found = explode_findings(prepped, rule_array(ctx, rules))
-    if known_files is not None:
-        found = resolve_test_siblings(found, known_files)
+    d3 = [k + 1 for k, r in enumerate(rules) if r.rule_id == "D3"]
+    if known_files is not None and d3:
+        # stream-static left anti join against the snapshot of known keys
+        found = found.unionByName(sibling_test_findings(files, d3, known=known_files))
     return found
