@@ -23,6 +23,9 @@ def get_session(master: str | None = None, app: str = "revkit", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # rule evaluation is CPU-heavy per byte of source text: smaller scan
+        # splits give more, shorter tasks (and less to redo on a lost executor)
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("REVKIT_MAX_PARTITION_BYTES", "32m"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("REVKIT_DRIVER_MEMORY", "16g"))
