@@ -485,3 +485,55 @@ def q_go_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_go_block_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I3, I5, I7, I8 (function and block segments); checked against hand fixtures."""
     return _go_rows(spark, sf_dir).where(F.col("code").isin(*GO_BLOCK_CODES))
+
+
+# ------------------------------------------ H14 / H18 with their own oracles
+
+def _py_lines_cte() -> str:
+    return f"""p AS (SELECT repo, path, regexp_extract(path, '[^/]*$') AS base, string_split(content, chr(10)) AS ls FROM files WHERE lang = 'python'),
+ln AS (SELECT repo, path, base, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM p),
+t AS (SELECT *, {_trim('l')} AS tr, strlen(l) - strlen(ltrim(l, ' ' || chr(9))) AS ind FROM ln)"""
+
+
+def _function_length_sql() -> str:
+    from revkit.operators import python as H
+
+    return f"""WITH {FILES_CTE}, {_py_lines_cte()},
+c AS (SELECT *, starts_with(tr, 'def ') AS defp, starts_with(tr, 'def ') AND {rl('tr', H.FUNC_NAME)} AS valid
+      FROM t WHERE NOT (tr = '' OR starts_with(tr, '#'))),
+d AS (SELECT repo, path, base, n, ind, regexp_extract(tr, {q(H.FUNC_NAME)}, 1) AS name FROM c WHERE valid),
+e AS (SELECT d.repo, d.path, d.n, min(c.n) AS end_n FROM d JOIN c ON c.repo = d.repo AND c.path = d.path AND c.n > d.n
+        AND (c.valid OR (NOT c.defp AND c.ind <= d.ind)) GROUP BY d.repo, d.path, d.n),
+k AS (SELECT d.repo, d.path, d.base, d.n, d.name, 1 + count(c.n) AS cnt
+      FROM d LEFT JOIN e ON e.repo = d.repo AND e.path = d.path AND e.n = d.n
+      LEFT JOIN c ON c.repo = d.repo AND c.path = d.path AND c.n > d.n AND c.n < coalesce(e.end_n, 2147483647) AND NOT c.defp
+      GROUP BY d.repo, d.path, d.base, d.n, d.name)
+SELECT repo, path, 'PYL302' AS code, CAST(n AS BIGINT) AS line,
+  base || ':' || CAST(n AS VARCHAR) || ':1 [warning] PYL302: Function ''' || name || ''' is too long (' || CAST(cnt AS VARCHAR) || ' lines). Consider refactoring' AS recommendation
+FROM k WHERE cnt > 50"""
+
+
+@register("python_function_length", _function_length_sql())
+def q_python_function_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions longer than 50 counted lines (the function-length fold)."""
+    return _python_rows(spark, sf_dir).where(F.col("code") == "PYL302")
+
+
+def _quote_style_sql() -> str:
+    tok = q("'\"*'?|\"'*\"?")
+    sq, dq = "chr(39)", "chr(34)"
+    return f"""WITH {FILES_CTE}, {_py_lines_cte()},
+qt AS (SELECT repo, path, base, regexp_extract_all(regexp_replace(l, '[^' || {sq} || {dq} || ']', '', 'g'), {tok}) AS toks FROM t),
+cnt AS (SELECT repo, path, base,
+          sum(len(list_filter(toks, lambda x: starts_with(x, {sq}))) + len(list_filter(toks, lambda x: starts_with(x, {sq}) AND len(x) >= 2 AND ends_with(x, {sq})))) AS s,
+          sum(len(list_filter(toks, lambda x: starts_with(x, {dq}))) + len(list_filter(toks, lambda x: starts_with(x, {dq}) AND len(x) >= 2 AND ends_with(x, {dq})))) AS d
+        FROM qt GROUP BY repo, path, base)
+SELECT repo, path, 'PYL502' AS code, CAST(1 AS BIGINT) AS line,
+  base || ':1:1 [info] PYL502: Inconsistent quote style. Consider using consistent string quotes' AS recommendation
+FROM cnt WHERE s > 0 AND d > 0 AND (s > d * 3 OR d > s * 3)"""
+
+
+@register("python_quote_style", _quote_style_sql())
+def q_python_quote_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote-balance fold per line, summed per file."""
+    return _python_rows(spark, sf_dir).where(F.col("code") == "PYL502")
