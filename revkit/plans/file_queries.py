@@ -537,3 +537,49 @@ FROM cnt WHERE s > 0 AND d > 0 AND (s > d * 3 OR d > s * 3)"""
 def q_python_quote_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote-balance fold per line, summed per file."""
     return _python_rows(spark, sf_dir).where(F.col("code") == "PYL502")
+
+
+def _go_block_sql() -> str:
+    from revkit.operators import golang as G
+
+    code = f"regexp_replace(regexp_replace(l, {q(G.STRING_LITERAL)}, '\"\"', 'g'), {q(G.LINE_COMMENT)}, '')"
+    strip = _trim
+    ret_pieces = f"string_split(regexp_extract(b.code, {q(G.RETURN)}, 1), ',')"
+    named = f"len(list_filter(string_split(regexp_extract(rest, {q(r'^\s*\(([^)]*)\)')}, 1), ','), lambda e: regexp_matches({strip('e')}, {q(r'^\w+\s+\S')}))) > 0"
+    return f"""WITH {FILES_CTE},
+g AS (SELECT repo, path, string_split(content, chr(10)) AS ls FROM files WHERE lang = 'go'),
+gl AS (SELECT repo, path, len(ls) AS total, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM g),
+pk AS (SELECT DISTINCT repo, path FROM gl WHERE {rl('l', G.PACKAGE)}),
+gc AS (SELECT gl.*, {code} AS code FROM gl JOIN pk USING (repo, path)),
+gs AS (SELECT *, {strip('code')} AS sc, strlen(code) - strlen(ltrim(code, ' ' || chr(9))) AS ind FROM gc),
+f AS (SELECT repo, path, total, n AS fn, regexp_extract(l, {q(G.FUNC)}, 2) AS name, regexp_extract(l, {q(G.FUNC)}, 4) AS rest FROM gs WHERE {rl('l', G.FUNC)}),
+fe AS (SELECT f.repo, f.path, f.fn, coalesce(min(x.n), any_value(f.total)) AS end_n FROM f
+       LEFT JOIN gs x ON x.repo = f.repo AND x.path = f.path AND x.n > f.fn AND rtrim(x.code, ' ' || chr(9) || chr(13)) = '}}'
+       GROUP BY f.repo, f.path, f.fn),
+body AS (SELECT f.repo, f.path, f.fn, f.name, f.rest, b.n, b.sc FROM f JOIN fe USING (repo, path, fn)
+         JOIN gs b ON b.repo = f.repo AND b.path = f.path AND b.n > f.fn AND b.n < fe.end_n),
+i3 AS (SELECT repo, path, fn, name, count(*) FILTER (WHERE sc <> '' AND NOT starts_with(sc, '}}')) + count(*) FILTER (WHERE ends_with(sc, '{{')) AS k
+       FROM body GROUP BY repo, path, fn, name),
+ck AS (SELECT repo, path, total, n, ind FROM gs WHERE {rl('code', G.ERR_CHECK)}),
+ce AS (SELECT ck.repo, ck.path, ck.n, coalesce(min(x.n), any_value(ck.total) + 1) AS end_n FROM ck
+       LEFT JOIN gs x ON x.repo = ck.repo AND x.path = ck.path AND x.n > ck.n AND x.ind = ck.ind AND starts_with(x.sc, '}}')
+       GROUP BY ck.repo, ck.path, ck.n),
+hd AS (SELECT ce.repo, ce.path, ce.n,
+         coalesce(bool_or({rl('b.code', G.RETURN)} AND len(list_filter({ret_pieces}, lambda r: regexp_matches({strip('r')}, '^(err|\\w*Err|\\w*Error)$'))) > 0), false) AS handled
+       FROM ce LEFT JOIN gs b ON b.repo = ce.repo AND b.path = ce.path AND b.n > ce.n AND b.n < ce.end_n
+       GROUP BY ce.repo, ce.path, ce.n),
+res AS (
+  SELECT repo, path, 'I3' AS code, fn AS line, path || ':' || CAST(fn AS VARCHAR) || ': Function ''' || name || ''' is too long (' || CAST(k AS VARCHAR) || ' statements, consider refactoring)' AS recommendation
+    FROM i3 WHERE k > 50
+  UNION ALL SELECT repo, path, 'I5', n, path || ':' || CAST(n AS VARCHAR) || ': Naked return in function ''' || name || ''' reduces code readability'
+    FROM body WHERE sc = 'return' AND {named}
+  UNION ALL SELECT repo, path, 'I7', n, path || ':' || CAST(n AS VARCHAR) || ': Error check doesn''t properly return or handle the error' FROM hd WHERE NOT handled
+  UNION ALL SELECT repo, path, 'I8', 1, path || ':1: Many error checks don''t properly return or handle the error' FROM hd
+    GROUP BY repo, path HAVING count(*) > 0 AND count(*) FILTER (WHERE handled) < count(*) // 2
+)
+SELECT repo, path, code, CAST(line AS BIGINT) AS line, recommendation FROM res"""
+
+
+from revkit.plans.queries import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["go_block_findings"] = _go_block_sql()
