@@ -583,3 +583,49 @@ SELECT repo, path, code, CAST(line AS BIGINT) AS line, recommendation FROM res""
 from revkit.plans.queries import ORACLE as _ORACLE  # noqa: E402
 
 _ORACLE["go_block_findings"] = _go_block_sql()
+
+
+def _delimiter_sql() -> str:
+    """H1 replayed per character with a recursive CTE (stack as a string of
+    expected closers, reset per line; a mismatch is reported and not popped)."""
+    ch = "substr(s.l, s.k + 1, 1)"
+    bad = f"({ch} IN (')', ']', '}}') AND (s.stack = '' OR right(s.stack, 1) <> {ch}))"
+    return f"""WITH RECURSIVE {FILES_CTE}, {_py_lines_cte()},
+st(repo, path, base, n, l, k, stack, hits) AS (
+  SELECT repo, path, base, n, l, 0, '', []::INTEGER[] FROM t WHERE regexp_matches(l, '[)\\]}}]')
+  UNION ALL
+  SELECT s.repo, s.path, s.base, s.n, s.l, s.k + 1,
+    CASE WHEN {ch} = '(' THEN s.stack || ')' WHEN {ch} = '[' THEN s.stack || ']' WHEN {ch} = '{{' THEN s.stack || '}}'
+         WHEN {bad} THEN s.stack WHEN {ch} IN (')', ']', '}}') THEN left(s.stack, length(s.stack) - 1) ELSE s.stack END,
+    CASE WHEN {bad} THEN list_append(s.hits, s.k + 1) ELSE s.hits END
+  FROM st s WHERE s.k < length(s.l)
+),
+fin AS (SELECT repo, path, base, n, l, unnest(hits) AS h FROM st WHERE k = length(l))
+SELECT repo, path, 'PYL001' AS code, CAST(n AS BIGINT) AS line,
+  base || ':' || CAST(n AS VARCHAR) || ':' || CAST(strlen(substr(l, 1, h - 1)) + 1 AS VARCHAR) || ' [error] PYL001: Unbalanced delimiter: ''' || substr(l, h, 1) || '''' AS recommendation
+FROM fin"""
+
+
+def _indent_sql() -> str:
+    """H3 replayed line by line with a recursive CTE over each file's counted lines."""
+    last_le = "len(r.stack) - list_position(list_reverse(list_transform(r.stack, lambda v: v <= x.ind)), true) + 1"
+    new_stack = (
+        f"CASE WHEN ends_with(x.tr, ':') THEN list_append(r.stack, x.ind + 4) WHEN x.ind < r.stack[-1] THEN list_slice(r.stack, 1, {last_le}) "
+        "ELSE r.stack END"
+    )
+    return f"""WITH RECURSIVE {FILES_CTE}, {_py_lines_cte()},
+nl AS (SELECT repo, path, base, n, tr, ind, row_number() OVER (PARTITION BY repo, path ORDER BY n) AS rn FROM t WHERE NOT (tr = '' OR starts_with(tr, '#'))),
+rec(repo, path, base, rn, stack, n, ind) AS (
+  SELECT DISTINCT repo, path, base, 0, [0], NULL::BIGINT, NULL::BIGINT FROM nl
+  UNION ALL
+  SELECT x.repo, x.path, x.base, x.rn, {new_stack}, x.n, x.ind
+  FROM rec r JOIN nl x ON x.repo = r.repo AND x.path = r.path AND x.rn = r.rn + 1
+)
+SELECT repo, path, 'PYL003' AS code, CAST(n AS BIGINT) AS line,
+  base || ':' || CAST(n AS VARCHAR) || ':1 [error] PYL003: Indentation error: expected ' || CAST(stack[-1] AS VARCHAR) || ' spaces, got ' || CAST(ind AS VARCHAR) AS recommendation
+FROM rec WHERE rn > 0 AND ind > 0 AND ind <> stack[-1]"""
+
+
+_ORACLE["python_stateful_findings"] = "\nUNION ALL\n".join(
+    f"SELECT * FROM ({sql}) q{i}" for i, sql in enumerate([_delimiter_sql(), _indent_sql(), _function_length_sql(), _quote_style_sql()])
+)

@@ -92,3 +92,23 @@ def q_stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = read_files(spark, path, max_files=2)
     found = findings_stream(stream, known_files=spark.read.parquet(path).select("repo", "path"))
     return _run(found.select("repo", "path", "rule_id", "occ", "line", "msg"))
+
+
+def _all_findings_sql() -> str:
+    from revkit.plans import file_queries as FQ
+    from revkit.plans.queries import ORACLE
+
+    parts = [FQ.ASPECTS_SQL, FQ.COMMON_SQL, FQ.JAVA_SQL, FQ.PHP_RECS_SQL, FQ.PYTHON_SQL, ORACLE["python_stateful_findings"],
+             FQ.GO_SQL, ORACLE["go_block_findings"]]
+    return "\nUNION ALL\n".join(f"SELECT repo, path, recommendation FROM ({p}) s{i}" for i, p in enumerate(parts))
+
+
+def _register_text():
+    @register("stream_findings_text", _all_findings_sql())
+    def q_stream_findings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """P6 checked end to end: every recommendation of every file that
+        arrives on the stream equals the batch rule families' output."""
+        return q_stream_findings(spark, sf_dir).select("repo", "path", F.col("msg").alias("recommendation"))
+
+
+_register_text()
