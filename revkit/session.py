@@ -36,11 +36,17 @@ def get_session(master: str | None = None, app: str = "revkit", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; create a scratch one only when none is set."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``);
+    create a scratch one only when none is set (local runs and tests)."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if configured and not current:
+        sc.setCheckpointDir(configured)  # DataFrame.checkpoint() reads the context's folder
+        return configured
+    if configured or current:
+        return configured or current
     path = tempfile.mkdtemp(prefix="revkit-ckpt-", dir=os.environ.get("REVKIT_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
