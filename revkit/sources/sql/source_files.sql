@@ -7,21 +7,21 @@ SELECT 'repo' || CAST((doc_id - doc_id % 24) % 5 AS STRING) AS repo,
   CASE doc_id % 12
   WHEN 0 THEN 'import os' || chr(10) || 'import requests' || chr(10) || 'import abc' || chr(10) || 'from os import *' || chr(10)
     || 'def load(a, b=[]):' || chr(10) || '    try:' || chr(10) || '        run(a + b)' || chr(10) || '    except:' || chr(10) || '        pass' || chr(10)
-    || '# TODO ' || substr(text, 1, 60) || chr(10) || 'camelCase = 1' || chr(10) || '_X = f(2))' || chr(10)
-  WHEN 1 THEN 'class Foo:' || chr(10) || '    """' || substr(text, 1, 120) || '"""' || chr(10) || '    def bar(self):' || chr(10)
-    || chr(9) || '    password = ' || chr(39) || 'abcd' || chr(39) || chr(10) || '        for x in self.y:' || chr(10) || '            out += "' || substr(text, 1, 5) || '"' || chr(10)
+    || '# TODO ' || text || chr(10) || 'camelCase = 1' || chr(10) || '_X = f(2))' || chr(10)
+  WHEN 1 THEN 'class Foo:' || chr(10) || '    """' || text || '"""' || chr(10) || '    def bar(self):' || chr(10)
+    || chr(9) || '    password = ' || chr(39) || 'abcd' || chr(39) || chr(10) || '        for x in self.y:' || chr(10) || '            out += "' || text || '"' || chr(10)
     || '            l += [x]' || chr(10) || '        for z in l:' || chr(10) || '            l += [z]' || chr(10) || '        print "x"' || chr(10)
   WHEN 2 THEN 'def long(' || chr(10) || '        a,' || chr(10) || '        b):' || chr(10) || repeat('    tmp = a' || chr(10), CAST(40 + doc_id % 30 AS INT)) || 'import urllib2' || chr(10)
-    || 'cursor.execute("select %s" % a)' || chr(10) || 'except Exception:' || chr(10) || substr(text, 1, 300)
+    || 'cursor.execute("select %s" % a)' || chr(10) || 'except Exception:' || chr(10) || text
   WHEN 3 THEN 'import java.util.*;' || chr(10) || 'public class A implements Serializable {' || chr(10) || chr(10) || '  public int size = ' || CAST(doc_id AS STRING) || ';' || chr(10)
-    || '  // FIXME: ' || substr(text, 1, 50) || '  ' || chr(10) || '  void m() { try { x(); } catch (Throwable t) { } }' || chr(10) || '  void n() { System.out.print(3.14); }' || chr(10) || '}'
-  WHEN 4 THEN 'class B { String a = "' || substr(replace(text, chr(34), ' '), 1, 40) || '", b = "another long literal", c = "third long literal here", d = "fourth long literal";' || chr(13) || chr(10)
+    || '  // FIXME: ' || text || '  ' || chr(10) || '  void m() { try { x(); } catch (Throwable t) { } }' || chr(10) || '  void n() { System.out.print(3.14); }' || chr(10) || '}'
+  WHEN 4 THEN 'class B { String a = "' || replace(text, chr(34), ' ') || '", b = "another long literal", c = "third long literal here", d = "fourth long literal";' || chr(13) || chr(10)
     || '  void p() { try { r = new FileInputStream(f); r.close(); }' || chr(10) || '  if (a && b && c || d) { } }' || chr(10) || 'try {' || chr(10) || '} catch (Exception e) {' || chr(10) || '}' || chr(10)
   WHEN 5 THEN repeat('import a.b.C;' || chr(10), 31) || repeat('if (x != null) { y(); }' || chr(10), 6) || 'public void big(int a) {' || chr(10) || repeat('  a >>= 1;' || chr(9) || chr(10), CAST(45 + doc_id % 12 AS INT)) || '}' || chr(10)
-  WHEN 6 THEN '<?php' || chr(10) || 'use Foo' || chr(92) || 'Bar;' || chr(10) || 'echo $_GET["q"];' || chr(10) || '$db->query("select " . $x);' || chr(10) || 'md5($p); @fopen($f); eval($c);' || chr(10) || substr(text, 1, 80)
-  WHEN 7 THEN repeat('md5($a); sha1($b);' || chr(10), 3) || '<form action="/x" method="post">' || chr(10) || '$c = ["password" => "abcdef", "key" => "' || substr(replace(text, chr(34), ' '), 1, 9) || '"];' || chr(10) || 'header("Location: $u"); exit(); session_start(); $_FILES["a"];' || chr(10)
-  WHEN 8 THEN '<?php ?> x <?php' || chr(10) || 'const abc = 1; global $g; var_dump($g); if ($a === null) { die(1); }' || chr(10) || 'include ($p); system($cmd); split("a"); mysql_query($q);' || chr(10) || substr(text, 1, 40)
-  WHEN 9 THEN 'package x' || chr(10) || 'import (' || chr(10) || '  "context"' || chr(10) || '  _ "fmt"' || chr(10) || ')' || chr(10) || 'func Load(a int) (n int, err error) {' || chr(10) || '  if err := f(); err != nil {' || chr(10) || '    log(err)' || chr(10) || '  }' || chr(10) || '  return' || chr(10) || '}' || chr(10) || '// TODO: ' || substr(text, 1, 70)
+  WHEN 6 THEN '<?php' || chr(10) || 'use Foo' || chr(92) || 'Bar;' || chr(10) || 'echo $_GET["q"];' || chr(10) || '$db->query("select " . $x);' || chr(10) || 'md5($p); @fopen($f); eval($c);' || chr(10) || text
+  WHEN 7 THEN repeat('md5($a); sha1($b);' || chr(10), 3) || '<form action="/x" method="post">' || chr(10) || '$c = ["password" => "abcdef", "key" => "' || replace(text, chr(34), ' ') || '"];' || chr(10) || 'header("Location: $u"); exit(); session_start(); $_FILES["a"];' || chr(10)
+  WHEN 8 THEN '<?php ?> x <?php' || chr(10) || 'const abc = 1; global $g; var_dump($g); if ($a === null) { die(1); }' || chr(10) || 'include ($p); system($cmd); split("a"); mysql_query($q);' || chr(10) || text
+  WHEN 9 THEN 'package x' || chr(10) || 'import (' || chr(10) || '  "context"' || chr(10) || '  _ "fmt"' || chr(10) || ')' || chr(10) || 'func Load(a int) (n int, err error) {' || chr(10) || '  if err := f(); err != nil {' || chr(10) || '    log(err)' || chr(10) || '  }' || chr(10) || '  return' || chr(10) || '}' || chr(10) || '// TODO: ' || text
   WHEN 10 THEN '// Package y docs' || chr(10) || 'package y' || chr(10) || 'func run() error {' || chr(10) || '  v, err := ioutil.ReadAll(r)' || chr(10) || '  if err != nil {' || chr(10) || '    return err' || chr(10) || '  }' || chr(10) || '  return nil' || chr(10) || '}' || chr(10)
-  ELSE 'const a = 1; // ' || substr(text, 1, 200) || chr(10) || 'if (a && b && c && d) { console.log(a) }' END AS content
+  ELSE 'const a = 1; // ' || text || chr(10) || 'if (a && b && c && d) { console.log(a) }' END AS content
 FROM documents
