@@ -59,17 +59,25 @@ def public_fields(c: Ctx) -> Column:
     )
 
 
+def try_offsets(c: Ctx) -> Column:
+    """Per file, once: try offsets and lines, last catch/finally offset, empty-catch offsets and lines."""
+    return F.struct(
+        T.match_char_offsets(c.content, TRY).alias("tries"),
+        T.match_lines(c.content, TRY).alias("try_lines"),
+        F.greatest(
+            F.coalesce(F.array_max(T.match_char_offsets(c.content, CATCH)), F.lit(-1)),
+            F.coalesce(F.array_max(T.match_char_offsets(c.content, FINALLY)), F.lit(-1)),
+        ).alias("last_handler"),
+        T.match_char_offsets(c.content, EMPTY_CATCH).alias("ec_off"),
+        T.match_lines(c.content, EMPTY_CATCH).alias("ec_lines"),
+    )
+
+
 def try_blocks(c: Ctx) -> Column:
     """F5 + F6, interleaved per try: missing catch/finally, then the first
     empty catch at or after the try (one per try, duplicates kept)."""
-    tries = T.match_char_offsets(c.content, TRY)
-    try_lines = T.match_lines(c.content, TRY)
-    last_handler = F.greatest(
-        F.coalesce(F.array_max(T.match_char_offsets(c.content, CATCH)), F.lit(-1)),
-        F.coalesce(F.array_max(T.match_char_offsets(c.content, FINALLY)), F.lit(-1)),
-    )
-    ec_off = T.match_char_offsets(c.content, EMPTY_CATCH)
-    ec_lines = T.match_lines(c.content, EMPTY_CATCH)
+    t = c.extra["java_try"]
+    try_lines, last_handler, ec_off, ec_lines = t["try_lines"], t["last_handler"], t["ec_off"], t["ec_lines"]
     nbytes = F.octet_length(c.content)
 
     def per_try(off: Column, k: Column) -> Column:
@@ -91,7 +99,7 @@ def try_blocks(c: Ctx) -> Column:
             lambda x: x.isNotNull(),
         )
 
-    return F.flatten(F.transform(tries, per_try))
+    return F.flatten(F.transform(t["tries"], per_try))
 
 
 def hardcoded_strings(c: Ctx) -> Column:
@@ -198,7 +206,7 @@ def rules() -> list[Rule]:
             F.lit("Empty "), g[0], F.lit(" block. Add comments explaining why or implement properly"))), groups=(1,)), j),
         Rule("F3", null_checks, j),
         Rule("F4", public_fields, j),
-        Rule("F5", try_blocks, j),
+        Rule("F5", try_blocks, j, prep=(("java_try", try_offsets),)),
         Rule("F7", lambda c: per_match(c.content, GENERIC_CATCH, lambda ln, g: loc(c, ln, F.concat(
             F.lit("Catching generic Exception '"), g[0], F.lit("'. Catch more specific exceptions"))), groups=(1,)), j),
         Rule("F8", hardcoded_strings, j),
