@@ -56,7 +56,10 @@ def _hit(seq: int, line: Column, col: Column) -> Column:
 
 def _line_hits(ctx: Ctx, pattern: str, seq: int) -> Column:
     def on_line(l: Column, i: Column) -> Column:
-        return F.transform(T.match_byte_offsets(l, pattern), lambda o: _hit(seq, i + 1, o + 1))
+        # one matching pass rejects the (many) lines without a hit before the
+        # tagging passes that locate byte columns
+        hits = F.transform(T.match_byte_offsets(l, pattern), lambda o: _hit(seq, i + 1, o + 1))
+        return F.when(T.rlike(l, pattern), hits).otherwise(F.array().cast(HIT))
 
     return F.flatten(F.transform(ctx.lines, on_line))
 
