@@ -114,7 +114,8 @@ def match_char_offsets(s: Column, go_pattern: str) -> Column:
     """0-based character offset of every match (for ordering matches of
     different patterns within one text)."""
     parts = F.split(_marked(s, go_pattern), MARK, -1)
-    return F.transform(
+    offsets = F.transform(
         F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
         lambda _p, k: F.length(F.array_join(F.slice(parts, 1, k + 1), "")),
     )
+    return F.when(rlike(s, go_pattern), offsets).otherwise(F.array().cast("array<int>"))
