@@ -28,7 +28,9 @@ RETURN = r"^\s*return\b(.*)$"
 CONTEXT_IMPORT = r"^\s*(import\s+)?\"context\"\s*$"
 
 
-STRING_LITERAL = r'"([^"\\]|\\.)*"|`[^`]*`'
+# string literals, written as an unrolled loop (same matches as
+# "([^"\\]|\\.)*") so a long literal does not recurse in the Java engine
+STRING_LITERAL = r'"[^"\\]*(?:\\.[^"\\]*)*"|`[^`]*`'
 LINE_COMMENT = r"//.*$"
 
 
