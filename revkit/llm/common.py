@@ -7,8 +7,12 @@ U+0009..U+000D, and whole texts are read (no prefixes).
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
+import revkit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python this package, once a context (a cluster's
+    machines need no copy of it)."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_revkit_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(revkit.__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="revkit-ship-"), "revkit")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "revkit"))
+        sc._revkit_shipped = True
+    return spark
+
+
 def text_or_empty(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
