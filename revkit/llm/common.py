@@ -20,6 +20,8 @@ from revkit.session import ensure_checkpoint_dir
 
 #: The white space that separates words.
 WS = r"\x20\x09-\x0D"
+#: Bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 16 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,6 +40,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors' Python this package, once a context (a cluster's
     machines need no copy of it)."""
+    # whole texts of any length in bounded batches
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not getattr(sc, "_revkit_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(revkit.__file__)))
