@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, exact_dedup, near_dedup, packing, quality_rules
+from revkit.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer file of the queries; operators take a path.
@@ -71,3 +71,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_minhash_near_dedup")
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"))
+
+
+@register("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
