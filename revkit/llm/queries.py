@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_rules
+from revkit.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer file of the queries; operators take a path.
@@ -77,3 +77,9 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.train(docs))
+
+
+@register("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))

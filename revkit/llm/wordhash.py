@@ -92,6 +92,17 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) byte positions of the words."""
+    starts = word_starts(data, offsets)
+    inside = ~_SPACES[data]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    heads = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    last[heads - 1] = inside[heads - 1]
+    return starts, np.flatnonzero(last) + 1
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, word offsets of the rows) of one block."""
     starts = word_starts(data, offsets)
