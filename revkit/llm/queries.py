@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, exact_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
+from revkit.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer file of the queries; operators take a path.
@@ -83,3 +83,27 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+_OP5 = rf"""WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, '{line_dedup.HOST}', 1)), '') AS host,
+    list_filter(list_transform(
+      regexp_split_to_array(regexp_replace(coalesce(html, ''), '{line_dedup.DROPPED}', '', 'g'), '{line_dedup.BREAKS}'),
+      lambda s: regexp_replace(regexp_replace(s, '{line_dedup.TAGS}', '', 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda s: s <> '') AS lines
+  FROM pages
+), l AS (SELECT r, host, unnest(list_distinct(lines)) AS line FROM p WHERE host IS NOT NULL),
+bad AS (
+  SELECT host, line FROM l GROUP BY host, line
+  HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > {line_dedup.RATIO} * (SELECT count(*) FROM p WHERE p.host = l.host)
+), d AS (SELECT r, list(line) AS gone FROM l JOIN bad USING (host, line) GROUP BY r),
+k AS (
+  SELECT page_id, host, lines, list_filter(lines, lambda s: NOT list_contains(coalesce(gone, []), s)) AS kept
+  FROM p LEFT JOIN d USING (r)
+)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text
+FROM k"""
+
+
+@register("op5_line_dedup", _OP5)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "pages"))
