@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
+from revkit.llm import bpe, exact_dedup, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer file of the queries; operators take a path.
@@ -107,3 +107,8 @@ FROM k"""
 @register("op5_line_dedup", _OP5)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "pages"))
+
+
+@register("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
