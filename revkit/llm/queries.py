@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, exact_dedup, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
+from revkit.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer file of the queries; operators take a path.
@@ -112,3 +112,56 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+#: The file tree of the documents, in SQL that Spark and DuckDB both run: the
+#: source is the repository, the id gives the folder, and half of the texts that
+#: speak of a licence are files named LICENSE, some of them one folder higher.
+_FILES = """SELECT doc_id, source AS repo, text,
+  CASE WHEN doc_id % 2 = 0 AND (lower(text) LIKE '%license%' OR lower(text) LIKE '%licensed%') THEN
+      CASE WHEN doc_id % 3 = 0 THEN concat('d', CAST(doc_id % 16 AS STRING), '/LICENSE')
+        ELSE concat('d', CAST(doc_id % 16 AS STRING), '/e', CAST(doc_id % 64 AS STRING), '/LICENSE') END
+    ELSE concat('d', CAST(doc_id % 16 AS STRING), '/e', CAST(doc_id % 64 AS STRING), '/f', CAST(doc_id AS STRING), '.txt') END AS path
+FROM documents"""
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_SPLIT = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
+_OP8 = f"""WITH f AS (SELECT doc_id, repo, path, coalesce(text, '') AS text, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_matches(path, '/LICENSE$') AS is_license FROM ({_FILES})),
+tpl(template, license, body) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS (SELECT template, term, count(*) AS n FROM (SELECT template, unnest({_SPLIT.format('body')}) AS term FROM tpl) GROUP BY template, term),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_SPLIT.format('text')})) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+n AS (SELECT count(*) AS n FROM f),
+idf AS (SELECT term, ln(((SELECT n FROM n) + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
+tw AS (SELECT template, term, n * idf AS tw FROM tt JOIN idf USING (term)),
+norm AS (SELECT template, sqrt(sum(tw * tw)) AS norm FROM tw GROUP BY template),
+seg AS (
+  SELECT DISTINCT doc_id, segment FROM (
+    SELECT doc_id, unnest(CASE WHEN is_license THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END) AS segment FROM f)
+),
+w AS (
+  SELECT segment, term, count(*) * coalesce(idf, ln((SELECT n FROM n) + 1.0) + 1) AS w
+  FROM (SELECT segment, unnest({_SPLIT.format('segment')}) AS term FROM (SELECT DISTINCT segment FROM seg)) LEFT JOIN idf USING (term) GROUP BY segment, term, idf
+),
+own AS (SELECT segment, sqrt(sum(w * w)) AS own FROM w GROUP BY segment),
+score AS (
+  SELECT segment, license, round(dot / (own * norm), 4) AS score
+  FROM (SELECT segment, template, sum(w * tw) AS dot FROM w JOIN tw USING (term) GROUP BY segment, template)
+    JOIN norm USING (template) JOIN tpl USING (template) JOIN own USING (segment)
+),
+best AS (SELECT doc_id, license, score FROM seg JOIN score USING (segment) WHERE score >= {license_scan.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+m AS (SELECT f.doc_id, repo, path, dir, is_license, license, score FROM f LEFT JOIN best USING (doc_id)),
+holder AS (SELECT repo, dir, license, score FROM m WHERE is_license AND license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY repo, dir ORDER BY score DESC, license) = 1),
+up AS (SELECT m.doc_id, h.dir, h.license, h.score FROM m JOIN holder h ON m.repo = h.repo AND (m.dir = h.dir OR starts_with(m.dir, h.dir || '/'))
+  WHERE m.license IS NULL QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY length(h.dir) DESC) = 1)
+SELECT m.doc_id, m.repo, m.path, coalesce(m.license, up.license) AS license, coalesce(m.score, up.score) AS score,
+  CASE WHEN m.license IS NOT NULL THEN 'own' WHEN up.license IS NOT NULL THEN 'inherited' END AS how,
+  CASE WHEN m.license IS NOT NULL THEN m.dir ELSE up.dir END AS from_dir
+FROM m LEFT JOIN up USING (doc_id)"""
+
+
+@register("op8_license_scan", _OP8)
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(spark.sql(_FILES.replace("FROM documents", "FROM {docs}"), docs=docs))
