@@ -28,8 +28,8 @@ from revkit.llm.common import ship
 from revkit.llm.wordhash import blocks, mix, ngrams, utf8, word_bounds, words
 
 BITS = 18
-#: Labelled rows that training reads at most, and the shards that it deals them to.
-SAMPLE, SHARDS = 16_000, 8
+#: Labelled rows that training reads at most, and the rows of a shard.
+SAMPLE, SHARD_ROWS = 16_000, 2_000
 PASSES, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.0005, 0.002
 #: A text's feature values sum to this.
 SCALE = 12.0
@@ -131,9 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     drawn = truth.select(F.col("doc_id").alias("id"), "label", place.alias("place")).where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
     drawn = F.broadcast(drawn.limit(sample))  # at most ``sample`` rows of three numbers
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id").dropDuplicates(["id"])
-    shard = F.pmod(F.shiftright("place", 32), F.lit(SHARDS))
+    shards = max(1, round(min(total, sample) / SHARD_ROWS))
+    shard = F.pmod(F.shiftright("place", 32), F.lit(shards))
     trained = rows.select(shard.alias("shard"), "place", "label", "text").groupBy("shard").applyInArrow(_train_shard, "slot int, weight double")
-    mean = trained.groupBy("slot").agg((F.sum("weight") / SHARDS).alias("weight")).toArrow()  # at most 2**18 + 1 rows
+    mean = trained.groupBy("slot").agg((F.sum("weight") / shards).alias("weight")).toArrow()  # at most 2**18 + 1 rows
     out[mean.column("slot").to_numpy()] = mean.column("weight").to_numpy()
     return out
 
