@@ -11,11 +11,14 @@ chance of 1 in 10,000.
 
 Candidates are confirmed on the full shingle sets, and links become components.
 No key's documents are paired with each other: in round one each is compared
-with the key's smallest document only, which joins whole groups of copies; in
-round two only documents of a key that still lie in different components are
-compared, by signature, in blocks of bounded size (a key's largest component is
-never compared with itself). Round two leaves out no pair that could link two
-components, so the components are those of all pairs.
+with the key's hub only, one of its documents. The hub is the least in one of
+``ORDERS`` random orders of the ids, so a document of a large group meets that
+many different ones, which joins whole groups of copies. In round two only
+documents of a key that still lie in different components are compared, by
+signature, in blocks of bounded size (a key's largest component is never
+compared with itself), and a pair that shares several keys comes out of the
+first one alone. Round two leaves out no pair that could link two components,
+so the components are those of all pairs.
 
 Equal shingle sequences are collapsed before, so copies cost one row.
 
@@ -44,6 +47,9 @@ SIMILARITY = 80
 #: Documents of a key that are compared at once, and members sent to one task with their hub.
 BLOCK_DOCS, HUB_ROWS = 512, 2000
 
+#: Random orders of the ids by which keys choose their hubs.
+ORDERS = 16
+
 _FACTORS = np.random.default_rng(20240305).integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _FLIPS = np.random.default_rng(20240306).integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
@@ -115,7 +121,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): the chunk keys of every signature."""
+    """(key, k, id): the chunk keys of every signature; k tells which of them it is."""
     picks = chunk_keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +132,19 @@ def index_keys(reps: DataFrame) -> DataFrame:
                 packed = np.full(len(ids), k + 1, np.uint64)
                 for p in pick:
                     packed = mix(packed + sig[:, p] * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(ids)], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(np.full(len(ids), k, np.int32)), pa.array(ids)], ["key", "k", "id"])
+
+    return reps.select("id", "sig").mapInArrow(run, "key long, k int, id long")
 
-    return reps.select("id", "sig").mapInArrow(run, "key long, id long")
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, k, hub, id) of the keys that several ids share."""
+    rng = np.random.default_rng(20240307)
+    masks = F.array(*[F.lit(int(x)) for x in rng.integers(0, 1 << 62, ORDERS)])
+    turned = F.col("id").bitwiseXOR(F.get(masks, F.col("k") % ORDERS))
+    ends = keyed.groupBy("key", "k").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo <> hi")
+    hubs = ends.select("key", F.col("lo").bitwiseXOR(F.get(masks, F.col("k") % ORDERS)).alias("hub"))
+    return keyed.join(hubs, "key").select("key", "k", "hub", "id")
 
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -181,14 +197,17 @@ def _sequence(got: np.ndarray) -> bytes | None:
     return np.stack([mix(one), two + np.uint64(len(got))], 1).tobytes()
 
 
+def texts_of(need: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, seq, text) of the ids needed; repeated rows of one id and text are one."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(need.distinct().join(reps.select("id", "seq"), "id"), "id")
+    return materialize(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a = hub, b) that are links by their full sets. Members meet
     their hub in runs of about HUB_ROWS, so a hub of any size is spread out."""
     pairs = materialize(pairs, "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "seq"), "id")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(need, "id")
-    # repeated rows of one id and text are one
-    texts = materialize(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, reps)
     big = pairs.groupBy("a").count().where(F.col("count") > HUB_ROWS)
     spread = F.coalesce((F.col("count") / HUB_ROWS).cast("int") + 1, F.lit(1))
     dealt = pairs.join(big, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), spread).cast("int").alias("salt"))
@@ -199,43 +218,100 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(_confirm, "a long, b long")
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, cell): per cell, the pairs of different components
-    that are near by signature. A cell holds two blocks at most."""
-
-    def pairs(run: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int]]:
-        ids = np.array([r[0] for r in run])
-        comp = np.array([r[1] for r in run])
-        minor = np.array([r[2] for r in run])
-        sig = np.frombuffer(b"".join(r[3] for r in run), np.uint16).reshape(len(run), VALUES)
-        out = []
-        for i in np.flatnonzero(minor).tolist():
-            other = comp != comp[i]
-            other[:i] &= ~minor[:i]  # two minor documents meet once
-            j = np.flatnonzero(other)
-            if len(j):
-                j = j[(sig[j] != sig[i]).sum(1) <= DISTANCE]
-                out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j.tolist()]
-        return out
-
+def _near_in_cell(k: int, comp: np.ndarray, minor: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) of the cell's pairs of different components that are near by
+    signature and share no earlier key. (If they share one, they come out of its
+    cell, or one of them is its hub and round one compared them.)"""
+    picks = chunk_keys()[:k]
+    for i in np.flatnonzero(minor).tolist():
+        other = comp != comp[i]
+        other[:i] &= ~minor[:i]  # two minor documents meet once
+        j = np.flatnonzero(other)
+        same = sig[j] == sig[i]
+        ok = (~same).sum(1) <= DISTANCE
+        j, same = j[ok], same[ok]
+        for pick in picks if len(j) else ():
+            later = ~same[:, pick].all(1)
+            j, same = j[later], same[later]
+        if len(j):
+            yield i, j
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal (key, cell, k); a cell holds two blocks at most."""
     last, run = None, []
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(6)]
-        out: list[tuple[int, int]] = []
-        for key, cell, i, comp, minor, sig in zip(*cols, strict=True):
-            if (key, cell) != last:
-                out += pairs(run) if len(run) > 1 else []
-                last, run = (key, cell), []
-            run.append((i, comp, minor, sig))
-        yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
-    out = pairs(run) if len(run) > 1 else []
-    yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
+        for key, cell, k, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if (key, cell, k) != last:
+                if len(run) > 1:
+                    yield last, run
+                last, run = (key, cell, k), []
+            run.append(tuple(row))
+    if len(run) > 1:
+        yield last, run
+
+
+def _columns(run: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, components, minor, signatures) of a cell."""
+    ids, comp, minor = (np.array([r[c] for r in run]) for c in range(3))
+    return ids, comp, minor, np.frombuffer(b"".join(r[3] for r in run), np.uint16).reshape(len(run), VALUES)
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that are in some near pair."""
+    for (key, cell, k), run in _cells(batches):
+        ids, comp, minor, sig = _columns(run)
+        hit = np.zeros(len(run), bool)
+        for i, j in _near_in_cell(k, comp, minor, sig):
+            hit[i] = hit[j] = True
+        n = int(hit.sum())
+        if n:
+            cols = [pa.array([key] * n, pa.int64()), pa.array([cell] * n, pa.string()), pa.array([k] * n, pa.int32()), pa.array(ids[hit]), pa.array(comp[hit]), pa.array(minor[hit])]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "cell", "k", "id", "comp", "minor"])
+
+
+def _links_in_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each cell that are links by their full sets; pairs that
+    the cell's links have already joined are left out."""
+    for (_, _, k), run in _cells(batches):
+        ids, comp, minor, sig = _columns(run)
+        sets: dict[int, np.ndarray | None] = {}
+        up = {c: c for c in comp.tolist()}
+
+        def find(c: int, up: dict = up) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        def full(i: int, sets: dict = sets, run: list = run) -> np.ndarray | None:
+            if i not in sets:
+                got, _, _ = shingles(np.frombuffer((run[i][5] or "").encode(), np.uint8), np.array([0, len((run[i][5] or "").encode())]))
+                sets[i] = np.unique(got) if _sequence(got) == run[i][4] else None  # else another text under the same id
+            return sets[i]
+
+        a, b = [], []
+        for i, others in _near_in_cell(k, comp, minor, sig):
+            for j in others.tolist():
+                if find(comp[i]) == find(comp[j]):
+                    continue
+                x, y = full(i), full(j)
+                if x is None or y is None:
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= SIMILARITY * (len(x) + len(y) - both):
+                    up[find(comp[i])] = find(comp[j])
+                    a.append(ids[i])
+                    b.append(ids[j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def unsettled(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that share a key, lie in different components and are near by
-    signature; pairs with the key's hub are left out, round one tested them."""
-    rows = buckets.where("id <> hub").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    """Rows (key, cell, k, id, comp, minor) of the documents that share a key with
+    one of another component, near by signature; within a cell, each such pair
+    that round one has not compared is there."""
+    rows = buckets.where("id <> hub").join(labels, "id", "left").select("key", "k", "id", F.coalesce("comp", "id").alias("comp"))
     rows = materialize(rows, "members")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     sizes = rows.join(mixed, "key").groupBy("key", "comp").count()
@@ -254,9 +330,20 @@ def unsettled(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFra
     major_cells = F.transform(upto(F.col("small")), lambda i: both("M", i, F.col("mine")))
     rows = rows.withColumns({"small": small, "large": large, "mine": mine})
     cells = F.when(F.col("n") <= BLOCK_DOCS, F.array(F.lit("s"))).when(F.col("minor"), minor_cells).otherwise(major_cells)
-    dealt = rows.select("key", F.explode(cells).alias("cell"), "id", "comp", "minor").join(reps.select("id", "sig"), "id")
-    dealt = dealt.select("key", "cell", "id", "comp", "minor", "sig")
-    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_cross_pairs, "a long, b long").distinct()
+    dealt = rows.select("key", F.explode(cells).alias("cell"), "k", "id", "comp", "minor").join(reps.select("id", "sig"), "id")
+    return by_cell(dealt.select("key", "cell", "k", "id", "comp", "minor", "sig")).mapInArrow(_involved, "key long, cell string, k int, id long, comp long, minor boolean")
+
+
+def by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "k", "id")
+
+
+def cross_links(rows: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of the cells of ``rows``."""
+    rows = materialize(rows, "unsettled")
+    texts = texts_of(rows.select("id"), docs, reps)
+    full = rows.join(reps.select("id", "sig"), "id").join(texts, "id").select("key", "cell", "k", "id", "comp", "minor", "sig", "seq", "text")
+    return by_cell(full).mapInArrow(_links_in_cell, "a long, b long")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,16 +353,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     named = feats.where("doc_id IS NOT NULL AND seq IS NOT NULL")
     least = named.groupBy("seq").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
     reps = materialize(least.select(F.col("m.doc_id").alias("id"), "seq", "m.sig"), "classes")
-    keyed = index_keys(reps)
-    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
-    buckets = materialize(keyed.join(shared, "key"), "buckets")
-    first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    buckets = materialize(shared_keys(index_keys(reps)), "buckets")
+    first = buckets.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     links = confirmed(_near(first, reps), docs, reps)
     # an id that stands for two sequences links them, and all rows of an id are one document
     twice = named.join(reps.select("seq", "id"), "seq").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     repeated = named.groupBy("doc_id").agg(F.min("seq").alias("s"), F.max("seq").alias("t")).where("s <> t").select(F.col("doc_id").alias("a"))
     labels = connected(links.unionByName(twice.join(repeated, "a", "left_semi")))
-    more = confirmed(unsettled(buckets, labels, reps), docs, reps)
+    more = cross_links(unsettled(buckets, labels, reps), docs, reps)
     labels = materialize(merge_labels(labels, more), "components")
     classes = reps.join(labels, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))
     out = feats.join(classes, "seq", "left")
