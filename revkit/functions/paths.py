@@ -73,6 +73,18 @@ def repo_info(url: Column) -> Column:
     )
 
 
+#: Characters that a path segment keeps and form encoding does not, and the one it escapes.
+_SEGMENT_KEEPS = (("%40", "@"), ("%2B", "+"), ("%7E", "~"), ("%26", "&"), ("%3D", "="), ("%3A", ":"), ("%24", "$"))
+
+
+def path_escape(text: Column) -> Column:
+    """A text as one path segment: form encoding, then the characters that differ."""
+    out = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    for code, char in _SEGMENT_KEEPS:
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
 def raw_content_url(provider: Column, owner: Column, repo: Column, branch: Column, path: Column) -> Column:
     """Where a file's raw content lives for a provider and branch."""
     return (
@@ -83,7 +95,7 @@ def raw_content_url(provider: Column, owner: Column, repo: Column, branch: Colum
                 "https://gitlab.com/api/v4/projects/%s%%2F%s/repository/files/%s/raw?ref=%s",
                 owner,
                 repo,
-                F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")),
+                path_escape(path),
                 branch,
             ),
         )

@@ -1,8 +1,8 @@
 """J14/J15 code references in comments and M2-M6 file context joins.
 
-Joins carry keys and line arrays, never whole comment streams through one
-task: references are grouped per (repo, path, salt) before they meet the
-file rows, so a file referenced by many comments is split across salts.
+Joins carry keys and file texts, never whole comment streams through one
+task: references meet the file rows by an equi-join whose hot keys adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ REFERENCE = r"(?i)([\w./-]+):(\d+)(?:-(\d+))?"
 NAMED_RANGE = r"([\w.-]+\.(?:java|py|js|go|php|ts)),? lines? (\d+)(?:-(\d+))?"
 NAMED_FILES = [("UserAuthentication.java", 45, 52), ("user_service.py", 10, 20), ("auth.js", 15, 30)]
 CONTEXT_LABELS = ["validateToken", "authenticate_user", "login"]
-SALT = 16
 
 
 def extract_references(comments: DataFrame, named: bool = True) -> DataFrame:
@@ -87,40 +86,25 @@ def clamp(start: Column, end: Column, total: Column) -> tuple[Column, Column]:
     return s2, e2
 
 
-def _with_lines(refs: DataFrame, files: DataFrame, broadcast_max_rows: int | None) -> DataFrame:
+def _with_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Attach the file's lines array to every resolved reference.
 
-    References are grouped per (repo, path, salt); when the grouped side is
-    small (row count checked against ``broadcast_max_rows``) it is broadcast
-    and file content is never shuffled; otherwise both sides shuffle on
-    (repo, path) and the salt bounds each group."""
-    grouped = (
-        refs.where(F.col("path").isNotNull())
-        .withColumn("salt", F.pmod(F.xxhash64("review_id", "ref_seq"), F.lit(SALT)))
-        .groupBy("repo", "path", "salt")
-        .agg(F.collect_list(F.struct(*[c for c in refs.columns if c not in ("repo", "path")])).alias("refs"))
-    )
-    side = grouped
-    if broadcast_max_rows is not None:
-        # the grouped references are used twice (size check, join): write them
-        # once to the shared checkpoint folder, which also cuts their lineage
-        from revkit.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(refs.sparkSession)
-        grouped = grouped.checkpoint(eager=True)
-        side = F.broadcast(grouped) if grouped.count() <= broadcast_max_rows else grouped
-    lines = files.select("repo", "path", T.lines(F.col("content")).alias("lines"))
-    joined = lines.join(side, ["repo", "path"])
-    return joined.select("repo", "path", "lines", F.explode("refs").alias("r")).select("repo", "path", "lines", "r.*")
+    A plain equi-join on (repo, path): the sides are shuffled or one is
+    broadcast as adaptive execution finds from their bytes, and it splits the
+    references of a hot file. Lines are split after the join, so only the text
+    of files that are referred to is split, and no list of references is built."""
+    texts = files.select("repo", "path", "content")
+    joined = refs.where(F.col("path").isNotNull()).join(texts, ["repo", "path"])
+    return joined.withColumn("lines", T.lines(F.col("content"))).drop("content")
 
 
-def context_blocks(refs: DataFrame, files: DataFrame, broadcast_max_rows: int | None = 100_000) -> DataFrame:
+def context_blocks(refs: DataFrame, files: DataFrame) -> DataFrame:
     """M3-M5: per reference the fenced context block (or the retrieval error).
 
     Lines shown: 0-based [max(0, start-3), min(total, end+3)), '> ' on the
     referenced lines, '%4d' numbers."""
     resolved = resolve_files(refs, files)
-    hit = _with_lines(resolved, files, broadcast_max_rows)
+    hit = _with_lines(resolved, files)
     total = F.size("lines")
     s, e = clamp(F.col("line_start"), F.col("line_end"), total)
     hit = hit.withColumn("s", s).withColumn("e", e)
@@ -161,11 +145,11 @@ def enhanced_comments(comments: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.withColumn("code_context", relevant_context(F.col("enhanced_comment")))
 
 
-def targeted_lines(refs: DataFrame, files: DataFrame, broadcast_max_rows: int | None = 100_000) -> DataFrame:
+def targeted_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
     """M3 for the targeted rules E8-E10: lines of each (clamped) reference
     range as rows (file_path, line_no, line, ref keys). The clamp is the
     targeted variant: start >= 1, end <= total."""
-    hit = _with_lines(refs, files, broadcast_max_rows)
+    hit = _with_lines(refs, files)
     total = F.size("lines")
     s = F.greatest(F.col("line_start"), F.lit(1))
     e = F.least(F.col("line_end"), total)

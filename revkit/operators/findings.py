@@ -139,15 +139,16 @@ def _tag(rule: Rule, seq: int, arr: Column) -> Column:
 
 # Built rule expressions, reused across queries of one process. A rule's
 # expression reads only fixed column names (path, content, lang, _lines and
-# its prep columns), so the same unresolved Column serves every plan.
+# its prep columns), so the same unresolved Column serves every plan. The key
+# holds the building function itself: rules that share an id stay apart.
 _BUILT: dict[tuple, Column] = {}
 
 
-def _built(kind: str, key: str, langs: tuple[str, ...], make: Callable[[], Column]) -> Column:
+def _built(kind: str, fn: Callable, langs: tuple[str, ...], make: Callable[[], Column]) -> Column:
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    k = (sc, kind, key, langs)
+    k = (sc, kind, fn, langs)
     if k not in _BUILT:
         _BUILT[k] = make()
     return _BUILT[k]
@@ -157,7 +158,7 @@ def rule_array(ctx: Ctx, rules: Sequence[Rule], seq_base: int = 0) -> Column:
     """All findings of the rules for one file, in rule order then match order."""
     parts = []
     for k, r in enumerate(rules):
-        arr = _tag(r, seq_base + k + 1, _built("rule", r.rule_id, r.langs, lambda r=r: r.build(ctx)))
+        arr = _tag(r, seq_base + k + 1, _built("rule", r.build, r.langs, lambda r=r: r.build(ctx)))
         if r.langs:
             arr = F.when(ctx.lang.isin(*r.langs), arr).otherwise(F.array().cast(ArrayType(TAGGED)))
         parts.append(arr)
@@ -188,7 +189,7 @@ def prepare(files: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Ctx]:
                 expr = fn(ctx)
                 return F.when(ctx.lang.isin(*r.langs), expr) if r.langs else expr
 
-            expr = _built("prep", name, r.langs, make)
+            expr = _built("prep", fn, r.langs, make)
             files = files.select("*", expr.alias(name))
             ctx.extra[name] = F.col(name)
             done.add(name)

@@ -19,7 +19,9 @@ from revkit.operators.findings import Ctx, Rule, empty, finding
 
 # Go rule patterns (RE2 syntax).
 PACKAGE = r"^package\s+\w+"
-FUNC = r"^func\s+(\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)(.*)$"
+FUNC = r"^func\s+(\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(([^)]*)\)(.*)$"
+#: A signature whose parameters go on in the next lines.
+FUNC_OPEN = r"^func\s+(\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(([^)]*)$"
 BLANK_IMPORT = r"^\s*(import\s+)?_\s+\x60?\"[^\"]*\""
 ERR_VAR = r"(err|\w*Err|\w*Error)"
 ERR_CHECK = r"^\s*if\s+(.*;\s*)?" + ERR_VAR + r"\s*!=\s*nil\s*\{\s*$"
@@ -62,20 +64,24 @@ def _prep(c: Ctx) -> Column:
 
 
 def _func_headers(c: Ctx) -> Column:
-    """Array of struct(i, name, params, results) for every ``func`` line."""
+    """Array of struct(i, last, name, params, results) for every ``func`` line; a
+    signature left open is read together with its lines up to the closing one
+    (index ``last``)."""
+    n = F.size(c.lines)
+
+    def struct(text: Column, i: Column, last: Column) -> Column:
+        return F.struct(
+            i.alias("i"), last.alias("last"), T.extract(text, FUNC, 2).alias("name"), T.extract(text, FUNC, 3).alias("params"), T.extract(text, FUNC, 4).alias("rest")
+        )
+
+    def header(l: Column, i: Column) -> Column:
+        closing = F.filter(F.sequence(i, n - 1), lambda j: F.contains(F.get(c.lines, j), F.lit(")")))
+        last = F.coalesce(F.get(closing, 0), i)
+        whole = F.array_join(F.slice(c.lines, i + 1, last - i + 1), " ")
+        return F.when(T.rlike(l, FUNC), struct(l, i, i)).when(T.rlike(l, FUNC_OPEN) & T.rlike(whole, FUNC), struct(whole, i, last))
+
     return F.filter(
-        F.transform(
-            c.lines,
-            lambda l, i: F.when(
-                T.rlike(l, FUNC),
-                F.struct(
-                    i.alias("i"),
-                    T.extract(l, FUNC, 2).alias("name"),
-                    T.extract(l, FUNC, 3).alias("params"),
-                    T.extract(l, FUNC, 4).alias("rest"),
-                ),
-            ),
-        ),
+        F.transform(c.lines, header),
         lambda x: x.isNotNull(),
     )
 
@@ -118,14 +124,14 @@ def functions(c: Ctx) -> Column:
     heads = _func_headers(c)
 
     def per_func(h: Column) -> Column:
-        start = h["i"]
+        start = h["last"]
         end = _func_end(code, start)
         body = F.slice(code, start + 2, F.greatest(end - start - 1, F.lit(0)))
         stmts = F.size(F.filter(body, lambda x: (_strip(x) != "") & ~_strip(x).startswith("}"))) + F.size(
             F.filter(body, lambda x: _strip(x).endswith("{"))
         )
-        line = start + 1
-        prev = F.when(start > 0, F.get(c.lines, start - 1))
+        line = h["i"] + 1
+        prev = F.when(h["i"] > 0, F.get(c.lines, h["i"] - 1))
         exported = h["name"].rlike("^[A-Z]")
         naked = F.filter(
             F.transform(body, lambda x, k: F.when(_strip(x) == "return", start + 2 + k)),
@@ -202,7 +208,7 @@ def _parses(c: Ctx) -> Column:
     return F.exists(c.lines, lambda l: T.rlike(l, PACKAGE))
 
 
-PREP = (("go_code", _prep), ("go_checks", lambda c: _checks(Ctx(c.path, c.content, c.lang, c.lines, {"go_code": F.transform(c.lines, _code)}))))
+PREP = (("go_code", _prep), ("go_checks", lambda c: _checks(c)))
 
 
 def _guard(fn):

@@ -70,38 +70,57 @@ def severity_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("repo", "path", "severity", "type").agg(F.count(F.lit(1)).alias("issues"))
 
 
+#: Rule families whose recommendations of a file are listed by their text, after the others.
+BY_TEXT = ("H", "I")
+
+
 def file_recommendations(findings: DataFrame) -> DataFrame:
     """K4: ordered recommendation list per file; files without findings drop out.
 
-    The list is bounded by one file's findings (never a repo's)."""
-    ordered = F.array_sort(F.collect_list(F.struct("rule_seq", "occ", F.col("msg").alias("rec"))))
+    In rule order and then match order; the Python and Go bundles by text. The
+    list is bounded by one file's findings (never a repo's)."""
+    by_text = F.substring("rule_id", 1, 1).isin(*BY_TEXT)
+    seq, occ = (F.when(by_text, F.lit(1 << 30)).otherwise(F.col(c)).alias(c) for c in ("rule_seq", "occ"))
+    ordered = F.array_sort(F.collect_list(F.struct(seq, occ, F.col("msg").alias("rec"))))
     return findings.groupBy("repo", "path").agg(F.transform(ordered, lambda x: x["rec"]).alias("recommendations"))
 
 
-def report_sections(file_recs: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """K7/K9: the code-analysis report as ordered rows (repo, seq, path, text).
+#: The lines of the code-analysis report.
+REPORT_HEAD = "## Code Analysis Results\n\n### Analyzed Files:\n"
+RECOMMENDATIONS_HEAD = "\n### Recommendations:\n"
+NO_ISSUES = "No issues found in the analyzed files.\n"
+
+
+def report_sections(file_recs: DataFrame, errors: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """K7/K9: the code-analysis report as rows (repo, seq, path, text), to be
+    read in the order (repo, seq, path) (N5; see ``ordered_report``).
 
     seq 0: report header; 1: one analysed-file entry per file; 2: the
-    recommendations header; 3: one block per file (or its error, K9). A
-    writer emits them sorted by (repo, seq, path), so no repository is ever
-    gathered into one value."""
-    analysed = file_recs.select("repo", "path", F.concat(F.lit("- "), F.col("path"), F.lit("\n")).alias("text"), F.lit(1).alias("seq"))
-    blocks = file_recs.select(
-        "repo", "path",
-        F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"),
-                 F.array_join(F.transform("recommendations", lambda r: F.concat(F.lit("- "), r, F.lit("\n"))), "")).alias("text"),
-        F.lit(3).alias("seq"),
-    )
-    parts = [analysed, blocks]
+    recommendations header; 3: one block per file (or its error, K9), or the
+    line that nothing was found. ``repos`` (default: those with findings or
+    errors) names the repositories that get a report; no repository is ever
+    gathered into one value, and the findings are evaluated once: each file's
+    row is exploded into its two lines, and files with blocks count in the
+    same pass as the headers."""
+    item = lambda seq, path, text: F.struct(F.lit(seq).alias("seq"), path.alias("path"), text.alias("text"))
+    listed = F.concat(F.lit("- "), F.col("path"), F.lit("\n"))
+    block = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"), F.array_join(F.transform("recommendations", lambda r: F.concat(F.lit("- "), r, F.lit("\n"))), ""))
+    rows = file_recs.select("repo", F.array(item(1, F.col("path"), listed), item(3, F.col("path"), block)).alias("items"))
     if errors is not None:
-        parts.append(errors.select("repo", "path", F.concat(F.lit("## "), F.col("path"), F.lit("\n- Error during analysis: "),
-                                                           F.col("error"), F.lit("\n")).alias("text"), F.lit(3).alias("seq")))
-    repos = file_recs.select("repo").distinct()
-    heads = [
-        repos.select("repo", F.lit("").alias("path"), F.lit("## Code Analysis Results\n\n### Analyzed Files:\n").alias("text"), F.lit(0).alias("seq")),
-        repos.select("repo", F.lit("").alias("path"), F.lit("\n### Recommendations:\n").alias("text"), F.lit(2).alias("seq")),
-    ]
-    out = heads[0]
-    for p in heads[1:] + parts:
-        out = out.unionByName(p)
-    return out
+        failed = F.concat(F.lit("## "), F.col("path"), F.lit("\n- Error during analysis: "), F.col("error"), F.lit("\n"))
+        rows = rows.unionByName(errors.select("repo", F.array(item(3, F.col("path"), failed)).alias("items")))
+    lines = rows.select("repo", F.explode("items").alias("x")).select("repo", "x.*")
+    if repos is None:
+        names = file_recs.select("repo")
+        repos = names.unionByName(errors.select("repo")) if errors is not None else names
+    none = F.lit("")
+    heads = repos.select("repo").distinct().join(lines.groupBy("repo").agg(F.count(F.lit(1)).alias("n")), "repo", "left")
+    shown = [item(0, none, F.lit(REPORT_HEAD)), item(2, none, F.lit(RECOMMENDATIONS_HEAD))]
+    empty = F.when(F.col("n").isNull(), F.array(item(3, none, F.lit(NO_ISSUES)))).otherwise(F.array().cast("array<struct<seq:int,path:string,text:string>>"))
+    heads = heads.select("repo", F.explode(F.concat(F.array(*shown), empty)).alias("x")).select("repo", "x.*")
+    return heads.unionByName(lines)
+
+
+def ordered_report(sections: DataFrame) -> DataFrame:
+    """The report rows in reading order (a range-partitioned sort, for a writer)."""
+    return sections.orderBy("repo", "seq", "path")

@@ -71,8 +71,8 @@ def hits(ctx: Ctx) -> Column:
     """(type_seq, line, byte col) of every issue, in check, line, column order."""
     parts = []
     for seq, (_type, pattern, _desc, _sev) in enumerate(CHECKS, start=1):
-        # cheap guard: skip the per-line pass when the pattern never matches the file
-        parts.append(F.when(T.rlike(ctx.content, pattern), _line_hits(ctx, pattern, seq)).otherwise(F.array().cast(HIT)))
+        # cheap guard: skip the per-line pass when the pattern matches no line ("(?m)": anchors mean line ends)
+        parts.append(F.when(T.rlike(ctx.content, "(?m)" + pattern), _line_hits(ctx, pattern, seq)).otherwise(F.array().cast(HIT)))
     controller = F.contains(ctx.path, F.lit("controller")) | F.contains(ctx.path, F.lit("Controller"))
     no_headers = ~F.contains(ctx.content, F.lit("X-Frame-Options")) & ~F.contains(ctx.content, F.lit("X-XSS-Protection"))
     parts.append(F.when(controller & no_headers, F.array(_hit(len(CHECKS) + 1, F.lit(1), F.lit(0)))).otherwise(F.array().cast(HIT)))

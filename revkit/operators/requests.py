@@ -31,6 +31,8 @@ MESSAGE = StructType(
 # Setting defaults of the integration.
 DEFAULT_CODE_SOURCE = "github"
 DEFAULT_THRESHOLD = 70.0
+#: A number as a threshold may be written (no blanks, no type suffix).
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
 def parse_messages(raw: DataFrame, text_col: str = "value") -> DataFrame:
@@ -52,16 +54,25 @@ def setting(settings: Column, label: str, field: str = "default") -> Column:
     return F.try_element_at(F.filter(settings, lambda s: s["label"] == label), F.lit(-1))[field]
 
 
+def setting_text(settings: Column, label: str, field: str = "default") -> Column:
+    """As ``setting``, but a setting that is there without the field is the empty text."""
+    held = F.filter(settings, lambda s: s["label"] == label)
+    return F.when(F.size(held) > 0, F.coalesce(F.try_element_at(held, F.lit(-1))[field], F.lit("")))
+
+
 def resolve_settings(msgs: DataFrame, field: str = "default") -> DataFrame:
     """Per message the settings the analysis runs with."""
     s = F.col("settings")
-    thr = setting(s, "minimum_quality_threshold", field).try_cast("double")
-    aspects = setting(s, "analysis_aspects", field)
-    inc = setting(s, "include_recommendations", field)
+    # every threshold that parses is assigned in turn: the last of them holds
+    found = F.transform(F.filter(s, lambda x: x["label"] == "minimum_quality_threshold"), lambda x: x[field])
+    parsed = F.filter(found, lambda x: F.coalesce(x.rlike(NUMBER), F.lit(False)))
+    thr = F.try_element_at(parsed, F.lit(-1)).try_cast("double")
+    aspects = setting_text(s, "analysis_aspects", field)
+    inc = setting_text(s, "include_recommendations", field)
     return msgs.select(
         "*",
-        F.coalesce(setting(s, "repository_url", field), F.lit("")).alias("repository_url"),
-        F.coalesce(setting(s, "code_source", field), F.lit(DEFAULT_CODE_SOURCE)).alias("code_source"),
+        F.coalesce(setting_text(s, "repository_url", field), F.lit("")).alias("repository_url"),
+        F.coalesce(setting_text(s, "code_source", field), F.lit(DEFAULT_CODE_SOURCE)).alias("code_source"),
         F.coalesce(thr, F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
         F.when(aspects.isNotNull(), F.split(aspects, ",", -1)).alias("aspects"),
         F.when(inc.isNotNull(), inc == "true").otherwise(F.lit(True)).alias("include_recommendations"),

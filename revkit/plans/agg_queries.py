@@ -10,24 +10,26 @@ from revkit.operators import metrics as K
 from revkit.operators import reviews
 from revkit.operators.analyze import analyze
 from revkit.plans import file_queries as FQ
-from revkit.plans.queries import _SCORES_SQL, _scores, register
+from revkit.plans.queries import _SCORES_SQL, ORACLE, _scores, register
 from revkit.plans.sqlkit import FILES_CTE, q
 from revkit.sources.files import derived_files
 from revkit.sources.tables import REVIEW_COMMENTS_SQL
 
 # ------------------------------------------------------------- K1-K4 metrics
 
-_JP_RECS_SQL = f"""SELECT repo, path, recommendation FROM ({FQ.ASPECTS_SQL}) a WHERE regexp_matches(lower(path), '\\.(java|php)$')
-UNION ALL SELECT repo, path, recommendation FROM ({FQ.COMMON_SQL}) e
-UNION ALL SELECT repo, path, recommendation FROM ({FQ.JAVA_SQL}) f
-UNION ALL SELECT repo, path, recommendation FROM ({FQ.PHP_RECS_SQL}) g"""
+RECS_SQL = "\nUNION ALL ".join(
+    f"SELECT repo, path, recommendation FROM ({sql}) r{i}"
+    for i, sql in enumerate(
+        (FQ.ASPECTS_SQL, FQ.COMMON_SQL, FQ.JAVA_SQL, FQ.PHP_RECS_SQL, FQ.PYTHON_SQL, ORACLE["python_stateful_findings"], FQ.GO_SQL, ORACLE["go_block_findings"])
+    )
+)
 
 
 def _kw_sql(aspect: str) -> str:
     return " + ".join(f"CAST(contains(lower(recommendation), {q(k)}) AS BIGINT)" for k in K.ASPECT_KEYWORDS[aspect])
 
 
-FILE_METRICS_SQL = f"""WITH recs AS ({_JP_RECS_SQL}),
+FILE_METRICS_SQL = f"""WITH recs AS ({RECS_SQL}),
 m AS (SELECT repo, path, count(*) AS n_recs,
         CAST(sum({_kw_sql('thoroughness')}) AS DOUBLE) AS thoroughness,
         CAST(sum({_kw_sql('clarity')}) AS DOUBLE) AS clarity,
@@ -36,16 +38,15 @@ m AS (SELECT repo, path, count(*) AS n_recs,
 SELECT repo, path, n_recs, thoroughness, clarity, actionability, (thoroughness + clarity + actionability) / 3.0::DOUBLE AS overall FROM m"""
 
 
-def _jp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = derived_files(spark, sf_dir).where(F.col("lang").isin("java", "php"))
-    return K.file_metrics(analyze(files, langs=("java", "php")))
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.file_metrics(analyze(derived_files(spark, sf_dir)))
 
 
 @register("file_metrics", FILE_METRICS_SQL)
 def q_file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1/K2: keyword aspect scores and overall per Java/PHP file over its
-    full recommendation list (aspects D + common E + Java F + PHP G25)."""
-    return _jp_metrics(spark, sf_dir)
+    """K1/K2: keyword aspect scores and overall per file of every language over
+    its full recommendation list (aspects D and the rules of its language)."""
+    return _metrics(spark, sf_dir)
 
 
 REPO_QUALITY_SQL = f"""WITH fm AS ({FILE_METRICS_SQL})
@@ -56,7 +57,7 @@ SELECT repo, round(avg(overall), 6) AS mean_quality, count(*) AS files_analyzed
 def q_repo_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: mean file quality per repository (rounded to 6 places: float sums
     are order dependent)."""
-    return K.repo_quality(_jp_metrics(spark, sf_dir)).select(
+    return K.repo_quality(_metrics(spark, sf_dir)).select(
         "repo", F.round("mean_quality", 6).alias("mean_quality"), "files_analyzed"
     )
 

@@ -116,7 +116,7 @@ def q_enhanced_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _todo_refs_sql() -> str:
     from revkit.plans.file_queries import _occ_out, _occ_sql
 
-    return _occ_out(_occ_sql("E1", E.TODO, ""), q("x"))
+    return _occ_out(_occ_sql("E1", E.TODO, "", "true"), q("x"))
 
 
 TARGETED_SQL = f"""WITH {FILES_CTE},
@@ -141,10 +141,10 @@ SELECT repo, path, ref_seq, CAST(line_no AS INT) AS line_no, check_seq, check_id
 @register("targeted_recommendations", TARGETED_SQL)
 def q_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E8-E10 over M3: the targeted line checks on the range from the line
-    before to two lines after every TODO/FIXME marker of the Java files."""
+    before to two lines after every TODO/FIXME marker of the files of every language."""
     from revkit.operators.findings import run_rules
 
-    files = derived_files(spark, sf_dir).where(F.col("lang") == "java")
+    files = derived_files(spark, sf_dir)
     todo = run_rules(files, [E.rules()[0]])
     refs = todo.select(
         "repo", "path", F.col("occ").cast("int").alias("ref_seq"), (F.col("line") - 1).alias("line_start"),

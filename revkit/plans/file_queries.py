@@ -451,23 +451,25 @@ def _go_sql() -> str:
     code = f"regexp_replace(regexp_replace(l, {q(G.STRING_LITERAL)}, '\"\"', 'g'), {q(G.LINE_COMMENT)}, '')"
     is_comment = lambda x: f"(starts_with({_trim(x)}, '//') OR ends_with({_trim(x)}, '*/'))"
     rhs = f"regexp_extract(code, {q(G.ASSIGN_CHECK)}, 1)"
+    closed = "ls[n : n - 1 + list_position(list_transform(ls[n:], lambda x: contains(x, ')')), true)]"
+    sig = f"CASE WHEN {rl('l', G.FUNC)} THEN l WHEN {rl('l', G.FUNC_OPEN)} THEN array_to_string({closed}, ' ') END"
     return f"""WITH {FILES_CTE},
 g AS (SELECT repo, path, string_split(content, chr(10)) AS ls FROM files WHERE lang = 'go'),
 gl AS (SELECT repo, path, ls, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM g),
 gc AS (SELECT *, {code} AS code FROM gl),
 pk AS (SELECT repo, path, min(n) AS pn FROM gl WHERE {rl('l', G.PACKAGE)} GROUP BY repo, path),
-gp AS (SELECT gc.* FROM gc JOIN pk USING (repo, path)),
+gp AS (SELECT gc.*, {sig} AS sig FROM gc JOIN pk USING (repo, path)),
 res AS (
   SELECT g.repo, g.path, 'I1' AS code, 1 AS line, g.path || ':1: Package lacks documentation comment' AS recommendation
     FROM g JOIN pk USING (repo, path) WHERE NOT (pn > 1 AND {is_comment('ls[pn - 1]')})
   UNION ALL SELECT repo, path, 'I2', n, path || ':' || CAST(n AS VARCHAR) || ': Blank import found - ensure it''s necessary' FROM gp WHERE {rl('l', G.BLANK_IMPORT)}
-  UNION ALL SELECT repo, path, 'I4', n, path || ':' || CAST(n AS VARCHAR) || ': Exported function ''' || regexp_extract(l, {q(G.FUNC)}, 2) || ''' lacks documentation comment'
-    FROM gp WHERE {rl('l', G.FUNC)} AND regexp_matches(regexp_extract(l, {q(G.FUNC)}, 2), '^[A-Z]') AND NOT coalesce(n > 1 AND {is_comment('ls[n - 1]')}, false)
+  UNION ALL SELECT repo, path, 'I4', n, path || ':' || CAST(n AS VARCHAR) || ': Exported function ''' || regexp_extract(sig, {q(G.FUNC)}, 2) || ''' lacks documentation comment'
+    FROM gp WHERE {rl('sig', G.FUNC)} AND regexp_matches(regexp_extract(sig, {q(G.FUNC)}, 2), '^[A-Z]') AND NOT coalesce(n > 1 AND {is_comment('ls[n - 1]')}, false)
   UNION ALL SELECT repo, path, 'I6', n, path || ':' || CAST(n AS VARCHAR) || ': Consider separating error assignment and checking for better readability'
     FROM gp WHERE {rl('code', G.ERR_CHECK)} AND {rl('code', G.ASSIGN_CHECK)} AND NOT contains(regexp_replace({rhs}, '\\([^()]*\\)', '', 'g'), ',')
   UNION ALL SELECT repo, path, 'I10', 1, path || ':1: Using context package but not passing context through functions' FROM gp
     GROUP BY repo, path
-    HAVING bool_or({rl('l', G.CONTEXT_IMPORT)}) AND NOT bool_or(coalesce({rl('l', G.FUNC)} AND contains(regexp_extract(l, {q(G.FUNC)}, 3), 'context.Context'), false))
+    HAVING bool_or({rl('l', G.CONTEXT_IMPORT)}) AND NOT bool_or(coalesce({rl('sig', G.FUNC)} AND contains(regexp_extract(sig, {q(G.FUNC)}, 3), 'context.Context'), false))
 )
 SELECT repo, path, code, CAST(line AS BIGINT) AS line, recommendation FROM res"""
 

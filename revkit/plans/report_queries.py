@@ -12,7 +12,7 @@ from revkit.operators import reviews
 from revkit.operators.analyze import analyze
 from revkit.plans import agg_queries as AQ
 from revkit.plans import file_queries as FQ
-from revkit.plans.queries import _scores, register
+from revkit.plans.queries import ORACLE, _scores, register
 from revkit.plans.sqlkit import FILES_CTE
 from revkit.sources.files import derived_files
 
@@ -45,28 +45,34 @@ def q_raw_content_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ordered_recs_sql() -> str:
     rank = "CASE substr(rule_id, 1, 1) WHEN 'D' THEN 0 WHEN 'E' THEN 1 WHEN 'F' THEN 2 ELSE 3 END"
     num = "CAST(substr(rule_id, 2) AS INT)"
-    return f"""SELECT repo, path, {rank} AS g, {num} AS n, occ, recommendation FROM ({FQ.ASPECTS_SQL}) a WHERE regexp_matches(lower(path), '\\.(java|php)$')
+    return f"""SELECT repo, path, {rank} AS g, {num} AS n, occ, recommendation FROM ({FQ.ASPECTS_SQL}) a
 UNION ALL SELECT repo, path, {rank}, {num}, occ, recommendation FROM ({FQ.COMMON_SQL}) e
 UNION ALL SELECT repo, path, {rank}, {num}, occ, recommendation FROM ({FQ.JAVA_SQL}) j
-UNION ALL SELECT repo, path, 3, 25, occ, recommendation FROM ({FQ.PHP_RECS_SQL}) p"""
+UNION ALL SELECT repo, path, 3, 25, occ, recommendation FROM ({FQ.PHP_RECS_SQL}) p
+UNION ALL SELECT repo, path, 4, 0, 0, recommendation FROM ({FQ.PYTHON_SQL}) h
+UNION ALL SELECT repo, path, 4, 0, 0, recommendation FROM ({ORACLE["python_stateful_findings"]}) hs
+UNION ALL SELECT repo, path, 4, 0, 0, recommendation FROM ({FQ.GO_SQL}) i
+UNION ALL SELECT repo, path, 4, 0, 0, recommendation FROM ({ORACLE["go_block_findings"]}) ib"""
 
 
-SECTIONS_SQL = f"""WITH r AS ({_ordered_recs_sql()}),
-fr AS (SELECT repo, path, string_agg('- ' || recommendation || chr(10), '' ORDER BY g, n, occ) AS recs FROM r GROUP BY repo, path),
-repos AS (SELECT DISTINCT repo FROM fr)
+SECTIONS_SQL = f"""WITH {FILES_CTE}, r AS ({_ordered_recs_sql()}),
+fr AS (SELECT repo, path, string_agg('- ' || recommendation || chr(10), '' ORDER BY g, n, occ, recommendation) AS recs FROM r GROUP BY repo, path),
+repos AS (SELECT DISTINCT repo FROM files)
 SELECT repo, 0 AS seq, '' AS path, '## Code Analysis Results' || chr(10) || chr(10) || '### Analyzed Files:' || chr(10) AS text FROM repos
 UNION ALL SELECT repo, 1, path, '- ' || path || chr(10) FROM fr
 UNION ALL SELECT repo, 2, '', chr(10) || '### Recommendations:' || chr(10) FROM repos
-UNION ALL SELECT repo, 3, path, '## ' || path || chr(10) || chr(10) || recs FROM fr"""
+UNION ALL SELECT repo, 3, path, '## ' || path || chr(10) || chr(10) || recs FROM fr
+UNION ALL SELECT repo, 3, '', 'No issues found in the analyzed files.' || chr(10) FROM repos WHERE repo NOT IN (SELECT repo FROM fr)"""
 
 
 @register("report_sections", SECTIONS_SQL)
 def q_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 + K7: per-file recommendation lists and the code-analysis report as
-    ordered rows (repo, seq, path, text) for the Java/PHP files."""
-    files = derived_files(spark, sf_dir).where(F.col("lang").isin("java", "php"))
-    recs = K.file_recommendations(analyze(files, langs=("java", "php")))
-    return K.report_sections(recs).select("repo", F.col("seq").cast("int").alias("seq"), "path", "text")
+    ordered rows (repo, seq, path, text), for the files of every language."""
+    files = derived_files(spark, sf_dir)
+    recs = K.file_recommendations(analyze(files))
+    sections = K.report_sections(recs, repos=files.select("repo"))
+    return K.ordered_report(sections).select("repo", F.col("seq").cast("int").alias("seq"), "path", "text")
 
 
 # ------------------------------------------------------------- L6 reply text

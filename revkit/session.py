@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if configured or current:
         return configured or current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="revkit-ckpt-", dir=os.environ.get("REVKIT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

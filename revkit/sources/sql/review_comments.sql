@@ -1,12 +1,16 @@
 SELECT conv_id * 100 + turn AS review_id, 'ch' || CAST(conv_id % 20 AS STRING) AS channel_id,
   TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 5 + turn) * INTERVAL '1' HOUR AS ts,
   CASE (conv_id + turn) % 8
-  WHEN 0 THEN ''
+  WHEN 0 THEN text || ' ' || text
   WHEN 1 THEN text
   WHEN 2 THEN 'In auth.js the login method should handle validation because ' || text
   WHEN 3 THEN '- Fix the cache. ' || chr(10) || '- add a test' || chr(10) || '1. rename variable foo' || chr(10) || '2) use the `Pool` class Bar instead of ' || text
   WHEN 4 THEN text || chr(10) || chr(10) || 'Consider refactoring; security and performance. See src/a/b.py:10-20 and UserAuthentication.java, lines 45-52.'
-  WHEN 5 THEN 'TODO: change to x. ```java' || chr(10) || 'if (a) { }' || chr(10) || '``` this means an improvement, rather than the current approach'
+  WHEN 5 THEN 'TODO: change to x. ```java' || chr(10) || 'if (a) { }' || chr(10) || '``` this means an improvement, rather than the current approach: ' || text
   WHEN 6 THEN text || ' must be simplified. FIXME: error handling, edge case, testing, documentation, dependency, interface'
   ELSE text END AS message
 FROM conversations
+UNION ALL
+SELECT conv_id * 100 + turn + 50, 'ch' || CAST(conv_id % 20 AS STRING),
+  TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 5 + turn) * INTERVAL '1' HOUR, ''
+FROM conversations WHERE (conv_id + turn) % 8 = 0
