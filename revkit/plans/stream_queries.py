@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revkit.operators import reviews
+from revkit.operators.history import DAY_SECONDS
 from revkit.plans import agg_queries as AQ
 from revkit.plans.queries import _SCORES_SQL, register
 from revkit.session import ensure_checkpoint_dir
@@ -19,24 +20,43 @@ from revkit.streaming import comments as P
 from revkit.streaming.history import channel_history
 
 
-def _staged_comments(spark: SparkSession, sf_dir: str) -> str:
-    """Derived comments written as several files under the shared folder."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "inputs", "comments-" + uuid.uuid4().hex)
-    tables.review_comments(spark, sf_dir).repartition(8, "review_id").write.parquet(path)
-    return path
+#: Writes by which staged comments arrive, one after the other, each a span of whole days.
+ARRIVALS = 4
 
 
-def _run(df: DataFrame, mode: str = "append") -> DataFrame:
-    name = "q_" + uuid.uuid4().hex
-    q = P.start(df, name, sink="memory", mode=mode, trigger_once=True)
+def _shared(spark: SparkSession, kind: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex)
+
+
+def _staged_comments(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(folder, delay): the derived comments written in order of time, span by
+    span, and the longest that a row may come after a later one. Inside a span
+    the files are dealt by channel and day, so they overlap in time."""
+    path = _shared(spark, "inputs")
+    rows = tables.review_comments(spark, sf_dir)
+    day = F.floor(F.unix_timestamp("ts") / DAY_SECONDS)
+    lo, hi = rows.agg(F.min(day), F.max(day)).first()
+    lo, hi = lo or 0, hi or 0
+    span = max(1, -(-(hi - lo + 1) // ARRIVALS))
+    for k in range(ARRIVALS):
+        part = rows.where((day >= lo + k * span) & (day < lo + (k + 1) * span))
+        part.repartition("channel_id", day).write.mode("append").parquet(path)
+    return path, f"{span + 1} days"
+
+
+def _run(df: DataFrame) -> DataFrame:
+    """Run the stream to the end of its input; its files are the result."""
+    path = _shared(df.sparkSession, "outputs")
+    q = P.start(df, "q_" + uuid.uuid4().hex, path, trigger_once=True)
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @register("stream_scores", f"WITH s AS ({_SCORES_SQL}) SELECT review_id, overall, CASE WHEN overall >= 85 THEN '🟢' WHEN overall >= 70 THEN '🟡' ELSE '🔴' END AS band FROM s")
 def q_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments arriving as files, scored statelessly (files per trigger bounded)."""
-    src = P.read_comments(spark, _staged_comments(spark, sf_dir), max_files=2)
+    path, _ = _staged_comments(spark, sf_dir)
+    src = P.read_comments(spark, path, max_files=2)
     return _run(P.score_stream(src).select("review_id", "overall", "band"))
 
 
@@ -44,9 +64,9 @@ def q_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: the comment stream read twice (every review delivered two times),
     duplicates dropped within the watermark."""
-    path = _staged_comments(spark, sf_dir)
-    twice = P.read_comments(spark, path).unionByName(P.read_comments(spark, path))
-    return _run(P.deduplicate(twice).select("review_id"))
+    path, delay = _staged_comments(spark, sf_dir)
+    twice = P.read_comments(spark, path, max_files=2).unionByName(P.read_comments(spark, path, max_files=1))
+    return _run(P.deduplicate(twice, delay).select("review_id"))
 
 
 _HIST_SQL = f"""WITH h AS ({AQ.HISTORY_SQL}) SELECT review_id, channel_id, period, hist_count, hist_avg, trend FROM h"""
@@ -54,9 +74,9 @@ _HIST_SQL = f"""WITH h AS ({AQ.HISTORY_SQL}) SELECT review_id, channel_id, perio
 
 @register("stream_channel_history", _HIST_SQL)
 def q_stream_channel_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed per-channel state (running mean, last-10 trend, 24 h reset)."""
-    src = P.read_comments(spark, _staged_comments(spark, sf_dir))
-    out = _run(channel_history(reviews.score_comments(src)))
+    """Keyed state per channel and day (running mean, last-10 trend), over several micro-batches."""
+    path, delay = _staged_comments(spark, sf_dir)
+    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, max_files=1)), delay))
     return out.select(
         "review_id", "channel_id", "period", "hist_count", F.round("hist_avg", 6).alias("hist_avg"), F.round("trend", 6).alias("trend")
     )
@@ -79,36 +99,54 @@ def q_rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("stream_findings")
-def q_stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files landing as files; row-local rules per micro-batch,
-    the sibling-test check against a static key snapshot."""
-    from revkit.sources.files import derived_files
-    from revkit.streaming.files import findings_stream, read_files
+STREAM_LIMIT, STREAM_WINDOW, STREAM_DELAY = 6, "1 hour", "1 hour"
+
+STREAM_RATE_SQL = f"""WITH w AS (SELECT event_type, date_trunc('hour', ts) AS s, count(*) AS requests FROM events GROUP BY event_type, date_trunc('hour', ts))
+SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, requests FROM w
+WHERE requests > {STREAM_LIMIT} AND s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 
-    files = derived_files(spark, sf_dir)
-    path = os.path.join(ensure_checkpoint_dir(spark), "inputs", "files-" + uuid.uuid4().hex)
-    files.select("repo", "path", "content").repartition(8).write.parquet(path)
-    stream = read_files(spark, path, max_files=2)
-    found = findings_stream(stream, known_files=spark.read.parquet(path).select("repo", "path"))
-    return _run(found.select("repo", "path", "rule_id", "occ", "line", "msg"))
 
+@register("stream_rate_limited", STREAM_RATE_SQL)
+def q_stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 as a stream: the hours in which an event type goes over the limit;
+    a window comes out once, when the watermark has passed its end."""
+    folder = _shared(spark, "inputs")
+    tables.table(spark, sf_dir, "events").select("event_type", "ts").write.parquet(folder)
+    events = spark.readStream.schema("event_type string, ts timestamp").parquet(folder)
+    out = _run(P.rate_limited(events, STREAM_LIMIT, "event_type", "ts", STREAM_WINDOW, STREAM_DELAY).select("event_type", "window_start", "requests"))
+    return out.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests")
 
-def _all_findings_sql() -> str:
+
+def _all_findings_sql(columns: str) -> str:
     from revkit.plans import file_queries as FQ
     from revkit.plans.queries import ORACLE
 
-    parts = [FQ.ASPECTS_SQL, FQ.COMMON_SQL, FQ.JAVA_SQL, FQ.PHP_RECS_SQL, FQ.PYTHON_SQL, ORACLE["python_stateful_findings"],
+    # a rendered PHP issue names its line; headings stand at line 0
+    php = f"SELECT repo, path, coalesce(TRY_CAST(regexp_extract(recommendation, '^[A-Z_]+ \\[L([0-9]+):C', 1) AS BIGINT), 0) AS line, recommendation FROM ({FQ.PHP_RECS_SQL}) p"
+    parts = [FQ.ASPECTS_SQL, FQ.COMMON_SQL, FQ.JAVA_SQL, php, FQ.PYTHON_SQL, ORACLE["python_stateful_findings"],
              FQ.GO_SQL, ORACLE["go_block_findings"]]
-    return "\nUNION ALL\n".join(f"SELECT repo, path, recommendation FROM ({p}) s{i}" for i, p in enumerate(parts))
+    return "\nUNION ALL\n".join(f"SELECT {columns} FROM ({p}) s{i}" for i, p in enumerate(parts))
+
+
+def _stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revkit.sources.files import derived_files
+    from revkit.streaming.files import findings_stream, read_files
+
+    path = _shared(spark, "inputs")
+    derived_files(spark, sf_dir).select("repo", "path", "content").write.parquet(path)
+    stream = read_files(spark, path, max_files=2)
+    return _run(findings_stream(stream, known_files=spark.read.parquet(path).select("repo", "path")))
 
 
-def _register_text():
-    @register("stream_findings_text", _all_findings_sql())
-    def q_stream_findings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """P6 checked end to end: every recommendation of every file that
-        arrives on the stream equals the batch rule families' output."""
-        return q_stream_findings(spark, sf_dir).select("repo", "path", F.col("msg").alias("recommendation"))
+@register("stream_findings", _all_findings_sql("repo, path, CAST(line AS BIGINT) AS line, recommendation"))
+def q_stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files landing as files; row-local rules per micro-batch,
+    the sibling-test check against a static key snapshot."""
+    return _stream_findings(spark, sf_dir).select("repo", "path", F.col("line").cast("bigint").alias("line"), F.col("msg").alias("recommendation"))
 
 
-_register_text()
+@register("stream_findings_text", _all_findings_sql("repo, path, recommendation"))
+def q_stream_findings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 checked end to end: every recommendation of every file that
+    arrives on the stream equals the batch rule families' output."""
+    return _stream_findings(spark, sf_dir).select("repo", "path", F.col("msg").alias("recommendation"))

@@ -65,16 +65,13 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
-def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = None, mode: str = "append",
+def start(df: DataFrame, name: str, path: str, sink: str = "parquet", mode: str = "append",
           trigger_once: bool = False, **options):
-    """A7 for streams: write with a checkpoint so a restarted job resumes
+    """A7 for streams: write files with a checkpoint so a restarted job resumes
     exactly where it stopped (lost executors only redo their tasks)."""
     spark = df.sparkSession
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_path(spark, name)).queryName(name)
-    if sink == "memory":
-        w = w.format("memory")
-    else:
-        w = w.format(sink).option("path", path)
+    w = w.format(sink).option("path", path)
     for k, v in options.items():
         w = w.option(k, v)
     if trigger_once:

@@ -1,11 +1,13 @@
 """Keyed per-channel history in Structured Streaming.
 
-State per channel is bounded: the current 24 h period, the running sum and
-count of overall scores, and the last ten scores. Rows of one micro-batch
-are taken in (ts, review_id) order; each row sees only earlier rows, like
-the batch window in ``revkit.operators.history``. A new period clears the
-state (the reference wipes its history every 24 hours); an event-time
-timeout drops channels that fall silent.
+State is kept per channel and 24 h period, so a review of another period
+that arrives out of order touches its own period's state only. It is bounded:
+the running sum and count of overall scores, and the last ten scores. Rows of
+one micro-batch are taken in (ts, review_id) order; each row sees only earlier
+rows, like the batch window in ``revkit.operators.history``. A period's state
+is dropped by an event-time timer once the watermark has passed the period's
+end (history is wiped every 24 hours); rows that come later still are counted
+in the query's progress (``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
@@ -20,41 +22,39 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from revkit.operators.history import DAY_SECONDS, RECENT, epoch
 
 OUTPUT_SCHEMA = "review_id long, channel_id string, period long, hist_count long, hist_avg double, trend double"
-STATE_SCHEMA = "period long, total double, n long, recent array<double>"
+STATE_SCHEMA = "total double, n long, recent array<double>"
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
+    channel, period, closes = key
     if state.exists:
-        period, total, n, recent = state.get
+        total, n, recent = state.get
         recent = list(recent)
     else:
-        period, total, n, recent = None, 0.0, 0, []
+        total, n, recent = 0.0, 0, []
     frames = [b for b in batches if len(b)]
     if not frames:
         return
     df = pd.concat(frames).sort_values(["ts", "review_id"], kind="mergesort")
-    out_cnt, out_avg, out_trend, out_period = [], [], [], []
-    for p, score in zip(df["period"].tolist(), df["overall"].tolist()):
-        if period is None or p != period:
-            period, total, n, recent = p, 0.0, 0, []
-        out_period.append(p)
+    out_cnt, out_avg, out_trend = [], [], []
+    for score in df["overall"].tolist():
         out_cnt.append(n)
         out_avg.append(total / n if n else None)
         out_trend.append(recent[-1] - recent[0] if len(recent) >= 2 else 0.0)
         total += score
         n += 1
         recent = (recent + [score])[-RECENT:]
-    state.update((int(period), float(total), int(n), [float(x) for x in recent]))
-    # forget a silent channel one period after the watermark passes its last event
-    state.setTimeoutTimestamp(int(df["ts"].max().timestamp() * 1000) + DAY_SECONDS * 1000)
+    state.update((float(total), int(n), [float(x) for x in recent]))
+    # the period's end, or just after the watermark if that is later
+    state.setTimeoutTimestamp(max(int(closes), state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(
         {
             "review_id": df["review_id"].astype("int64").values,
-            "channel_id": df["channel_id"].values,
-            "period": out_period,
+            "channel_id": channel,
+            "period": int(period),
             "hist_count": out_cnt,
             "hist_avg": out_avg,
             "trend": out_trend,
@@ -64,9 +64,11 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 
 def channel_history(scored: DataFrame, delay: str = "1 hour", origin: str = "1970-01-01 00:00:00") -> DataFrame:
     """P2/P3 on a stream of scored comments (review_id, channel_id, ts, overall)."""
-    rows = scored.select("review_id", "channel_id", "ts", "overall", epoch(F.col("ts"), origin).alias("period"))
+    period = epoch(F.col("ts"), origin)
+    closes = (F.unix_timestamp(F.lit(origin).cast("timestamp")) + (period + 1) * DAY_SECONDS) * 1000
+    rows = scored.select("review_id", "channel_id", "ts", "overall", period.alias("period"), closes.alias("closes"))
     return (
         rows.withWatermark("ts", delay)
-        .groupBy("channel_id")
+        .groupBy("channel_id", "period", "closes")
         .applyInPandasWithState(_advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     )

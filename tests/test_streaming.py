@@ -31,11 +31,11 @@ def _stage(spark):
     return path
 
 
-def _run(df, mode="append"):
-    name = "t_" + uuid.uuid4().hex
-    q = P.start(df, name, sink="memory", mode=mode, trigger_once=True)
+def _run(df):
+    path = os.path.join(tempfile.mkdtemp(prefix="revkit-test-", dir="/tmp"), "out")
+    q = P.start(df, "t_" + uuid.uuid4().hex, path, trigger_once=True)
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def test_scores_parity(spark):
@@ -57,3 +57,33 @@ def test_dedup(spark):
     twice = P.read_comments(spark, path).unionByName(P.read_comments(spark, path))
     ids = sorted(r.review_id for r in _run(P.deduplicate(twice).select("review_id")).collect())
     assert ids == [1, 2, 3, 4, 5, 6]
+
+
+def _batches(spark, *groups):
+    """One file, and so one micro-batch, per group of review ids, in order."""
+    path = os.path.join(tempfile.mkdtemp(prefix="revkit-test-", dir="/tmp"), "in")
+    for ids in groups:
+        _comments(spark).where(f"review_id IN ({', '.join(map(str, ids))})").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_history_out_of_order_periods_over_batches(spark):
+    """A review of the day before, between reviews of a day, leaves that day's history alone."""
+    path = _batches(spark, [1], [5], [2], [6], [3])
+    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, max_files=1)), "3 days"))
+    got = {r.review_id: r.hist_count for r in out.collect()}
+    assert got == {1: 0, 5: 0, 2: 1, 6: 1, 3: 2}
+
+
+def test_history_late_row_does_not_stop_the_stream(spark):
+    path = _batches(spark, [1], [5, 6], [2], [3])
+    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, max_files=1)), "1 hour"))
+    got = {r.review_id: r.hist_count for r in out.collect()}
+    assert 3 not in got  # late, and dropped
+    assert {k: got[k] for k in (1, 5, 6)} == {1: 0, 5: 0, 6: 1}
+
+
+def test_dedup_over_batches(spark):
+    path = _batches(spark, [1, 2], [2, 3], [3, 4, 5], [5, 6])
+    ids = sorted(r.review_id for r in _run(P.deduplicate(P.read_comments(spark, path, max_files=1), "2 days").select("review_id")).collect())
+    assert ids == [1, 2, 3, 4, 5, 6]
