@@ -6,6 +6,8 @@ UTF-8 byte counts (``octet_length``), line numbers are 1-based.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,19 +70,37 @@ def match_lines(content: Column, go_pattern: str) -> Column:
     return F.flatten(F.transform(F.split(skeleton, NL, -1), lambda l, i: F.array_repeat(i + 1, F.length(l))))
 
 
-def match_byte_offsets(s: Column, go_pattern: str) -> Column:
-    """0-based byte offset of every match in a (short) text, e.g. one line."""
-    parts = F.split(_marked(s, go_pattern), MARK, -1)
-    return F.transform(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda _p, k: F.octet_length(F.array_join(F.slice(parts, 1, k + 1), "")),
-    )
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+_STEP = 256
+
+
+def prefix_sums(sizes: Column) -> Column:
+    """Running sums of an integer array, in blocks so that the work per element
+    stays small for long arrays."""
+    add = lambda a, x: a + x
+    total = lambda arr, start, n: F.aggregate(F.slice(arr, start, n), F.lit(0), add)
 
+    def sums(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / _STEP).cast("int")), lambda b: total(v, b * _STEP + 1, F.lit(_STEP)))
+        at = lambda k: F.floor(k / _STEP).cast("int")
+        return let(blocks, lambda bs: F.transform(v, lambda _x, k: total(bs, F.lit(1), at(k)) + total(v, at(k) * _STEP + 1, k % _STEP + 1)))
 
-def line_of_offset(content: Column, byte_offset: Column) -> Column:
-    """C4 for a single offset: 1 + newlines before it."""
-    prefix = F.substr(content.cast("binary"), F.lit(1), byte_offset).cast("string")
-    return count_sub(prefix, NL) + 1
+    return let(sizes, sums)
+
+
+def _offsets(s: Column, go_pattern: str, size: Callable[[Column], Column]) -> Column:
+    """Offset of every match: running sums of the sizes of the pieces before the marks."""
+    pieces = F.split(_marked(s, go_pattern), MARK, -1)
+    return prefix_sums(let(pieces, lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), size)))
+
+
+def match_byte_offsets(s: Column, go_pattern: str) -> Column:
+    """0-based byte offset of every match in a text."""
+    return _offsets(s, go_pattern, lambda x: F.octet_length(x))
 
 
 def snippet(all_lines: Column, line_no: Column) -> Column:
@@ -113,9 +133,5 @@ def byte_prefix(s: Column, nbytes: int) -> Column:
 def match_char_offsets(s: Column, go_pattern: str) -> Column:
     """0-based character offset of every match (for ordering matches of
     different patterns within one text)."""
-    parts = F.split(_marked(s, go_pattern), MARK, -1)
-    offsets = F.transform(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda _p, k: F.length(F.array_join(F.slice(parts, 1, k + 1), "")),
-    )
+    offsets = _offsets(s, go_pattern, lambda x: F.length(x))
     return F.when(rlike(s, go_pattern), offsets).otherwise(F.array().cast("array<int>"))

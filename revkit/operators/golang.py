@@ -86,14 +86,22 @@ def _func_headers(c: Ctx) -> Column:
     )
 
 
-def _func_end(code: Column, start: Column) -> Column:
+def _ends(c: Ctx) -> Column:
+    """0-based indexes of the lines that are exactly '}'."""
+    at = F.transform(c.extra["go_code"], lambda x, j: F.when(F.regexp_replace(x, "[ \t\r]+\\z", "") == "}", j))
+    return F.filter(at, lambda j: j.isNotNull())
+
+
+def _closers(c: Ctx) -> Column:
+    """(index, indent) of the lines that begin with '}'."""
+    at = F.transform(c.extra["go_code"], lambda x, j: F.when(_strip(x).startswith("}"), F.struct(j.alias("j"), T.indent_width(x).alias("ind"))))
+    return F.filter(at, lambda x: x.isNotNull())
+
+
+def _func_end(c: Ctx, start: Column) -> Column:
     """0-based index of the first line after start that is exactly '}' (or last line)."""
-    n = F.size(code)
-    ends = F.filter(
-        F.sequence(start + 1, F.greatest(n - 1, start + 1)),
-        lambda j: (j < n) & (F.regexp_replace(F.get(code, j), "[ \t\r]+\\z", "") == "}"),
-    )
-    return F.coalesce(F.get(ends, 0), n - 1)
+    ends = F.filter(c.extra["go_ends"], lambda j: j > start)
+    return F.coalesce(F.get(ends, 0), F.size(c.extra["go_code"]) - 1)
 
 
 def _named_results(rest: Column) -> Column:
@@ -125,7 +133,7 @@ def functions(c: Ctx) -> Column:
 
     def per_func(h: Column) -> Column:
         start = h["last"]
-        end = _func_end(code, start)
+        end = _func_end(c, start)
         body = F.slice(code, start + 2, F.greatest(end - start - 1, F.lit(0)))
         stmts = F.size(F.filter(body, lambda x: (_strip(x) != "") & ~_strip(x).startswith("}"))) + F.size(
             F.filter(body, lambda x: _strip(x).endswith("{"))
@@ -157,11 +165,8 @@ def _checks(c: Ctx) -> Column:
 
     def per_line(x: Column, i: Column) -> Column:
         ind = T.indent_width(x)
-        closes = F.filter(
-            F.sequence(i + 1, F.greatest(n - 1, i + 1)),
-            lambda j: (j < n) & (T.indent_width(F.get(code, j)) == ind) & _strip(F.get(code, j)).startswith("}"),
-        )
-        end = F.coalesce(F.get(closes, 0), n)
+        closes = F.filter(c.extra["go_closers"], lambda y: (y["j"] > i) & (y["ind"] == ind))
+        end = F.coalesce(F.get(closes, 0)["j"], n)
         body = F.slice(code, i + 2, F.greatest(end - i - 1, F.lit(0)))
         handled = F.exists(
             body,
@@ -208,7 +213,7 @@ def _parses(c: Ctx) -> Column:
     return F.exists(c.lines, lambda l: T.rlike(l, PACKAGE))
 
 
-PREP = (("go_code", _prep), ("go_checks", lambda c: _checks(c)))
+PREP = (("go_code", _prep), ("go_ends", _ends), ("go_closers", _closers), ("go_checks", _checks))
 
 
 def _guard(fn):

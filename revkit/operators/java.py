@@ -12,6 +12,9 @@ from revkit.operators.findings import Ctx, Rule, empty, finding, one_if, per_mat
 # Java rule patterns (RE2 syntax).
 CATCH_THROWABLE = r"catch\s*\(\s*Throwable\s+(\w+)\s*\)"
 EMPTY_BLOCK = r"(?m)(if|for|while|try|catch|else|synchronized).*?\{\s*\}"
+# EMPTY_BLOCK, or the rest of the line where the first keyword finds no empty
+# block: later keywords of that line find none either, so each line is read once
+EMPTY_BLOCK_OR_REST = r"(?m)(if|for|while|try|catch|else|synchronized)(?:.*?\{\s*\}|.*)"
 NULL_CHECK = r"if\s*\(\s*(\w+)\s*==\s*null\s*\)|\(\s*(\w+)\s*!=\s*null\s*\)"
 PUBLIC_FIELD = r"(?m)^\s*public\s+([a-zA-Z0-9_<>]+)\s+([a-zA-Z0-9_]+)\s*[=;]"
 NON_FIELD = r"(?m)^\s*public\s+(class|interface|enum|record|static\s+final)"
@@ -78,12 +81,12 @@ def try_blocks(c: Ctx) -> Column:
     empty catch at or after the try (one per try, duplicates kept)."""
     t = c.extra["java_try"]
     try_lines, last_handler, ec_off, ec_lines = t["try_lines"], t["last_handler"], t["ec_off"], t["ec_lines"]
-    nbytes = F.octet_length(c.content)
+    chars = F.length(c.content)
 
     def per_try(off: Column, k: Column) -> Column:
         line = F.get(try_lines, k)
-        byte_pos = F.octet_length(F.substr(c.content, F.lit(1), off))
-        no_handler = ~((nbytes > byte_pos + 4) & (last_handler >= off))
+        # more than the four bytes of "try{" are left; a shorter rest is just those
+        no_handler = ~((chars - off > 4) & (last_handler >= off))
         first_ec = F.array_position(F.transform(ec_off, lambda o: o >= off), F.lit(True))
         return F.filter(
             F.array(
@@ -202,8 +205,9 @@ def rules() -> list[Rule]:
     return [
         Rule("F1", lambda c: per_match(c.content, CATCH_THROWABLE, lambda ln, g: loc(c, ln, F.concat(
             F.lit("Catching Throwable '"), g[0], F.lit("' is too broad. Catch more specific exceptions"))), groups=(1,)), j),
-        Rule("F2", lambda c: per_match(c.content, EMPTY_BLOCK, lambda ln, g: loc(c, ln, F.concat(
-            F.lit("Empty "), g[0], F.lit(" block. Add comments explaining why or implement properly"))), groups=(1,)), j),
+        Rule("F2", lambda c: per_match(c.content, EMPTY_BLOCK_OR_REST, lambda ln, g: loc(c, ln, F.concat(
+            F.lit("Empty "), g[0], F.lit(" block. Add comments explaining why or implement properly"))), groups=(1, 0),
+            keep=lambda ln, g: T.rlike(g[1], r"\{\s*\}$")), j),
         Rule("F3", null_checks, j),
         Rule("F4", public_fields, j),
         Rule("F5", try_blocks, j, prep=(("java_try", try_offsets),)),

@@ -71,13 +71,16 @@ def _per_line(c: Ctx, fn) -> Column:
 
 # ----------------------------------------------------------------- H1 syntax
 
+DELIMITER = r"[()\[\]{}]"
+
+
 def unbalanced(c: Ctx) -> Column:
     """H1: per line, a closer that does not match the top of a fresh stack."""
     def on_line(l: Column, i: Column) -> Column:
         init = F.struct(F.lit("").alias("st"), F.array().cast("array<int>").alias("bad"))
 
-        def step(acc, k):
-            ch = F.substr(l, k, F.lit(1))
+        def step(acc, x):
+            ch, k = x["c"], x["k"]
             opener = F.when(ch == "(", ")").when(ch == "[", "]").when(ch == "{", "}")
             is_close = ch.isin(")", "]", "}")
             top = F.substr(acc["st"], F.length(acc["st"]), F.lit(1))
@@ -89,13 +92,19 @@ def unbalanced(c: Ctx) -> Column:
             )
             return F.struct(st.alias("st"), F.when(bad, F.concat(acc["bad"], F.array(k))).otherwise(acc["bad"]).alias("bad"))
 
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(l), F.lit(1))), init, step)
-        hits = F.transform(
-            folded["bad"],
-            lambda k: issue(c, i + 1, F.octet_length(F.substr(l, F.lit(1), k - 1)) + 1, "error", "PYL001",
-                            F.concat(F.lit("Unbalanced delimiter: '"), F.substr(l, k, F.lit(1)), F.lit("'"))),
-        )
-        return F.when(l.rlike("[)\\]}]"), hits).otherwise(empty())
+        # the delimiters alone, and the bytes before each of them
+        marks = F.regexp_extract_all(l, F.lit(DELIMITER), F.lit(0))
+        folded = F.aggregate(F.transform(marks, lambda ch, k: F.struct(ch.alias("c"), k.alias("k"))), init, step)
+
+        def hits(v: Column) -> Column:
+            col = lambda k: F.get(v["at"], k) + 1
+            return F.transform(
+                v["bad"],
+                lambda k: issue(c, i + 1, col(k), "error", "PYL001", F.concat(F.lit("Unbalanced delimiter: '"), F.get(v["marks"], k), F.lit("'"))),
+            )
+
+        found = F.struct(folded["bad"].alias("bad"), marks.alias("marks"), T.match_byte_offsets(l, DELIMITER).alias("at"))
+        return F.when(l.rlike("[)\\]}]"), T.let(found, hits)).otherwise(empty())
 
     return _per_line(c, on_line)
 
