@@ -103,8 +103,11 @@ def needed_terms(idf: dict[str, float], threshold: float = THRESHOLD) -> list[st
 
 
 def own_licenses(segments: DataFrame, idf: dict[str, float], rare: float, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, license, score): the best licence of each key's segments (key, segment)."""
+    """(key, license, score): the best licence of each key's segments (key, segment).
+
+    Texts are exploded once and then known by their MD5 (``sid``)."""
     spark = segments.sparkSession
+    segments = segments.withColumn("sid", F.unhex(F.md5(F.col("segment").cast("binary"))))
     cells, norms = [], []
     for i, (_, text) in enumerate(TEMPLATES):
         vector = _vector(text, idf)
@@ -114,14 +117,14 @@ def own_licenses(segments: DataFrame, idf: dict[str, float], rare: float, thresh
     sizes = spark.createDataFrame(norms, "template int, license string, norm double")
     known = spark.createDataFrame([(t, w) for t, w in idf.items()], "term string, idf double")
     # equal segments are scored once
-    counted = segments.select("segment").distinct().select("segment", F.explode(terms(F.col("segment"))).alias("term")).groupBy("segment", "term").count()
-    weighed = materialize(counted.join(known, "term", "left").select("segment", "term", (F.col("count") * F.coalesce("idf", F.lit(rare))).alias("w")), "terms")
-    own = weighed.groupBy("segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
-    dots = weighed.join(vectors, "term").groupBy("segment", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    counted = segments.dropDuplicates(["sid"]).select("sid", F.explode(terms(F.col("segment"))).alias("term")).groupBy("sid", "term").count()
+    weighed = materialize(counted.join(known, "term", "left").select("sid", "term", (F.col("count") * F.coalesce("idf", F.lit(rare))).alias("w")), "terms")
+    own = weighed.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
+    dots = weighed.join(vectors, "term").groupBy("sid", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     score = F.round(F.col("dot") / (F.col("own") * F.col("norm")), 4)
-    scored = dots.join(sizes, "template").join(own, "segment").select("segment", "license", score.alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("segment").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    held = segments.join(best, "segment").groupBy("key").agg(F.min("b").alias("b"))
+    scored = dots.join(sizes, "template").join(own, "sid").select("sid", "license", score.alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    held = segments.select("key", "sid").join(best, "sid").groupBy("key").agg(F.min("b").alias("b"))
     return held.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
