@@ -177,7 +177,7 @@ class Encoder:
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether token b can stand right of token a, for arrays of ids."""
         ok = np.ones(len(a), bool)
-        at, limit = np.arange(len(a)), np.full(len(a), _NEVER)
+        at, limit = np.arange(len(a)), np.full(len(a), _NEVER >> 20)
         while len(at):
             bad = (self._merge(a, b) >> 20) < limit
             ok[at[bad]] = False
