@@ -37,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed by ``column``: a
+    join on it needs no shuffle of these rows."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{column}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    df.write.mode("append").insertInto(table)
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors' Python this package, once a context (a cluster's
     machines need no copy of it)."""

@@ -4,8 +4,9 @@ Documents are gathered into blocks of words. Each block sends every distinct
 n-gram once, with its count, to the partition of the count table that owns the
 n-gram's hash (64-bit hashes, sorted and packed; an n-gram of every document is
 one entry a block). The owner adds the counts up and answers each block with
-the corpus counts of its n-grams, in the order asked. The block joins them to
-its exploded n-grams and sums per document
+the corpus counts of its n-grams, in the order asked. Blocks lie in a table
+bucketed by block, so the join with their answers moves the answers only. The
+block joins them to its exploded n-grams and sums per document
 
     S(w | context) = c(context w) / c(context)   if c(context w) >= MIN_COUNT
                      0.4 * S(w | shorter context) else,  S(w) = c(w) / words
@@ -29,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revkit.llm.common import materialize, ship
-from revkit.llm.wordhash import ngrams, utf8, words
+from revkit.llm.common import bucketed, ship
+from revkit.llm.wordhash import blocks, ngrams, utf8, word_starts, words
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text in a block (a longer text is a block of its own); words of input per partition of the table.
@@ -75,21 +76,20 @@ def _unpack_counts(blob: bytes) -> np.ndarray:
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
-    """Blocks of (doc_id, text): the ids, the words of each text, the distinct
-    word hashes, and the words as numbers into them."""
+    """Blocks of (doc_id, text): the ids, the number of words, the texts' sizes and the texts."""
     ship(docs.sparkSession)
 
     def block(ids: list[int | None], parts: list[pa.Array], number: int) -> pa.RecordBatch:
         offsets, data = utf8(pa.concat_arrays(parts))
-        hashes, at = words(data, offsets, lower=False)
-        distinct, codes = np.unique(hashes, return_inverse=True)
+        n = sum(len(word_starts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in blocks(np.diff(offsets)))
         cells = [
             pa.array([number], pa.int64()),
             pa.array([ids], pa.list_(pa.int64())),
-            pa.array([len(hashes)], pa.int64()),
-            *(pa.array([_pack(x)], pa.binary()) for x in (np.diff(at).astype("<u4"), distinct, codes.astype("<u4"))),
+            pa.array([n], pa.int64()),
+            pa.array([_pack(np.diff(offsets).astype("<u4"))], pa.binary()),
+            pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(cells, ["block", "ids", "n", "sizes", "words", "codes"])
+        return pa.RecordBatch.from_arrays(cells, ["block", "ids", "n", "sizes", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -111,14 +111,20 @@ def block_rows(docs: DataFrame) -> DataFrame:
         if ids:
             yield block(ids, parts, number)
 
-    return docs.mapInArrow(run, "block long, ids array<long>, n long, sizes binary, words binary, codes binary")
+    return docs.mapInArrow(run, "block long, ids array<long>, n long, sizes binary, body binary")
 
 
-def _block_grams(sizes: bytes, distinct: bytes, codes: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _block_grams(sizes: bytes, body: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashes, offsets of the documents) of every order, 1 first."""
-    hashes = _unpack(distinct, "<u8")[_unpack(codes, "<u4")]
-    at = np.concatenate([[0], np.cumsum(_unpack(sizes, "<u4"), dtype=np.int64)])
-    return [(hashes, at), *(ngrams(hashes, at, k) for k in range(2, order + 1))]
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(_unpack(sizes, "<u4"), dtype=np.int64)])
+    hashes, at = [], [np.zeros(1, np.int64)]
+    for lo, hi in blocks(np.diff(offsets)):
+        got, upto = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=False)
+        hashes.append(got)
+        at.append(upto[1:] + at[-1][-1])
+    joined, bounds = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(at)
+    return [(joined, bounds), *(ngrams(joined, bounds, k) for k in range(2, order + 1))]
 
 
 def _cuts(distinct: np.ndarray, bits: int) -> np.ndarray:
@@ -130,12 +136,12 @@ def _low(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes << np.uint64(bits)) >> np.uint64(64 - LOW_BITS)
 
 
-def asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+def asked(rows: DataFrame, order: int, bits: int) -> DataFrame:
     """Per block, order and partition: the block's distinct n-grams and their counts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *cells in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, *cells in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for k, (hashes, _) in enumerate(_block_grams(*cells, order), 1):
                     distinct, counts = np.unique(hashes, return_counts=True)
                     cuts = _cuts(distinct, bits)
@@ -151,7 +157,7 @@ def asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                         ["part", "block", "grams", "counts"],
                     )
 
-    return blocks.select("block", "sizes", "words", "codes").mapInArrow(run, "part int, block long, grams binary, counts binary")
+    return rows.select("block", "sizes", "body").mapInArrow(run, "part int, block long, grams binary, counts binary")
 
 
 def answered(grams: DataFrame, parts: int) -> DataFrame:
@@ -210,36 +216,24 @@ def _scores(grams: list[tuple[np.ndarray, np.ndarray]], counts: dict[int, np.nda
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Per document: doc_id, n_words, log_score (sum over its words), mean_log_score."""
-    blocks = materialize(block_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "blocks")
-    total = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bucketed(block_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "lm_blocks", "block", buckets)
+    total = rows.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (total // PART_WORDS).bit_length())
-    answers = answered(asked(blocks, order, bits), max(1, order << bits))
-
-    def finish(block: tuple, counts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        ids, sizes, distinct, codes = block
-        by_order = {k: [_unpack_counts(c) for p, c in counts if p >> 24 == k] for k in range(1, order + 1)}
-        joined = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in by_order.items()}
-        n, logs = _scores(_block_grams(sizes, distinct, codes, order), joined, total)
-        mean = [s / c if c else None for s, c in zip(logs.tolist(), n.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(logs), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
+    answers = answered(asked(rows, order, bits), max(1, order << bits))
+    # a block's answers are as many counts as it has distinct n-grams
+    back = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, number, counts = None, None, []
         for batch in batches:
-            for b, part, blob, *cells in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if b != number:
-                    if block:
-                        yield finish(block, counts)
-                    block, number, counts = None, b, []
-                if part < 0:
-                    block = tuple(cells)
-                else:
-                    counts.append((part, blob))
-        if block:
-            yield finish(block, counts)
-
-    none = lambda kind: F.lit(None).cast(kind)
-    own = blocks.select("block", F.lit(-1).alias("part"), none("binary").alias("counts"), "ids", "sizes", "words", "codes")
-    back = answers.select("block", "part", "counts", none("array<long>").alias("ids"), *(none("binary").alias(c) for c in ("sizes", "words", "codes")))
-    rows = own.unionByName(back).repartition("block").sortWithinPartitions("block", "part")
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_score double, mean_log_score double")
+            for ids, sizes, body, answers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                got: dict[int, list[np.ndarray]] = {k: [] for k in range(1, order + 1)}
+                for a in sorted(answers or (), key=lambda x: x["part"]):
+                    got[a["part"] >> 24].append(_unpack_counts(a["counts"]))
+                counts = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in got.items()}
+                n, logs = _scores(_block_grams(sizes, body, order), counts, total)
+                mean = [s / c if c else None for s, c in zip(logs.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(logs), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    joined = rows.join(back.hint("merge"), "block", "left").select("ids", "sizes", "body", "answers")
+    return joined.mapInArrow(run, "doc_id long, n_words long, log_score double, mean_log_score double")
