@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revkit.session import ensure_checkpoint_dir
+
 DAY_SECONDS = 86400
 RECENT = 10
 
@@ -94,6 +96,9 @@ def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str
     bucket. Sums are associated per bucket, so ``hist_avg`` may differ from
     the sequential running mean in the last bits; counts and trends are exact."""
     key = ["channel_id", "period", "bucket"]
+    # both the buckets and the rows read the scores: they are computed once
+    ensure_checkpoint_dir(scored.sparkSession)
+    scored = scored.checkpoint()
     df = scored.withColumn("period", epoch(F.col("ts"), origin)).withColumn(
         "bucket", F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(origin).cast("timestamp"))) / F.lit(bucket_seconds)).cast("bigint")
     )

@@ -145,8 +145,9 @@ HISTORY_SQL = _history_sql()
 
 @register("history_trends", HISTORY_SQL)
 def q_history_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running average and last-10 trend per channel and 24 h period."""
-    h = L.with_history(_scores(spark, sf_dir))
+    """Running average and last-10 trend per channel and 24 h period,
+    a channel's day split into buckets."""
+    h = L.with_history_split(_scores(spark, sf_dir))
     return h.select(
         "review_id", "channel_id", "period", "hist_count", F.round("hist_avg", 6).alias("hist_avg"), F.round("trend", 6).alias("trend"),
         F.when(F.col("hist_count") > 0, L.trend_label(F.col("trend"))).alias("trend_label"),

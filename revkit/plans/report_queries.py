@@ -86,6 +86,6 @@ FROM qr JOIN h USING (review_id)"""
 @register("enhanced_report", ENHANCED_REPORT_SQL)
 def q_enhanced_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8 + L6: quality section followed by the historical perspective."""
-    h = L.with_history(_scores(spark, sf_dir))
+    h = L.with_history_split(_scores(spark, sf_dir))
     text = F.concat(F.col("quality_text"), L.historical_section(F.col("overall"), F.col("hist_count"), F.col("hist_avg"), F.col("trend")))
     return reviews.quality_report(h).select("review_id", text.alias("reply_text"))

@@ -39,17 +39,10 @@ def register(spark: SparkSession, sf_dir: str, names=("documents", "conversation
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-# Analysed plans of the derived corpora, per session and folder: the SQL is
-# parsed and analysed once per process (no data is cached).
-_PLANS: dict[tuple, DataFrame] = {}
-
-
 def _derived(spark: SparkSession, sf_dir: str, table_name: str, sql: str) -> DataFrame:
-    key = (spark, os.path.abspath(sf_dir), table_name)
-    if key not in _PLANS:
-        spark.read.parquet(os.path.join(sf_dir, f"{table_name}.parquet")).createOrReplaceTempView(table_name)
-        _PLANS[key] = spark.sql(sql)
-    return _PLANS[key]
+    """The SQL over the table's files as they are now."""
+    table(spark, sf_dir, table_name).createOrReplaceTempView(table_name)
+    return spark.sql(sql)
 
 
 def source_files_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
