@@ -1,7 +1,7 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document is the set of its distinct 4-word shingles (lower-cased A-Z; a text
-of fewer words is one shingle). Its signature is 64 MinHash values cut to 16
+A document is the set of its distinct word shingles (five words if not told
+otherwise, lower-cased A-Z; a text of fewer words is one shingle). Its signature is 64 MinHash values cut to 16
 bits. Two signatures at most ``DISTANCE`` = 25 values apart are found for
 certain: the 64 positions are split into 13 chunks, and as 25 < 13 * 2 at least
 one chunk differs in at most one value. All chunk errors that are allowed are
@@ -41,7 +41,7 @@ from revkit.llm.common import materialize, ship
 from revkit.llm.components import connected, merge_labels
 from revkit.llm.wordhash import blocks, mix, ngrams, utf8, words
 
-SHINGLE, VALUES, DISTANCE, CHUNK = 4, 64, 25, 5
+SHINGLE, VALUES, DISTANCE, CHUNK = 5, 64, 25, 5
 #: Links need 100 * |A & B| >= SIMILARITY * |A | B|.
 SIMILARITY = 80
 #: Documents of a key that are compared at once, and members sent to one task with their hub.
@@ -62,13 +62,13 @@ def chunk_keys() -> list[list[int]]:
     return [[p for p in chunk if p != out] for chunk in chunks for out in chunk]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle hashes, shingle offsets of the rows, word offsets of the rows);
     rows with fewer words than a shingle get one of all their words."""
     hashes, at = words(data, offsets, lower=True)
-    got, upto = ngrams(hashes, at, SHINGLE)
+    got, upto = ngrams(hashes, at, n)
     size = np.diff(at)
-    few = np.flatnonzero((size > 0) & (size < SHINGLE))
+    few = np.flatnonzero((size > 0) & (size < n))
     if len(few):
         whole = np.array([mix(np.add.reduce(hashes[at[i] : at[i + 1]] * np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, size[i] + 1, dtype=np.uint64), keepdims=True) + np.uint64(size[i]))[0] for i in few], np.uint64)
         got = np.insert(got, upto[few], whole)
@@ -88,11 +88,11 @@ def signatures(got: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _features(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
     offsets, data = utf8(batch.column(1))
     for lo, hi in blocks(np.diff(offsets)):
         base = offsets[lo]
-        got, upto, _ = shingles(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+        got, upto, _ = shingles(data[base : offsets[hi]], offsets[lo : hi + 1] - base, n)
         count = np.diff(upto)
         sizes = np.array([len(np.unique(got[upto[i] : upto[i + 1]])) for i in range(hi - lo)], np.int64)
         full = np.flatnonzero(count)
@@ -113,10 +113,10 @@ def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         )
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row of (doc_id, text): set size, digest of the shingle sequence, signature."""
     ship(docs.sparkSession)
-    run = lambda batches: (out for b in batches for out in _features(b))
+    run = lambda batches: (out for b in batches for out in _features(b, shingle))
     return docs.mapInArrow(run, "doc_id long, n_shingles long, seq binary, sig binary")
 
 
@@ -160,7 +160,7 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, salt, member): a hub's own text comes first, then the members."""
     hub, own = None, np.zeros(0, np.uint64)
     for batch in batches:
@@ -171,7 +171,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in blocks(np.diff(offsets)):
             base = offsets[lo]
             at = offsets[lo : hi + 1] - base
-            got, upto, _ = shingles(data[base : offsets[hi]], at)
+            got, upto, _ = shingles(data[base : offsets[hi]], at, shingle)
             for i in range(lo, hi):
                 mine = got[upto[i - lo] : upto[i - lo + 1]]
                 if _sequence(mine) != expect[i]:  # another text under the same id
@@ -203,7 +203,7 @@ def texts_of(need: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return materialize(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a = hub, b) that are links by their full sets. Members meet
     their hub in runs of about HUB_ROWS, so a hub of any size is spread out."""
     pairs = materialize(pairs, "pairs")
@@ -215,7 +215,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     rows = hubs.select("a", "salt", F.lit(False).alias("member"), F.col("a").alias("id"), "seq", "text").unionByName(
         dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(True).alias("member"), F.col("b").alias("id"), "seq", "text")
     )
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(_confirm, "a long, b long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id").mapInArrow(lambda b: _confirm(b, shingle), "a long, b long")
 
 
 def _near_in_cell(k: int, comp: np.ndarray, minor: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -270,7 +270,7 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["key", "cell", "k", "id", "comp", "minor"])
 
 
-def _links_in_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_in_cell(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """The near pairs of each cell that are links by their full sets; pairs that
     the cell's links have already joined are left out."""
     for (_, _, k), run in _cells(batches):
@@ -286,7 +286,8 @@ def _links_in_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
         def full(i: int, sets: dict = sets, run: list = run) -> np.ndarray | None:
             if i not in sets:
-                got, _, _ = shingles(np.frombuffer((run[i][5] or "").encode(), np.uint8), np.array([0, len((run[i][5] or "").encode())]))
+                data = np.frombuffer((run[i][5] or "").encode(), np.uint8)
+                got, _, _ = shingles(data, np.array([0, len(data)]), shingle)
                 sets[i] = np.unique(got) if _sequence(got) == run[i][4] else None  # else another text under the same id
             return sets[i]
 
@@ -338,29 +339,29 @@ def by_cell(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "k", "id")
 
 
-def cross_links(rows: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def cross_links(rows: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """Links (a, b) between the components of the cells of ``rows``."""
     rows = materialize(rows, "unsettled")
     texts = texts_of(rows.select("id"), docs, reps)
     full = rows.join(reps.select("id", "sig"), "id").join(texts, "id").select("key", "cell", "k", "id", "comp", "minor", "sig", "seq", "text")
-    return by_cell(full).mapInArrow(_links_in_cell, "a long, b long")
+    return by_cell(full).mapInArrow(lambda b: _links_in_cell(b, shingle), "a long, b long")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    feats = materialize(features(docs), "features")
+    feats = materialize(features(docs, shingle), "features")
     named = feats.where("doc_id IS NOT NULL AND seq IS NOT NULL")
     least = named.groupBy("seq").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
     reps = materialize(least.select(F.col("m.doc_id").alias("id"), "seq", "m.sig"), "classes")
     buckets = materialize(shared_keys(index_keys(reps)), "buckets")
     first = buckets.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    links = confirmed(_near(first, reps), docs, reps)
+    links = confirmed(_near(first, reps), docs, reps, shingle)
     # an id that stands for two sequences links them, and all rows of an id are one document
     twice = named.join(reps.select("seq", "id"), "seq").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     repeated = named.groupBy("doc_id").agg(F.min("seq").alias("s"), F.max("seq").alias("t")).where("s <> t").select(F.col("doc_id").alias("a"))
     labels = connected(links.unionByName(twice.join(repeated, "a", "left_semi")))
-    more = cross_links(unsettled(buckets, labels, reps), docs, reps)
+    more = cross_links(unsettled(buckets, labels, reps), docs, reps, shingle)
     labels = materialize(merge_labels(labels, more), "components")
     classes = reps.join(labels, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))
     out = feats.join(classes, "seq", "left")
@@ -369,8 +370,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    out = materialize(components(docs, doc_id, text), "near")
+    out = materialize(components(docs, doc_id, text, shingle), "near")
     gone = out.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns)

@@ -70,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_minhash_near_dedup")
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.components(table(spark, sf_dir, "documents"))
+    return near_dedup.components(table(spark, sf_dir, "documents"), shingle=4)
 
 
 @register("op9_pii")

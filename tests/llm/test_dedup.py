@@ -48,19 +48,19 @@ def test_exact_index_persists(spark, docs):
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
 
 
-def sets(texts):
+def sets(texts, n):
     low = {i: i + 32 for i in range(65, 91)}
     out = []
     for t in texts:
         w = WORD.findall((t or "").translate(low))
-        out.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set()))
+        out.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
     return out
 
 
-def brute(pairs):
+def brute(pairs, n):
     """doc_id -> smallest id reachable; every pair compared."""
     ids = [i for i, _ in pairs]
-    s = sets([t for _, t in pairs])
+    s = sets([t for _, t in pairs], n)
     up = {i: i for i in ids if i is not None}
 
     def find(x):
@@ -79,11 +79,11 @@ def brute(pairs):
     return {i: find(i) for i in up}, s
 
 
-def check_near(df):
+def check_near(df, n=4):
     pairs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    comp, s = brute(pairs)
+    comp, s = brute(pairs, n)
     want = sorted(repr((i, len(x), comp.get(i), i is None or comp[i] == i)) for (i, _), x in zip(pairs, s, strict=True))
-    assert sorted(repr(tuple(r)) for r in near_dedup.components(df).collect()) == want
+    assert sorted(repr(tuple(r)) for r in near_dedup.components(df, shingle=n).collect()) == want
 
 
 def test_near_edge_cases(docs):
@@ -92,6 +92,7 @@ def test_near_edge_cases(docs):
 
 def test_near_sf(spark):
     check_near(spark.read.parquet(f"{SF}/documents.parquet"))
+    check_near(spark.read.parquet(f"{SF}/documents.parquet"), 5)
 
 
 def test_near_chain_and_blocks(spark, monkeypatch):
