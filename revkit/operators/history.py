@@ -55,7 +55,7 @@ def trend_label(trend: Column) -> Column:
 
 def comparison_label(overall: Column, hist_avg: Column) -> Column:
     """L5."""
-    diff = overall - hist_avg
+    diff = F.round(overall - hist_avg, 6)  # the order of summing must not show in the first decimal
     emoji = F.when(diff > 5, F.lit("🌟")).when(diff < -5, F.lit("⚠️")).otherwise(F.lit("➡️"))
     text = (
         F.when(F.abs(diff) < 2, F.lit("On par with typical reviews"))

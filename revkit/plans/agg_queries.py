@@ -121,7 +121,7 @@ def _label_sql(x: str, pos: str, neg: str, zero: str, up: str, down: str, big: f
 
 def _history_sql() -> str:
     te, tt = _label_sql("trend", "📈", "📉", "Stable", "Improving", "Declining")
-    ce, ct = _label_sql("(overall - hist_avg)", "🌟", "⚠️", "On par with typical reviews", "Above average", "Below average")
+    ce, ct = _label_sql("round(overall - hist_avg, 6)", "🌟", "⚠️", "On par with typical reviews", "Above average", "Below average")
     return f"""WITH s AS ({_SCORES_SQL}),
 c AS (SELECT s.*, m.ts, CAST(floor(epoch(m.ts) / 86400) AS BIGINT) AS period FROM s JOIN (SELECT review_id, ts FROM ({REVIEW_COMMENTS_SQL}) x) m USING (review_id)),
 w AS (
