@@ -45,7 +45,7 @@ SHINGLE, VALUES, DISTANCE, CHUNK = 5, 64, 25, 5
 #: Links need 100 * |A & B| >= SIMILARITY * |A | B|.
 SIMILARITY = 80
 #: Documents of a key that are compared at once, and members sent to one task with their hub.
-BLOCK_DOCS, HUB_ROWS = 512, 2000
+BLOCK_DOCS, HUB_ROWS = 1024, 2000
 
 #: Random orders of the ids by which keys choose their hubs.
 ORDERS = 16
