@@ -52,7 +52,44 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@register("op7_quality_rules")
+_RULE_ROWS = " UNION ALL ".join(
+    f"SELECT r, doc_id, stratum, base_failed, '{rule}' AS rule, {top} AS a, {bottom} AS d FROM f" for rule, (top, bottom, _) in quality_rules.RULES.items()
+)
+_GRID_ROWS = ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(quality_rules.GRID))
+_SHARE = quality_rules.ALPHA / len(quality_rules.RULES)
+_LEVEL = quality_rules.DELTA / (len(quality_rules.RULES) * (len(quality_rules.STRATA) + 1))
+_OP7 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IN {quality_rules.STRATA} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS b FROM documents),
+w AS (SELECT *, regexp_extract_all(b, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(b, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (
+  SELECT r, unnest(generate_series(1, len(ws) - 7)) AS i, unnest(list_transform(generate_series(1, len(ws) - 7), lambda i: array_to_string(ws[i:i + 7], ' '))) AS x
+  FROM w WHERE len(ws) >= 8),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM win) q WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n_rep FROM (SELECT r, unnest(generate_series(i, i + 7)) AS p FROM dup) q GROUP BY r),
+m AS (
+  SELECT r, doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    length(regexp_replace(b, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(b, '[^A-Z]', '', 'g')) AS n_upper,
+    length(regexp_replace(b, '[^!?]', '', 'g')) AS n_marks
+  FROM w LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+ratio AS ({_RULE_ROWS}),
+grid(step, cutoff) AS (VALUES {_GRID_ROWS}),
+cells AS (
+  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (d > 0 AND a > cutoff * d) AS k
+  FROM ratio JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY stratum, rule, step, cutoff),
+tails AS (
+  SELECT *, CASE WHEN k > ceil(n * {_SHARE!r}) THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})))) END AS tail FROM cells),
+certain AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, max(tail) OVER (PARTITION BY stratum, rule ORDER BY step) AS worst FROM tails) q
+  WHERE worst <= {_LEVEL!r} GROUP BY stratum, rule),
+out AS (SELECT r, bool_or(d > 0 AND a > cutoff * d) AS rejected FROM ratio JOIN certain USING (stratum, rule) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM f LEFT JOIN out USING (r)"""
+
+
+@register("op7_quality_rules", _OP7)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -126,10 +126,10 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 100: 50, 101: 50}
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op6_exact_dedup", "op8_license_scan"])
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op6_exact_dedup", "op7_quality_rules", "op8_license_scan"])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     res = con.execute(ORACLE[name])
     cols = [d[0] for d in res.description]
