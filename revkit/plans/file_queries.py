@@ -400,11 +400,12 @@ SELECT * FROM res"""
 PYTHON_SQL = _python_sql()
 
 
-def _python_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _python_rows(spark: SparkSession, sf_dir: str, bundles: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of the named rule bundles (default: all) on every Python file."""
     from revkit.operators import python as H
 
     files = derived_files(spark, sf_dir).where(F.col("lang") == "python")
-    found = run_rules(files, H.rules())
+    found = run_rules(files, [r for r in H.rules() if not bundles or r.rule_id in bundles])
     return found.select(
         "repo", "path", F.regexp_extract("msg", r" (PYL\d+): ", 1).alias("code"), F.col("line").cast("bigint").alias("line"),
         F.col("msg").alias("recommendation"),
@@ -414,14 +415,15 @@ def _python_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("python_findings", PYTHON_SQL)
 def q_python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2, H4-H11, H13, H15-H17, H19-H24 on every Python file."""
-    return _python_rows(spark, sf_dir).where(~F.col("code").isin(*PY_FSM_CODES))
+    bundles = ("H2", "H4", "H7", "H13", "H15", "H17", "H19", "H22", "H24")
+    return _python_rows(spark, sf_dir, bundles).where(~F.col("code").isin(*PY_FSM_CODES))
 
 
 @register("python_stateful_findings")
 def q_python_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 (delimiter stack), H3 (indent stack), H14 (function length), H18
     (quote balance): order-dependent folds; checked against hand fixtures."""
-    return _python_rows(spark, sf_dir).where(F.col("code").isin(*PY_FSM_CODES))
+    return _python_rows(spark, sf_dir, ("H1", "H2", "H13", "H17")).where(F.col("code").isin(*PY_FSM_CODES))
 
 
 # ------------------------------------------------------------------ I Go
@@ -518,7 +520,7 @@ FROM k WHERE cnt > 50"""
 @register("python_function_length", _function_length_sql())
 def q_python_function_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions longer than 50 counted lines (the function-length fold)."""
-    return _python_rows(spark, sf_dir).where(F.col("code") == "PYL302")
+    return _python_rows(spark, sf_dir, ("H13",)).where(F.col("code") == "PYL302")
 
 
 def _quote_style_sql() -> str:
@@ -538,7 +540,7 @@ FROM cnt WHERE s > 0 AND d > 0 AND (s > d * 3 OR d > s * 3)"""
 @register("python_quote_style", _quote_style_sql())
 def q_python_quote_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote-balance fold per line, summed per file."""
-    return _python_rows(spark, sf_dir).where(F.col("code") == "PYL502")
+    return _python_rows(spark, sf_dir, ("H17",)).where(F.col("code") == "PYL502")
 
 
 def _go_block_sql() -> str:
