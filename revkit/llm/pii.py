@@ -8,9 +8,12 @@ plus sign). Boosted trees score each proposal by its format and its context.
 Training needs no hand labels: in a bounded sample of documents each base span
 is written anew in forms that the base patterns miss (positive), and with
 broken check digits, parts or lengths (negative); other proposals of the sample
-are negative. A second part of the sample, split by document, calibrates per
-kind the lowest threshold whose proposals include at most ``FALSE_SHARE``
-negatives (upper confidence bound); a kind without such a threshold adds
+are negative. The sample is drawn by hashes: of the document, and of the proposal
+within it, so neither the order of the table nor a document with very many
+spans decides what it holds. All documents that the model was not fitted on
+calibrate, per kind, the lowest threshold whose proposals include at most
+``FALSE_SHARE`` negatives (upper confidence bound): their proposals are counted
+by kind, score and label where they lie. A kind without such a threshold adds
 nothing. Accepted spans never overlap base spans or one another (best first).
 
 All scans are linear in the text: addresses grow outwards from each "@", and
@@ -25,7 +28,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revkit.llm import boosting
-from revkit.llm.common import ship
+from revkit.llm.common import materialize, ship
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the training sample (expected), and proposals taken from it.
-SAMPLE_DOCS, SAMPLE_SPANS = 6000, 40_000
+#: Documents of the training sample and proposals that the model is fitted on
+#: (both expected), and most proposals of one document among them.
+SAMPLE_DOCS, SAMPLE_SPANS, DOC_SPANS = 6000, 40_000, 64
+#: Places of the documents' hash, bins of the scores (a power of two, so that their edges are exact), and proposals scored at once.
+PLACES, BINS, CHUNK = 1 << 30, 1 << 12, 4096
 #: Most negatives, as a share of what a threshold accepts, with this many standard errors.
 FALSE_SHARE, ERRORS = 0.02, 1.645
 
@@ -199,11 +208,10 @@ def _variants(kind: int, body: str, rng: np.random.Generator) -> list[tuple[str,
     return [("00" + " ".join(groups), 1), ("(" + groups[0] + ") " + "-".join(groups[1:]), 1), ("00" + "".join(groups), 1), ("/".join(g[:2] for g in groups), 0), (" ".join(groups[:2]), 0), (".".join(groups[:3]), 0)]
 
 
-def examples(text: str, seed: int) -> list[tuple[int, list[float]]]:
+def examples(text: str, seed: int) -> Iterator[tuple[int, list[float]]]:
     """(label, features) of the training proposals of one document."""
     rng = np.random.default_rng(seed)
     base = base_spans(text)
-    out = []
     for kind, lo, hi in base:
         for body, label in _variants(kind, text[lo:hi], rng):
             changed = text[max(0, lo - 80) : lo] + body + text[hi : hi + 80]
@@ -212,10 +220,14 @@ def examples(text: str, seed: int) -> list[tuple[int, list[float]]]:
                 if span[1] < at + len(body) and span[2] > at:
                     # a positive must be the whole span, in its own kind
                     whole = span[0] == kind and span[1] <= at and span[2] >= at + len(body)
-                    out.append((int(label and whole), features(changed, span)))
+                    yield int(label and whole), features(changed, span)
     taken = _Taken(base)
-    out += [(0, features(text, s)) for s in proposals(text) if taken.free(s)]
-    return out
+    yield from ((0, features(text, s)) for s in proposals(text) if taken.free(s))
+
+
+def _draw(place: int, i: int) -> int:
+    """The place of a document's i-th proposal in the order by which proposals are drawn."""
+    return int.from_bytes(hashlib.blake2b(f"{place}:{i}".encode(), digest_size=4).digest(), "big") >> 2
 
 
 class _Taken:
@@ -265,49 +277,70 @@ class Detector:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Detector:
-    """Fit and calibrate on a sample of about ``sample_docs`` of the documents
-    with an address sign or two digits in a row, drawn by a hash of id and text,
-    and of at most ``sample_spans`` proposals."""
+    """Fit on a sample of about ``sample_docs`` of the documents with an address
+    sign or two digits in a row, drawn by a hash of id and text (two thirds of
+    them), and of about ``sample_spans`` of their proposals, drawn by a hash of
+    document and proposal; calibrate on all the other documents."""
+    none = Detector(None, [2.0] * len(KINDS))
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike("@|[0-9][0-9]"))
     total = docs.count()
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    drawn = docs.select(place.alias("place"), "text").where(F.col("place") < int((1 << 30) * min(1.0, sample_docs / max(total, 1))))
+    docs = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(PLACES)).alias("place"), "text")
+    place = F.col("place")
+    fitted = (place < int(PLACES * min(1.0, sample_docs / max(total, 1)))) & (F.shiftright(place, 3) % 3 != 0)
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, label, feats = [], [], []
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for y, x in examples(t or "", p):
-                    place.append(p)
-                    label.append(y)
-                    feats.append([float(v) for v in x])
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(label, pa.int32()), pa.array(feats, pa.list_(pa.float64()))], ["place", "label", "x"])
-
-    rows = drawn.mapInArrow(run, "place long, label int, x array<double>").limit(sample_spans).collect()
-    rows = sorted((r["place"], r["label"], tuple(r["x"])) for r in rows)
+                rows = heapq.nsmallest(DOC_SPANS, ((_draw(p, i), i, y, x) for i, (y, x) in enumerate(examples(t or "", p))), key=lambda r: r[:2])
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([[float(v) for v in r[3]] for r in rows], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["draw", "label", "x"])
+
+    drawn = materialize(docs.where(fitted).mapInArrow(draw, "draw long, label int, x array<double>"), "examples")
+    cut = int(PLACES * min(1.0, sample_spans / max(drawn.count(), 1)))
+    rows = sorted((r["draw"], r["label"], tuple(r["x"])) for r in drawn.where(F.col("draw") < cut).collect())
     if len({r[1] for r in rows}) < 2:
-        return Detector(None, [2.0] * len(KINDS))
-    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float)
-    held = np.array([(r[0] >> 3) % 3 == 0 for r in rows])
-    if held.all() or not held.any() or len(set(y[~held])) < 2:
-        return Detector(None, [2.0] * len(KINDS))
-    model = boosting.fit(x[~held], y[~held])
-    score = model.score(x[held])
-    return Detector(model, [_threshold(score[x[held][:, 0] == k], y[held][x[held][:, 0] == k]) for k in range(len(KINDS))])
+        return none
+    model = boosting.fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (e for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in examples(t or "", p))
+            cells: Counter[tuple[int, int, int]] = Counter()
+            for part in itertools.batched(found, CHUNK):
+                x = np.array([f for _, f in part], float)
+                cells.update(zip(x[:, 0].astype(int).tolist(), _bin(model.score(x)).tolist(), [y for y, _ in part], strict=True))
+            columns = [pa.array([c[i] for c in cells], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(cells.values()), pa.int64())], ["kind", "bin", "label", "n"])
+
+    held = docs.where(~fitted).mapInArrow(tally, "kind int, bin int, label int, n long")
+    # at most kinds * (bins + 1) * 2 rows
+    counts = np.zeros((len(KINDS), BINS + 1, 2), np.int64)
+    for r in held.groupBy("kind", "bin", "label").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"], r["bin"], r["label"]] = r["n"]
+    return Detector(model, [_lowest(c) for c in counts])
+
+
+def _bin(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * BINS).astype(int)
+
+
+def _lowest(counts: np.ndarray) -> float:
+    """The lowest score from which on the accepted share of negatives is surely
+    small; ``counts`` has the (negatives, positives) of each bin of scores."""
+    total = counts[::-1].cumsum(0)
+    n = np.maximum(total.sum(1), 1)
+    share = (total[:, 0] + ERRORS**2 / 2) / (n + ERRORS**2)  # Wilson's upper bound
+    upper = share + ERRORS * np.sqrt(share * (1 - share) / (n + ERRORS**2))
+    good = np.flatnonzero((upper <= FALSE_SHARE) & (counts[::-1].sum(1) > 0))
+    return (BINS - int(good[-1])) / BINS if len(good) else 2.0
 
 
 def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The lowest score from which on the accepted share of negatives is surely small."""
-    order = np.argsort(-score, kind="stable")
-    wrong = np.cumsum(1 - y[order])
-    n = np.arange(1, len(y) + 1)
-    share = (wrong + ERRORS**2 / 2) / (n + ERRORS**2)  # Wilson's upper bound
-    upper = share + ERRORS * np.sqrt(share * (1 - share) / (n + ERRORS**2))
-    s = score[order]
-    last = np.append(s[:-1] != s[1:], True) if len(s) else np.zeros(0, bool)
-    good = np.flatnonzero((upper <= FALSE_SHARE) & last)
-    return float(s[good[-1]]) if len(good) else 2.0
+    """``_lowest`` of given scores and labels."""
+    counts = np.zeros((BINS + 1, 2), np.int64)
+    np.add.at(counts, (_bin(score), y.astype(int)), 1)
+    return _lowest(counts)
 
 
 def shown(spans: list[Span]) -> str:
