@@ -7,8 +7,11 @@ plus sign). Boosted trees score each proposal by its format and its context.
 
 Training needs no hand labels: in a bounded sample of documents each base span
 is written anew in forms that the base patterns miss (positive), and with
-broken check digits, parts or lengths (negative); other proposals of the sample
-are negative. The sample is drawn by hashes: of the document, and of the proposal
+broken check digits, parts or lengths (negative). A proposal that the text has
+of itself is negative only if it cannot be what it is proposed as (check digit,
+octets, host, number of digits); one that has the form of a rewritten span may
+be personal data and gets no label, so what is found does not fall with the
+amount of it that a corpus hides. The sample is drawn by hashes: of the document, and of the proposal
 within it, so neither the order of the table nor a document with very many
 spans decides what it holds. All documents that the model was not fitted on
 calibrate, per kind, the lowest threshold whose proposals include at most
@@ -188,6 +191,41 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+#: Suffixes of host names (all country codes, and common generic ones).
+_SUFFIXES = frozenset(
+    """
+    ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz
+    de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp
+    ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz
+    om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz
+    ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw
+    com org net edu gov mil int arpa info biz name pro aero asia cat coop jobs mobi museum post tel travel example test invalid local
+    agency app art bank blog center church city cloud club company design dev digital eco email expert family finance foundation fun global group health help host
+    institute land law legal life link live love ltd media network news ngo online page press school science shop site social software solutions space store studio
+    support systems team tech today tools top university vip web website wiki work works world xyz zone
+    """.split()
+)
+#: Labels of a host: joined by a point without spaces, or by a spelled or spaced one.
+_JOINT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?| \. |\.(?! )", re.IGNORECASE)
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-](?:0?[1-9]|1[0-2])[ ./-](?:0?[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:19|20)[0-9]{2}(?![0-9])")
+
+
+def plausible(kind: int, body: str) -> bool:
+    """The proposal has the form of a rewritten span: it may be what it is proposed as."""
+    digits = _only_digits(body)
+    if kind == 0:
+        sign = _SIGN.search(body)
+        labels = _JOINT.split(body[sign.end() :]) if sign else []
+        # more words may follow a host: some label after the first is a suffix, and all before are whole labels
+        return any(x.lower() in _SUFFIXES and all(re.fullmatch("[A-Za-z0-9-]+", y) for y in labels[:i]) for i, x in enumerate(labels) if i)
+    if kind == 1:
+        between = re.findall("[^0-9]+", body)
+        return all(map(_octet, _DIGITS.findall(body))) and len(set(between)) == 1 and ":" not in body and len(between[0]) != 2
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and not _DATE.match(body.lstrip("+("))
+
+
 def _variants(kind: int, body: str, rng: np.random.Generator) -> list[tuple[str, int]]:
     """Other ways to write a base span (label 1), and broken ones (label 0)."""
     digits = _only_digits(body)
@@ -220,9 +258,12 @@ def examples(text: str, seed: int) -> Iterator[tuple[int, list[float]]]:
                 if span[1] < at + len(body) and span[2] > at:
                     # a positive must be the whole span, in its own kind
                     whole = span[0] == kind and span[1] <= at and span[2] >= at + len(body)
-                    yield int(label and whole), features(changed, span)
+                    # what reaches into the text around is no longer the constructed form alone
+                    inside = span[1] >= at and span[2] <= at + len(body)
+                    if label and whole or inside or not plausible(span[0], changed[span[1] : span[2]]):
+                        yield int(label and whole), features(changed, span)
     taken = _Taken(base)
-    yield from ((0, features(text, s)) for s in proposals(text) if taken.free(s))
+    yield from ((0, features(text, s)) for s in proposals(text) if taken.free(s) and not plausible(s[0], text[s[1] : s[2]]))
 
 
 def _draw(place: int, i: int) -> int:
