@@ -8,7 +8,8 @@ come back to the pages as hashes only, by a join that adaptive execution can
 split, and each page is filtered on its own in one pass.
 
 ``page_lines`` turns HTML into lines: comments, scripts and styles go, block
-tags end a line, other tags go, and blank lines are left out.
+tags end a line, other tags go, and blank lines are left out. Tag names count
+in any case of letters.
 
 Defined results: null html has no lines and an empty text; a page whose url has
 no host keeps all its lines; every row counts as a page, repeated rows too, and
@@ -33,6 +34,8 @@ BLOCK_TAGS = "address|article|aside|blockquote|br|div|dd|dl|dt|footer|form|h1|h2
 DROPPED = r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 BREAKS = rf"\n|</?(?:{BLOCK_TAGS})\b[^>]*>"
 TAGS = r"<[^>]*>"
+#: Before a pattern: names of tags in upper, lower or mixed case (A-Z).
+ANY_CASE = "(?i)"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -43,7 +46,7 @@ def host_of(url: Column) -> Column:
 
 
 def page_lines(html: Column) -> Column:
-    broken = F.split(F.regexp_replace(F.coalesce(html, F.lit("")), DROPPED, ""), BREAKS, -1)
+    broken = F.split(F.regexp_replace(F.coalesce(html, F.lit("")), ANY_CASE + DROPPED, ""), ANY_CASE + BREAKS, -1)
     trimmed = F.transform(broken, lambda s: F.regexp_replace(F.regexp_replace(s, TAGS, ""), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     return F.filter(trimmed, lambda s: s != "")
 
