@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(_HERE), _HERE]
 
 
 @pytest.fixture(scope="session")
@@ -13,18 +14,3 @@ def spark():
     s = get_session("local[4]", app="revkit-tests", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-def files_df(spark, rows):
-    """rows: list of (path, content) in repo 'r'."""
-    from revkit.sources.files import files_from_table
-
-    df = spark.createDataFrame([("r", p, c) for p, c in rows], "repo string, path string, content string")
-    return files_from_table(df)
-
-
-def run(spark, rules, rows):
-    from revkit.operators.findings import run_rules
-
-    out = run_rules(files_df(spark, rows), rules).orderBy("path", "rule_seq", "occ").collect()
-    return [(r.path, r.rule_id, r.line, r.msg) for r in out]

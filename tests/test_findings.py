@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import files_df
+from helpers import files_df
 
 from revkit.operators import php as G
 from revkit.operators.analyze import analyze

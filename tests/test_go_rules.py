@@ -1,6 +1,6 @@
 """Hand fixtures for the Go segment rules."""
 
-from conftest import run
+from helpers import run
 
 from revkit.operators import golang as I
 

@@ -1,6 +1,6 @@
 """Hand fixtures for the order-dependent Python checks."""
 
-from conftest import run
+from helpers import run
 
 from revkit.operators import python as H
 

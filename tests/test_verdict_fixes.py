@@ -1,6 +1,6 @@
 """Fixes of wrong answers: each case failed before its fix."""
 
-from conftest import files_df, run
+from helpers import files_df, run
 from pyspark.sql import functions as F
 
 from revkit.functions.paths import path_escape
