@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
+from revkit.llm import bpe, decreasing, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer file of the queries; operators take a path.
@@ -100,6 +100,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_docs(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@register("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decreasing.pack_docs(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_docs(table(spark, sf_dir, "documents"), tokenizer_path())
