@@ -9,20 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import bpe, decreasing, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
+from revkit.llm import alignment, bpe, decreasing, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
-#: The tokenizer file of the queries; operators take a path.
+#: The tokenizer files of the queries; operators take paths.
 TOKENIZER = "word_bpe_49k.json"
+BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def register(name: str, oracle: str | None = None):
@@ -100,6 +101,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_docs(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@register("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest_docs(table(spark, sf_dir, "documents"), tokenizer_path(BYTES_FILE), tokenizer_path(PIECES_FILE))
+
+
 @register("op12_packing")
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decreasing.pack_docs(table(spark, sf_dir, "documents"), tokenizer_path())
