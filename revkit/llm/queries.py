@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.llm import alignment, bpe, decreasing, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
+from revkit.llm import alignment, bpe, conversations, decreasing, exact_dedup, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules
 from revkit.sources.tables import table
 
 #: The tokenizer files of the queries; operators take paths.
@@ -111,6 +111,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decreasing.pack_docs(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_docs(table(spark, sf_dir, "documents"), tokenizer_path())
