@@ -17,6 +17,8 @@ EXTENSION_LANGUAGE = {
     ".tsx": "typescript",
 }
 
+EXTENSIONS = [e[1:] for e in EXTENSION_LANGUAGE]
+
 # Repository host -> provider.
 HOST_PROVIDER = {"github.com": "github", "gitlab.com": "gitlab", "bitbucket.org": "bitbucket"}
 

@@ -113,31 +113,6 @@ def aspect_selected(aspects: Column, name: str) -> Column:
     return F.exists(aspects, lambda a: F.lower(a) == name)
 
 
-def score_columns(m: Column, aspects: Column | None = None) -> dict[str, Column]:
-    """The four metrics and the recommendation list for each message.
-
-    ``aspects`` is an array<string> column (settings B6/B7); None = all three.
-    """
-    f = features(m)
-    empty = m == ""
-
-    def pick(name: str, value: Column) -> Column:
-        v = value if aspects is None else F.when(aspect_selected(aspects, name), value).otherwise(F.lit(0.0))
-        return F.when(empty, F.lit(0.0)).otherwise(v)
-
-    t = pick("thoroughness", thoroughness(m, f))
-    c = pick("clarity", clarity(m, f))
-    a = pick("actionability", actionability(m, f))
-    positive = [F.when(x > 0, x) for x in (t, c, a)]
-    n = sum((F.when(x > 0, 1).otherwise(0) for x in (t, c, a)), F.lit(0))
-    total = F.coalesce(positive[0], F.lit(0.0)) + F.coalesce(positive[1], F.lit(0.0)) + F.coalesce(positive[2], F.lit(0.0))
-    mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-    pieces = count_sub(m, " ") + 1
-    overall = F.when(empty, F.lit(0.0)).when((pieces > 10) & (mean < 30), F.lit(30.0)).otherwise(mean)
-    recs = F.when(empty, F.array(F.lit(EMPTY_RECOMMENDATION))).otherwise(F.array().cast("array<string>"))
-    return {"thoroughness": t, "clarity": c, "actionability": a, "overall": overall, "recommendations": recs}
-
-
 def overall(m: Column, t: Column, c: Column, a: Column) -> Column:
     """J12 from the three aspect scores (mean of the positive ones, floor 30
     for comments of more than ten space-separated pieces)."""

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revkit.functions.paths import language
 from revkit.operators import aspects as D
 from revkit.operators.findings import Rule, explode_findings, prepare, rule_array
+from revkit.operators.metrics import UNREAD
 from revkit.functions.scoring import DEFAULT_ASPECTS
 
 LANGS = ("go", "php", "python", "java")
@@ -36,14 +37,6 @@ def language_rules(langs: Sequence[str] = LANGS) -> list[Rule]:
     return out
 
 
-def resolve_test_siblings(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """M1 on finding rows that carry a candidate key (kept for callers that
-    build their own D3 candidates): drop rows whose key names an existing
-    file of the same repository."""
-    keys = files.select("repo", F.col("path").alias("key")).withColumn("_has", F.lit(True))
-    return findings.join(keys, on=["repo", "key"], how="left").where(F.col("_has").isNull()).drop("_has")
-
-
 def sibling_test_findings(files: DataFrame, seqs: Sequence[int], known: DataFrame | None = None) -> DataFrame:
     """D3 + M1: 'Create unit tests for {f}' for files whose lower-cased path
     lacks 'test' and whose sibling test file is not in the same repository.
@@ -71,13 +64,30 @@ def analyze(files: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, langs: S
             with_aspects: bool = True) -> DataFrame:
     """Findings for every file: aspect bundles first, then language rules.
 
-    Columns: repo, path, lang, rule_id, rule_seq, occ, line, col, msg, key.
+    Columns: repo, path, lang, rule_id, rule_seq, occ, line, col, msg, key. A
+    file whose ``error`` (if there is such a column) is not null yields that one
+    row, under the rule id ``K9``.
     """
     files = with_language(files)
     rules = (D.bundle(aspects) if with_aspects else []) + language_rules(langs)
     prepped, ctx = prepare(files, rules)
-    found = explode_findings(prepped, rule_array(ctx, rules))
+    found = explode_findings(prepped, found_or_error(files, rule_array(ctx, rules)))
     d3 = [k + 1 for k, r in enumerate(rules) if r.rule_id == "D3"]
     if d3:
-        found = found.unionByName(sibling_test_findings(files, d3))
+        found = found.unionByName(sibling_test_findings(readable(files), d3, known=files))
     return found
+
+
+def readable(files: DataFrame) -> DataFrame:
+    return files.where("error IS NULL") if "error" in files.columns else files
+
+
+def found_or_error(files: DataFrame, arr: Column) -> Column:
+    """K9: the rules' findings, or the error of a file that could not be read."""
+    if "error" not in files.columns:
+        return arr
+    row = F.struct(
+        F.lit(UNREAD).alias("rule_id"), F.lit(0).alias("rule_seq"), F.lit(1).alias("occ"), F.lit(0).alias("line"), F.lit(0).alias("col"),
+        F.col("error").alias("msg"), F.lit(None).cast("string").alias("key"),
+    )
+    return F.when(F.col("error").isNotNull(), F.array(row)).otherwise(arr)

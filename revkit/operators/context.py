@@ -15,7 +15,6 @@ from revkit.functions import text as T
 # Reference patterns and the named references of the sample
 # requests (file name -> line range), and the context labels in match order.
 REFERENCE = r"(?i)([\w./-]+):(\d+)(?:-(\d+))?"
-NAMED_RANGE = r"([\w.-]+\.(?:java|py|js|go|php|ts)),? lines? (\d+)(?:-(\d+))?"
 NAMED_FILES = [("UserAuthentication.java", 45, 52), ("user_service.py", 10, 20), ("auth.js", 15, 30)]
 CONTEXT_LABELS = ["validateToken", "authenticate_user", "login"]
 

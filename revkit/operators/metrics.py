@@ -72,55 +72,72 @@ def severity_counts(issues: DataFrame) -> DataFrame:
 
 #: Rule families whose recommendations of a file are listed by their text, after the others.
 BY_TEXT = ("H", "I")
+#: The rule id of a file that could not be read; its message is the error (K9).
+UNREAD = "K9"
 
 
-def file_recommendations(findings: DataFrame) -> DataFrame:
-    """K4: ordered recommendation list per file; files without findings drop out.
+def file_recommendations(findings: DataFrame, by: Sequence[str] = ("repo", "path"), before: Sequence[str] = ()) -> DataFrame:
+    """K4: ordered recommendation list per file, or its ``error`` (K9); files
+    with neither drop out.
 
-    In rule order and then match order; the Python and Go bundles by text. The
-    list is bounded by one file's findings (never a repo's)."""
+    In the order of the columns ``before``, then rule order and match order; the
+    Python and Go bundles by text. ``by`` names the file. The list is bounded by
+    one file's findings (never a repo's)."""
     by_text = F.substring("rule_id", 1, 1).isin(*BY_TEXT)
     seq, occ = (F.when(by_text, F.lit(1 << 30)).otherwise(F.col(c)).alias(c) for c in ("rule_seq", "occ"))
-    ordered = F.array_sort(F.collect_list(F.struct(seq, occ, F.col("msg").alias("rec"))))
-    return findings.groupBy("repo", "path").agg(F.transform(ordered, lambda x: x["rec"]).alias("recommendations"))
+    unread = F.col("rule_id") == UNREAD
+    entry = F.when(~unread, F.struct(*before, seq, occ, F.col("msg").alias("rec")))
+    ordered = F.array_sort(F.collect_list(entry))
+    error = F.max(F.when(unread, F.col("msg"))).alias("error")
+    return findings.groupBy(*by).agg(F.transform(ordered, lambda x: x["rec"]).alias("recommendations"), error)
 
 
 #: The lines of the code-analysis report.
-REPORT_HEAD = "## Code Analysis Results\n\n### Analyzed Files:\n"
-RECOMMENDATIONS_HEAD = "\n### Recommendations:\n"
+REPORT_HEAD = "## Code Analysis Results\n\n"
+FILES_HEAD = "### Analyzed Files:\n"
+RECOMMENDATIONS_HEAD = "### Recommendations:\n"
 NO_ISSUES = "No issues found in the analyzed files.\n"
 
 
-def report_sections(file_recs: DataFrame, errors: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
-    """K7/K9: the code-analysis report as rows (repo, seq, path, text), to be
-    read in the order (repo, seq, path) (N5; see ``ordered_report``).
+def report_sections(file_recs: DataFrame, repos: DataFrame | None = None, by: str = "repo") -> DataFrame:
+    """K7/K9: the code-analysis report as rows (``by``, seq, path, text), to be
+    read in the order (``by``, seq, path) (N5; see ``ordered_report``).
 
-    seq 0: report header; 1: one analysed-file entry per file; 2: the
-    recommendations header; 3: one block per file (or its error, K9), or the
-    line that nothing was found. ``repos`` (default: those with findings or
-    errors) names the repositories that get a report; no repository is ever
-    gathered into one value, and the findings are evaluated once: each file's
-    row is exploded into its two lines, and files with blocks count in the
-    same pass as the headers."""
+    seq 0: report header; 1: the list of analysed files, if a file has
+    recommendations; 2: the recommendations header, if there is a recommendation
+    or an error; 3: one block per file (or its ``error``, K9), or the line that
+    nothing was found. ``repos`` (default: those in ``file_recs``) names the
+    repositories that get a report; no repository is ever gathered into one
+    value, and the findings are evaluated once: each file's row is exploded into
+    its lines, and the headers count these."""
     item = lambda seq, path, text: F.struct(F.lit(seq).alias("seq"), path.alias("path"), text.alias("text"))
     listed = F.concat(F.lit("- "), F.col("path"), F.lit("\n"))
     block = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"), F.array_join(F.transform("recommendations", lambda r: F.concat(F.lit("- "), r, F.lit("\n"))), ""))
-    rows = file_recs.select("repo", F.array(item(1, F.col("path"), listed), item(3, F.col("path"), block)).alias("items"))
-    if errors is not None:
-        failed = F.concat(F.lit("## "), F.col("path"), F.lit("\n- Error during analysis: "), F.col("error"), F.lit("\n"))
-        rows = rows.unionByName(errors.select("repo", F.array(item(3, F.col("path"), failed)).alias("items")))
-    lines = rows.select("repo", F.explode("items").alias("x")).select("repo", "x.*")
-    if repos is None:
-        names = file_recs.select("repo")
-        repos = names.unionByName(errors.select("repo")) if errors is not None else names
+    error = F.col("error") if "error" in file_recs.columns else F.lit(None).cast("string")
+    failed = F.concat(F.lit("## "), F.col("path"), F.lit("\n- Error during analysis: "), error, F.lit("\n"))
+    items = F.when(error.isNotNull(), F.array(item(3, F.col("path"), failed))).otherwise(F.array(item(1, F.col("path"), listed), item(3, F.col("path"), block)))
+    lines = file_recs.select(by, F.explode(items).alias("x")).select(by, "x.*")
+    repos = (file_recs if repos is None else repos).select(by).distinct()
     none = F.lit("")
-    heads = repos.select("repo").distinct().join(lines.groupBy("repo").agg(F.count(F.lit(1)).alias("n")), "repo", "left")
-    shown = [item(0, none, F.lit(REPORT_HEAD)), item(2, none, F.lit(RECOMMENDATIONS_HEAD))]
-    empty = F.when(F.col("n").isNull(), F.array(item(3, none, F.lit(NO_ISSUES)))).otherwise(F.array().cast("array<struct<seq:int,path:string,text:string>>"))
-    heads = heads.select("repo", F.explode(F.concat(F.array(*shown), empty)).alias("x")).select("repo", "x.*")
+    counts = lines.groupBy(by).agg(F.count(F.when(F.col("seq") == 1, 1)).alias("files"), F.count(F.lit(1)).alias("blocks"))
+    heads = repos.join(counts, by, "left")
+    files, blocks = F.coalesce("files", F.lit(0)) > 0, F.coalesce("blocks", F.lit(0)) > 0
+    shown = F.array(
+        item(0, none, F.lit(REPORT_HEAD)),
+        F.when(files, item(1, none, F.lit(FILES_HEAD))),
+        F.when(files, item(2, none, F.lit("\n" + RECOMMENDATIONS_HEAD))).when(blocks, item(2, none, F.lit(RECOMMENDATIONS_HEAD))),
+        F.when(~blocks, item(3, none, F.lit(NO_ISSUES))),
+    )
+    heads = heads.select(by, F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("x")).select(by, "x.*")
     return heads.unionByName(lines)
 
 
-def ordered_report(sections: DataFrame) -> DataFrame:
+def ordered_report(sections: DataFrame, by: str = "repo") -> DataFrame:
     """The report rows in reading order (a range-partitioned sort, for a writer)."""
-    return sections.orderBy("repo", "seq", "path")
+    return sections.orderBy(by, "seq", "path")
+
+
+def report_text(sections: DataFrame, by: str = "repo") -> DataFrame:
+    """K7: one text per report, for reports that one reply can hold."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "path", "text")))
+    return sections.groupBy(by).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("report"))

@@ -45,11 +45,6 @@ EXTERNAL_SEQ = len(TYPES)
 N_SLOTS = len(TYPES) * len(SEVERITIES)
 
 
-def type_order() -> list[tuple[str, str]]:
-    """(type, severity) in rule order; the header check and external report last."""
-    return [(t, s) for t, _p, _d, s in CHECKS] + [(HEADERS_TYPE, "Medium")]
-
-
 def _hit(seq: int, line: Column, col: Column) -> Column:
     return F.struct(F.lit(seq).alias("type_seq"), line.cast("int").alias("line"), col.cast("int").alias("col"))
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revkit.functions import scoring
-from revkit.functions.text import count_sub
 
 GATE = 70.0
 
@@ -100,7 +99,3 @@ def has_code_or_file_reference(message: Column) -> Column:
         | F.contains(message, F.lit(".js"))
         | F.contains(message, F.lit(".go"))
     )
-
-
-def word_pieces(message: Column) -> Column:
-    return count_sub(message, " ") + 1

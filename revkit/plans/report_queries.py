@@ -14,7 +14,7 @@ from revkit.plans import agg_queries as AQ
 from revkit.plans import file_queries as FQ
 from revkit.plans.queries import ORACLE, _scores, register
 from revkit.plans.sqlkit import FILES_CTE
-from revkit.sources.files import derived_files
+from revkit.sources.files import decoded, derived_files
 
 # ------------------------------------------------------------- A6 locations
 
@@ -55,23 +55,49 @@ UNION ALL SELECT repo, path, 4, 0, 0, recommendation FROM ({FQ.GO_SQL}) i
 UNION ALL SELECT repo, path, 4, 0, 0, recommendation FROM ({ORACLE["go_block_findings"]}) ib"""
 
 
+#: Files over this length are not read (K9); longer than any that is derived.
+MAX_BYTES = 1 << 28
+
+#: Files beside the derived ones, as a listing shows them: of a repository in which
+#: nothing is found, and files that cannot be read, of repositories with and
+#: without other files (length only, or bytes that are not UTF-8).
+_ODD_FILES = """SELECT 'clean' AS repo, 'src/test_ok' || CAST(doc_id AS STRING) || '.ts' AS path, 20 AS length, 'const a = 1;' AS content FROM documents WHERE doc_id % 97 = 1
+UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN 'repo0' ELSE 'broken' END, 'src/bad' || CAST(doc_id AS STRING) || '.py', 20, '?' FROM documents WHERE doc_id % 97 = 5
+UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN 'repo0' ELSE 'broken' END, 'src/huge' || CAST(doc_id AS STRING) || '.go', 1073741824, NULL FROM documents WHERE doc_id % 97 = 6"""
+
+ERRORS_SQL = f"""SELECT repo, path, 'error reading file ' || path || ': ' || CASE WHEN content IS NULL THEN CAST(length AS VARCHAR) || ' bytes, more than {MAX_BYTES}'
+  ELSE 'not valid UTF-8' END AS error FROM ({_ODD_FILES}) o WHERE content IS NULL OR content = '?'"""
+
 SECTIONS_SQL = f"""WITH {FILES_CTE}, r AS ({_ordered_recs_sql()}),
 fr AS (SELECT repo, path, string_agg('- ' || recommendation || chr(10), '' ORDER BY g, n, occ, recommendation) AS recs FROM r GROUP BY repo, path),
-repos AS (SELECT DISTINCT repo FROM files)
-SELECT repo, 0 AS seq, '' AS path, '## Code Analysis Results' || chr(10) || chr(10) || '### Analyzed Files:' || chr(10) AS text FROM repos
+er AS ({ERRORS_SQL}),
+repos AS (SELECT DISTINCT repo FROM (SELECT repo FROM files UNION ALL SELECT repo FROM ({_ODD_FILES}) o) x)
+SELECT repo, 0 AS seq, '' AS path, '## Code Analysis Results' || chr(10) || chr(10) AS text FROM repos
+UNION ALL SELECT DISTINCT repo, 1, '', '### Analyzed Files:' || chr(10) FROM fr
 UNION ALL SELECT repo, 1, path, '- ' || path || chr(10) FROM fr
-UNION ALL SELECT repo, 2, '', chr(10) || '### Recommendations:' || chr(10) FROM repos
+UNION ALL SELECT repo, 2, '', CASE WHEN repo IN (SELECT repo FROM fr) THEN chr(10) ELSE '' END || '### Recommendations:' || chr(10) FROM repos
+  WHERE repo IN (SELECT repo FROM fr) OR repo IN (SELECT repo FROM er)
 UNION ALL SELECT repo, 3, path, '## ' || path || chr(10) || chr(10) || recs FROM fr
-UNION ALL SELECT repo, 3, '', 'No issues found in the analyzed files.' || chr(10) FROM repos WHERE repo NOT IN (SELECT repo FROM fr)"""
+UNION ALL SELECT repo, 3, path, '## ' || path || chr(10) || '- Error during analysis: ' || error || chr(10) FROM er
+UNION ALL SELECT repo, 3, '', 'No issues found in the analyzed files.' || chr(10) FROM repos
+  WHERE repo NOT IN (SELECT repo FROM fr) AND repo NOT IN (SELECT repo FROM er)"""
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived files and the odd ones, decoded (K9)."""
+    files = derived_files(spark, sf_dir).select("repo", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
+    odd = spark.sql(_ODD_FILES)
+    content = F.when(F.col("content") == "?", F.unhex(F.lit("78FF"))).otherwise(F.col("content").cast("binary"))
+    return decoded(files.unionByName(odd.select("repo", "path", F.col("length").cast("long").alias("length"), content.alias("content"))), MAX_BYTES)
 
 
 @register("report_sections", SECTIONS_SQL)
 def q_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4 + K7: per-file recommendation lists and the code-analysis report as
-    ordered rows (repo, seq, path, text), for the files of every language."""
-    files = derived_files(spark, sf_dir)
-    recs = K.file_recommendations(analyze(files))
-    sections = K.report_sections(recs, repos=files.select("repo"))
+    """K4 + K7 + K9: per-file recommendation lists and the code-analysis report as
+    ordered rows (repo, seq, path, text), for the files of every language; with a
+    repository in which nothing is found and files that cannot be read."""
+    files = listed_files(spark, sf_dir)
+    sections = K.report_sections(K.file_recommendations(analyze(files)), repos=files.select("repo"))
     return K.ordered_report(sections).select("repo", F.col("seq").cast("int").alias("seq"), "path", "text")
 
 

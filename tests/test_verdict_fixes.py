@@ -41,15 +41,15 @@ def test_path_escape(spark):
     assert out == "src%2F@scope%2Fa+b~c%20d%2A.ts"
 
 
-def test_report_headers_for_every_repository(spark):
-    recs = spark.createDataFrame([("r1", "a.py", ["x"])], "repo string, path string, recommendations array<string>")
-    errors = spark.createDataFrame([("r2", "b.py", "boom")], "repo string, path string, error string")
+def test_report_headers_follow_what_there_is(spark):
+    schema = "repo string, path string, recommendations array<string>, error string"
+    recs = spark.createDataFrame([("r1", "a.py", ["x", "y"], None), ("r1", "z.py", [], "boom"), ("r2", "b.py", [], "boom")], schema)
     repos = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "repo string")
-    got = [(r.repo, r.seq, r.path, r.text) for r in metrics.ordered_report(metrics.report_sections(recs, errors, repos)).collect()]
-    heads = lambda r: [(r, 0, "", metrics.REPORT_HEAD), (r, 2, "", metrics.RECOMMENDATIONS_HEAD)]
-    assert [x for x in got if x[1] in (0, 2)] == [*heads("r1"), *heads("r2"), *heads("r3")]
-    assert [x for x in got if x[0] == "r3" and x[1] == 3] == [("r3", 3, "", metrics.NO_ISSUES)]
-    assert ("r2", 3, "b.py", "## b.py\n- Error during analysis: boom\n") in got and ("r1", 1, "a.py", "- a.py\n") in got
+    text = {r.repo: r.report for r in metrics.report_text(metrics.report_sections(recs, repos)).collect()}
+    head = "## Code Analysis Results\n\n"
+    assert text["r1"] == head + "### Analyzed Files:\n- a.py\n\n### Recommendations:\n## a.py\n\n- x\n- y\n## z.py\n- Error during analysis: boom\n"
+    assert text["r2"] == head + "### Recommendations:\n## b.py\n- Error during analysis: boom\n"
+    assert text["r3"] == head + "No issues found in the analyzed files.\n"
 
 
 def test_go_signatures_over_lines_and_generic(spark):
