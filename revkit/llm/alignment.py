@@ -34,6 +34,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,10 +49,10 @@ from revkit.llm.common import materialize, ship
 from revkit.llm.wordhash import blocks
 
 #: Bytes of one lane, and of the texts that are merged at once (or one text).
-LANE, BATCH = 512, 1 << 20
+LANE, BATCH = 256, 1 << 20
 #: Links and documents of a block, about.
-BLOCK_LINKS, BLOCK_DOCS = 1 << 21, 1 << 15
-#: Texts with a word or a gap of so many bytes are split by the file's own library.
+BLOCK_LINKS, BLOCK_DOCS = 1 << 19, 1 << 14
+#: Words of so many characters are split by the file's own library.
 LONG_WORD = 1000
 #: Bits of an id of B in a pair of ids.
 B_BITS = 15
@@ -81,12 +83,7 @@ class ByteSide:
     """Ids by a byte-level BPE file (its JSON text); special tokens are plain text."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.spec = spec
         model = json.loads(spec)
         vocab = model["model"]["vocab"]
         to_byte = {c: b for b, c in enumerate(byte_chars())}
@@ -110,14 +107,26 @@ class ByteSide:
             return None
         return tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks={t: i for i, t in plain.items()}, special_tokens={})
 
-    def ids(self, texts: list[str], hard: np.ndarray) -> list[list[int]]:
-        if self.fast is None:
-            hard = np.ones(len(texts), bool)
-        out: list[list[int]] = [[]] * len(texts)
-        for i, t in enumerate(texts):
-            out[i] = [] if not t else self.library.encode(" " + t, add_special_tokens=False).ids if hard[i] else self.fast.encode_ordinary(" " + t)
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.spec)
+        out.encode_special_tokens = True
+        out.no_truncation()
+        out.no_padding()
         return out
 
+    @property
+    def splits(self) -> bool:
+        """Whether a word's ids are its own (the usual split never joins two)."""
+        return self.fast is not None
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text."""
+        plain = lambda t: self.fast is not None and len(t) < LONG_WORD
+        return [self.fast.encode_ordinary(" " + t) if plain(t) else self.library.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
 
 class PieceSide:
     """Ids by a piece model (its bytes), which adds the space itself."""
@@ -129,6 +138,8 @@ class PieceSide:
         byte = re.compile("<0x([0-9A-F]{2})>")
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.spelling = Spelling.of([bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces])
+        #: Whether a word's ids are its own: no piece holds a space after another character.
+        self.splits = not any(re.search("[^▁]▁", p) for p in pieces)
         if len(pieces) > 1 << B_BITS:
             raise ValueError(f"B has {len(pieces)} ids; pairs of ids hold {1 << B_BITS}")
 
@@ -136,21 +147,69 @@ class PieceSide:
         return self.library.encode(texts, num_threads=1) if texts else []
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
-    return np.fromiter((i for r in rows for i in r), np.int64, int(at[-1])), at
+#: A space between two characters that are white space to nobody (U+2581 is a
+#: space to B): neither tokenizer joins anything across it.
+BETWEEN = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+
+
+#: White space beside a space, and rare white space: such texts are split by ``BETWEEN``.
+_BESIDE = tuple(x for c in " \n\t\r" for x in (f" {c}", f"{c} "))
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000▁]")
+
+
+def words_of(text: str) -> list[str]:
+    if text[0] == " " or text[-1] == " " or any(x in text for x in _BESIDE) or _RARE.search(text):
+        return BETWEEN.split(text)
+    return text.split(" ")
+
+
+class Words:
+    """Ids of both sides for words (a text between two ``BETWEEN``), remembered."""
+
+    #: Words remembered between batches.
+    MEMORY = 300_000
+
+    def __init__(self, a: ByteSide, b: PieceSide):
+        self.sides = (a, b)
+        self.split = a.splits and b.splits
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int32)] * 2
+        self.at = [np.zeros(1, np.int64)] * 2
+
+    def _learn(self, words: list[str]) -> None:
+        new = list(set(words).difference(self.place))
+        if len(self.place) + len(new) > self.MEMORY:
+            self._clear()
+            new = list(set(words))
+        if not new:
+            return
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        for k, side in enumerate(self.sides):
+            ids, at = _flat(side.ids(new))
+            self.flat[k] = np.concatenate([self.flat[k], ids.astype(np.int32)])
+            self.at[k] = np.concatenate([self.at[k], at[1:] + self.at[k][-1]])
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side (ids, offsets of the texts); none for null and empty texts."""
+        rows = [[] if not t else words_of(t) if self.split else [t] for t in texts]
+        words = list(chain.from_iterable(rows))
+        self._learn(words)
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
+        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        out = []
+        for flat, at in zip(self.flat, self.at, strict=True):
+            size = at[place + 1] - at[place]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            out.append((flat[np.repeat(at[place] - ends[:-1], size) + np.arange(ends[-1])].astype(np.int64), ends[upto]))
+        return out
 
 
-def long_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which texts (data[at[i]:at[i+1]]) have a word or a gap of LONG_WORD bytes."""
-    out = np.zeros(len(at) - 1, bool)
-    if not len(data):
-        return out
-    turns = np.flatnonzero(np.diff(data <= 0x20)) + 1
-    edges = np.unique(np.concatenate([turns, at]))
-    far = edges[:-1][np.diff(edges) >= LONG_WORD]
-    out[np.searchsorted(at, far, "right") - 1] = True
-    return out
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(at[-1])), at
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,31 +254,22 @@ class Alignment(NamedTuple):
 
 class Aligner:
     def __init__(self, spec_a: str, model_b: bytes):
-        self.a, self.b = ByteSide(spec_a), PieceSide(model_b)
+        self.words = Words(ByteSide(spec_a), PieceSide(model_b))
 
     def align(self, texts: list[str | None]) -> Alignment:
-        raw = [t.encode() if t else b"" for t in texts]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        hard = long_words(data, np.concatenate([[0], np.cumsum(size)]))
-        rows_a = self.a.ids([t or "" for t in texts], hard)
-        full = np.flatnonzero(size > 0)
-        rows_b: list[list[int]] = [[]] * len(texts)
-        for i, ids in zip(full.tolist(), self.b.ids([texts[i] for i in full]), strict=True):
-            rows_b[i] = ids
-        spelled = [b" " + r if r else b"" for r in raw]
+        spelled = [(" " + t).encode() if t else b"" for t in texts]
+        base = np.concatenate([[0], np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))])
         want = np.frombuffer(b"".join(spelled), np.uint8)
-        base = np.concatenate([[0], np.cumsum(np.where(size > 0, size + 1, 0))])
+        spellings = [side.spelling for side in self.words.sides]
+        tokens = self.words.encode(texts)
         bad = np.zeros(len(texts), bool)
-        for side, rows in ((self.a, rows_a), (self.b, rows_b)):
-            bad |= self._differs(side.spelling, rows, want, base)
-        for i in np.flatnonzero(bad).tolist():
-            rows_a[i], rows_b[i] = [], []
-        a, at_a = _flat(rows_a)
-        b, at_b = _flat(rows_b)
-        if bad.any():
-            base = np.concatenate([[0], np.cumsum(np.where((size > 0) & ~bad, size + 1, 0))])
-        ends_a, ends_b = np.cumsum(self.a.spelling.sizes(a)), np.cumsum(self.b.spelling.sizes(b))
+        for spelling, (ids, at) in zip(spellings, tokens, strict=True):
+            bad |= self._differs(spelling, ids, at, want, base)
+        if bad.any():  # their tokens go
+            tokens = [(ids[np.repeat(~bad, np.diff(at))], np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(at)))])) for ids, at in tokens]
+            base = np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(base)))])
+        (a, at_a), (b, at_b) = tokens
+        ends_a, ends_b = np.cumsum(spellings[0].sizes(a)), np.cumsum(spellings[1].sizes(b))
         # every document's end is a mark, and long ones are cut into lanes
         marks = np.unique(np.concatenate([base, np.arange(0, base[-1] + 1, LANE)]))
         link_a, link_b = lockstep(ends_a, ends_b, marks)
@@ -228,9 +278,8 @@ class Aligner:
         return Alignment(a, at_a, b, at_b, link_a, link_b, at_links, ends)
 
     @staticmethod
-    def _differs(spelling: Spelling, rows: list[list[int]], want: np.ndarray, base: np.ndarray) -> np.ndarray:
+    def _differs(spelling: Spelling, ids: np.ndarray, at: np.ndarray, want: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Which documents' tokens do not spell ``want[base[i]:base[i + 1]]``."""
-        ids, at = _flat(rows)
         sizes = spelling.sizes(ids)
         got_at = np.concatenate([[0], np.cumsum(sizes)])[at]
         out = np.diff(got_at) != np.diff(base)
@@ -247,6 +296,7 @@ class Aligner:
 #: Decimal digits of every 16-bit number, right-aligned, with a place for a separator.
 _DIGITS = np.array([list(f"{i:>5} ".encode()) for i in range(1 << 16)], np.uint8)
 _SHOWN = (_DIGITS != 0x20) | (np.arange(6) == 5)
+_WIDTH = _SHOWN.sum(1)
 
 
 def group_digests(got: Alignment) -> list[str]:
@@ -261,7 +311,7 @@ def group_digests(got: Alignment) -> list[str]:
     shown = _SHOWN[ids]
     table = _DIGITS[ids]
     table[:, 5] = between
-    upto = np.concatenate([[0], np.cumsum(shown.sum(1))])[got.at_a + got.at_b].tolist()
+    upto = np.concatenate([[0], np.cumsum(_WIDTH[ids])])[got.at_a + got.at_b].tolist()
     data = table[shown].tobytes()
     return [hashlib.sha256(data[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(upto[:-1], upto[1:], strict=True)]
 
@@ -316,17 +366,29 @@ def align_docs(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id"
 _BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_links array<long>, groups_sha256 array<string>, links array<int>, pairs array<int>, times array<int>"
 
 
-def _block(number: int, parts: list[tuple[pa.Array, Alignment, list[str]]]) -> pa.RecordBatch:
-    pair = np.concatenate([(got.a[got.link_a] << B_BITS | got.b[got.link_b]) for _, got, _ in parts])
-    pairs, links, times = np.unique(pair, return_inverse=True, return_counts=True)
-    per = lambda f: np.concatenate([np.diff(f(got)) for _, got, _ in parts])
-    cols = [
-        pa.array([number], pa.int64()),
-        pa.array([[i for ids, _, _ in parts for i in ids.to_pylist()]], pa.list_(pa.int64())),
-        *(pa.array([per(f)], pa.list_(pa.int64())) for f in (lambda g: g.at_a, lambda g: g.at_b, lambda g: g.at_links)),
-        pa.array([[d for _, _, shas in parts for d in shas]], pa.list_(pa.string())),
-        *(pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (links, pairs, times)),
-    ]
+class Part(NamedTuple):
+    """What a block keeps of aligned documents."""
+
+    ids: pa.Array
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    digests: list[str]
+    pairs: np.ndarray
+
+    @classmethod
+    def of(cls, ids: pa.Array, got: Alignment) -> Part:
+        pairs = (got.a[got.link_a] << B_BITS | got.b[got.link_b]).astype(np.int32)
+        return cls(ids, np.diff(got.at_a), np.diff(got.at_b), np.diff(got.at_links), group_digests(got), pairs)
+
+
+def _block(number: int, parts: list[Part]) -> pa.RecordBatch:
+    pairs, links, times = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True, return_counts=True)
+    one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+    cols = [pa.array([number], pa.int64()), one(pa.concat_arrays([p.ids for p in parts]), pa.int64())]
+    cols += [one(np.concatenate([getattr(p, n) for p in parts]), pa.int64()) for n in ("n_a", "n_b", "n_links")]
+    cols.append(one([d for p in parts for d in p.digests], pa.string()))
+    cols += [one(x.astype(np.int32), pa.int32()) for x in (links, pairs, times)]
     return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "n_a", "n_b", "n_links", "groups_sha256", "links", "pairs", "times"])
 
 
@@ -338,7 +400,7 @@ def doc_blocks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts, links, count = TaskContext.get().partitionId() << 32, [], 0, 0
         for ids, got in _aligned(files, batches):
-            parts.append((ids, got, group_digests(got)))
+            parts.append(Part.of(ids, got))
             links, count = links + len(got.link_a), count + len(ids)
             if links >= BLOCK_LINKS or count >= BLOCK_DOCS:
                 yield _block(number, parts)

@@ -117,7 +117,26 @@ def test_lockstep_lanes():
 def test_both_encoders_agree():
     """The plain form's encoder and the file's library, on every code point under U+3000."""
     side = alignment.ByteSide(alignment.read_spec(PATH_A))
-    texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)} {chr(c)}'s \n{chr(c)}" for c in range(0x3000)]
+    texts = [f"{chr(c)}b {chr(c)}{chr(c)}1{chr(c)} {chr(c)}'s \n{chr(c)}" for c in range(0x3000)]
     assert side.fast is not None
-    assert side.ids(texts, np.zeros(len(texts), bool)) == side.ids(texts, np.ones(len(texts), bool))
-    assert alignment.long_words(np.frombuffer(b"ab" + b"c" * 1000 + b" x", np.uint8), np.array([0, 2, 1002, 1004])).tolist() == [False, True, False]
+    fast = side.ids(texts)
+    side.fast = None
+    assert side.ids(texts) == fast
+
+
+def test_words_are_their_own(plain):
+    """Ids of a text are those of its words, for spaces and white space of all kinds."""
+    words = alignment.Words(alignment.ByteSide(alignment.read_spec(PATH_A)), alignment.PieceSide(alignment.read_model(PATH_B)))
+    assert words.split
+    assert alignment.words_of("a b\nc d") == ["a", "b\nc", "d"] and alignment.words_of("a  b \n c d\xa0 e") == ["a  b \n c", "d\xa0 e"]
+    words.MEMORY = 300  # forgets between batches
+    rng = random.Random(4)
+    gaps = [" ", " ", " ", "  ", "   ", "\n", " \n ", "\t ", "\x1c", " \x1f ", "\x85 ", " \xa0 ", "\u3000", " \u2028 ", ""]
+    some = ["don't", "I'll", "x", "12", "Zürich", "日本", "-", "...", "'s", "▁", "<s>", "é", "\u0301", "😀"]
+    texts = ["".join(rng.choice(some) + rng.choice(gaps) for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    for lo in range(0, len(texts), 400):
+        part = texts[lo : lo + 400]
+        (a, at_a), (b, at_b) = words.encode(part)
+        for i, t in enumerate(part):
+            assert a[at_a[i] : at_a[i + 1]].tolist() == plain.a.encode(" " + t, add_special_tokens=False).ids, repr(t)
+            assert b[at_b[i] : at_b[i + 1]].tolist() == plain.b.encode(t), repr(t)
