@@ -45,13 +45,13 @@ def sibling_test_findings(files: DataFrame, seqs: Sequence[int], known: DataFram
     never on file content or on the other findings. ``known`` is the key set
     to look siblings up in (default: ``files`` itself; a static snapshot for
     a stream)."""
-    known = (known if known is not None else files).select("repo", F.col("path").alias("sib"))
+    known = (known if known is not None else files).select(F.col("repo").alias("sib_repo"), F.col("path").alias("sib"))
     cand = (
         files.select("repo", "path", "lang")
         .where(~F.contains(F.lower(F.col("path")), F.lit("test")))
         .withColumn("tp", D.test_path(F.col("path")))
     )
-    cond = (cand["repo"] == known["repo"]) & (cand["tp"] == known["sib"]) & (cand["tp"] != cand["path"])
+    cond = (F.col("repo") == F.col("sib_repo")) & (F.col("tp") == F.col("sib")) & (F.col("tp") != F.col("path"))
     kept = cand.join(known, cond, "left_anti")
     return kept.select(
         "repo", "path", "lang", F.lit("D3").alias("rule_id"), F.explode(F.array(*[F.lit(s) for s in seqs])).alias("rule_seq"),

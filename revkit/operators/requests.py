@@ -113,11 +113,17 @@ def validate(msgs: DataFrame, field: str = "value", rate_limited: Column | None
     return msgs.select("*", status.alias("st")).select("*", "st.http_status", "st.error").drop("st")
 
 
-def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid requests, and rejects (raw, http_status, error)."""
-    ok = validated.where(F.col("http_status") == 200)
-    rejects = validated.where(F.col("http_status") != 200)
-    return ok, rejects
+def split_valid(validated: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Valid requests, and rejects (their raw body, http_status, error).
+
+    ``validated`` is evaluated once: one job writes both, as partitions of a
+    table under ``path``; each reader opens its own partition only."""
+    sink = F.when(F.col("http_status") == 200, "valid").otherwise("rejects")
+    validated.withColumn("sink", sink).write.partitionBy("sink").parquet(path)
+    schema = StructType([*validated.schema.fields, StructField("sink", StringType())])
+    rows = validated.sparkSession.read.schema(schema).parquet(path)
+    valid, rejects = rows.where("sink = 'valid'"), rows.where("sink = 'rejects'")
+    return valid.drop("sink"), rejects.drop("sink", "settings", "corrupt")
 
 
 def route(resolved: DataFrame) -> DataFrame:

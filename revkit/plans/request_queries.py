@@ -29,11 +29,11 @@ REQUEST_FIELDS_SQL = f"""SELECT review_id, channel_id, message,
 FROM ({tables.REVIEW_COMMENTS_SQL}) rc"""
 
 
-def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_json(spark: SparkSession, sf_dir: str, fields: str = REQUEST_FIELDS_SQL) -> DataFrame:
     """A4 input: one JSON request body per review comment (some cut short,
     so they do not decode; some repeat a setting so the last one wins)."""
     tables.register(spark, sf_dir, ("conversations",))
-    f = spark.sql(REQUEST_FIELDS_SQL)
+    f = spark.sql(fields)
 
     def s(label: str, v) -> F.Column:
         return F.struct(
@@ -95,7 +95,7 @@ def _url_sql(col: str) -> tuple[str, str]:
     return host, path
 
 
-def _settings_sql() -> str:
+def _settings_sql(fields: str = REQUEST_FIELDS_SQL) -> str:
     host, path = _url_sql("repository_url")
     parts = f"string_split(regexp_replace({path}, '^/+|/+$', '', 'g'), '/')"
     prov = f"CASE {host} WHEN 'github.com' THEN 'github' WHEN 'gitlab.com' THEN 'gitlab' WHEN 'bitbucket.org' THEN 'bitbucket' END"
@@ -103,7 +103,7 @@ def _settings_sql() -> str:
         f"CASE WHEN repository_url = '' THEN 'empty repository URL' WHEN {prov} IS NULL THEN 'unsupported repository provider: ' || {host} "
         f"WHEN len({parts}) < 2 THEN 'invalid repository URL format' END"
     )
-    return f"""WITH r AS ({REQUEST_FIELDS_SQL}), v AS (SELECT *, {err} AS e FROM r WHERE NOT make_corrupt)
+    return f"""WITH r AS ({fields}), v AS (SELECT *, {err} AS e FROM r WHERE NOT make_corrupt)
 SELECT review_id, repository_url, CASE WHEN code_source = '' THEN 'github' ELSE code_source END AS code_source,
   coalesce(TRY_CAST(threshold_text AS DOUBLE), 70.0::DOUBLE) AS threshold,
   array_to_string(list_transform(string_split(aspects_text, ','), lambda a: lower(a)), '|') AS aspects,
