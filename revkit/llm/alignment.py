@@ -49,9 +49,9 @@ from revkit.llm.common import materialize, ship
 from revkit.llm.wordhash import blocks
 
 #: Bytes of one lane, and of the texts that are merged at once (or one text).
-LANE, BATCH = 256, 1 << 20
-#: Links and documents of a block, about.
-BLOCK_LINKS, BLOCK_DOCS = 1 << 19, 1 << 14
+LANE, BATCH = 256, 1 << 19
+#: Documents' distinct pairs and documents of a block, about.
+BLOCK_LINKS, BLOCK_DOCS = 1 << 18, 1 << 14
 #: Words of so many characters are split by the file's own library.
 LONG_WORD = 1000
 #: Bits of an id of B in a pair of ids.
@@ -167,7 +167,7 @@ class Words:
     """Ids of both sides for words (a text between two ``BETWEEN``), remembered."""
 
     #: Words remembered between batches.
-    MEMORY = 300_000
+    MEMORY = 150_000
 
     def __init__(self, a: ByteSide, b: PieceSide):
         self.sides = (a, b)
@@ -363,45 +363,54 @@ def align_docs(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id"
     return rows.mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, link_a array<int>, link_b array<int>, cuts array<long>")
 
 
-_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_links array<long>, groups_sha256 array<string>, links array<int>, pairs array<int>, times array<int>"
+_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_links array<long>, n_own array<int>, groups_sha256 array<string>, own array<int>, own_times array<int>, pairs array<int>, times array<long>"
 
 
 class Part(NamedTuple):
-    """What a block keeps of aligned documents."""
+    """What a block keeps of aligned documents: per document its distinct pairs
+    of linked ids (``n_own`` of them) and how often it has each."""
 
     ids: pa.Array
     n_a: np.ndarray
     n_b: np.ndarray
     n_links: np.ndarray
+    n_own: np.ndarray
     digests: list[str]
     pairs: np.ndarray
+    times: np.ndarray
 
     @classmethod
     def of(cls, ids: pa.Array, got: Alignment) -> Part:
-        pairs = (got.a[got.link_a] << B_BITS | got.b[got.link_b]).astype(np.int32)
-        return cls(ids, np.diff(got.at_a), np.diff(got.at_b), np.diff(got.at_links), group_digests(got), pairs)
+        n_links = np.diff(got.at_links)
+        doc = np.repeat(np.arange(len(n_links)), n_links)
+        own, times = np.unique(doc << 31 | got.a[got.link_a] << B_BITS | got.b[got.link_b], return_counts=True)
+        n_own = np.bincount(own >> 31, minlength=len(n_links))
+        return cls(ids, np.diff(got.at_a), np.diff(got.at_b), n_links, n_own, group_digests(got), (own & ((1 << 31) - 1)).astype(np.int32), times.astype(np.int32))
 
 
 def _block(number: int, parts: list[Part]) -> pa.RecordBatch:
-    pairs, links, times = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True, return_counts=True)
+    of = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    pairs, own = np.unique(of("pairs"), return_inverse=True)
+    own_times = of("times")
+    times = np.bincount(own, own_times, minlength=len(pairs)).astype(np.int64)
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
     cols = [pa.array([number], pa.int64()), one(pa.concat_arrays([p.ids for p in parts]), pa.int64())]
-    cols += [one(np.concatenate([getattr(p, n) for p in parts]), pa.int64()) for n in ("n_a", "n_b", "n_links")]
-    cols.append(one([d for p in parts for d in p.digests], pa.string()))
-    cols += [one(x.astype(np.int32), pa.int32()) for x in (links, pairs, times)]
-    return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "n_a", "n_b", "n_links", "groups_sha256", "links", "pairs", "times"])
+    cols += [one(of(n), pa.int64()) for n in ("n_a", "n_b", "n_links")]
+    cols += [one(of("n_own").astype(np.int32), pa.int32()), one([d for p in parts for d in p.digests], pa.string())]
+    cols += [one(x.astype(np.int32), pa.int32()) for x in (own, own_times, pairs)] + [one(times, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "n_a", "n_b", "n_links", "n_own", "groups_sha256", "own", "own_times", "pairs", "times"])
 
 
 def doc_blocks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of aligned documents: their digests, the distinct pairs of linked
-    ids with their counts, and every link as a place among those pairs."""
+    ids with their counts, and per document its own as places among those."""
     files, rows = _read(docs, path_a, path_b, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts, links, count = TaskContext.get().partitionId() << 32, [], 0, 0
         for ids, got in _aligned(files, batches):
             parts.append(Part.of(ids, got))
-            links, count = links + len(got.link_a), count + len(ids)
+            links, count = links + len(parts[-1].pairs), count + len(ids)
             if links >= BLOCK_LINKS or count >= BLOCK_DOCS:
                 yield _block(number, parts)
                 number, parts, links, count = number + 1, [], 0, 0
@@ -414,7 +423,7 @@ def doc_blocks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id"
 def pair_counts(held: DataFrame) -> DataFrame:
     """(pair, value): the corpus-wide count of every pair of linked ids, negative
     if it is the highest of its id of B."""
-    own = held.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("n"))
+    own = held.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
     counts = own.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND((1 << B_BITS) - 1))
     counts = materialize(counts, "pairs")
     best = counts.groupBy("b").agg(F.max("n").alias("best"))  # at most 2**B_BITS rows
@@ -425,13 +434,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the values of their pairs, as rows of documents."""
     for batch in batches:
         for k in range(batch.num_rows):
-            flat = lambda i, k=k: batch.column(i)[k].values
-            n_links = np.asarray(flat(3), np.int64)
-            values = np.asarray(flat(6), np.int64) if batch.column(6)[k].is_valid else np.zeros(0, np.int64)
-            value = values[np.asarray(flat(5), np.int64)]
-            upto = np.concatenate([[0], np.cumsum(n_links)])
+            flat = lambda name, k=k: batch.column(name)[k].values
+            values = np.asarray(flat("value"), np.int64) if batch.column("value")[k].is_valid else np.zeros(0, np.int64)
+            value, times = values[np.asarray(flat("own"), np.int64)], np.asarray(flat("own_times"), np.int64)
+            upto = np.concatenate([[0], np.cumsum(np.asarray(flat("n_own"), np.int64))])
             total = lambda x, upto=upto: np.diff(np.concatenate([[0], np.cumsum(x)])[upto])
-            cols = [flat(0), flat(1), flat(2), pa.array(n_links), pa.array(n_links), pa.array(total(value < 0).astype(np.int64)), pa.array(total(np.abs(value))), flat(4)]
+            cols = [flat("doc_id"), flat("n_a"), flat("n_b"), flat("n_links"), flat("n_links"), pa.array(total(times * (value < 0))), pa.array(total(times * np.abs(value))), flat("groups_sha256")]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, [pa.int64()] * 7 + [pa.string()], strict=True)], _NAMES)
 
 
@@ -443,5 +451,5 @@ def digest_docs(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id
     held = materialize(doc_blocks(docs, path_a, path_b, doc_id, text), "aligned")
     asked = held.select("block", F.explode("pairs").alias("pair"))
     answers = asked.join(pair_counts(held), "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pair", "value"))).alias("known"))
-    rows = held.join(answers, "block", "left").select("doc_id", "n_a", "n_b", "n_links", "groups_sha256", "links", F.col("known.value").alias("value"))
+    rows = held.drop("pairs", "times").join(answers, "block", "left").drop("block").withColumn("value", F.col("known.value")).drop("known")
     return rows.mapInArrow(_scored, ", ".join(f"{n} long" for n in _NAMES[:-1]) + ", groups_sha256 string")
