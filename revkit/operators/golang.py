@@ -92,16 +92,21 @@ def _ends(c: Ctx) -> Column:
     return F.filter(at, lambda j: j.isNotNull())
 
 
-def _closers(c: Ctx) -> Column:
-    """(index, indent) of the lines that begin with '}'."""
-    at = F.transform(c.extra["go_code"], lambda x, j: F.when(_strip(x).startswith("}"), F.struct(j.alias("j"), T.indent_width(x).alias("ind"))))
-    return F.filter(at, lambda x: x.isNotNull())
+def _with_ends(c: Ctx) -> Column:
+    """struct(h, end) per function: the index of the first line after its
+    signature that is exactly '}' (or of the last line). Signatures and such
+    lines are sorted together and folded once, last first."""
+    last = F.size(c.extra["go_code"]) - 1
+    heads = F.transform(_func_headers(c), lambda h: F.struct(h["last"].alias("at"), F.lit(1).alias("kind"), h.alias("h")))
+    none = F.when(F.lit(False), F.get(heads, 0)["h"])
+    ends = F.transform(c.extra["go_ends"], lambda j: F.struct(j.alias("at"), F.lit(0).alias("kind"), none.alias("h")))
+    init = F.struct(last.alias("end"), F.filter(F.transform(heads, lambda x: F.struct(x["h"].alias("h"), last.alias("end"))), lambda x: F.lit(False)).alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        found = F.concat(F.array(F.struct(x["h"].alias("h"), acc["end"].alias("end"))), acc["out"])
+        return F.when(x["kind"] == 1, F.struct(acc["end"].alias("end"), found.alias("out"))).otherwise(F.struct(x["at"].alias("end"), acc["out"].alias("out")))
 
-def _func_end(c: Ctx, start: Column) -> Column:
-    """0-based index of the first line after start that is exactly '}' (or last line)."""
-    ends = F.filter(c.extra["go_ends"], lambda j: j > start)
-    return F.coalesce(F.get(ends, 0), F.size(c.extra["go_code"]) - 1)
+    return F.aggregate(F.reverse(F.array_sort(F.concat(heads, ends))), init, step)["out"]
 
 
 def _named_results(rest: Column) -> Column:
@@ -129,11 +134,9 @@ def blank_imports(c: Ctx) -> Column:
 def functions(c: Ctx) -> Column:
     """I3 length, I4 exported without doc, I5 naked returns, per function in order."""
     code = c.extra["go_code"]
-    heads = _func_headers(c)
 
-    def per_func(h: Column) -> Column:
-        start = h["last"]
-        end = _func_end(c, start)
+    def per_func(x: Column) -> Column:
+        h, start, end = x["h"], x["h"]["last"], x["end"]
         body = F.slice(code, start + 2, F.greatest(end - start - 1, F.lit(0)))
         stmts = F.size(F.filter(body, lambda x: (_strip(x) != "") & ~_strip(x).startswith("}"))) + F.size(
             F.filter(body, lambda x: _strip(x).endswith("{"))
@@ -150,33 +153,47 @@ def functions(c: Ctx) -> Column:
                 F.lit("Function '"), h["name"], F.lit("' is too long ("), stmts.cast("string"),
                 F.lit(" statements, consider refactoring)")))))).otherwise(empty()),
             F.when(exported & ~F.coalesce(_comment_line(prev), F.lit(False)), F.array(finding(line, loc(c, line, F.concat(
-                F.lit("Exported function '"), h["name"], F.lit("' lacks documentation comment")))))).otherwise(empty()),
+                F.lit("Exported function '"), h["name"], F.lit("' lacks documentation comment"))), key=F.lit("I4")))).otherwise(empty()),
             F.when(_named_results(h["rest"]), F.transform(naked, lambda n: finding(n, loc(c, n, F.concat(
-                F.lit("Naked return in function '"), h["name"], F.lit("' reduces code readability")))))).otherwise(empty()),
+                F.lit("Naked return in function '"), h["name"], F.lit("' reduces code readability"))), key=F.lit("I5")))).otherwise(empty()),
         )
 
-    return F.flatten(F.transform(heads, per_func))
+    return F.flatten(F.transform(_with_ends(c), per_func))
 
 
 def _checks(c: Ctx) -> Column:
-    """Error checks: struct(i, assign_single, handled) per ``if ... err != nil {`` line."""
-    code = c.extra["go_code"]
-    n = F.size(code)
-
-    def per_line(x: Column, i: Column) -> Column:
-        ind = T.indent_width(x)
-        closes = F.filter(c.extra["go_closers"], lambda y: (y["j"] > i) & (y["ind"] == ind))
-        end = F.coalesce(F.get(closes, 0)["j"], n)
-        body = F.slice(code, i + 2, F.greatest(end - i - 1, F.lit(0)))
-        handled = F.exists(
-            body,
-            lambda b: T.rlike(b, RETURN) & F.exists(F.split(T.extract(b, RETURN, 1), ",", -1), lambda r: _is_err_ident(_strip(r))),
-        )
+    """Error checks in order: struct(i, single, handled) per ``if ... err != nil {``
+    line.
+
+    Only the lines that matter (checks, lines that begin with '}', returns of an
+    error) are folded, once: a check is opened, a return handles all that are
+    open, and a '}' closes those of its indent."""
+
+    def event(x: Column, i: Column) -> Column:
+        returns = T.rlike(x, RETURN) & F.exists(F.split(T.extract(x, RETURN, 1), ",", -1), lambda r: _is_err_ident(_strip(r)))
         rhs = T.extract(x, ASSIGN_CHECK, 1)
         single = T.rlike(x, ASSIGN_CHECK) & ~F.contains(F.regexp_replace(rhs, r"\([^()]*\)", ""), F.lit(","))
-        return F.when(T.rlike(x, ERR_CHECK), F.struct(i.alias("i"), single.alias("single"), handled.alias("handled")))
+        one = lambda kind, single: F.struct(i.alias("i"), F.lit(kind).alias("kind"), T.indent_width(x).alias("ind"), single.alias("single"))
+        return F.when(T.rlike(x, ERR_CHECK), one("check", single)).when(_strip(x).startswith("}"), one("close", F.lit(False))).when(returns, one("return", F.lit(False)))
+
+    events = F.filter(F.transform(c.extra["go_code"], event), lambda e: e.isNotNull())
+    kind = "array<struct<i:int,ind:int,single:boolean,handled:boolean>>"
+    init = F.struct(F.array().cast(kind).alias("open"), F.array().cast(kind).alias("done"))
+
+    def step(acc: Column, e: Column) -> Column:
+        state = lambda open_, done: F.struct(open_.alias("open"), done.alias("done"))
+        opened = F.array(F.struct(e["i"].alias("i"), e["ind"].alias("ind"), e["single"].alias("single"), F.lit(False).alias("handled")))
+        closed = F.filter(acc["open"], lambda o: o["ind"] == e["ind"])
+        still = F.filter(acc["open"], lambda o: o["ind"] != e["ind"])
+        handled = F.transform(acc["open"], lambda o: F.struct(o["i"].alias("i"), o["ind"].alias("ind"), o["single"].alias("single"), F.lit(True).alias("handled")))
+        return (
+            F.when(e["kind"] == "check", state(F.concat(acc["open"], opened), acc["done"]))
+            .when(F.size(acc["open"]) == 0, acc)
+            .when(e["kind"] == "return", state(handled, acc["done"]))
+            .otherwise(state(still, F.concat(acc["done"], closed)))
+        )
 
-    return F.filter(F.transform(code, per_line), lambda x: x.isNotNull())
+    return F.aggregate(events, init, step, lambda acc: F.array_sort(F.concat(acc["done"], acc["open"])))
 
 
 def error_handling(c: Ctx) -> Column:
@@ -189,14 +206,14 @@ def error_handling(c: Ctx) -> Column:
                 F.when(k["single"], F.array(finding(k["i"] + 1, loc(c, k["i"] + 1,
                     "Consider separating error assignment and checking for better readability")))).otherwise(empty()),
                 F.when(~k["handled"], F.array(finding(k["i"] + 1, loc(c, k["i"] + 1,
-                    "Error check doesn't properly return or handle the error")))).otherwise(empty()),
+                    "Error check doesn't properly return or handle the error"), key=F.lit("I7")))).otherwise(empty()),
             ),
         )
     )
     total = F.size(checks)
     ok = F.size(F.filter(checks, lambda k: k["handled"]))
     many = F.when((total > 0) & (ok < F.floor(total / 2)), F.array(finding(1, F.concat(
-        c.path, F.lit(":1: Many error checks don't properly return or handle the error"))))).otherwise(empty())
+        c.path, F.lit(":1: Many error checks don't properly return or handle the error")), key=F.lit("I8")))).otherwise(empty())
     return F.concat(per, many)
 
 
@@ -213,7 +230,7 @@ def _parses(c: Ctx) -> Column:
     return F.exists(c.lines, lambda l: T.rlike(l, PACKAGE))
 
 
-PREP = (("go_code", _prep), ("go_ends", _ends), ("go_closers", _closers), ("go_checks", _checks))
+PREP = (("go_code", _prep), ("go_ends", _ends), ("go_checks", _checks))
 
 
 def _guard(fn):

@@ -96,6 +96,7 @@ def try_blocks(c: Ctx) -> Column:
                     finding(
                         F.get(ec_lines, first_ec - 1),
                         loc(c, F.get(ec_lines, first_ec - 1), "Empty catch block suppresses exceptions. At minimum, add a comment or log"),
+                        key=F.lit("F6"),
                     ),
                 ),
             ),
@@ -121,7 +122,7 @@ def hardcoded_strings(c: Ctx) -> Column:
         ),
     )
     summary = F.array(finding(0, F.concat(c.path, F.lit(": Found "), _s(n - 3),
-                                          F.lit(" more long string literals. Consider using string constants or resource bundles"))))
+                                          F.lit(" more long string literals. Consider using string constants or resource bundles")), key=F.lit("F9")))
     return F.when(n > 3, F.concat(first3, summary)).otherwise(empty())
 
 
@@ -138,6 +139,7 @@ def imports(c: Ctx) -> Column:
         wline,
         loc(c, wline, F.concat(F.lit("Wildcard import '"), F.trim(T.extract(c.content, WILDCARD_IMPORT, 0)),
                                F.lit("'. Import specific classes instead"))),
+        key=F.lit("F11"),
     )
     return F.concat(many, wild)
 
@@ -196,6 +198,7 @@ def resources(c: Ctx) -> Column:
         cline,
         loc(c, cline, F.concat(F.lit("Manual closing of "), F.when(obj != "", obj).otherwise(F.lit("resource")),
                                F.lit(" without finally block. Use try-with-resources or ensure close() in finally"))),
+        key=F.lit("F16"),
     )
     return F.concat(res, close)
 

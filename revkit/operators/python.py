@@ -53,12 +53,23 @@ def skip(trimmed: Column) -> Column:
     return (trimmed == "") | trimmed.startswith("#")
 
 
+#: Issue code -> rule and severity.
+CODES = {
+    "PYL001": ("H1", "error"), "PYL002": ("H2", "error"), "PYL003": ("H3", "error"),
+    "PYL101": ("H4", "warning"), "PYL102": ("H5", "warning"), "PYL103": ("H6", "warning"),
+    "PYL201": ("H7", "warning"), "PYL202": ("H10", "info"), "PYL203": ("H11", "info"),
+    "PYL301": ("H13", "warning"), "PYL302": ("H14", "warning"), "PYL401": ("H15", "info"), "PYL402": ("H16", "info"),
+    "PYL501": ("H17", "info"), "PYL502": ("H18", "info"), "PYL601": ("H19", "error"), "PYL602": ("H20", "error"), "PYL603": ("H21", "error"),
+    "PYL701": ("H22", "warning"), "PYL702": ("H23", "warning"), "PYL801": ("H24", "info"),
+}
+
+
 def issue(c: Ctx, line: Column, col: Column | int, sev: str, code: str, msg: Column | str) -> Column:
     colc = col if isinstance(col, Column) else F.lit(col)
     where = F.concat(c.extra["py_base"], F.lit(":"), line.cast("string"),
                      F.when(colc > 0, F.concat(F.lit(":"), colc.cast("string"))).otherwise(F.lit("")))
     text = F.concat(where, F.lit(f" [{sev}] {code}: "), msg if isinstance(msg, Column) else F.lit(msg))
-    return finding(line, text, colc)
+    return finding(line, text, colc, key=F.lit(code))
 
 
 def _nn(*xs: Column) -> Column:

@@ -8,6 +8,7 @@ from revkit.plans import request_queries  # noqa: F401  (A4, B)
 from revkit.plans import stream_queries  # noqa: F401  (P)
 from revkit.plans import report_queries  # noqa: F401  (A6, K7, L6)
 from revkit.plans import reply_queries  # noqa: F401  (A7, rejects)
+from revkit.plans import typed_queries  # noqa: F401  (A8)
 from revkit.plans import extra_queries  # noqa: F401  (A5, L8, M6, Q3)
 from revkit.plans.queries import ORACLE, QUERIES
 

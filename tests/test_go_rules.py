@@ -42,3 +42,29 @@ def test_many_unhandled_and_context(spark):
 
 def test_no_package_means_no_findings(spark):
     assert msgs(spark, "func broken( {\n") == []
+
+
+def _many_checks(n):
+    block = "\tif err := f(); err != nil {\n\t\tlog(err)\n\t}\n\tif err != nil {\n\t\tfor {\n\t\t\treturn x, err\n\t\t}\n\t}\n"
+    return "// Package a docs\npackage a\n\nfunc load() (n int, err error) {\n" + block * n + "\treturn\n}\n"
+
+
+def test_checks_are_closed_once(spark):
+    msgs = [m for _, _, _, m in run(spark, I.rules(), [("a.go", _many_checks(3) + "\nfunc open() {\n\tif err != nil {\n\t\treturn\n")])]
+    assert sum("Consider separating" in m for m in msgs) == 3
+    assert [m.split(":")[1] for m in msgs if "doesn't properly return or handle" in m and "Many" not in m] == ["5", "13", "21", "33"]
+    assert not any("Many error checks" in m for m in msgs)  # 3 of 7 are handled
+    assert any(":29: Naked return in function 'load'" in m for m in msgs)
+
+
+def test_time_follows_the_number_of_checks(spark):
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        assert len(run(spark, I.rules(), [("a.go", _many_checks(n))])) > n
+        return time.perf_counter() - t
+
+    seconds(50)  # compiled
+    few, many = min(seconds(400) for _ in range(2)), min(seconds(1600) for _ in range(2))
+    assert many < 10 * few + 2  # four times the text; a square would be sixteen
