@@ -57,8 +57,9 @@ def typed_findings(files: DataFrame, aspects: Sequence[str] = DEFAULT_ASPECTS, l
     texts = found_or_error(files, rule_array(ctx, [r for r in rules if r.rule_id != "G25"]))
     found = F.transform(texts, _of_text)
     if "php" in langs:
-        issues = F.when((ctx.lang == "php") & F.col("error").isNull() if "error" in files.columns else ctx.lang == "php", F.transform("php_issues", _of_issue))
-        found = F.concat(found, F.coalesce(issues, F.filter(found, lambda x: F.lit(False))))
+        readable_php = (ctx.lang == "php") & F.col("error").isNull() if "error" in files.columns else ctx.lang == "php"
+        none = F.array().cast("array<struct<rule_id:string,code:string,severity:string,line:int,col:int,message:string,snippet:string>>")
+        found = F.concat(found, F.when(readable_php, F.transform("php_issues", _of_issue)).otherwise(none))
     out = explode_findings(prepped, found, KEYS)
     siblings = sibling_test_findings(readable(files), [0] * [r.rule_id for r in rules].count("D3"), known=files) if any(r.rule_id == "D3" for r in rules) else None
     return out if siblings is None else out.unionByName(siblings.select(*KEYS, _of_text(F.struct("rule_id", "key", "line", "col", "msg")).alias("f")).select(*KEYS, "f.*"))

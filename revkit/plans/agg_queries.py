@@ -119,11 +119,11 @@ def _label_sql(x: str, pos: str, neg: str, zero: str, up: str, down: str, big: f
     return emoji, txt
 
 
-def _history_sql() -> str:
+def _history_sql(comments: str = REVIEW_COMMENTS_SQL) -> str:
     te, tt = _label_sql("trend", "📈", "📉", "Stable", "Improving", "Declining")
     ce, ct = _label_sql("round(overall - hist_avg, 6)", "🌟", "⚠️", "On par with typical reviews", "Above average", "Below average")
     return f"""WITH s AS ({_SCORES_SQL}),
-c AS (SELECT s.*, m.ts, CAST(floor(epoch(m.ts) / 86400) AS BIGINT) AS period FROM s JOIN (SELECT review_id, ts FROM ({REVIEW_COMMENTS_SQL}) x) m USING (review_id)),
+c AS (SELECT s.*, m.ts, CAST(floor(epoch(m.ts) / 86400) AS BIGINT) AS period FROM s JOIN (SELECT review_id, ts FROM ({comments}) x) m USING (review_id)),
 w AS (
   SELECT *,
     count(overall) OVER (PARTITION BY channel_id, period ORDER BY ts, review_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_count,

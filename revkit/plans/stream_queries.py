@@ -4,11 +4,13 @@ sink as a batch DataFrame; the oracle is the batch twin's SQL."""
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from revkit.operators import reviews
 from revkit.operators.history import DAY_SECONDS
@@ -17,6 +19,8 @@ from revkit.plans.queries import _SCORES_SQL, register
 from revkit.session import ensure_checkpoint_dir
 from revkit.sources import tables
 from revkit.streaming import comments as P
+from revkit.streaming import late
+from revkit.streaming.history import OUTPUT_SCHEMA as HISTORY_SCHEMA
 from revkit.streaming.history import channel_history
 
 
@@ -69,14 +73,69 @@ def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(P.deduplicate(twice, delay).select("review_id"))
 
 
-_HIST_SQL = f"""WITH h AS ({AQ.HISTORY_SQL}) SELECT review_id, channel_id, period, hist_count, hist_avg, trend FROM h"""
+#: How late a row may come, and the derived arrivals: the days in ARRIVALS spans,
+#: one after the other, but some rows one span late.
+DELAY = dt.timedelta(minutes=10)
+_ARRIVES = "CAST(floor(({day} - lo) / greatest(1, ceil((hi - lo + 1) / {n}.0))) AS BIGINT) + CASE WHEN review_id % 40 = 3 THEN 1 ELSE 0 END"
+#: Rows that are delivered twice: at once, or a span later.
+_AGAIN = "review_id % 40 IN (5, 24)"
+
+
+def _arrivals_sql(day: str, twice: bool) -> str:
+    """(review_id, channel_id, ts, message, k): the derived comments and the arrival each comes with."""
+    first = f"SELECT c.*, {_ARRIVES.format(day=day, n=ARRIVALS)} AS k FROM c, b"
+    again = f" UNION ALL SELECT review_id, channel_id, ts, message, k + CASE WHEN review_id % 40 = 24 THEN 1 ELSE 0 END FROM a0 WHERE {_AGAIN}" if twice else ""
+    return f"""WITH c AS ({tables.REVIEW_COMMENTS_SQL}), b AS (SELECT min({day}) AS lo, max({day}) AS hi FROM c), a0 AS ({first})
+SELECT review_id, channel_id, ts, message, k FROM a0{again}"""
+
+
+def _late_sql(twice: bool) -> str:
+    return f"""WITH a AS ({_arrivals_sql("floor(epoch(ts) / 86400)", twice)}), w AS (SELECT k, max(ts) AS latest FROM a GROUP BY k),
+m AS (SELECT x.k, max(w.latest) - INTERVAL {DELAY.seconds // 60} MINUTE AS mark FROM (SELECT DISTINCT k FROM a) x LEFT JOIN w ON w.k < x.k GROUP BY x.k)
+SELECT a.*, coalesce(a.ts <= m.mark, false) AS late FROM a JOIN m USING (k)"""
+
+
+def _delivered(spark: SparkSession, sf_dir: str, twice: bool, keyed) -> tuple[str, str]:
+    """Deliver arrival after arrival: each is one micro-batch of the late split,
+    then of the keyed stream (on-time rows -> stream) behind it. Returns the
+    folders of the split and of the keyed stream's output."""
+    folder, split, out, name = _shared(spark, "inputs"), _shared(spark, "split"), _shared(spark, "outputs"), uuid.uuid4().hex
+    tables.register(spark, sf_dir, ("conversations",))
+    staged = _shared(spark, "arrivals")
+    spark.sql(_arrivals_sql("floor(unix_timestamp(ts) / 86400)", twice)).write.partitionBy("k").parquet(staged)
+    every = spark.read.schema(StructType([*P.COMMENT_SCHEMA.fields, StructField("k", LongType())])).parquet(staged)
+    for k in range(ARRIVALS + 1):
+        every.where(F.col("k") == k).drop("k").write.mode("append").parquet(folder)
+        P.start_batches(P.read_comments(spark, folder), f"split_{name}", late.split_late(split, DELAY)).awaitTermination()
+        P.start(keyed(late.on_time(spark, split, P.COMMENT_SCHEMA)), f"keyed_{name}", out, trigger_once=True).awaitTermination()
+    return split, out
+
+
+@register("stream_late", f"""WITH l AS ({_late_sql(True)})
+SELECT DISTINCT review_id, 'kept' AS sink FROM l WHERE NOT late UNION ALL SELECT review_id, 'late' FROM l WHERE late""")
+def q_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: rows behind the watermark go to a table of their own, the others are
+    deduplicated; with rows that come a span late and rows that come twice."""
+    minutes = f"{DELAY.seconds // 60} minutes"
+    split, out = _delivered(spark, sf_dir, True, lambda rows: P.deduplicate(rows, minutes).select("review_id"))
+    put_aside = late.split_table(spark, split, P.COMMENT_SCHEMA).where("late").select("review_id", F.lit("late").alias("sink"))
+    return spark.read.schema("review_id long").parquet(out).select("review_id", F.lit("kept").alias("sink")).unionByName(put_aside)
+
+
+_HIST_SQL = f"""WITH kept AS (SELECT * FROM ({_late_sql(False)}) l WHERE NOT late), h AS ({AQ._history_sql("SELECT review_id, ts FROM kept")})
+SELECT review_id, h.channel_id, period, hist_count, hist_avg, trend FROM h JOIN kept USING (review_id)
+WHERE ts <= (SELECT max(ts) FROM kept) - INTERVAL {DELAY.seconds // 60} MINUTE"""
 
 
 @register("stream_channel_history", _HIST_SQL)
 def q_stream_channel_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed state per channel and day (running mean, last-10 trend), over several micro-batches."""
-    path, delay = _staged_comments(spark, sf_dir)
-    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, max_files=1)), delay))
+    """Keyed state per channel and day (running mean, last-10 trend) over
+    several arrivals, rows in order of time behind a small delay, late rows put
+    aside; what the watermark has not passed is not out yet."""
+    minutes = f"{DELAY.seconds // 60} minutes"
+    history = lambda rows: channel_history(reviews.score_comments(rows).select("review_id", "channel_id", "ts", "overall"), minutes)
+    _, path = _delivered(spark, sf_dir, False, history)
+    out = spark.read.schema(HISTORY_SCHEMA).parquet(path)
     return out.select(
         "review_id", "channel_id", "period", "hist_count", F.round("hist_avg", 6).alias("hist_avg"), F.round("trend", 6).alias("trend")
     )

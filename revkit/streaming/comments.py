@@ -8,6 +8,7 @@ streaming DataFrame; sinks take their checkpoint folder under the shared
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,9 @@ def start(df: DataFrame, name: str, path: str, sink: str = "parquet", mode: str
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def start_batches(df: DataFrame, name: str, write: Callable[[DataFrame, int], None]):
+    """Each micro-batch of what has arrived given to ``write``, with a checkpoint."""
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path(df.sparkSession, name)).queryName(name)
+    return w.trigger(availableNow=True).start()

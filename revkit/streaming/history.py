@@ -1,13 +1,15 @@
 """Keyed per-channel history in Structured Streaming.
 
-State is kept per channel and 24 h period, so a review of another period
-that arrives out of order touches its own period's state only. It is bounded:
-the running sum and count of overall scores, and the last ten scores. Rows of
-one micro-batch are taken in (ts, review_id) order; each row sees only earlier
-rows, like the batch window in ``revkit.operators.history``. A period's state
-is dropped by an event-time timer once the watermark has passed the period's
-end (history is wiped every 24 hours); rows that come later still are counted
-in the query's progress (``numRowsDroppedByWatermark``).
+State is kept per channel and 24 h period: the running sum and count of overall
+scores, the last ten scores, and a reorder buffer of the rows that the watermark
+has not passed. Rows leave the buffer in (ts, review_id) order when the
+watermark passes them, however they arrived, so each row sees exactly the earlier
+rows of its channel and day, like the batch window in
+``revkit.operators.history``. The buffer holds what arrives within the delay and
+one micro-batch (bound that by ``maxFilesPerTrigger``). A period's state is
+dropped once the watermark has passed its end and its buffer is empty (history
+is wiped every 24 hours). Rows behind the watermark never get here:
+``revkit.streaming.late`` puts them aside and counts them.
 """
 
 from __future__ import annotations
@@ -17,58 +19,79 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from revkit.operators.history import DAY_SECONDS, RECENT, epoch
 
 OUTPUT_SCHEMA = "review_id long, channel_id string, period long, hist_count long, hist_avg double, trend double"
-STATE_SCHEMA = "total double, n long, recent array<double>"
+#: Keyed list and timer state needs this provider.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    channel, period, closes = key
-    if state.exists:
-        total, n, recent = state.get
-        recent = list(recent)
-    else:
-        total, n, recent = 0.0, 0, []
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    df = pd.concat(frames).sort_values(["ts", "review_id"], kind="mergesort")
-    out_cnt, out_avg, out_trend = [], [], []
-    for score in df["overall"].tolist():
-        out_cnt.append(n)
-        out_avg.append(total / n if n else None)
-        out_trend.append(recent[-1] - recent[0] if len(recent) >= 2 else 0.0)
-        total += score
-        n += 1
-        recent = (recent + [score])[-RECENT:]
-    state.update((float(total), int(n), [float(x) for x in recent]))
-    # the period's end, or just after the watermark if that is later
-    state.setTimeoutTimestamp(max(int(closes), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(
-        {
-            "review_id": df["review_id"].astype("int64").values,
-            "channel_id": channel,
-            "period": int(period),
-            "hist_count": out_cnt,
-            "hist_avg": out_avg,
-            "trend": out_trend,
-        }
-    )
+class ChannelHistory(StatefulProcessor):
+    """Key: (channel_id, period, end of the period in ms)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, review_id long, overall double")
+        self.sums = handle.getValueState("sums", "total double, n long")
+        self.recent = handle.getListState("recent", "overall double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, mark = None, timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            frame = frame[frame["us"] // 1000 > mark]  # later rows of this channel are out already
+            if not len(frame):
+                continue
+            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["review_id"].tolist(), frame["overall"].tolist(), strict=True)))
+            least = int(frame["us"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        channel, period, closes = key
+        mark = timerValues.getCurrentWatermarkInMs()
+        due, wait = [], []
+        for row in self.waiting.get():
+            (due if row[0] // 1000 <= mark else wait).append(tuple(row))
+        if wait:
+            self.waiting.put(wait)
+            self.handle.registerTimer(min(wait)[0] // 1000)
+        elif mark >= closes:  # nothing can come any more
+            self.waiting.clear()
+        elif due:
+            self.waiting.clear()
+            self.handle.registerTimer(int(closes))
+        if due:
+            yield self._advance(channel, int(period), sorted(due))
+        if not wait and mark >= closes:
+            self.sums.clear()
+            self.recent.clear()
+
+    def _advance(self, channel: str, period: int, due: list[tuple[int, int, float]]) -> pd.DataFrame:
+        total, n = self.sums.get() if self.sums.exists() else (0.0, 0)
+        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        out = []
+        for _, review, score in due:
+            out.append((review, channel, period, n, total / n if n else None, recent[-1] - recent[0] if len(recent) >= 2 else 0.0))
+            total, n = total + score, n + 1
+            recent = (recent + [score])[-RECENT:]
+        self.sums.update((float(total), int(n)))
+        self.recent.put([(float(x),) for x in recent])
+        return pd.DataFrame(out, columns=["review_id", "channel_id", "period", "hist_count", "hist_avg", "trend"])
+
+    def close(self) -> None:
+        pass
 
 
 def channel_history(scored: DataFrame, delay: str = "1 hour", origin: str = "1970-01-01 00:00:00") -> DataFrame:
-    """P2/P3 on a stream of scored comments (review_id, channel_id, ts, overall)."""
+    """P2/P3 on a stream of scored comments (review_id, channel_id, ts, overall);
+    a row comes out when the watermark (the latest ``ts`` less ``delay``) passes it."""
+    scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     period = epoch(F.col("ts"), origin)
     closes = (F.unix_timestamp(F.lit(origin).cast("timestamp")) + (period + 1) * DAY_SECONDS) * 1000
-    rows = scored.select("review_id", "channel_id", "ts", "overall", period.alias("period"), closes.alias("closes"))
-    return (
-        rows.withWatermark("ts", delay)
-        .groupBy("channel_id", "period", "closes")
-        .applyInPandasWithState(_advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    rows = scored.withWatermark("ts", delay)
+    rows = rows.select("review_id", "channel_id", "ts", "overall", F.unix_micros("ts").alias("us"), period.alias("period"), closes.cast("long").alias("closes"))
+    return rows.groupBy("channel_id", "period", "closes").transformWithStateInPandas(ChannelHistory(), OUTPUT_SCHEMA, "Append", "EventTime")

@@ -44,8 +44,16 @@ def test_scores_parity(spark):
     assert got == want
 
 
+def _closed(spark, path):
+    """A last row, a week later, that lets the watermark pass all others."""
+    spark.createDataFrame([(99, "c9", "2024-01-09 00:00:00", "end")], "review_id long, channel_id string, ts string, message string").selectExpr(
+        "review_id", "channel_id", "cast(ts as timestamp) as ts", "message"
+    ).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def test_history_parity_and_daily_reset(spark):
-    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, _stage(spark)))))
+    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, _closed(spark, _stage(spark))))))
     got = {r.review_id: (r.hist_count, r.hist_avg, r.trend) for r in out.collect()}
     want = {r.review_id: (r.hist_count, r.hist_avg, r.trend) for r in L.with_history(reviews.score_comments(_comments(spark))).collect()}
     assert got == want
@@ -67,20 +75,47 @@ def _batches(spark, *groups):
     return path
 
 
-def test_history_out_of_order_periods_over_batches(spark):
-    """A review of the day before, between reviews of a day, leaves that day's history alone."""
-    path = _batches(spark, [1], [5], [2], [6], [3])
-    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, max_files=1)), "3 days"))
-    got = {r.review_id: r.hist_count for r in out.collect()}
-    assert got == {1: 0, 5: 0, 2: 1, 6: 1, 3: 2}
+def _history(spark, path, delay, **how):
+    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, **how)), delay))
+    return {r.review_id: (r.hist_count, r.hist_avg, r.trend) for r in out.collect()}
+
+
+def test_history_is_in_order_of_time_however_rows_arrive(spark):
+    """The buffer holds a row back until the watermark has passed it."""
+    want = {r.review_id: (r.hist_count, r.hist_avg, r.trend) for r in L.with_history(reviews.score_comments(_comments(spark))).collect()}
+    path = _closed(spark, _batches(spark, [3], [1], [6, 2], [4], [5]))
+    assert _history(spark, path, "3 days", max_files=1) == want
+
+
+def test_history_waits_for_the_watermark(spark):
+    path = _batches(spark, [1, 2], [3])
+    assert set(_history(spark, path, "30 minutes", max_files=1)) == {1, 2}  # 3 is less than 30 minutes behind the latest
 
 
 def test_history_late_row_does_not_stop_the_stream(spark):
-    path = _batches(spark, [1], [5, 6], [2], [3])
-    out = _run(channel_history(reviews.score_comments(P.read_comments(spark, path, max_files=1)), "1 hour"))
-    got = {r.review_id: r.hist_count for r in out.collect()}
-    assert 3 not in got  # late, and dropped
-    assert {k: got[k] for k in (1, 5, 6)} == {1: 0, 5: 0, 6: 1}
+    path = _closed(spark, _batches(spark, [1], [5, 6], [2], [3]))
+    got = _history(spark, path, "1 hour", max_files=1)
+    assert {k: v[0] for k, v in got.items()} == {1: 0, 5: 0, 6: 1}  # 2 and 3 are late
+
+
+def test_late_rows_are_put_aside_and_counted(spark):
+    import datetime as dt
+
+    from revkit.streaming import late
+
+    path, split = _batches(spark, [1, 2], [2, 3], [5], [4, 6], [6]), os.path.join(tempfile.mkdtemp(prefix="revkit-test-", dir="/tmp"), "split")
+    write = late.split_late(split, dt.timedelta(minutes=10))
+    P.start_batches(P.read_comments(spark, path, max_files=1), "t_" + uuid.uuid4().hex, write).awaitTermination()
+    schema = P.COMMENT_SCHEMA
+    rows = late.split_table(spark, split, schema)
+    assert {(r.batch, r.review_id) for r in rows.where("late").collect()} == {(3, 4)}  # 2 is within ten minutes of the latest
+    assert sorted(r.review_id for r in rows.collect()) == [1, 2, 2, 3, 4, 5, 6, 6]
+    assert {(r.batch, r.rows, r.late_rows) for r in late.late_counts(spark, split, schema).collect()} == {(0, 2, 0), (1, 2, 0), (2, 1, 0), (3, 2, 1), (4, 1, 0)}
+    # a batch that is delivered again leaves the table as it is; one whose mark is missing is written over
+    write(_comments(spark).where("review_id = 3"), 3)
+    assert rows.where("batch = 3").count() == 2
+    kept = _run(P.deduplicate(late.on_time(spark, split, schema), "10 minutes").select("review_id"))
+    assert sorted(r.review_id for r in kept.collect()) == [1, 2, 3, 5, 6]
 
 
 def test_dedup_over_batches(spark):
