@@ -13,12 +13,15 @@ Candidates are confirmed on the full shingle sets, and links become components.
 No key's documents are paired with each other: in round one each is compared
 with the key's hub only, one of its documents. The hub is the least in one of
 ``ORDERS`` random orders of the ids, so a document of a large group meets that
-many different ones, which joins whole groups of copies. In round two only
-documents of a key that still lie in different components are compared, by
-signature, in blocks of bounded size (a key's largest component is never
-compared with itself), and a pair that shares several keys comes out of the
-first one alone. Round two leaves out no pair that could link two components,
-so the components are those of all pairs.
+many different ones, which joins whole groups of copies. Further hub rounds compare
+one document of each component that a key still holds, while that joins a fair
+part of them. In round two only documents of a key that still lie in different
+components are compared, by signature, in blocks of bounded size (a key's
+largest component is never compared with itself), and a pair that shares several
+keys comes out of the first one alone. A key of very many blocks is split by a
+second level of the index, so that rows are dealt out a bounded number of times.
+Round two leaves out no pair that could link two components, so the components
+are those of all pairs.
 
 Equal shingle sequences are collapsed before, so copies cost one row.
 
@@ -31,6 +34,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,11 @@ SHINGLE, VALUES, DISTANCE, CHUNK = 5, 64, 25, 5
 #: Links need 100 * |A & B| >= SIMILARITY * |A | B|.
 SIMILARITY = 80
 #: Documents of a key that are compared at once, and members sent to one task with their hub.
-BLOCK_DOCS, HUB_ROWS = 1024, 2000
+BLOCK_DOCS, HUB_ROWS = 4096, 2000
+#: Blocks above which a key is split by the next index level, and levels in all.
+SPLIT_BLOCKS, LEVELS = 100, 3
+#: Hub rounds go on while one pair in so many that they compare is a link.
+FAIR_PART = 50
 
 #: Random orders of the ids by which keys choose their hubs.
 ORDERS = 16
@@ -308,16 +316,90 @@ def _links_in_cell(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def more_hubs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """``labels`` (id, comp) after further hub rounds, which are linear: of every key
+    that still holds several components each sends one document, and all of these
+    are compared with one of them, both chosen anew each round. Rounds go on while
+    they join a fair part of what they compare (round two is exact in any case)."""
+    for turn in count(1):
+        members = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        heads = members.groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("m")).select("key", "comp", F.col("m.id").alias("id"))
+        heads = materialize(heads, "heads")
+        hubs = heads.groupBy("key").agg(F.min(F.struct(F.xxhash64("comp", "key", F.lit(turn)).alias("h"), "id")).alias("m"), F.count("*").alias("n")).where("n > 1")
+        pairs = heads.join(hubs.select("key", F.col("m.id").alias("hub")), "key").where("id <> hub")
+        pairs = materialize(pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "pairs")
+        links = materialize(confirmed(_near(pairs, reps), docs, reps, shingle), "links")
+        compared, joined = pairs.count(), links.count()
+        if joined:
+            labels = materialize(merge_labels(labels, links), "labels")
+        if joined * FAIR_PART <= compared:
+            return labels
+
+
+def _next_keys(rows: DataFrame, level: int) -> DataFrame:
+    """Rows of (key, k, id, comp, used, sig) under the keys of the next index
+    level; ``used`` holds the bits of the chunks that a key is made of.
+
+    Two documents that are at most DISTANCE values apart and were brought
+    together by chunks with few errors differ by at most DISTANCE in all the
+    chunks, so in one of the m chunks not used yet by at most DISTANCE // m. All
+    ways to leave out that many positions of such a chunk are enumerated."""
+    chunks = [list(range(s, min(s + CHUNK, VALUES))) for s in range(0, VALUES, CHUNK)]
+    errors = DISTANCE // (len(chunks) - level)
+    picks = [(c, pick) for c, chunk in enumerate(chunks) for pick in combinations(chunk, max(len(chunk) - errors, 0))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, k, ids, comp, used = (batch.column(i).to_numpy() for i in range(5))
+            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(len(ids), VALUES).astype(np.uint64)
+            for n, (c, pick) in enumerate(picks):
+                mine = (used >> c & 1) == 0
+                packed = mix(key[mine].view(np.uint64) + np.uint64((n + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                for p in pick:
+                    packed = mix(packed + sig[mine, p] * np.uint64(0x9E3779B97F4A7C15))
+                cols = [packed.view(np.int64), k[mine], ids[mine], comp[mine], used[mine] | 1 << c]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "k", "id", "comp", "used"])
+
+    return rows.mapInArrow(run, "key long, k int, id long, comp long, used long")
+
+
 def unsettled(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows (key, cell, k, id, comp, minor) of the documents that share a key with
     one of another component, near by signature; within a cell, each such pair
     that round one has not compared is there."""
-    rows = buckets.where("id <> hub").join(labels, "id", "left").select("key", "k", "id", F.coalesce("comp", "id").alias("comp"))
+    return by_cell(in_cells(buckets, labels, reps)).mapInArrow(_involved, "key long, cell string, k int, id long, comp long, minor boolean")
+
+
+def in_cells(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """The documents of every key that several components share, in the cells
+    where they are compared: (key, cell, k, id, comp, minor, sig).
+
+    Cells of up to two blocks take a key of any size, but a key of n blocks
+    deals its rows n times. A key above ``SPLIT_BLOCKS`` is split by a second
+    level of the index instead, which costs each row a constant number of keys
+    (and those that are still as large by a third)."""
+    used = F.get(F.array(*[F.lit(1 << k // CHUNK).cast("long") for k in range(VALUES)]), F.col("k"))  # the chunk of a key's number
+    rows = buckets.where("id <> hub").join(labels, "id", "left").select("key", "k", "id", F.coalesce("comp", "id").alias("comp"), used.alias("used"))
     rows = materialize(rows, "members")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    sizes = rows.join(mixed, "key").groupBy("key", "comp").count()
-    sizes = sizes.groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top"))
-    rows = rows.join(sizes, "key").withColumn("minor", (F.col("comp") != F.col("top.comp")) | (F.col("n") <= BLOCK_DOCS))
+    out = None
+    for level in range(1, LEVELS + 1):
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        sizes = rows.join(mixed, "key").groupBy("key", "comp").count()
+        sizes = sizes.groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top"))
+        large = F.col("n") > BLOCK_DOCS * SPLIT_BLOCKS
+        last = level == LEVELS or sizes.where(large).isEmpty()
+        sized = rows.join(sizes if last else sizes.where(~large), "key")
+        part = _dealt(sized).join(reps.select("id", "sig"), "id").select("key", "cell", "k", "id", "comp", "minor", "sig")
+        out = part if out is None else out.unionByName(part)
+        if last:
+            break
+        below = rows.join(sizes.where(large).select("key"), "key").join(reps.select("id", "sig"), "id").select("key", "k", "id", "comp", "used", "sig")
+        rows = materialize(_next_keys(below, level), "members")
+    return out
+
+
+def _dealt(sized: DataFrame) -> DataFrame:
+    """Rows (key, k, id, comp, n, top) in every cell where they are compared."""
+    rows = sized.withColumn("minor", (F.col("comp") != F.col("top.comp")) | (F.col("n") <= BLOCK_DOCS))
     block = lambda n: F.greatest(F.ceil(n / BLOCK_DOCS), F.lit(1)).cast("int")
     small, large = block(F.col("n") - F.col("top.count")), block(F.col("top.count"))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), small).otherwise(large)).cast("int")
@@ -331,8 +413,7 @@ def unsettled(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFra
     major_cells = F.transform(upto(F.col("small")), lambda i: both("M", i, F.col("mine")))
     rows = rows.withColumns({"small": small, "large": large, "mine": mine})
     cells = F.when(F.col("n") <= BLOCK_DOCS, F.array(F.lit("s"))).when(F.col("minor"), minor_cells).otherwise(major_cells)
-    dealt = rows.select("key", F.explode(cells).alias("cell"), "k", "id", "comp", "minor").join(reps.select("id", "sig"), "id")
-    return by_cell(dealt.select("key", "cell", "k", "id", "comp", "minor", "sig")).mapInArrow(_involved, "key long, cell string, k int, id long, comp long, minor boolean")
+    return rows.select("key", F.explode(cells).alias("cell"), "k", "id", "comp", "minor")
 
 
 def by_cell(rows: DataFrame) -> DataFrame:
@@ -361,6 +442,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     twice = named.join(reps.select("seq", "id"), "seq").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     repeated = named.groupBy("doc_id").agg(F.min("seq").alias("s"), F.max("seq").alias("t")).where("s <> t").select(F.col("doc_id").alias("a"))
     labels = connected(links.unionByName(twice.join(repeated, "a", "left_semi")))
+    labels = more_hubs(buckets, labels, docs, reps, shingle)
     more = cross_links(unsettled(buckets, labels, reps), docs, reps, shingle)
     labels = materialize(merge_labels(labels, more), "components")
     classes = reps.join(labels, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))

@@ -1,6 +1,7 @@
 """Exact dedup, near dedup, components: brute force on the edge cases."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -105,6 +106,40 @@ def test_near_chain_and_blocks(spark, monkeypatch):
     check_near(spark.createDataFrame(chain + other, "doc_id long, text string"))
 
 
+def test_near_second_level(spark, monkeypatch):
+    """Every key of over three documents is split by further chunks; the result is the same."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(near_dedup, "SPLIT_BLOCKS", 1)
+    monkeypatch.setattr(near_dedup, "FAIR_PART", 1)  # one more hub round only: much is left to the cells
+    monkeypatch.setattr(near_dedup, "LEVELS", 2)
+    rows = _shared_part(8, 90) + [(100 + i, t) for i, t in _shared_part(8, 89)] + [(200 + i, t) for i, t in _shared_part(4, 70)]
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def _shared_part(n, shared):
+    """Documents of 100 words of which ``shared`` are the same."""
+    rng = random.Random(n)
+    common = [f"c{i}" for i in range(shared)]
+    return [(k, " ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(100 - shared)])) for k in range(n)]
+
+
+def test_near_dealt_rows_follow_the_documents(spark, monkeypatch):
+    """Twice the documents under the same keys, none linked: about twice the rows in cells."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(near_dedup, "SPLIT_BLOCKS", 1)
+    monkeypatch.setattr(near_dedup, "LEVELS", 2)
+
+    def dealt(n):
+        docs = spark.createDataFrame(_shared_part(n, 70), "doc_id long, text string")
+        feats = near_dedup.features(docs, 4).cache()
+        reps = feats.select(F.col("doc_id").alias("id"), "seq", "sig").cache()
+        buckets = near_dedup.shared_keys(near_dedup.index_keys(reps)).cache()
+        return near_dedup.in_cells(buckets, spark.createDataFrame([], "id long, comp long"), reps).count()
+
+    few, many = dealt(80), dealt(160)
+    assert few and many < 3 * few, (few, many)
+
+
 def test_near_ids_with_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, "other words here now then")], "doc_id long, text string")
