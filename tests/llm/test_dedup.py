@@ -123,21 +123,25 @@ def _shared_part(n, shared):
     return [(k, " ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(100 - shared)])) for k in range(n)]
 
 
-def test_near_dealt_rows_follow_the_documents(spark, monkeypatch):
-    """Twice the documents under the same keys, none linked: about twice the rows in cells."""
+@pytest.mark.parametrize("equal", [0, 10])
+def test_near_dealt_rows_follow_the_documents(spark, monkeypatch, equal):
+    """One key that n unlinked documents share, their signatures otherwise apart
+    (but for some equal values): twice the documents, about twice the rows in cells."""
+    import numpy as np
+
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
     monkeypatch.setattr(near_dedup, "SPLIT_BLOCKS", 1)
     monkeypatch.setattr(near_dedup, "LEVELS", 2)
 
     def dealt(n):
-        docs = spark.createDataFrame(_shared_part(n, 70), "doc_id long, text string")
-        feats = near_dedup.features(docs, 4).cache()
-        reps = feats.select(F.col("doc_id").alias("id"), "seq", "sig").cache()
-        buckets = near_dedup.shared_keys(near_dedup.index_keys(reps)).cache()
+        sig = np.random.default_rng(n).integers(0, 1 << 16, (n, 64)).astype(np.uint16)
+        sig[:, 5 : 5 + equal] = np.arange(n)[:, None] // 8  # eight of a kind
+        reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, sig binary").cache()
+        buckets = reps.selectExpr("7L as key", "0 as k", "-1L as hub", "id")
         return near_dedup.in_cells(buckets, spark.createDataFrame([], "id long, comp long"), reps).count()
 
-    few, many = dealt(80), dealt(160)
-    assert few and many < 3 * few, (few, many)
+    few, many = dealt(200), dealt(400)
+    assert many <= 2.2 * few and many <= 400 * 120
 
 
 def test_near_ids_with_two_texts(spark):
