@@ -7,7 +7,8 @@ host nor a line with a third of all rows reaches one task; the lines to drop
 come back to the pages as hashes only, by a join that adaptive execution can
 split, and each page is filtered on its own in one pass.
 
-``page_lines`` turns HTML into lines: comments, scripts and styles go, block
+``lines_of`` turns HTML into lines, each character read once by each pattern (very
+long pages and unclosed tags too): comments, scripts and styles go, block
 tags end a line, other tags go, and blank lines are left out. Tag names count
 in any case of letters.
 
@@ -18,6 +19,7 @@ equal rows get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +36,7 @@ BLOCK_TAGS = "address|article|aside|blockquote|br|div|dd|dl|dt|footer|form|h1|h2
 DROPPED = r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 BREAKS = rf"\n|</?(?:{BLOCK_TAGS})\b[^>]*>"
 TAGS = r"<[^>]*>"
-#: Before a pattern: names of tags in upper, lower or mixed case (A-Z).
+#: Before a pattern (in SQL too): names of tags in upper, lower or mixed case (A-Z).
 ANY_CASE = "(?i)"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
@@ -45,10 +47,48 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def page_lines(html: Column) -> Column:
-    broken = F.split(F.regexp_replace(F.coalesce(html, F.lit("")), ANY_CASE + DROPPED, ""), ANY_CASE + BREAKS, -1)
-    trimmed = F.transform(broken, lambda s: F.regexp_replace(F.regexp_replace(s, TAGS, ""), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    return F.filter(trimmed, lambda s: s != "")
+_OPENING = re.compile(r"<!--|<script\b|<style\b", re.I | re.A)
+_CLOSING = {"<!": re.compile("-->"), "<sc": re.compile(r"</script\s*>", re.I | re.A), "<st": re.compile(r"</style\s*>", re.I | re.A)}
+_BREAKS, _TAGS = re.compile(BREAKS, re.I | re.A), re.compile(TAGS)
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def without_dropped(html: str) -> str:
+    """``html`` without what ``DROPPED`` matches, in one pass: an opening without an
+    end stays, and so do all later ones of its kind."""
+    out, at, found, dead = [], 0, _OPENING.search(html), set()
+    while found:
+        kind = found[0][:2] if found[0][1] == "!" else found[0][:3].lower()
+        end = None if kind in dead else _CLOSING[kind].search(html, found.end())
+        if end:
+            out.append(html[at : found.start()])
+            at = end.end()
+        else:
+            dead.add(kind)
+        found = _OPENING.search(html, end.end() if end else found.start() + 1)
+    return "".join(out) + html[at:] if at else html
+
+
+def _untagged(line: str) -> str:
+    last = line.rfind(">") + 1  # no tag ends behind it
+    return _TAGS.sub("", line[:last]) + line[last:] if last else line
+
+
+def lines_of(html: str | None) -> list[str]:
+    """The lines of a page: each pattern reads every character once."""
+    text = without_dropped(html or "")
+    last = text.rfind(">") + 1
+    lines = _BREAKS.split(text[:last])
+    rest = text[last:].split("\n")
+    lines[-1] += rest[0]
+    trimmed = (_untagged(x).strip(_BLANK) for x in lines + rest[1:])
+    return [x for x in trimmed if x]
+
+
+def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = pa.array([lines_of(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines], ["page_id", "host", "lines"])
 
 
 def hashes(lines: Column) -> Column:
@@ -79,7 +119,8 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: page_id, host, n_lines, n_dropped, and the text of the lines kept."""
     ship(pages.sparkSession)
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), page_lines(F.col(html)).alias("lines"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    rows = rows.mapInArrow(_page_lines, "page_id long, host string, lines array<string>")
     rows = materialize(rows.withColumn("marks", hashes(F.col("lines"))), "lines")
     bad = materialize(boilerplate(rows.select("host", "marks"), ratio, min_pages), "boilerplate")
     # what a page drops depends on its host and lines alone: that pair is the key

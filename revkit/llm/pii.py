@@ -272,17 +272,27 @@ def _draw(place: int, i: int) -> int:
 
 
 class _Taken:
-    """Spans that may not be overlapped."""
+    """Spans that may not be overlapped, as disjoint intervals in order."""
 
     def __init__(self, spans: list[Span]):
-        self.spans = sorted((lo, hi) for _, lo, hi in spans)
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for lo, hi in sorted((lo, hi) for _, lo, hi in spans):
+            if self.ends and lo < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], hi)
+            else:
+                self.starts.append(lo)
+                self.ends.append(hi)
 
     def free(self, span: Span) -> bool:
-        i = bisect.bisect_left(self.spans, (span[2], 0))
-        return not any(hi > span[1] for _, hi in self.spans[max(0, i - 8) : i])
+        i = bisect.bisect_left(self.starts, span[2])
+        return not i or self.ends[i - 1] <= span[1]
 
     def add(self, span: Span) -> None:
-        bisect.insort(self.spans, (span[1], span[2]))
+        """``span`` must be free."""
+        i = bisect.bisect_left(self.starts, span[1])
+        self.starts.insert(i, span[1])
+        self.ends.insert(i, span[2])
 
 
 @dataclass
@@ -321,13 +331,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
     """Fit on a sample of about ``sample_docs`` of the documents with an address
     sign or two digits in a row, drawn by a hash of id and text (two thirds of
     them), and of about ``sample_spans`` of their proposals, drawn by a hash of
-    document and proposal; calibrate on all the other documents."""
+    document and proposal; calibrate on all the other documents, those without such
+    signs too."""
     none = Detector(None, [2.0] * len(KINDS))
-    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike("@|[0-9][0-9]"))
-    total = docs.count()
+    likely = F.coalesce(F.col("text").rlike("@|[0-9][0-9]"), F.lit(False))
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    total = docs.where(likely).count()
     docs = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(PLACES)).alias("place"), "text")
     place = F.col("place")
-    fitted = (place < int(PLACES * min(1.0, sample_docs / max(total, 1)))) & (F.shiftright(place, 3) % 3 != 0)
+    fitted = likely & (place < int(PLACES * min(1.0, sample_docs / max(total, 1)))) & (F.shiftright(place, 3) % 3 != 0)
     ship(docs.sparkSession)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

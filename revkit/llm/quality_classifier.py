@@ -127,10 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not ones or ones == total:
         return out
     place = F.xxhash64(F.lit("sample"), "doc_id")
-    share = min(1.0, sample / total)
-    drawn = truth.select(F.col("doc_id").alias("id"), "label", place.alias("place")).where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
-    drawn = F.broadcast(drawn.limit(sample))  # at most ``sample`` rows of three numbers
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id").dropDuplicates(["id"])
+    # the first ``sample`` rows by hash: the same whatever the partitions are
+    drawn = truth.select(F.col("doc_id").alias("id"), "label", place.alias("place")).orderBy("place", "id").limit(sample)
+    drawn = F.broadcast(drawn)  # at most ``sample`` rows of three numbers
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
+    rows = rows.groupBy("id", "label", "place").agg(F.min("text").alias("text"))  # one text of a repeated id
     shards = max(1, round(min(total, sample) / SHARD_ROWS))
     shard = F.pmod(F.shiftright("place", 32), F.lit(shards))
     trained = rows.select(shard.alias("shard"), "place", "label", "text").groupBy("shard").applyInArrow(_train_shard, "slot int, weight double")

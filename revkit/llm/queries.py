@@ -141,7 +141,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP5 = rf"""WITH p AS (
   SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, '{line_dedup.HOST}', 1)), '') AS host,
     list_filter(list_transform(
-      regexp_split_to_array(regexp_replace(coalesce(html, ''), '{line_dedup.DROPPED}', '', 'g'), '{line_dedup.BREAKS}'),
+      regexp_split_to_array(regexp_replace(coalesce(html, ''), '{line_dedup.ANY_CASE + line_dedup.DROPPED}', '', 'g'), '{line_dedup.ANY_CASE + line_dedup.BREAKS}'),
       lambda s: regexp_replace(regexp_replace(s, '{line_dedup.TAGS}', '', 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda s: s <> '') AS lines
   FROM pages
 ), l AS (SELECT r, host, unnest(list_distinct(lines)) AS line FROM p WHERE host IS NOT NULL),
