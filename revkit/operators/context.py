@@ -1,8 +1,8 @@
 """J14/J15 code references in comments and M2-M6 file context joins.
 
-Joins carry keys and file texts, never whole comment streams through one
-task: references meet the file rows by an equi-join whose hot keys adaptive
-execution splits.
+Joins carry keys and bins of lines: a text is read and split once, and
+references meet the bins of lines that their range touches by an equi-join whose
+hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revkit.functions import text as T
+from revkit.session import ensure_checkpoint_dir
 
 # Reference patterns and the named references of the sample
 # requests (file name -> line range), and the context labels in match order.
@@ -85,41 +86,62 @@ def clamp(start: Column, end: Column, total: Column) -> tuple[Column, Column]:
     return s2, e2
 
 
-def _with_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the file's lines array to every resolved reference.
+#: Lines of one bin of a file.
+BIN = 64
 
-    A plain equi-join on (repo, path): the sides are shuffled or one is
-    broadcast as adaptive execution finds from their bytes, and it splits the
-    references of a hot file. Lines are split after the join, so only the text
-    of files that are referred to is split, and no list of references is built."""
-    texts = files.select("repo", "path", "content")
-    joined = refs.where(F.col("path").isNotNull()).join(texts, ["repo", "path"])
-    return joined.withColumn("lines", T.lines(F.col("content"))).drop("content")
+
+def line_bins(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, path, total, bin, part): the lines of the files that are referred to,
+    in bins of ``BIN`` lines. Each text is read and split once, however many
+    references it has, and written to the checkpoint folder."""
+    ensure_checkpoint_dir(files.sparkSession)
+    wanted = refs.where(F.col("path").isNotNull()).select("repo", "path").distinct()
+    texts = files.select("repo", "path", "content").join(wanted, ["repo", "path"], "left_semi")
+    lined = texts.select("repo", "path", T.lines(F.col("content")).alias("lines"))
+    last = F.floor((F.size("lines") - 1) / BIN).cast("int")
+    bins = F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("bin"), F.slice("lines", b * BIN + 1, F.lit(BIN)).alias("part")))
+    return lined.select("repo", "path", F.size("lines").alias("total"), F.explode(bins).alias("b")).select("repo", "path", "total", "b.bin", "b.part").checkpoint()
+
+
+def _totals(bins: DataFrame) -> DataFrame:
+    return bins.where("bin = 0").select("repo", "path", "total")
+
+
+def in_range(ranges: DataFrame, bins: DataFrame) -> DataFrame:
+    """M3: the range join. ``ranges`` has (repo, path, lo, hi), 0-based and ``hi``
+    exclusive; each row meets the bins that it touches by an equi-join on (repo,
+    path, bin), and ``shown`` is its part of the bin's lines, from line ``at`` on."""
+    touched = F.sequence(F.floor(F.col("lo") / BIN).cast("int"), F.floor((F.col("hi") - 1) / BIN).cast("int"))
+    met = ranges.where("hi > lo").withColumn("bin", F.explode(touched)).join(bins.select("repo", "path", "bin", "part"), ["repo", "path", "bin"])
+    first = F.col("bin") * BIN
+    met = met.withColumn("at", F.greatest(F.col("lo"), first))
+    return met.withColumn("shown", F.slice("part", F.col("at") - first + 1, F.least(F.col("hi"), first + BIN) - F.col("at"))).drop("part")
 
 
 def context_blocks(refs: DataFrame, files: DataFrame) -> DataFrame:
     """M3-M5: per reference the fenced context block (or the retrieval error).
 
     Lines shown: 0-based [max(0, start-3), min(total, end+3)), '> ' on the
-    referenced lines, '%4d' numbers."""
+    referenced lines, '%4d' numbers. The text of a range is made once, for all
+    references to it."""
     resolved = resolve_files(refs, files)
-    hit = _with_lines(resolved, files)
-    total = F.size("lines")
-    s, e = clamp(F.col("line_start"), F.col("line_end"), total)
+    bins = line_bins(resolved, files)
+    hit = resolved.where(F.col("path").isNotNull()).join(_totals(bins), ["repo", "path"])
+    s, e = clamp(F.col("line_start"), F.col("line_end"), F.col("total"))
     hit = hit.withColumn("s", s).withColumn("e", e)
-    lo = F.greatest(F.lit(0), F.col("s") - 3)
-    hi = F.least(total, F.col("e") + 3)
-    shown = F.slice("lines", lo + 1, F.greatest(hi - lo, F.lit(0)))
-    body = F.array_join(
-        F.transform(
-            shown,
-            lambda t, k: F.concat(
-                F.when((lo + k + 1 >= F.col("s")) & (lo + k + 1 <= F.col("e")), F.lit("> ")).otherwise(F.lit("  ")),
-                F.format_string("%4d", lo + k + 1), F.lit(": "), t, F.lit("\n"),
-            ),
+    lo, hi = F.greatest(F.lit(0), F.col("s") - 3), F.least(F.col("total"), F.col("e") + 3)
+    ranges = hit.select("repo", "path", "s", "e", lo.alias("lo"), hi.alias("hi")).distinct()
+    numbered = F.transform(
+        "shown",
+        lambda t, k: F.concat(
+            F.when((F.col("at") + k + 1 >= F.col("s")) & (F.col("at") + k + 1 <= F.col("e")), F.lit("> ")).otherwise(F.lit("  ")),
+            F.format_string("%4d", F.col("at") + k + 1), F.lit(": "), t, F.lit("\n"),
         ),
-        "",
     )
+    pieces = in_range(ranges, bins).select("repo", "path", "s", "e", "at", F.array_join(numbered, "").alias("piece"))
+    bodies = pieces.groupBy("repo", "path", "s", "e").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("ps"))
+    hit = hit.join(bodies, ["repo", "path", "s", "e"], "left")
+    body = F.coalesce(F.array_join(F.transform("ps", lambda x: x["piece"]), ""), F.lit(""))
     block = F.concat(
         F.lit("Context for "), F.col("filename"), F.lit(" (lines "), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"),
         F.lit("):\n```\n"), body, F.lit("```\n\n"),
@@ -148,14 +170,13 @@ def targeted_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
     """M3 for the targeted rules E8-E10: lines of each (clamped) reference
     range as rows (file_path, line_no, line, ref keys). The clamp is the
     targeted variant: start >= 1, end <= total."""
-    hit = _with_lines(refs, files)
-    total = F.size("lines")
-    s = F.greatest(F.col("line_start"), F.lit(1))
-    e = F.least(F.col("line_end"), total)
-    rows = F.slice("lines", s, F.greatest(e - s + 1, F.lit(0)))
+    bins = line_bins(refs, files)
     keep = [c for c in refs.columns if c not in ("repo", "path")]
-    return hit.select("repo", "path", *keep, F.posexplode(rows).alias("k", "line"), s.alias("_s")).select(
-        "repo", "path", *keep, F.col("path").alias("file_path"), (F.col("_s") + F.col("k")).alias("line_no"), "line"
+    hit = refs.where(F.col("path").isNotNull()).join(_totals(bins), ["repo", "path"])
+    lo, hi = F.greatest(F.col("line_start"), F.lit(1)) - 1, F.least(F.col("line_end"), F.col("total"))
+    met = in_range(hit.withColumn("lo", lo).withColumn("hi", hi), bins)
+    return met.select("repo", "path", *keep, "at", F.posexplode("shown").alias("k", "line")).select(
+        "repo", "path", *keep, F.col("path").alias("file_path"), (F.col("at") + F.col("k") + 1).alias("line_no"), "line"
     )
 
 

@@ -3,7 +3,8 @@ keyed streaming state in ``revkit.streaming.history``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revkit.session import ensure_checkpoint_dir
@@ -71,9 +72,14 @@ def historical_section(overall: Column, hist_count: Column, hist_avg: Column, tr
     return F.when(hist_count > 0, body).otherwise(F.lit(""))
 
 
-def history_records(scored: DataFrame) -> DataFrame:
-    """History rows as the reference's model declares them."""
+#: The columns of a history record.
+RECORD = "channel_id string, date timestamp, overall_quality double, comment_length long, thoroughness double, clarity double, actionability double, average double, trend double"
+
+
+def history_records(scored: DataFrame, *more: str) -> DataFrame:
+    """History rows as the reference's model declares them, and columns ``more``."""
     return scored.select(
+        *more,
         "channel_id",
         F.col("ts").alias("date"),
         F.col("overall").alias("overall_quality"),
@@ -84,7 +90,11 @@ def history_records(scored: DataFrame) -> DataFrame:
     )
 
 
-def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str = "1970-01-01 00:00:00") -> DataFrame:
+#: What a channel's day has seen so far: reviews, sum of their scores, the last ten.
+STATE = "channel_id string, period long, n long, total double, tail array<double>"
+
+
+def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str = "1970-01-01 00:00:00", before: DataFrame | None = None) -> DataFrame:
     """L1-L3 for hot channels: the same columns as ``with_history`` without
     putting a whole (channel, period) into one task.
 
@@ -94,7 +104,13 @@ def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str
     and the last ten scores of the ten preceding non-empty buckets); rows are
     joined to their bucket's prefix and finish with a window inside the
     bucket. Sums are associated per bucket, so ``hist_avg`` may differ from
-    the sequential running mean in the last bits; counts and trends are exact."""
+    the sequential running mean in the last bits; counts and trends are exact.
+    ``before`` (``STATE``) is what earlier batches left of a channel's day."""
+    return _split(scored, bucket_seconds, origin, before)[0]
+
+
+def _split(scored: DataFrame, bucket_seconds: int, origin: str, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The rows with their history, and (channel_id, period, n, total, last) of the batch itself."""
     key = ["channel_id", "period", "bucket"]
     # both the buckets and the rows read the scores: they are computed once
     ensure_checkpoint_dir(scored.sparkSession)
@@ -122,14 +138,78 @@ def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str
         F.coalesce(F.sum("b_sum").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("p_sum"),
         F.flatten(F.collect_list(F.transform("b_last", lambda s: s["overall"])).over(wp.rowsBetween(-RECENT, -1))).alias("p_tail"),
     )
+    if before is not None:
+        prefix = prefix.join(before, ["channel_id", "period"], "left")
+        tail = F.coalesce("tail", F.array().cast("array<double>"))
+        prefix = prefix.select(
+            *key, (F.col("p_cnt") + F.coalesce("n", F.lit(0))).alias("p_cnt"), (F.col("p_sum") + F.coalesce("total", F.lit(0.0))).alias("p_sum"),
+            F.concat(tail, "p_tail").alias("p_tail"),
+        )
     joined = inb.join(prefix, key)
+    # at most RECENT scores a bucket, and a day's buckets
+    own = per_bucket.groupBy("channel_id", "period").agg(F.sum("b_cnt").alias("n"), F.sum("b_sum").alias("total"), F.array_sort(F.flatten(F.collect_list("b_last"))).alias("last"))
+    own = own.withColumn("last", F.transform(F.slice("last", F.greatest(F.size("last") - RECENT + 1, F.lit(1)), RECENT), lambda x: x["overall"]))
     cnt = F.col("p_cnt") + F.col("in_cnt")
     tail = F.concat(F.col("p_tail"), F.col("in_tail"))
     last10 = F.slice(tail, F.greatest(F.size(tail) - RECENT + 1, F.lit(1)), RECENT)
     trend = F.when(F.size(last10) >= 2, F.element_at(last10, -1) - F.element_at(last10, 1)).otherwise(F.lit(0.0))
-    return joined.select(
+    rows = joined.select(
         *scored.columns, "period",
         cnt.cast("bigint").alias("hist_count"),
         F.when(cnt > 0, (F.col("p_sum") + F.col("in_sum")) / cnt).alias("hist_avg"),
         trend.alias("trend"),
     )
+    return rows, own
+
+
+class HistoryTable:
+    """History records that grow batch by batch.
+
+    ``records`` has a partition per batch and day; ``state`` the ``STATE`` of
+    every channel and day that a batch touched, after it. A new batch reads the
+    state (not the records), continues the counts, means and
+    trends from there, and writes its records and states; written again, it
+    replaces them. Reviews of a batch must come after those that earlier batches
+    held of the same channel and day (the keyed stream takes them in any order)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, name: str, schema: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e.getCondition()):
+                raise
+            return None  # nothing is written yet
+
+    def state(self, batch: int) -> DataFrame:
+        """The latest state of every channel and day before this batch."""
+        held = self._read("state", STATE.replace("period long, ", "") + ", batch long, period long")
+        if held is None:
+            return self.spark.createDataFrame([], STATE)
+        last = F.max_by(F.struct("n", "total", "tail"), "batch").alias("s")
+        return held.where(F.col("batch") < batch).groupBy("channel_id", "period").agg(last).select("channel_id", "period", "s.*")
+
+    def append(self, scored: DataFrame, batch: int, bucket_seconds: int = 300, origin: str = "1970-01-01 00:00:00") -> None:
+        days = scored.select(epoch(F.col("ts"), origin).alias("period")).distinct()
+        before = self.state(batch).join(days, "period", "left_semi")
+        before.write.mode("overwrite").parquet(f"{self.path}/read/batch={batch}")
+        before = self.spark.read.schema(STATE).parquet(f"{self.path}/read/batch={batch}")
+        rows, own = _split(scored, bucket_seconds, origin, before)
+        self._write(history_records(rows, "period"), "records", batch)
+        none = F.array().cast("array<double>")
+        merged = own.join(before.withColumnsRenamed({"n": "n0", "total": "total0"}), ["channel_id", "period"], "left")
+        tail = F.concat(F.coalesce("tail", none), "last")
+        merged = merged.select(
+            "channel_id", "period", (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("total0", F.lit(0.0))).alias("total"),
+            F.slice(tail, F.greatest(F.size(tail) - RECENT + 1, F.lit(1)), RECENT).alias("tail"),
+        )
+        self._write(merged, "state", batch)
+
+    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
+        out = rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("batch", "period").parquet(f"{self.path}/{name}")
+
+    def records(self) -> DataFrame:
+        return self._read("records", RECORD + ", batch long, period long")

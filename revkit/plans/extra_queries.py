@@ -3,19 +3,21 @@ M6 (branch preference) and Q3 (own keyword lists)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.operators import common as E
 from revkit.operators import context as M
 from revkit.operators import history as L
 from revkit.operators import metrics as K
 from revkit.operators import php as G
-from revkit.operators.findings import run_rules
+from revkit.operators.analyze import analyze
 from revkit.plans import agg_queries as AQ
-from revkit.plans import file_queries as FQ
 from revkit.plans.queries import _SCORES_SQL, _scores, register
 from revkit.plans.sqlkit import FILES_CTE, q
+from revkit.session import ensure_checkpoint_dir
 from revkit.sources.files import derived_files
 from revkit.sources.tables import REVIEW_COMMENTS_SQL
 
@@ -67,6 +69,21 @@ def q_history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("history_append", RECORDS_SQL)
+def q_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records table after the mornings came as one batch and the
+    afternoons as the next (which is then written again): as in one batch."""
+    table = L.HistoryTable(spark, os.path.join(ensure_checkpoint_dir(spark), "history", uuid.uuid4().hex))
+    scored = _scores(spark, sf_dir)
+    morning = F.hour("ts") < 12
+    for number, rows in ((0, scored.where(morning)), (1, scored.where(~morning)), (1, scored.where(~morning))):
+        table.append(rows, number)
+    return table.records().select(
+        "channel_id", F.col("date").cast("string").alias("date"), "overall_quality", "comment_length", "thoroughness", "clarity", "actionability",
+        F.round("average", 6).alias("average"), F.round("trend", 6).alias("trend"),
+    )
+
+
 # ------------------------------------------------------------------ M6 branches
 
 _PROVIDER = "CASE repo WHEN 'repo1' THEN 'gitlab' WHEN 'repo2' THEN 'bitbucket' ELSE 'github' END"
@@ -99,12 +116,11 @@ def _own(aspect: str) -> str:
 
 
 KEYWORDS_SQL = f"""SELECT repo, path, count(*) AS n_recs, {", ".join(f"CAST(sum({_own(a)}) AS DOUBLE) AS {a}" for a in K.ASPECT_KEYWORDS)}
-FROM ({FQ.COMMON_SQL}) r GROUP BY repo, path"""
+FROM ({AQ.RECS_SQL}) r GROUP BY repo, path"""
 
 
 @register("own_keyword_metrics", KEYWORDS_SQL)
 def q_own_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: file metrics with a user's keyword lists, over the common rules."""
-    files = derived_files(spark, sf_dir).where(F.col("lang") == "java")
+    """Q3: file metrics with a user's keyword lists, over all files and rules."""
     keywords = {**K.ASPECT_KEYWORDS, **OWN_KEYWORDS}
-    return K.file_metrics(run_rules(files, E.rules()), keywords=keywords).select("repo", "path", "n_recs", *K.ASPECT_KEYWORDS)
+    return K.file_metrics(analyze(derived_files(spark, sf_dir)), keywords=keywords).select("repo", "path", "n_recs", *K.ASPECT_KEYWORDS)
