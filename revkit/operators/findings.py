@@ -8,9 +8,10 @@ once, so ``content`` is scanned once and never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -47,6 +48,13 @@ class Ctx:
     lang: Column
     lines: Column
     extra: dict[str, Column] = field(default_factory=dict)
+    #: the prep columns of rules whose names another rule took first
+    own: dict[Rule, dict[str, str]] = field(default_factory=dict)
+
+    def of(self, rule: Rule) -> Ctx:
+        """What this rule sees: under each of its prep names its own column."""
+        mine = {name: F.col(column) for name, column in self.own.get(rule, {}).items()}
+        return replace(self, extra=self.extra | mine) if mine else self
 
 
 @dataclass(frozen=True)
@@ -55,7 +63,9 @@ class Rule:
     build: Callable[[Ctx], Column]
     langs: tuple[str, ...] = ()  # empty = every language
     # per-file columns computed once in a projection before the rules run
-    # (an expensive array used by several expressions is not re-evaluated)
+    # (an expensive array used by several expressions is not re-evaluated);
+    # a name is the rule's own: rules that share one share the column only if
+    # they share the function
     prep: tuple[tuple[str, Callable[[Ctx], Column]], ...] = ()
 
 
@@ -144,11 +154,12 @@ def _tag(rule: Rule, seq: int, arr: Column) -> Column:
 _BUILT: dict[tuple, Column] = {}
 
 
-def _built(kind: str, fn: Callable, langs: tuple[str, ...], make: Callable[[], Column]) -> Column:
+def _built(kind: str, fn: Callable, langs: tuple[str, ...], make: Callable[[], Column], columns: dict[str, str] | None = None) -> Column:
+    """``columns``: the columns that stand for the rule's prep names, where they differ."""
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    k = (sc, kind, fn, langs)
+    k = (sc, kind, fn, langs, tuple(sorted((columns or {}).items())))
     if k not in _BUILT:
         _BUILT[k] = make()
     return _BUILT[k]
@@ -158,7 +169,7 @@ def rule_array(ctx: Ctx, rules: Sequence[Rule], seq_base: int = 0) -> Column:
     """All findings of the rules for one file, in rule order then match order."""
     parts = []
     for k, r in enumerate(rules):
-        arr = _tag(r, seq_base + k + 1, _built("rule", r.build, r.langs, lambda r=r: r.build(ctx)))
+        arr = _tag(r, seq_base + k + 1, _built("rule", r.build, r.langs, lambda r=r: r.build(ctx.of(r)), ctx.own.get(r)))
         if r.langs:
             arr = F.when(ctx.lang.isin(*r.langs), arr).otherwise(F.array().cast(ArrayType(TAGGED)))
         parts.append(arr)
@@ -180,19 +191,25 @@ def prepare(files: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Ctx]:
     files = files.select("*", T.lines(F.col("content")).alias("_lines"))
     ctx = context(files)
     ctx.lines = F.col("_lines")
-    done: set[str] = set()
+    taken: dict[str, Callable] = {}  # column -> the function that fills it
     for r in rules:
         for name, fn in r.prep:
-            if name in done:
+            column, k = name, 1
+            while taken.get(column, fn) is not fn:  # another rule's column of that name
+                column, k = f"{name}__{k}", k + 1
+            if column != name:
+                ctx.own.setdefault(r, {})[name] = column
+            if column in taken:
                 continue
+
             def make(fn=fn, r=r):
-                expr = fn(ctx)
+                expr = fn(ctx.of(r))
                 return F.when(ctx.lang.isin(*r.langs), expr) if r.langs else expr
 
-            expr = _built("prep", fn, r.langs, make)
-            files = files.select("*", expr.alias(name))
-            ctx.extra[name] = F.col(name)
-            done.add(name)
+            expr = _built("prep", fn, r.langs, make, ctx.own.get(r))
+            files = files.select("*", expr.alias(column))
+            ctx.extra.setdefault(name, F.col(name))
+            taken[column] = fn
     return files, ctx
 
 
@@ -201,6 +218,22 @@ def explode_findings(files: DataFrame, arr: Column, keep: Sequence[str] = ("repo
     return files.select(*keep, F.explode(arr).alias("f")).select(*keep, "f.*")
 
 
+def batch_rule(files: DataFrame, rule_id: str, find: Callable[[pd.DataFrame], pd.DataFrame], keep: Sequence[str] = ("repo", "path", "lang")) -> DataFrame:
+    """Q1/Q4: a user's analyzer over Arrow batches of files, for what column
+    expressions do not say. ``find`` gets (*keep, content) of a batch and returns
+    (*keep, line, col, msg); the result has the columns of ``run_rules``, so the
+    two are unioned (O1). Files are read where they are: nothing is shuffled."""
+    schema = ", ".join([*(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep), "line int, col int, msg string, occ int"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = find(batch)
+            yield found.assign(occ=found.groupby(list(keep), dropna=False).cumcount() + 1)[[*keep, "line", "col", "msg", "occ"]]
+
+    found = files.select(*keep, "content").mapInPandas(run, schema)
+    return found.select(*keep, F.lit(rule_id).alias("rule_id"), F.lit(0).alias("rule_seq"), "occ", "line", "col", "msg", F.lit(None).cast("string").alias("key"))
+
+
 def run_rules(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("repo", "path", "lang")) -> DataFrame:
     files, ctx = prepare(files, rules)
     return explode_findings(files, rule_array(ctx, rules), keep)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from revkit.operators import context as M
 from revkit.operators import history as L
 from revkit.operators import metrics as K
+from revkit.functions import text as T
 from revkit.operators import php as G
 from revkit.operators.analyze import analyze
+from revkit.operators.findings import Rule, batch_rule, finding, run_rules
 from revkit.plans import agg_queries as AQ
 from revkit.plans.queries import _SCORES_SQL, _scores, register
-from revkit.plans.sqlkit import FILES_CTE, q
+from revkit.plans.sqlkit import FILES_CTE, match_lines_sql, q
 from revkit.session import ensure_checkpoint_dir
 from revkit.sources.files import derived_files
 from revkit.sources.tables import REVIEW_COMMENTS_SQL
@@ -124,3 +126,40 @@ def q_own_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3: file metrics with a user's keyword lists, over all files and rules."""
     keywords = {**K.ASPECT_KEYWORDS, **OWN_KEYWORDS}
     return K.file_metrics(analyze(derived_files(spark, sf_dir)), keywords=keywords).select("repo", "path", "n_recs", *K.ASPECT_KEYWORDS)
+
+
+# ---------------------------------------------------------------- Q1/Q4 own rules
+
+_MARKS = {"U1": r"(?i)todo", "U2": r"\bpool\b|=="}
+
+
+def _own_rule(rule_id: str, pattern: str) -> Rule:
+    """Both rules call their prepared lines ``hits``."""
+    def build(c):
+        return F.transform(c.extra["hits"], lambda ln: finding(ln, F.concat(F.lit(f"{rule_id} at "), ln.cast("string"))))
+
+    return Rule(rule_id, build, prep=(("hits", lambda c: T.match_lines(c.content, pattern)),))
+
+
+def _tabs(files):
+    import pandas as pd
+
+    counts = files["content"].str.count("\t")
+    hit = files[counts > 0]
+    return pd.DataFrame({**{c: hit[c] for c in ("repo", "path", "lang")}, "line": 0, "col": 0, "msg": counts[counts > 0].map("{} tabs".format)})
+
+
+USER_RULES_SQL = f"WITH {FILES_CTE}\n" + "\nUNION ALL ".join(
+    f"SELECT repo, path, '{r}' AS rule_id, ln AS line, '{r} at ' || CAST(ln AS VARCHAR) AS msg FROM (SELECT repo, path, CAST(unnest({match_lines_sql('content', p)}) AS INT) AS ln FROM files) x"
+    for r, p in _MARKS.items()
+) + """
+UNION ALL SELECT repo, path, 'U3', 0, CAST(length(content) - length(replace(content, chr(9), '')) AS VARCHAR) || ' tabs' FROM files WHERE contains(content, chr(9))"""
+
+
+@register("user_rules", USER_RULES_SQL)
+def q_user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1/Q4: two rules of a user that prepare different columns under one name,
+    and an analyzer over batches, unioned."""
+    files = derived_files(spark, sf_dir)
+    found = run_rules(files, [_own_rule(r, p) for r, p in _MARKS.items()])
+    return found.unionByName(batch_rule(files, "U3", _tabs)).select("repo", "path", "rule_id", "line", "msg")

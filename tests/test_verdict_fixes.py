@@ -64,3 +64,26 @@ def test_go_checks_read_the_code_column_once(spark):
     plan = files.select("go_checks")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("AS go_code") == 1
     assert run_rules(files_df(spark, [("a.go", "package a\n")]), golang.rules()).count() == 1
+
+
+def test_rules_keep_their_own_prepared_columns(spark):
+    from revkit.operators.findings import Rule, batch_rule, finding
+
+    def rule(rule_id, word):
+        hits = lambda c: F.filter(F.transform(c.lines, lambda l, i: F.when(F.contains(l, F.lit(word)), i + 1)), lambda x: x.isNotNull())
+        last = lambda c: F.element_at(c.extra["hits"], -1)
+        build = lambda c: F.array(finding(c.extra["last"], F.concat(F.lit(word), F.lit(" "), F.size(c.extra["hits"]).cast("string"))))
+        return Rule(rule_id, build, prep=(("hits", hits), ("last", last)))
+
+    rows = [("a.py", "foo\nbar\nfoo bar\nbar\n")]
+    for pair in ([rule("U1", "foo"), rule("U2", "bar")], [rule("U2", "bar"), rule("U1", "foo")]):  # either may come first
+        assert {(x[1], x[2], x[3]) for x in run(spark, pair, rows)} == {("U1", 3, "foo 2"), ("U2", 4, "bar 3")}
+
+    def find(files):
+        import pandas as pd
+
+        return pd.DataFrame([(r.repo, r.path, r.lang, n, 0, "x") for r in files.itertuples() for n in (1, 2) if r.path == "a.py"], columns=["repo", "path", "lang", "line", "col", "msg"])
+
+    found = batch_rule(files_df(spark, [*rows, ("b.py", "")]), "U3", find)
+    own = run_rules(files_df(spark, rows), [rule("U1", "foo")])
+    assert [(r.path, r.rule_id, r.occ, r.line) for r in own.unionByName(found).orderBy("rule_id", "occ").collect()] == [("a.py", "U1", 1, 3), ("a.py", "U3", 1, 1), ("a.py", "U3", 2, 2)]
