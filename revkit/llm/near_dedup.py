@@ -13,9 +13,9 @@ Candidates are confirmed on the full shingle sets, and links become components.
 No key's documents are paired with each other: in round one each is compared
 with the key's hub only, one of its documents. The hub is the least in one of
 ``ORDERS`` random orders of the ids, so a document of a large group meets that
-many different ones, which joins whole groups of copies. Further hub rounds compare
-one document of each component that a key still holds, while that joins a fair
-part of them. In round two only documents of a key that still lie in different
+many different ones, which joins whole groups of copies. In keys that do not fit a
+block further hub rounds compare one document of each component that the key
+still holds, while that joins a fair part of them. In round two only documents of a key that still lie in different
 components are compared, by signature, in blocks of bounded size (a key's
 largest component is never compared with itself), and a pair that shares several
 keys comes out of the first one alone. A key of very many blocks is split by a
@@ -317,10 +317,15 @@ def _links_in_cell(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[
 
 
 def more_hubs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """``labels`` (id, comp) after further hub rounds, which are linear: of every key
-    that still holds several components each sends one document, and all of these
-    are compared with one of them, both chosen anew each round. Rounds go on while
-    they join a fair part of what they compare (round two is exact in any case)."""
+    """``labels`` (id, comp) after further hub rounds over the keys that do not fit
+    a block, which are linear: of every such key that still holds several
+    components each sends one document, and all of these are compared with one of
+    them, both chosen anew each round. Rounds go on while they join a fair part of
+    what they compare (round two is exact in any case)."""
+    large = materialize(buckets.groupBy("key").count().where(F.col("count") > BLOCK_DOCS).select("key"), "large")
+    if large.isEmpty():
+        return labels
+    buckets = materialize(buckets.join(large, "key", "left_semi"), "large-keys")
     for turn in count(1):
         members = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         heads = members.groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("m")).select("key", "comp", F.col("m.id").alias("id"))
