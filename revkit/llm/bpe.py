@@ -11,7 +11,10 @@ for (code points under U+0250 without case or composition specials, no
 apostrophe clitic, no added token); else by the file's own pattern, or by the
 library's normalizer and pre-tokenizer.
 
-Defined results: null text = empty text = no tokens; equal rows give equal rows.
+Defined results: null text = empty text = no tokens; equal rows give equal rows;
+of merges of equal rank the leftmost comes first; a text of any length is encoded
+whole, in the memory of one task; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

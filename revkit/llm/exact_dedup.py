@@ -9,8 +9,9 @@ sort-merge (the index side needs neither shuffle nor sort) and appended.
 Defined results: null text = empty text; of equal texts the row with most code
 points stays, then the smallest doc_id, null ids last; rows that repeat a doc_id
 and a text are the same document (all marked kept by ``assign``, one of them
-stays in ``drop_copies``); an empty table gives no rows; further columns pass
-through ``drop_copies`` whatever their names.
+stays in ``drop_copies``); an empty table gives no rows; a text of any
+length is one digest; further columns pass through ``drop_copies`` whatever their
+names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ of each file's ancestor paths with the licence directories of its repository.
 Defined results: null or empty text has no segments; a null path is never a
 licence file and inherits nothing; equal rows get equal results; ties go to the
 higher score (rounded to 4 places), then the first licence name, then the first
-path; an empty table gives no rows.
+path; a text of any length is read whole, line by line; an empty table gives no
+rows; columns other than id, repository, path and text are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ in any case of letters.
 
 Defined results: null html has no lines and an empty text; a page whose url has
 no host keeps all its lines; every row counts as a page, repeated rows too, and
-equal rows get equal results; an empty table gives no rows.
+equal rows get equal results; a line on exactly the share stays; a page of any
+length is read in one pass, by one task; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ input, so neither a partition's table nor a block's answers grow with it.
 
 Defined results: null, empty and blank texts have no words, score 0 and a null
 mean; every row is scored and counted, repeated rows and null ids too; an empty
-table gives no rows. Words are taken as written (case kept).
+table gives no rows; a text of any length is one row of a block; equal texts get
+equal scores; other columns, whatever their names, are not read. Words are taken
+as written (case kept).
 """
 
 from __future__ import annotations

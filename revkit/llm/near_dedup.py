@@ -27,8 +27,10 @@ Equal shingle sequences are collapsed before, so copies cost one row.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; rows with a null id have their size but no component and are kept;
-rows that repeat an id are one document that links as any of them does; an
-empty table gives no rows.
+rows that repeat an id are one document that links as any of them does; a pair at
+exactly the similarity is a link; a text of any length is one set, held by one
+task; an empty table gives no rows; other columns, whatever their names, are not
+read and pass through ``drop_near_copies``.
 """
 
 from __future__ import annotations

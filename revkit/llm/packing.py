@@ -11,7 +11,11 @@ state of a task is the open sequences, whatever it reads.
 
 Defined results: null or empty text is the separator alone (one piece of length
 1); every row is packed, repeated rows and null ids included; an empty table
-gives no rows; a text of any length is cut into as many pieces as it needs.
+gives no rows; a text of any length is cut into as many pieces as it needs, but is
+tokenized whole, in the memory of one task; pieces of equal length are placed in
+the order of doc_id and piece, equal free space by the sequence opened last;
+``pack_docs`` reads no other columns, ``pack`` passes them through (the names
+``sequence_id`` and ``offset`` are its own).
 """
 
 from __future__ import annotations

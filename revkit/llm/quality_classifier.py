@@ -12,7 +12,10 @@ text with the weights as a broadcast array of fixed size (1 MB).
 Defined results: null or empty text has no features and gets the bias alone;
 repeated label rows count once (label 1 only if all say so); without labels of
 both classes every score is the share of label 1, or 0.5; null ids are scored
-and never held out; an empty table gives no rows.
+and never held out; of several texts of one labelled id the least is learned;
+equal texts get equal scores; a text of any length is scored whole, a shard of
+labelled rows is held by one task; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

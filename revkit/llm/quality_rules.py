@@ -14,7 +14,9 @@ Defined results: null or empty text has no words and fails the base rule; null
 or unlisted languages form the stratum "other"; a stratum with too few labels
 certifies no cutoff and keeps what passes the base rule; repeated label rows
 count once, as good only if all say so; window equality is by 64-bit hashes of
-the words.
+the words; repeated rows are judged alike; a ratio equal to a cutoff passes; a text
+of any length is counted whole, in one row; an empty table gives no rows; other
+columns, whatever their names, pass through ``keep_good``.
 """
 
 from __future__ import annotations
