@@ -24,7 +24,7 @@ numbers are only looked for where a run of digits begins.
 
 Defined results: null text has no spans and stays null when redacted; empty
 tables give no rows; repeated rows are treated alike; of overlapping proposals the
-higher score wins, then the earlier in kind and place; a text of any length is read
+higher score wins, then the one proposed first; a text of any length is read
 whole, by one task; other columns, whatever their names, pass through untouched.
 """
 
