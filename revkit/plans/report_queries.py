@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revkit.functions.paths import raw_content_url
+from revkit.functions.paths import display_path, raw_content_url
 from revkit.operators import history as L
 from revkit.operators import metrics as K
 from revkit.operators import reviews
@@ -40,6 +40,21 @@ def q_raw_content_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
                       raw_content_url(F.col("provider"), F.lit("acme"), F.col("repo"), F.lit("main"), F.col("path")).alias("url"))
 
 
+# ------------------------------------------------------------- B3 display paths
+
+#: Where the derived files stand on disk: below the scan root, some with a doubled slash, some elsewhere.
+_ON_DISK = "CASE length(path) % 3 WHEN 0 THEN '/scan/' || repo || '/' || path WHEN 1 THEN '/scan//' || path ELSE '/other/' || path END"
+
+
+@register("display_paths", f"""WITH {FILES_CTE}, d AS (SELECT repo, path, {_ON_DISK} AS full_path FROM files),
+r AS (SELECT repo, full_path, CASE WHEN starts_with(full_path, '/scan') THEN substr(full_path, 6) ELSE full_path END AS rel FROM d)
+SELECT repo, full_path, CASE WHEN starts_with(rel, '/') THEN substr(rel, 2) ELSE rel END AS shown FROM r""")
+def q_display_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path below the scan root, less one slash (reads paths only)."""
+    files = derived_files(spark, sf_dir).select("repo", F.expr(_ON_DISK).alias("full_path"))
+    return files.select("repo", "full_path", display_path(F.col("full_path"), "/scan").alias("shown"))
+
+
 # ------------------------------------------------------------- K7 sections
 
 def _ordered_recs_sql() -> str:
