@@ -27,10 +27,13 @@ COMMENT_SCHEMA = StructType(
 )
 
 
-def read_comments(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """Comments landing as files (parquet or JSON lines) under ``path``."""
+def read_comments(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Comments landing as files (parquet or JSON lines) under ``path``; a
+    micro-batch is bounded by ``max_bytes`` of files, or by their number."""
     reader = spark.readStream.schema(COMMENT_SCHEMA).format(fmt)
-    if max_files:
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    elif max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
 

@@ -25,9 +25,12 @@ FILE_SCHEMA = StructType(
 )
 
 
-def read_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """A micro-batch is bounded by ``max_bytes`` of files, or by their number."""
     reader = spark.readStream.schema(FILE_SCHEMA).format("parquet")
-    if max_files:
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    elif max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
 
