@@ -169,7 +169,9 @@ def issue_rows(files: DataFrame) -> DataFrame:
     from revkit.operators.findings import prepare
 
     prepped, ctx = prepare(files, rules())
-    return prepped.select("repo", "path", F.explode("php_issues").alias("i")).select("repo", "path", "i.*")
+    # a bare column would give Spark a filter on its size, which it evaluates by all checks once more
+    found = F.coalesce("php_issues", F.array().cast(prepped.schema["php_issues"].dataType))
+    return prepped.select("repo", "path", F.explode(found).alias("i")).select("repo", "path", "i.*")
 
 
 def external_report_issues(report_json: DataFrame, files: DataFrame) -> DataFrame:
