@@ -27,12 +27,13 @@ def lines(content: Column) -> Column:
 
 def count_sub(s: Column, sub: str) -> Column:
     """Non-overlapping count of a literal substring (strings.Count)."""
-    return F.floor((F.length(s) - F.length(F.replace(s, F.lit(sub), F.lit("")))) / F.lit(len(sub))).cast("int")
+    gone = F.octet_length(s) - F.octet_length(F.replace(s, F.lit(sub), F.lit("")))  # in bytes: no character is counted
+    return F.floor(gone / F.lit(len(sub.encode()))).cast("int")
 
 
 def indent_width(line: Column) -> Column:
     """Bytes of leading spaces and tabs."""
-    return F.octet_length(line) - F.octet_length(F.regexp_replace(line, "^[ \t]+", ""))
+    return F.octet_length(line) - F.octet_length(F.ltrim(line, F.lit(" \t")))
 
 
 def rcount(s: Column, go_pattern: str) -> Column:
@@ -55,7 +56,7 @@ def extract(s: Column, go_pattern: str, group: int = 0) -> Column:
 
 def _marked(s: Column, go_pattern: str) -> Column:
     """Text with MARK inserted before every match of the pattern."""
-    safe = F.translate(s, MARK, ALT)
+    safe = F.replace(s, F.lit(MARK), F.lit(ALT))  # looks for the bytes; ``translate`` looks up every character
     return F.regexp_replace(safe, rx.java(go_pattern), MARK + "$0")
 
 
@@ -66,7 +67,7 @@ def match_lines(content: Column, go_pattern: str) -> Column:
     and tags is dropped, and each remaining line contributes its line number
     once per tag. Match text keeps its own newlines, so later lines stay right.
     """
-    skeleton = F.regexp_replace(_marked(content, go_pattern), f"[^{NL}{MARK}]", "")
+    skeleton = F.regexp_replace(_marked(content, go_pattern), f"[^{NL}{MARK}]+", "")
     return F.flatten(F.transform(F.split(skeleton, NL, -1), lambda l, i: F.array_repeat(i + 1, F.length(l))))
 
 

@@ -103,7 +103,8 @@ def per_match(content: Column, go_pattern: str, msg: Callable[[Column, list[Colu
     """Content-level rule: one finding per regex match (OCC + C4).
 
     ``msg(line, [group texts])`` renders; groups come from regexp_extract_all
-    in match order, zipped with the match lines.
+    in match order, zipped with the match lines. One search up to the first match
+    spares a file without any the passes that locate and cut out matches.
     """
     arrays = [T.match_lines(content, go_pattern)] + [T.extract_all(content, go_pattern, g) for g in groups]
     names = ["ln"] + [f"g{g}" for g in groups]
@@ -115,7 +116,8 @@ def per_match(content: Column, go_pattern: str, msg: Callable[[Column, list[Colu
             finding(z["ln"], msg(z["ln"], [z[f"g{g}"] for g in groups])),
         ),
     )
-    return F.filter(out, lambda x: x.isNotNull()) if keep else out
+    found = F.filter(out, lambda x: x.isNotNull()) if keep else out
+    return F.when(~T.rlike(content, go_pattern), empty()).otherwise(found)
 
 
 def regex_rule(rule_id: str, go_pattern: str, message: str, langs: tuple[str, ...] = (), scope: str = "content") -> Rule:

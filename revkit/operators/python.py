@@ -35,8 +35,12 @@ GROUPS = ["standard", "third-party", "local"]
 GO_SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
+#: The characters of GO_SPACE.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{GO_SPACE}+|{GO_SPACE}+\\z", "")
+    return F.trim(s, F.lit(_SPACES))
 
 
 def fields(s: Column) -> Column:
@@ -336,16 +340,15 @@ def _quote_counts(l: Column) -> Column:
     ignored, state reset per line. On the line's quote characters the toggle
     automaton is a tokenizer: an opening quote, quotes of the other kind
     (ignored), an optional closing quote; each token counts 1 or 2."""
-    qs = F.regexp_replace(l, "[^'\"]", "")
-    toks = F.regexp_extract_all(qs, F.lit(QUOTE_TOKEN), 0)
+    toks = F.regexp_extract_all(F.regexp_replace(l, "[^'\"]+", ""), F.lit(QUOTE_TOKEN), 0)
 
-    def count(q: str) -> Column:
-        opened = F.filter(toks, lambda t: t.startswith(q))
-        closed = F.filter(opened, lambda t: (F.length(t) >= 2) & t.endswith(q))
-        return (F.size(opened) + F.size(closed)).cast("int")
+    def count(toks: Column, q: str) -> Column:
+        ends = lambda t: 1 + ((F.length(t) >= 2) & t.endswith(q)).cast("int")
+        return F.aggregate(toks, F.lit(0), lambda n, t: n + F.when(t.startswith(q), ends(t)).otherwise(0))
 
     zero = F.struct(F.lit(0).alias("s"), F.lit(0).alias("d"))
-    return F.when(F.length(qs) == 0, zero).otherwise(F.struct(count("'").alias("s"), count('"').alias("d")))
+    found = T.let(toks, lambda v: F.struct(count(v, "'").alias("s"), count(v, '"').alias("d")))
+    return F.when(F.contains(l, F.lit("'")) | F.contains(l, F.lit('"')), found).otherwise(zero)
 
 
 def style(c: Ctx) -> Column:

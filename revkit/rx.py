@@ -6,7 +6,9 @@ as is) and translated here, so Spark's Java engine matches the same text:
 * ``(?d)`` on every pattern: only ``\\n`` ends a line for ``.``, ``^``, ``$``.
 * ``$`` outside ``(?m)`` means end of text in RE2 -> ``\\z``.
 * ``\\s`` is ``[\\t\\n\\f\\r ]`` in RE2 (Java adds ``\\x0B``); ``\\S`` likewise.
-* ``\\b`` is an ASCII word boundary in RE2 (JDK 17 is Unicode aware).
+* ``\\b`` is an ASCII word boundary in RE2 (JDK 17 is Unicode aware). Before
+  what can only be an ASCII word character it is just "none stands before", which
+  Java tests several times faster at every position of a text.
 * ``(?i)`` folds Unicode in RE2 -> ``(?iu)``; ``\\w`` under it also holds the
   long s and the Kelvin sign.
 * a ``{`` that does not start a repetition is a literal in RE2 -> ``\\{``.
@@ -20,12 +22,26 @@ from functools import lru_cache
 
 _WORD = "A-Za-z0-9_"
 _BOUNDARY = f"(?-i:(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}])))"
+_NO_WORD_BEFORE = f"(?<![{_WORD}])"
 _SPACE = "\\t\\n\\f\\r "
 _FOLDED_WORD = "A-Za-z0-9_\\x{17F}\\x{212A}"
 _REPEAT = re.compile(r"\{\d+(,\d*)?\}")
 _LEAD_FLAGS = re.compile(r"^\(\?([imsU]+)\)")
 
 
+#: A word character that is not optional, or ``\\d``, ``\\w`` or a class of word characters, one or more of it.
+_WORD_FIRST = re.compile(r"([A-Za-z0-9_]|\\[dw]|\[(?:[A-Za-z0-9_](?:-[A-Za-z0-9])?)+\])(?![*?{])")
+
+
+def _starts_word(rest: str) -> bool:
+    """What follows begins with an ASCII word character, or is a flat group of
+    alternatives that all do."""
+    group = re.match(r"\((?:\?:)?([^()\[\]]*)\)(?![*?{])", rest)
+    if group:
+        return all(_WORD_FIRST.match(x) for x in group.group(1).split("|"))
+    return "|" not in rest.split("(")[0] and bool(_WORD_FIRST.match(rest))
+
+
 @lru_cache(maxsize=None)
 def java(go_pattern: str) -> str:
     """Translate one RE2 pattern into an equivalent Java pattern."""
@@ -52,7 +68,7 @@ def java(go_pattern: str) -> str:
             elif e == "S":
                 out.append(f"[^{_SPACE}]")
             elif e == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(_NO_WORD_BEFORE if not fold and _starts_word(body[i:]) else _BOUNDARY)
             elif e == "w" and fold:
                 out.append(_FOLDED_WORD if in_class else f"[{_FOLDED_WORD}]")
             else:
