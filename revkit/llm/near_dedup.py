@@ -58,7 +58,7 @@ SPLIT_BLOCKS, LEVELS = 100, 3
 FAIR_PART = 50
 
 #: Random orders of the ids by which keys choose their hubs.
-ORDERS = 16
+ORDERS = 8
 
 _FACTORS = np.random.default_rng(20240305).integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _FLIPS = np.random.default_rng(20240306).integers(0, 1 << 32, VALUES, dtype=np.uint32)
