@@ -39,7 +39,15 @@ EMPTY_RECOMMENDATION = "No review comment provided. Please add detailed comments
 DEFAULT_ASPECTS = ("Thoroughness", "Clarity", "Actionability")
 
 # Whitespace as Go's strings.Fields sees it (unicode.IsSpace), for word counts.
-_FIELD = "[^\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_BLANKS = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_FIELD = f"[^{_BLANKS}]+"
+#: More than LONG_SENTENCE words, in one pass that stops at the first one too many
+#: and collects none. Runs of ASCII are taken as one piece.
+LONG_SENTENCE = 25
+_LONG = f"\\A[{_BLANKS}]*+(?:(?:[!-~]++|[^{_BLANKS}])++[{_BLANKS}]++){{{LONG_SENTENCE}}}+[^{_BLANKS}]"
+#: As many matches as FILE_MENTION, which end at the same characters, but each starts
+#: at the last character of the name, so no name is read again from each of its characters.
+_FILE_ENDING = r"(?i)[\w-]\.(py|js|go|java|cpp|ts|jsx|tsx)"
 
 
 def _d(c: Column) -> Column:
@@ -51,7 +59,7 @@ def features(m: Column) -> dict[str, Column]:
     low = F.lower(m)
     sentences = F.split(m, "(?d)[.!?]+[\\t\\n\\f\\r ]+|\\n", -1)
     return {
-        "file_refs": rcount(m, FILE_MENTION),
+        "file_refs": rcount(m, _FILE_ENDING),
         "code_elements": rcount(m, CODE_ELEMENT),
         "technical_terms": sum((F.contains(low, F.lit(t)).cast("int") for t in TECHNICAL_TERMS), F.lit(0)),
         "paragraphs": count_sub(m, "\n\n") + 1,
@@ -59,7 +67,7 @@ def features(m: Column) -> dict[str, Column]:
         "explanations": rcount(low, EXPLANATION),
         "code_spans": rcount(m, CODE_SPAN),
         "comparatives": rcount(low, COMPARATIVE),
-        "long_sentences": F.size(F.filter(sentences, lambda s: F.regexp_count(s, F.lit(_FIELD)) > 25)),
+        "long_sentences": F.size(F.filter(sentences, lambda s: (F.octet_length(s) > 2 * LONG_SENTENCE) & s.rlike(_LONG))),
         "suggestions": rcount(m, SUGGESTION),
         "inline_code": rcount(m, INLINE_CODE),
         "block_code": rcount(m, BLOCK_CODE),

@@ -1,8 +1,10 @@
 """Keyed per-channel history in Structured Streaming.
 
 State is kept per channel and 24 h period: the running sum and count of overall
-scores, the last ten scores, and a reorder buffer of the rows that the watermark
-has not passed. Rows leave the buffer in (ts, review_id) order when the
+scores with the last ten (one value), and a reorder buffer of the rows that the
+watermark has not passed (a value for the rows of a frame). A call on the state is
+a message to the JVM and a value is pickled by itself, so their number follows the
+keys and not the rows. Rows leave the buffer in (ts, review_id) order when the
 watermark passes them, however they arrived, so each row sees exactly the earlier
 rows of its channel and day, like the batch window in
 ``revkit.operators.history``. The buffer holds what arrives within the delay and
@@ -26,6 +28,8 @@ from revkit.operators.history import DAY_SECONDS, RECENT, epoch
 OUTPUT_SCHEMA = "review_id long, channel_id string, period long, hist_count long, hist_avg double, trend double"
 #: Keyed list and timer state needs this provider.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows in one value of the reorder buffer, when it is written again.
+BUFFER_ROWS = 4096
 
 
 class ChannelHistory(StatefulProcessor):
@@ -33,9 +37,8 @@ class ChannelHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, review_id long, overall double")
-        self.sums = handle.getValueState("sums", "total double, n long")
-        self.recent = handle.getListState("recent", "overall double")
+        self.waiting = handle.getListState("waiting", "us array<long>, review_id array<long>, overall array<double>")
+        self.sums = handle.getValueState("sums", "total double, n long, recent array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, mark = None, timerValues.getCurrentWatermarkInMs()
@@ -43,7 +46,7 @@ class ChannelHistory(StatefulProcessor):
             frame = frame[frame["us"] // 1000 > mark]  # later rows of this channel are out already
             if not len(frame):
                 continue
-            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["review_id"].tolist(), frame["overall"].tolist(), strict=True)))
+            self.waiting.appendValue(tuple(frame[c].tolist() for c in ("us", "review_id", "overall")))
             least = int(frame["us"].min())
             first = least if first is None else min(first, least)
         if first is not None:
@@ -54,10 +57,11 @@ class ChannelHistory(StatefulProcessor):
         channel, period, closes = key
         mark = timerValues.getCurrentWatermarkInMs()
         due, wait = [], []
-        for row in self.waiting.get():
-            (due if row[0] // 1000 <= mark else wait).append(tuple(row))
+        for columns in self.waiting.get():
+            for row in zip(*columns, strict=True):
+                (due if row[0] // 1000 <= mark else wait).append(row)
         if wait:
-            self.waiting.put(wait)
+            self.waiting.put([tuple(map(list, zip(*wait[k : k + BUFFER_ROWS], strict=True))) for k in range(0, len(wait), BUFFER_ROWS)])
             self.handle.registerTimer(min(wait)[0] // 1000)
         elif mark >= closes:  # nothing can come any more
             self.waiting.clear()
@@ -68,18 +72,16 @@ class ChannelHistory(StatefulProcessor):
             yield self._advance(channel, int(period), sorted(due))
         if not wait and mark >= closes:
             self.sums.clear()
-            self.recent.clear()
 
     def _advance(self, channel: str, period: int, due: list[tuple[int, int, float]]) -> pd.DataFrame:
-        total, n = self.sums.get() if self.sums.exists() else (0.0, 0)
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        total, n, recent = self.sums.get() or (0.0, 0, [])
+        recent = list(recent)
         out = []
         for _, review, score in due:
             out.append((review, channel, period, n, total / n if n else None, recent[-1] - recent[0] if len(recent) >= 2 else 0.0))
             total, n = total + score, n + 1
             recent = (recent + [score])[-RECENT:]
-        self.sums.update((float(total), int(n)))
-        self.recent.put([(float(x),) for x in recent])
+        self.sums.update((float(total), int(n), [float(x) for x in recent]))
         return pd.DataFrame(out, columns=["review_id", "channel_id", "period", "hist_count", "hist_avg", "trend"])
 
     def close(self) -> None:
