@@ -74,6 +74,8 @@ def historical_section(overall: Column, hist_count: Column, hist_avg: Column, tr
 
 #: The columns of a history record.
 RECORD = "channel_id string, date timestamp, overall_quality double, comment_length long, thoroughness double, clarity double, actionability double, average double, trend double"
+#: The columns of a scored review that its record is made of (no text).
+RECORDED = ["review_id", "channel_id", "ts", "overall", "comment_length", "thoroughness", "clarity", "actionability"]
 
 
 def history_records(scored: DataFrame, *more: str) -> DataFrame:
@@ -106,15 +108,18 @@ def with_history_split(scored: DataFrame, bucket_seconds: int = 300, origin: str
     bucket. Sums are associated per bucket, so ``hist_avg`` may differ from
     the sequential running mean in the last bits; counts and trends are exact.
     ``before`` (``STATE``) is what earlier batches left of a channel's day."""
-    return _split(scored, bucket_seconds, origin, before)[0]
+    return _split(_computed(scored), bucket_seconds, origin, before)[0]
+
+
+def _computed(scored: DataFrame) -> DataFrame:
+    """Both the buckets and the rows read the scores: they are computed once."""
+    ensure_checkpoint_dir(scored.sparkSession)
+    return scored.checkpoint()
 
 
 def _split(scored: DataFrame, bucket_seconds: int, origin: str, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The rows with their history, and (channel_id, period, n, total, last) of the batch itself."""
     key = ["channel_id", "period", "bucket"]
-    # both the buckets and the rows read the scores: they are computed once
-    ensure_checkpoint_dir(scored.sparkSession)
-    scored = scored.checkpoint()
     df = scored.withColumn("period", epoch(F.col("ts"), origin)).withColumn(
         "bucket", F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(origin).cast("timestamp"))) / F.lit(bucket_seconds)).cast("bigint")
     )
@@ -165,9 +170,11 @@ def _split(scored: DataFrame, bucket_seconds: int, origin: str, before: DataFram
 class HistoryTable:
     """History records that grow batch by batch.
 
-    ``records`` has a partition per batch and day; ``state`` the ``STATE`` of
-    every channel and day that a batch touched, after it. A new batch reads the
-    state (not the records), continues the counts, means and
+    ``records`` has a partition per batch; ``state`` the ``STATE`` of
+    every channel and day that a batch touched, after it. The files of a batch
+    hold ranges of days, so their number follows the rows and not the days, and a
+    reader of some days skips the other files by their statistics. A new batch
+    reads the state (not the records), continues the counts, means and
     trends from there, and writes its records and states; written again, it
     replaces them. Reviews of a batch must come after those that earlier batches
     held of the same channel and day (the keyed stream takes them in any order)."""
@@ -177,7 +184,7 @@ class HistoryTable:
 
     def _read(self, name: str, schema: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema + ", batch long").parquet(f"{self.path}/{name}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e.getCondition()):
                 raise
@@ -185,19 +192,21 @@ class HistoryTable:
 
     def state(self, batch: int) -> DataFrame:
         """The latest state of every channel and day before this batch."""
-        held = self._read("state", STATE.replace("period long, ", "") + ", batch long, period long")
+        held = self._read("state", STATE)
         if held is None:
             return self.spark.createDataFrame([], STATE)
         last = F.max_by(F.struct("n", "total", "tail"), "batch").alias("s")
         return held.where(F.col("batch") < batch).groupBy("channel_id", "period").agg(last).select("channel_id", "period", "s.*")
 
     def append(self, scored: DataFrame, batch: int, bucket_seconds: int = 300, origin: str = "1970-01-01 00:00:00") -> None:
+        scored = _computed(scored.select(*RECORDED))
         days = scored.select(epoch(F.col("ts"), origin).alias("period")).distinct()
-        before = self.state(batch).join(days, "period", "left_semi")
+        first, last = days.agg(F.min("period"), F.max("period")).first()
+        before = self.state(batch).where(F.col("period").between(first, last)).join(days, "period", "left_semi")
         before.write.mode("overwrite").parquet(f"{self.path}/read/batch={batch}")
         before = self.spark.read.schema(STATE).parquet(f"{self.path}/read/batch={batch}")
         rows, own = _split(scored, bucket_seconds, origin, before)
-        self._write(history_records(rows, "period"), "records", batch)
+        self._write(history_records(rows, "period"), "records", batch, "date")
         none = F.array().cast("array<double>")
         merged = own.join(before.withColumnsRenamed({"n": "n0", "total": "total0"}), ["channel_id", "period"], "left")
         tail = F.concat(F.coalesce("tail", none), "last")
@@ -207,9 +216,11 @@ class HistoryTable:
         )
         self._write(merged, "state", batch)
 
-    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        out = rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite")
-        out.option("partitionOverwriteMode", "dynamic").partitionBy("batch", "period").parquet(f"{self.path}/{name}")
+    def _write(self, rows: DataFrame, name: str, batch: int, *then: str) -> None:
+        """Dealt by ranges of days; a day with many rows is split by channel and ``then``."""
+        dealt = rows.withColumn("batch", F.lit(batch).cast("long")).repartitionByRange("period", "channel_id", *then)
+        out = dealt.sortWithinPartitions("period", "channel_id", *then).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{name}")
 
     def records(self) -> DataFrame:
-        return self._read("records", RECORD + ", batch long, period long")
+        return self._read("records", RECORD + ", period long")

@@ -76,7 +76,7 @@ def q_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records table after the mornings came as one batch and the
     afternoons as the next (which is then written again): as in one batch."""
     table = L.HistoryTable(spark, os.path.join(ensure_checkpoint_dir(spark), "history", uuid.uuid4().hex))
-    scored = _scores(spark, sf_dir).checkpoint()  # all batches read the scores: they are computed once
+    scored = _scores(spark, sf_dir).select(*L.RECORDED).checkpoint()  # all batches read the scores: they are computed once
     morning = F.hour("ts") < 12
     for number, rows in ((0, scored.where(morning)), (1, scored.where(~morning)), (1, scored.where(~morning))):
         table.append(rows, number)
