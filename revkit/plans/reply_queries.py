@@ -16,7 +16,7 @@ from revkit.plans import report_queries as RQ
 from revkit.plans import request_queries as Q
 from revkit.plans.queries import _SCORES_SQL, register
 from revkit.plans.sqlkit import FILES_CTE, count_sub
-from revkit.session import ensure_checkpoint_dir
+from revkit.session import ensure_checkpoint_dir, written
 from revkit.sources import tables
 from revkit.sources.files import derived_files
 
@@ -30,13 +30,6 @@ REPLY_FIELDS_SQL = Q.REQUEST_FIELDS_SQL.replace(
 )
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table under the shared folder: several consumers read it."""
-    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), name, uuid.uuid4().hex)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed requests with the time of their comment."""
     parsed = R.parse_messages(Q.request_json(spark, sf_dir, REPLY_FIELDS_SQL).select("review_id", "value"))
@@ -101,7 +94,7 @@ def q_review_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     its own aspects, the quality of its comment, and the channel's history; in
     direct mode without files."""
     files = derived_files(spark, sf_dir).withColumn("repo", F.expr(_SMALL_REPO))
-    findings = _written(analyze(files), "reply-findings")
+    findings = written(analyze(files), "reply-findings")
     out = A.answer(_requests(spark, sf_dir), files, findings)
     return out.select(
         "review_id", F.col("http_status").cast("int").alias("http_status"), "error", "message", "files_analyzed", F.round("mean_quality", 6).alias("mean_quality")

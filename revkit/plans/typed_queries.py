@@ -13,7 +13,7 @@ from revkit.operators import typed as T
 from revkit.plans import file_queries as FQ
 from revkit.plans.queries import ORACLE, register
 from revkit.plans.sqlkit import LANG_SQL, q
-from revkit.session import ensure_checkpoint_dir
+from revkit.session import ensure_checkpoint_dir, written
 from revkit.sources.files import derived_files
 
 
@@ -40,7 +40,7 @@ def q_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every file with its rule, code, severity, place,
     message and snippet, from the findings table; its batch is written twice."""
     path = os.path.join(ensure_checkpoint_dir(spark), "findings", uuid.uuid4().hex)
-    found = T.typed_findings(derived_files(spark, sf_dir))
+    found = written(T.typed_findings(derived_files(spark, sf_dir)), "typed-findings")  # the rules run once for both
     for _ in range(2):
         T.write_findings(found, path, 0)
     return T.read_findings(spark, path).select("repo", "path", "lang", *T.TYPED)
