@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revkit.functions.scoring import DEFAULT_ASPECTS
+from revkit.session import written
 
 # Keyword lists of the per-file aspect score.
 ASPECT_KEYWORDS = {
@@ -108,8 +109,9 @@ def report_sections(file_recs: DataFrame, repos: DataFrame | None = None, by: st
     or an error; 3: one block per file (or its ``error``, K9), or the line that
     nothing was found. ``repos`` (default: those in ``file_recs``) names the
     repositories that get a report; no repository is ever gathered into one
-    value, and the findings are evaluated once: each file's row is exploded into
-    its lines, and the headers count these."""
+    value, and the findings are evaluated once: the files' rows are written, each
+    is exploded into its lines, and the headers count these."""
+    file_recs = written(file_recs, "file-recommendations")  # the headers need so few columns that Spark would run all rules again for them
     item = lambda seq, path, text: F.struct(F.lit(seq).alias("seq"), path.alias("path"), text.alias("text"))
     listed = F.concat(F.lit("- "), F.col("path"), F.lit("\n"))
     block = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"), F.array_join(F.transform("recommendations", lambda r: F.concat(F.lit("- "), r, F.lit("\n"))), ""))
