@@ -16,6 +16,7 @@ TRAILING_WS = r"[ \t]+$"
 DEBUG_PRINT = r"(?i)(fmt\.Println|console\.log|print|debug|log\(.*\)|\.dump|\.inspect)"
 COMMENTED_OUT = r"(?m)^\s*//.*"
 COMPLEX_COMPARISON = r"(==|!=|>|<|>=|<=){2,}"
+_TWO_SIGNS = r"[=!<>][=!<>]"  # no COMPLEX_COMPARISON without, and quicker to look for
 MAGIC_NUMBER = r"\b\d+\b"
 
 
@@ -39,7 +40,7 @@ def rules() -> list[Rule]:
         Rule("E5", lambda c: per_match(c.content, COMMENTED_OUT, lambda ln, g: loc(c, ln, "Review commented-out code"))),
         Rule(
             "E6",
-            lambda c: F.when(~T.rlike(c.content, COMPLEX_COMPARISON), empty()).otherwise(
+            lambda c: F.when(~(T.rlike(c.content, _TWO_SIGNS) & T.rlike(c.content, COMPLEX_COMPARISON)), empty()).otherwise(
                 per_line(c, lambda l, i: T.rlike(l, COMPLEX_COMPARISON), lambda l, n: loc(c, n, "Simplify complex comparison"))
             ),
         ),

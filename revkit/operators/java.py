@@ -53,7 +53,7 @@ def null_checks(c: Ctx) -> Column:
     var = F.when(g1 != "", g1).otherwise(T.extract(c.content, NULL_CHECK, 2))
     msg = loc(c, _first_line(c, NULL_CHECK), F.concat(F.lit("Found "), _s(n), F.lit(" null checks (e.g., '"), var,
                                                        F.lit("'). Consider using Objects.isNull() and Objects.nonNull()")))
-    return one_if(n > 5, _first_line(c, NULL_CHECK), msg)
+    return F.when(~F.contains(c.content, F.lit("null")), empty()).otherwise(one_if(n > 5, _first_line(c, NULL_CHECK), msg))
 
 
 def public_fields(c: Ctx) -> Column:
@@ -146,7 +146,7 @@ def imports(c: Ctx) -> Column:
                                F.lit("'. Import specific classes instead"))),
         key=F.lit("F11"),
     )
-    return F.concat(many, wild)
+    return F.when(~F.contains(c.content, F.lit("import")), empty()).otherwise(F.concat(many, wild))
 
 
 def serial_version(c: Ctx) -> Column:

@@ -3,6 +3,9 @@ column + 1); issues are rendered grouped by severity and type (G25)."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,17 @@ CHECKS = [
     ("EXIT_DIE_USAGE", r"\b(exit|die)\s*\(", "Use of exit() or die(). Consider structured exception handling instead", "Low"),
     ("INCONSISTENT_LINE_ENDINGS", r"\r\n.*\n", "Inconsistent line endings (mixed CRLF and LF)", "Info"),
 ]
+#: What a text must hold for a check to match at all, in lower case: one of these. Looking for
+#: them is much cheaper than trying a pattern at every character.
+NEEDS = {
+    "SQL_INJECTION": ("query", "->exec"), "XSS": ("$_",), "COMMAND_INJECTION": ("system", "exec", "passthru", "proc_open"),
+    "EVAL_USAGE": ("eval", "assert"), "FILE_INCLUSION": ("include", "require"), "CSRF_MISSING": ("<form",), "PASSWORD_HASH": ("md5", "sha1"),
+    "OPEN_REDIRECT": ("location:",), "ERROR_SUPPRESSION": ("@",), "HARDCODED_CREDENTIALS": ("=>",), "FILE_UPLOAD": ("$_files",),
+    "DEPRECATED_FUNCTION": ("mysql_", "ereg_", "split", "create_function", "mcrypt_", "session_unregister", "define_syslog_variables"),
+    "SESSION_SECURITY": ("session_start",), "MISSING_NAMESPACE": ("<?php",), "LOWERCASE_CONSTANTS": ("const",), "MIXED_HTML_PHP": ("?>",),
+    "VAR_DUMP_PRINT_R": ("var_dump", "print_r"), "ISSET_EMPTY_COMPARISON": ("null",), "UNUSED_USE_STATEMENT": ("use",), "GLOBAL_USAGE": ("global",),
+    "EXIT_DIE_USAGE": ("exit", "die"), "INCONSISTENT_LINE_ENDINGS": ("\r\n",),
+}
 HEADERS_TYPE = "MISSING_SECURITY_HEADERS"
 HEADERS_DESC = "Missing security headers. Consider setting X-Frame-Options, X-XSS-Protection, etc."
 EXTERNAL_TYPE = "PHPSTAN"
@@ -49,12 +63,16 @@ def _hit(seq: int, line: Column, col: Column) -> Column:
     return F.struct(F.lit(seq).alias("type_seq"), line.cast("int").alias("line"), col.cast("int").alias("col"))
 
 
-def _line_hits(ctx: Ctx, pattern: str, seq: int) -> Column:
+def _holds_one(s: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, (F.contains(s, F.lit(word)) for word in words))
+
+
+def _line_hits(ctx: Ctx, pattern: str, seq: int, words: tuple[str, ...]) -> Column:
     def on_line(l: Column, i: Column) -> Column:
         # one matching pass rejects the (many) lines without a hit before the
         # tagging passes that locate byte columns
         hits = F.transform(T.match_byte_offsets(l, pattern), lambda o: _hit(seq, i + 1, o + 1))
-        return F.when(T.rlike(l, pattern), hits).otherwise(F.array().cast(HIT))
+        return F.when(_holds_one(F.get(ctx.extra["php_low_lines"], i), words) & T.rlike(l, pattern), hits).otherwise(F.array().cast(HIT))
 
     return F.flatten(F.transform(ctx.lines, on_line))
 
@@ -62,12 +80,21 @@ def _line_hits(ctx: Ctx, pattern: str, seq: int) -> Column:
 HIT = "array<struct<type_seq:int,line:int,col:int>>"
 
 
+def folded(ctx: Ctx) -> Column:
+    """The text in lower case; letters that "(?i)" takes for an ASCII one are that one."""
+    s = ctx.content
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+        s = F.replace(s, F.lit(letter), F.lit(plain))
+    return F.lower(s)
+
+
 def hits(ctx: Ctx) -> Column:
     """(type_seq, line, byte col) of every issue, in check, line, column order."""
     parts = []
-    for seq, (_type, pattern, _desc, _sev) in enumerate(CHECKS, start=1):
-        # cheap guard: skip the per-line pass when the pattern matches no line ("(?m)": anchors mean line ends)
-        parts.append(F.when(T.rlike(ctx.content, "(?m)" + pattern), _line_hits(ctx, pattern, seq)).otherwise(F.array().cast(HIT)))
+    for seq, (type_, pattern, _desc, _sev) in enumerate(CHECKS, start=1):
+        # cheap guard: skip the per-line pass, and the pattern on a line, without any of the check's words
+        found = _line_hits(ctx, pattern, seq, NEEDS[type_])
+        parts.append(F.when(_holds_one(ctx.extra["php_low"], NEEDS[type_]), found).otherwise(F.array().cast(HIT)))
     controller = F.contains(ctx.path, F.lit("controller")) | F.contains(ctx.path, F.lit("Controller"))
     no_headers = ~F.contains(ctx.content, F.lit("X-Frame-Options")) & ~F.contains(ctx.content, F.lit("X-XSS-Protection"))
     parts.append(F.when(controller & no_headers, F.array(_hit(len(CHECKS) + 1, F.lit(1), F.lit(0)))).otherwise(F.array().cast(HIT)))
@@ -154,6 +181,8 @@ def _render_one(y: Column, i: Column, srt: Column, type_counts: Column, sev_coun
 
 
 PREP = (
+    ("php_low", folded),
+    ("php_low_lines", lambda c: T.lines(c.extra["php_low"])),
     ("php_issues", issues),
     ("php_sorted", lambda c: sort_issues(c.extra["php_issues"])),
     ("php_counts", lambda c: issue_counts(c.extra["php_sorted"])),

@@ -285,7 +285,7 @@ def functions(c: Ctx) -> Column:
         trimmed = x["t"]
         ind = x["ind"]
         mutable = F.when(
-            T.rlike(l, MUTABLE_DEFAULT),
+            F.contains(l, F.lit("def")) & T.rlike(l, MUTABLE_DEFAULT),
             issue(c, i + 1, byte_index(l, T.extract(l, MUTABLE_DEFAULT, 2)) + 1, "warning", "PYL301",
                   F.concat(F.lit("Mutable default argument '"), T.extract(l, MUTABLE_DEFAULT, 1), F.lit("="),
                            T.extract(l, MUTABLE_DEFAULT, 2), F.lit("' can cause unexpected behavior"))),
@@ -374,10 +374,13 @@ def security(c: Ctx) -> Column:
     def on_line(l: Column, i: Column) -> Column:
         low = F.lower(l)
         pw = F.contains(l, F.lit("password")) & (F.contains(l, F.lit("=")) | F.contains(l, F.lit(":"))) & T.rlike(l, PASSWORD)
+        # what a match cannot lack is looked for first: the patterns are slow on long lines
+        sql = F.contains(l, F.lit("(")) & (F.contains(l, F.lit("%")) | F.contains(l, F.lit("+"))) & T.rlike(l, SQL_INJECTION)
+        shell = F.contains(l, F.lit("{")) & T.rlike(l, SHELL_CALL)
         return _nn(
-            F.when(T.rlike(l, SQL_INJECTION), issue(c, i + 1, 1, "error", "PYL601", "Potential SQL injection vulnerability. Use parameterized queries instead")),
+            F.when(sql, issue(c, i + 1, 1, "error", "PYL601", "Potential SQL injection vulnerability. Use parameterized queries instead")),
             # the pattern's second alternative '.*?\+' matches exactly the lines holding '+'
-            F.when(F.contains(l, F.lit("+")) | T.rlike(l, SHELL_CALL), issue(c, i + 1, 1, "error", "PYL602",
+            F.when(F.contains(l, F.lit("+")) | shell, issue(c, i + 1, 1, "error", "PYL602",
                                                       "Potential shell injection vulnerability. Sanitize user input before using in shell commands")),
             F.when(pw, issue(c, i + 1, byte_index(low, "password"), "error", "PYL603",
                              "Hard-coded password detected. Use environment variables or a secure configuration system")),
